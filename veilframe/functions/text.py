@@ -114,53 +114,69 @@ KNOWN_CITIES = sorted({fold_arabic_literal(c) for c in V.CITIES_EN + V.CITIES_AR
 CITY_REGIONS = {fold_arabic_literal(city): region for city, region in V.CITY_REGION.items()}
 
 
+def look_up_literal(table: dict[str, object], key: Column) -> Column:
+    """Value of a small fixed table, or null."""
+    pairs = ", ".join(f"{sql_text(k)}, {sql_text(v) if isinstance(v, str) else v}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
+
 def is_known_city(c: Column) -> Column:
     return fold_arabic(c).isin(KNOWN_CITIES)
 
 
 def region_of_city(c: Column) -> Column:
     """Region of a known city, else null."""
-    lookup = F.create_map(*[F.lit(x) for pair in CITY_REGIONS.items() for x in pair])
-    return F.try_element_at(lookup, fold_arabic(c))
+    return look_up_literal(CITY_REGIONS, fold_arabic(c))
+
+
+def strings(values: list[str]) -> Column:
+    """A literal array of strings."""
+    return F.expr("array(" + ", ".join(sql_text(v) for v in values) + ")")
+
+
+def sql_text(value: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _word_start(keyword: str) -> str:
-    return NOT_IN_WORD_BEFORE + r"\Q" + fold_arabic_literal(keyword) + r"\E"
+_ADDRESS_FOLDED = [fold_arabic_literal(k) for k in V.ADDRESS_KEYWORDS]
+_ADDRESS_ANY = NOT_IN_WORD_BEFORE + "(?:" + "|".join(rf"\Q{k}\E" for k in _ADDRESS_FOLDED) + ")"
 
 
 def address_places(c: Column) -> Column:
-    """Places in the keyword list of the address keywords at a word start; empty when none."""
-    any_of = NOT_IN_WORD_BEFORE + "(?:" + "|".join(
-        r"\Q" + fold_arabic_literal(k) + r"\E" for k in V.ADDRESS_KEYWORDS) + ")"
-    none = F.array().cast("array<int>")
-    return let(fold_arabic(c), lambda folded: F.when(folded.rlike(any_of), F.array_compact(F.array(*[
-        F.when(folded.rlike(_word_start(k)), F.lit(i)) for i, k in enumerate(V.ADDRESS_KEYWORDS)])))
-        .otherwise(none))
+    """Places (from 1) in the keyword list of the address keywords at a word start; empty when none.
+
+    No keyword starts another, so one pass over the text finds each of them.
+    """
+    keywords = strings(_ADDRESS_FOLDED)
+
+    def places(folded):
+        found = F.regexp_extract_all(folded, F.lit(_ADDRESS_ANY), F.lit(0))
+        return F.array_sort(F.transform(F.array_distinct(found), lambda k: F.array_position(keywords, k)))
+    return let(fold_arabic(c), places)
 
 
 def address_keywords(c: Column) -> Column:
     """The address keywords found at a word start, in list order."""
-    return F.transform(address_places(c), lambda i: keyword_at(i, V.ADDRESS_KEYWORDS))
+    words = strings(V.ADDRESS_KEYWORDS)
+    return F.transform(address_places(c), lambda i: F.element_at(words, i.cast("int")))
 
 
 def context_place(text: Column, start: Column, end: Column, entity: str) -> Column:
-    """Place in the keyword list of the first one found just before or after a span, or null."""
+    """Place (from 1) in the keyword list of the first one found just before or after a span, or null."""
     first = F.greatest(start - V.CONTEXT_BEFORE, F.lit(0))
     segment = F.concat(F.substring(text, first + 1, start - first), F.lit(" "),
                        F.substring(text, end + 1, F.lit(V.CONTEXT_AFTER)))
-    return let(fold_arabic(segment), lambda s: F.coalesce(*[
-        F.when(F.contains(s, F.lit(fold_arabic_literal(k))), F.lit(i))
-        for i, k in enumerate(V.CONTEXT_KEYWORDS[entity])]))
-
-
-def keyword_at(place: Column, keywords: list[str]) -> Column:
-    """The keyword at a place in its list."""
-    return F.get(F.array(*[F.lit(k) for k in keywords]), place)
+    keywords = strings([fold_arabic_literal(k) for k in V.CONTEXT_KEYWORDS[entity]])
+    place = let(fold_arabic(segment), lambda s: F.array_position(
+        F.transform(keywords, lambda k: F.contains(s, k)), True))
+    return F.nullif(place, F.lit(0))
 
 
 def context_keyword(text: Column, start: Column, end: Column, entity: str) -> Column:
     """First context keyword in the characters just before or just after a span."""
-    return keyword_at(context_place(text, start, end, entity), V.CONTEXT_KEYWORDS[entity])
+    place = context_place(text, start, end, entity)
+    return F.try_element_at(strings(V.CONTEXT_KEYWORDS[entity]), place.cast("int"))
 
 
 # --------------------------------------------------------------------------- column names

@@ -6,7 +6,7 @@ from veilframe import fixed_values as V
 from veilframe.functions.masks import mask_free_text
 from veilframe.functions.numbers import round_exact
 from veilframe.functions.spans import PATTERNS, find_spans, span_context, span_valid
-from veilframe.functions.text import keyword_at, normalize_digits
+from veilframe.functions.text import look_up_literal, normalize_digits, strings
 
 
 def lower_risk(base: Column, confidence: Column) -> Column:
@@ -17,8 +17,7 @@ def lower_risk(base: Column, confidence: Column) -> Column:
 
 def by_entity(entity: Column, values: dict) -> Column:
     """Value of a small fixed table looked up by entity."""
-    table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
-    return F.try_element_at(table, entity)
+    return look_up_literal(values, entity)
 
 
 def category_of(entity: Column) -> Column:
@@ -69,7 +68,7 @@ def corpus_findings(df: DataFrame, key: str, text: str) -> DataFrame:
     weight = by_entity(entity, {e: p.weights[0] for e, p in PATTERNS.items()})
     check_weight = by_entity(entity, {e: p.weights[1] for e, p in PATTERNS.items()})
     label = by_entity(entity, {e: p.weights[2] for e, p in PATTERNS.items()})
-    keyword = _by_pattern(entity, lambda e: keyword_at(F.col("place"), V.CONTEXT_KEYWORDS[e]))
+    keyword = _by_pattern(entity, lambda e: F.try_element_at(strings(V.CONTEXT_KEYWORDS[e]), F.col("place").cast("int")))
     has_check = entity.isin([e for e, p in PATTERNS.items() if p.validator])
     raw = (weight + F.when(has_check & F.col("valid"), check_weight).otherwise(0.0)
            + F.when(F.col("place").isNotNull(), V.CONTEXT_WEIGHT).otherwise(0.0)

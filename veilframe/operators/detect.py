@@ -7,14 +7,15 @@ input size.  All aggregation buffers are fixed-width, so the aggregation hashes
 and never sorts the cells.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veilframe import fixed_values as V
-from veilframe.functions.numbers import looks_like_date, parse_number, percent, round_exact
+from veilframe.functions.numbers import looks_like_date, parse_number, round_exact
 from veilframe.functions.spans import PATTERNS, find_spans, span_context, span_valid
 from veilframe.functions.text import (
-    address_places, column_hint, has_arabic, is_known_city, keyword_at, name_shape, normalize_digits, strip)
+    address_places, column_hint, is_known_city, name_shape, normalize_digits, sql_text, strip)
 from veilframe.operators.corpus import base_risk_of, category_of, label_of, lower_risk
+from veilframe.session import stage
 
 # rows are dealt to lanes by a hash of their key; each lane reports its first
 # row, which bounds where the first rows of a column lie
@@ -24,8 +25,8 @@ SAMPLE_LENGTH = 60
 _SHORT = {"SAUDI_NATIONAL_ID": "id", "SAUDI_MOBILE": "mobile", "SAUDI_IBAN": "iban", "EMAIL_ADDRESS": "email"}
 _GROUPS = [*_SHORT.values(), "name", "address", "any"]
 _HINT_GROUPS = list(V.COLUMN_KEYWORDS)
-_NONPATTERN_ORDER = ["NAME", "SAUDI_ADDRESS", "CUSTOMER_ID", "AGE", "SALARY", "DATE_OF_BIRTH", "CITY", "DISTRICT",
-                     "GENDER", "JOB_TITLE", "NATIONALITY"]
+_OTHER_ORDER = ["NAME", "SAUDI_ADDRESS", "CUSTOMER_ID", "AGE", "SALARY", "DATE_OF_BIRTH", "CITY", "DISTRICT",
+                "GENDER", "JOB_TITLE", "NATIONALITY"]
 
 
 def hints_for(columns: list[str]) -> dict[str, dict[str, str]]:
@@ -46,9 +47,9 @@ def cells(df: DataFrame, row_key: str | None, columns: list[str]) -> DataFrame:
     return long.select("row_key", "column", strip(F.col("raw")).alias("value")).where("value <> ''")
 
 
-def _in(columns) -> Column:
-    names = list(columns)
-    return F.col("column").isin(names) if names else F.lit(False)
+def _in(columns) -> str:
+    names = ", ".join(sql_text(c) for c in columns)
+    return f"column in ({names})" if names else "false"
 
 
 def _cell_flags(long: DataFrame, hints: dict) -> DataFrame:
@@ -57,66 +58,52 @@ def _cell_flags(long: DataFrame, hints: dict) -> DataFrame:
         "row_key", "column", "value", "plain",
         *[find_spans(plain, e).alias(f"{s}_spans") for e, s in _SHORT.items()],
         name_shape(value).alias("name"), address_places(value).alias("address_places"))
+    checks = [F.exists(f"{s}_spans", lambda x: span_valid(x["frag"], e)).alias(f"{s}_checked")
+              for e, s in _SHORT.items() if PATTERNS[e].validator]
+    places = [F.when(F.size(f"{s}_spans") > 0, span_context(plain, F.expr(f"get({s}_spans, 0)"), e)).cast("int")
+              .alias(f"{s}_place") for e, s in _SHORT.items()]
     flags = []
     for entity, short in _SHORT.items():
-        spans = F.col(f"{short}_spans")
-        first = F.get(spans, F.lit(0))
-        hit = F.size(spans) > 0
-        flags += [
-            hit.alias(f"{short}_hit"),
-            (F.exists(spans, lambda s: span_valid(s["frag"], entity)) if PATTERNS[entity].validator else hit
-             ).alias(f"{short}_valid"),
-            (hit & ((first["end"] - first["start"]) >= F.length(plain) * V.FULL_MATCH_SHARE)).alias(f"{short}_full"),
-            F.when(hit, span_context(plain, first, entity)).alias(f"{short}_place")]
-    numeric = _in({**hints["AGE"], **hints["SALARY"]})
-    address_hit = (F.size("address_places") > 0) & (F.length(value) >= V.ADDRESS_MIN_LENGTH)
-    first_two = F.aggregate(F.slice("address_places", 1, 2), F.lit(0),
-                            lambda acc, i: acc.bitwiseOR(F.element_at(F.array(*[
-                                F.lit(1 << n) for n in range(len(V.ADDRESS_KEYWORDS))]), i + 1)))
+        valid = f"{short}_checked" if PATTERNS[entity].validator else f"size({short}_spans) > 0"
+        first = f"get({short}_spans, 0)"
+        flags += [f"size({short}_spans) > 0 as {short}_hit", f"{valid} as {short}_valid", f"{short}_place",
+                  f"size({short}_spans) > 0 and {first}.end - {first}.start >= {V.FULL_MATCH_SHARE}D * length(plain)"
+                  f" as {short}_full"]
+    numeric = F.when(F.expr(_in({**hints["AGE"], **hints["SALARY"]})), parse_number(value)).alias("number")
+    dated = F.when(F.expr(_in(hints["DATE_OF_BIRTH"])), looks_like_date(plain)).otherwise(False).alias("is_date")
     return found.select(
-        "row_key", "column", "value", *flags,
-        F.col("name.shape_ok").alias("name_hit"), F.col("name.lexicon_hit").alias("name_lexicon"),
-        F.col("name.is_arabic").alias("name_arabic"),
-        address_hit.alias("address_hit"), F.when(address_hit, first_two).alias("address_bits"),
-        F.when(numeric, parse_number(value)).alias("number"),
-        F.when(_in(hints["DATE_OF_BIRTH"]), looks_like_date(plain)).otherwise(False).alias("is_date"),
-        is_known_city(value).alias("is_city"), F.lit(True).alias("any_hit"))
-
-
-def _count(flag) -> Column:
-    return F.count_if(flag if isinstance(flag, Column) else F.col(flag))
+        "*", *checks, *places, numeric, dated, is_known_city(value).alias("is_city")).selectExpr(
+        "row_key", "column", "value", *flags, "number", "is_date", "is_city", "true as any_hit",
+        "name.shape_ok as name_hit", "name.lexicon_hit as name_lexicon", "name.is_arabic as name_arabic",
+        f"size(address_places) > 0 and length(value) >= {V.ADDRESS_MIN_LENGTH} as address_hit",
+        # the first two keywords of the cell, one bit each
+        "aggregate(slice(address_places, 1, 2), 0, (bits, p) -> bits | shiftleft(1, cast(p as int) - 1)) as address_bits")
 
 
 def _lane_totals(flags: DataFrame) -> DataFrame:
-    key = F.col("row_key")
-    measures = [F.count("*").alias("n"),
-                _count("name_hit").alias("name_n"), _count("name_lexicon").alias("lexicon_n"),
-                _count("name_arabic").alias("arabic_n"),
-                _count("address_hit").alias("address_n"), F.bit_or("address_bits").alias("address_bits"),
-                _count(F.col("number").isNotNull()).alias("number_n"),
-                _count(F.col("number").between(0, 120)).alias("age_n"),
-                _count("is_date").alias("date_n"), _count("is_city").alias("city_n")]
-    for short in _SHORT.values():
-        place = F.col(f"{short}_place")
-        measures += [_count(f"{short}_hit").alias(f"{short}_n"), _count(f"{short}_valid").alias(f"{short}_valid_n"),
-                     _count(f"{short}_full").alias(f"{short}_full_n"),
-                     F.count(place).alias(f"{short}_context_n"),
-                     F.min(F.when(place.isNotNull(), key)).alias(f"{short}_place_key"),
-                     F.min_by(place, F.when(place.isNotNull(), key)).alias(f"{short}_place")]
-    measures += [F.min(F.when(F.col(f"{g}_hit"), key)).alias(f"{g}_key") for g in _GROUPS]
-    return flags.groupBy("column", F.pmod(F.xxhash64("row_key"), F.lit(LANES)).alias("lane")).agg(*measures)
+    measures = {
+        "n": "count(*)", "name_n": "count_if(name_hit)", "lexicon_n": "count_if(name_lexicon)",
+        "arabic_n": "count_if(name_arabic)", "address_n": "count_if(address_hit)",
+        "address_bits": "bit_or(if(address_hit, address_bits, 0))", "number_n": "count(number)",
+        "age_n": "count_if(number between 0 and 120)", "date_n": "count_if(is_date)", "city_n": "count_if(is_city)"}
+    for s in _SHORT.values():
+        measures |= {
+            f"{s}_n": f"count_if({s}_hit)", f"{s}_valid_n": f"count_if({s}_valid)",
+            f"{s}_full_n": f"count_if({s}_full)", f"{s}_context_n": f"count({s}_place)",
+            f"{s}_place_key": f"min(if({s}_place is not null, row_key, null))",
+            f"{s}_place": f"min_by({s}_place, if({s}_place is not null, row_key, null))"}
+    measures |= {f"{g}_key": f"min(if({g}_hit, row_key, null))" for g in _GROUPS}
+    return flags.groupBy("column", F.expr(f"pmod(xxhash64(row_key), {LANES}) as lane")).agg(
+        *[F.expr(f"{m} as {name}") for name, m in measures.items()])
 
 
 def _column_totals(lanes: DataFrame) -> DataFrame:
-    sums = [c for c in lanes.columns if c == "n" or c.endswith("_n")]
-    measures = [F.sum(c).alias(c) for c in sums] + [F.bit_or("address_bits").alias("address_bits")]
-    for short in _SHORT.values():
-        measures.append(F.min_by(f"{short}_place", f"{short}_place_key").alias(f"{short}_place"))
-    for g in _GROUPS:
-        # at most LANES keys are collected; the third smallest bounds the first three rows
-        firsts = F.array_sort(F.collect_list(f"{g}_key"))
-        measures.append(F.get(firsts, F.lit(SAMPLES - 1)).alias(f"{g}_bound"))
-    return lanes.groupBy("column").agg(*measures)
+    measures = {c: f"sum({c})" for c in lanes.columns if c == "n" or c.endswith("_n")}
+    measures["address_bits"] = "bit_or(address_bits)"
+    measures |= {f"{s}_place": f"min_by({s}_place, {s}_place_key)" for s in _SHORT.values()}
+    # at most LANES keys are collected; the third smallest bounds where the first three rows are
+    measures |= {f"{g}_bound": f"get(array_sort(collect_list({g}_key)), {SAMPLES - 1})" for g in _GROUPS}
+    return lanes.groupBy("column").agg(*[F.expr(f"{m} as {name}") for name, m in measures.items()])
 
 
 def distinct_counts(long: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
@@ -148,155 +135,130 @@ def profile_columns(df: DataFrame, row_key: str | None = None, columns: list[str
 
 
 # --------------------------------------------------------------------------- evidence to detections
-def _hint(hints: dict, group: str) -> Column:
-    keyword = F.lit(None).cast("string")
-    for column, word in hints[group].items():
-        keyword = F.when(F.col("column") == column, word).otherwise(keyword)
-    return keyword
+# Written as SQL text over the counter columns: a share, a confidence and its
+# reasons read much like the rule they state.
+
+def _hint(hints: dict, group: str) -> str:
+    cases = " ".join(f"when {sql_text(c)} then {sql_text(k)}" for c, k in hints[group].items())
+    return f"(case column {cases} end)" if cases else "cast(null as string)"
 
 
-def _share(part: Column, whole: Column) -> Column:
+def _share(part: str, whole: str) -> str:
     """``a/b values (p%)``"""
-    shown = F.rint(part * 100.0 / F.greatest(whole, F.lit(1))).cast("long").cast("string")
-    return F.concat(part.cast("string"), F.lit("/"), whole.cast("string"), F.lit(" values ("), shown, F.lit("%)"))
+    shown = f"cast(rint({part} * 100.0D / greatest({whole}, 1)) as bigint)"
+    return f"concat({part}, '/', {whole}, ' values (', {shown}, '%)')"
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+def _percent(rate: str) -> str:
+    return f"concat(cast(rint(100D * ({rate})) as bigint), '%')"
 
 
-def _names_column(keyword: Column) -> Column:
-    return F.when(keyword.isNotNull(), _text("Column name contains '", keyword, "'"))
+def _named(hint: str) -> str:
+    return f"if({hint} is not null, concat('Column name contains \\'', {hint}, '\\''), null)"
 
 
-def _finding(entity: Column, order: int, group: str, raw: Column, reasons: list[Column], embedded: Column) -> Column:
-    return F.struct(
-        round_exact(F.least(raw, F.lit(V.CONFIDENCE_CAP)), 2).alias("confidence"),
-        (category_of(entity) == "Direct").alias("is_direct"), F.lit(-order).alias("place"),
-        entity.alias("entity"), embedded.alias("embedded"), F.lit(group).alias("sample_group"),
-        F.array_compact(F.array(*reasons)).alias("reasons"))
+def _finding(entity: str, order: int, group: str, raw: str, reasons: list[str], wanted: str,
+             embedded: str = "false") -> str:
+    return (f"if({wanted}, named_struct('raw', {raw}, 'place', {order}, 'entity', {entity}, 'embedded', {embedded}, "
+            f"'sample_group', '{group}', 'reasons', array_compact(array({', '.join(reasons)}))), null)")
 
 
-def _pattern_finding(entity: str, order: int, hints: dict) -> Column:
-    short = _SHORT[entity]
+def _pattern_finding(entity: str, order: int, hints: dict) -> str:
+    s = _SHORT[entity]
     weight, check_weight, label = PATTERNS[entity].weights
-    n, hits, valid, full, context = (F.col(c) for c in (
-        "n", f"{short}_n", f"{short}_valid_n", f"{short}_full_n", f"{short}_context_n"))
+    n, hits, valid, full, context = "n", f"{s}_n", f"{s}_valid_n", f"{s}_full_n", f"{s}_context_n"
     hint = _hint(hints, entity)
-    embedded = (hits > 0) & (F.try_divide(full, hits) < V.EMBEDDED_BELOW)
-    rate = F.when(embedded, F.least(F.lit(1.0), hits / V.EMBEDDED_FULL_EVIDENCE)).otherwise(hits / n)
-    valid_rate = F.when(embedded, F.try_divide(valid, hits)).otherwise(valid / n)
-    bonus = ~embedded & (F.try_divide(full, hits) >= V.FULL_MATCH_SHARE)
-    matched = (rate * weight + valid_rate * check_weight
-               + F.when(bonus, V.WHOLE_CELL_BONUS).otherwise(0.0)
-               + F.when(hint.isNotNull(), V.HINT_WEIGHT).otherwise(0.0)
-               + F.try_divide(context, hits) * V.CONTEXT_WEIGHT)
-    raw = F.when(hits > 0, matched).otherwise(V.HINT_WITHOUT_MATCH)
-    keyword = keyword_at(F.col(f"{short}_place"), V.CONTEXT_KEYWORDS[entity])
-    some = hits > 0
+    embedded = f"({hits} > 0 and try_divide({full}, {hits}) < {V.EMBEDDED_BELOW}D)"
+    rate = f"if({embedded}, least(1.0D, {hits} / {V.EMBEDDED_FULL_EVIDENCE}), {hits} / {n})"
+    valid_rate = f"if({embedded}, try_divide({valid}, {hits}), {valid} / {n})"
+    bonus = f"if(not {embedded} and try_divide({full}, {hits}) >= {V.FULL_MATCH_SHARE}D, {V.WHOLE_CELL_BONUS}D, 0D)"
+    matched = (f"({weight}D * {rate} + {check_weight}D * {valid_rate} + {bonus}"
+               f" + if({hint} is not null, {V.HINT_WEIGHT}D, 0D) + {V.CONTEXT_WEIGHT}D * try_divide({context}, {hits}))")
+    raw = f"if({hits} > 0, {matched}, {V.HINT_WITHOUT_MATCH}D)"
+    words = ", ".join(sql_text(k) for k in V.CONTEXT_KEYWORDS[entity])
+    keyword = f"try_element_at(array({words}), {s}_place)"
+
+    def when_hit(text: str, condition: str = "true") -> str:
+        return f"if({hits} > 0 and {condition}, {text}, null)"
     reasons = [
-        F.when(~some, _text("Column name contains '", hint, f"' but no value matches the {label} pattern")),
-        F.when(some, _text(f"Matches {label} pattern ",
-                           F.when(embedded, "inside free text").otherwise("in the whole cell"),
-                           " in ", _share(hits, n)))]
+        f"if({hits} > 0, null, concat('Column name contains \\'', {hint}, "
+        f"'\\' but no value matches the {label} pattern'))",
+        when_hit(f"concat('Matches {label} pattern ', if({embedded}, 'inside free text', 'in the whole cell'), "
+                 f"' in ', {_share(hits, n)})")]
     if PATTERNS[entity].validator:
-        reasons.append(F.when(some, F.when(
-            valid > 0, _text(f"Passes the {label} checksum in ", _share(valid, hits))).otherwise(
-            f"Pattern matches but the checksum FAILS ({label}) → probably not a real identifier")))
+        reasons.append(when_hit(
+            f"if({valid} > 0, concat('Passes the {label} checksum in ', {_share(valid, hits)}), "
+            f"'Pattern matches but the checksum FAILS ({label}) → probably not a real identifier')"))
     reasons += [
-        F.when(some, _names_column(hint)),
-        F.when(some & (context > 0), _text("Context phrase '", keyword, "' found next to the value in ",
-                                           _share(context, hits))),
-        F.when(some & hint.isNull() & (context == 0),
-               "No supporting context (column name / nearby words) → confidence stays limited")]
-    finding = _finding(F.lit(entity), order, short, raw, reasons, embedded)
-    return F.when((hits > 0) | hint.isNotNull(), finding)
-
-
-def _plain_finding(entity, order, group, raw, reasons) -> Column:
-    entity = entity if isinstance(entity, Column) else F.lit(entity)
-    return _finding(entity, order, group, raw, reasons, F.lit(False))
+        when_hit(_named(hint)),
+        when_hit(f"concat('Context phrase \\'', {keyword}, '\\' found next to the value in ', "
+                 f"{_share(context, hits)})", f"{context} > 0"),
+        when_hit("'No supporting context (column name / nearby words) → confidence stays limited'",
+                 f"{hint} is null and {context} = 0")]
+    return _finding(f"'{entity}'", order, s, raw, reasons, f"{hits} > 0 or {hint} is not null", embedded)
 
 
-def _name_finding(order: int, hints: dict) -> Column:
-    n, shaped, known, arabic = (F.col(c) for c in ("n", "name_n", "lexicon_n", "arabic_n"))
+def _name_finding(order: int, hints: dict) -> str:
     hint = _hint(hints, "PERSON_NAME")
-    before_hint = shaped * V.NAME_SHAPE_WEIGHT / n + known * V.NAME_LEXICON_WEIGHT / n
-    raw = before_hint + F.when(hint.isNotNull(), V.NAME_HINT_WEIGHT).otherwise(0.0)
-    is_arabic = F.when(shaped > 0, arabic / shaped >= 0.5).otherwise(has_arabic(F.col("column")))
-    entity = F.when(is_arabic, "ARABIC_PERSON_NAME").otherwise("PERSON_NAME")
+    before_hint = f"({V.NAME_SHAPE_WEIGHT}D * name_n / n + {V.NAME_LEXICON_WEIGHT}D * lexicon_n / n)"
+    raw = f"{before_hint} + if({hint} is not null, {V.NAME_HINT_WEIGHT}D, 0D)"
+    arabic_name = f"column rlike '[{V.ARABIC_BLOCK}]'"
+    entity = (f"if(if(name_n > 0, try_divide(arabic_n, name_n) >= 0.5D, {arabic_name}), "
+              "'ARABIC_PERSON_NAME', 'PERSON_NAME')")
     reasons = [
-        F.when(shaped > 0, _text(_share(shaped, n), " look like personal names (2–5 alphabetic words)")),
-        F.when(known > 0, _text("Saudi/Arabic name lexicon or particle (بن / آل / bin / Al) found in ",
-                                _share(known, n))),
-        _names_column(hint),
-        F.when(hint.isNull() & (before_hint < V.FLAG_AT), "No 'name' column context → treated as a weak candidate")]
-    return F.when((shaped > 0) | hint.isNotNull(), _plain_finding(entity, order, "name", raw, reasons))
+        f"if(name_n > 0, concat({_share('name_n', 'n')}, ' look like personal names (2–5 alphabetic words)'), null)",
+        f"if(lexicon_n > 0, concat('Saudi/Arabic name lexicon or particle (بن / آل / bin / Al) found in ', "
+        f"{_share('lexicon_n', 'n')}), null)",
+        _named(hint),
+        f"if({hint} is null and {before_hint} < {V.FLAG_AT}D, "
+        "'No \\'name\\' column context → treated as a weak candidate', null)"]
+    return _finding(entity, order, "name", raw, reasons, f"name_n > 0 or {hint} is not null")
 
 
-def _address_finding(order: int, hints: dict) -> Column:
-    n, hits, bits = F.col("n"), F.col("address_n"), F.col("address_bits")
+def _address_finding(order: int, hints: dict) -> str:
     hint, district = _hint(hints, "SAUDI_ADDRESS"), _hint(hints, "DISTRICT")
-    raw = (F.when(hits > 0, hits * V.ADDRESS_WEIGHT / n).otherwise(0.0)
-           + F.when(hint.isNotNull(), V.ADDRESS_HINT_WEIGHT).otherwise(0.0))
-    words = F.slice(F.array_sort(F.array_compact(F.array(*[
-        F.when(bits.bitwiseAND(1 << i) > 0, k) for i, k in enumerate(V.ADDRESS_KEYWORDS)]))), 1, 4)
-    reasons = [F.when(hits > 0, _text("Address keywords (", F.array_join(words, ", "), ") found in ", _share(hits, n))),
-               _names_column(hint)]
-    wanted = (hint.isNotNull() | district.isNull()) & ((hits > 0) | hint.isNotNull())
-    return F.when(wanted, _plain_finding("SAUDI_ADDRESS", order, "address", raw, reasons))
+    raw = f"{V.ADDRESS_WEIGHT}D * address_n / n + if({hint} is not null, {V.ADDRESS_HINT_WEIGHT}D, 0D)"
+    words = ", ".join(sql_text(k) for k in V.ADDRESS_KEYWORDS)
+    found = f"slice(array_sort(filter(array({words}), (k, i) -> address_bits & shiftleft(1, i) > 0)), 1, 4)"
+    reasons = [
+        f"if(address_n > 0, concat('Address keywords (', array_join({found}, ', '), ') found in ', "
+        f"{_share('address_n', 'n')}), null)", _named(hint)]
+    return _finding("'SAUDI_ADDRESS'", order, "address", raw, reasons,
+                    f"({hint} is not null or {district} is null) and (address_n > 0 or {hint} is not null)")
 
 
-def _customer_id_finding(order: int, hints: dict) -> Column:
+def _customer_id_finding(order: int, hints: dict) -> str:
     hint = _hint(hints, "CUSTOMER_ID")
-    unique = F.col("distinct_n") / F.col("n")
-    reasons = [_names_column(hint), _text(percent(unique), " of values are unique (behaves like an identifier)")]
-    raw = unique * V.CUSTOMER_ID_UNIQUE_WEIGHT + V.CUSTOMER_ID_BASE
-    return F.when(hint.isNotNull(), _plain_finding("CUSTOMER_ID", order, "any", raw, reasons))
-
-
-def _indirect_finding(entity: str, order: int, hints: dict) -> Column:
-    n = F.col("n")
-    rates = {
-        "AGE": (F.col("age_n") / n, lambda r: _text(percent(r), " of values are plausible ages (0–120)")),
-        "SALARY": (F.col("number_n") / n, lambda r: _text(percent(r), " of values are numeric amounts")),
-        "DATE_OF_BIRTH": (F.col("date_n") / n, lambda r: _text(percent(r), " of values look like dates")),
-        "CITY": (F.col("city_n") / n, lambda r: _text(percent(r), " of values are known Saudi cities")),
-        "GENDER": (F.when(F.col("distinct_n") <= V.GENDER_MAX_VALUES, 1.0).otherwise(0.0),
-                   lambda r: _text("Only ", F.col("distinct_n").cast("string"),
-                                   " distinct values (typical for gender)")),
-    }
+    reasons = [_named(hint), f"concat({_percent('distinct_n / n')}, ' of values are unique (behaves like an identifier)')"]
+    raw = f"{V.CUSTOMER_ID_BASE}D + {V.CUSTOMER_ID_UNIQUE_WEIGHT}D * (distinct_n / n)"
+    return _finding("'CUSTOMER_ID'", order, "any", raw, reasons, f"{hint} is not null")
+
+
+def _indirect_finding(entity: str, order: int, hints: dict) -> str:
+    gender_rate = f"if(distinct_n <= {V.GENDER_MAX_VALUES}, 1D, 0D)"
+    rates = {       # what a value should look like, and how the share is reported
+        "AGE": ("age_n / n", f"concat({_percent('age_n / n')}, ' of values are plausible ages (0–120)')"),
+        "SALARY": ("number_n / n", f"concat({_percent('number_n / n')}, ' of values are numeric amounts')"),
+        "DATE_OF_BIRTH": ("date_n / n", f"concat({_percent('date_n / n')}, ' of values look like dates')"),
+        "CITY": ("city_n / n", f"concat({_percent('city_n / n')}, ' of values are known Saudi cities')"),
+        "GENDER": (gender_rate, "concat('Only ', distinct_n, ' distinct values (typical for gender)')")}
     hint = _hint(hints, entity)
-    hinted = F.when(hint.isNotNull(), V.INDIRECT_HINT).otherwise(0.0)
-    reasons = [_names_column(hint)]
-    raw, wanted = hinted, hint.isNotNull()
+    raw, wanted = f"if({hint} is not null, {V.INDIRECT_HINT}D, 0D)", f"{hint} is not null"
+    reasons = [_named(hint)]
     if entity in rates:
-        rate, say = rates[entity]
-        raw = hinted + F.when(hint.isNotNull(), rate * V.INDIRECT_CHECK).otherwise(rate * V.INDIRECT_CHECK_ALONE)
-        reasons.append(F.when(rate > 0, say(rate)))
+        rate, said = rates[entity]
+        raw += f" + if({hint} is not null, {V.INDIRECT_CHECK}D, {V.INDIRECT_CHECK_ALONE}D) * ({rate})"
+        reasons.append(f"if({rate} > 0, {said}, null)")
         if entity == "CITY":
-            wanted = wanted | (rate >= V.CITY_SHARE_WITHOUT_HINT)
-    reasons.append(F.lit(
-        "Indirect identifier: risky when COMBINED with other fields (suggested – please confirm)"))
-    return F.when(wanted, _plain_finding(entity, order, "any", raw, reasons))
+            wanted += f" or {rate} >= {V.CITY_SHARE_WITHOUT_HINT}D"
+    reasons.append("'Indirect identifier: risky when COMBINED with other fields (suggested – please confirm)'")
+    return _finding(f"'{entity}'", order, "any", raw, reasons, wanted)
 
 
-def _nonpattern_findings(hints: dict) -> dict[str, Column]:
+def _other_findings(hints: dict) -> list[str]:
     found = {"NAME": _name_finding, "SAUDI_ADDRESS": _address_finding, "CUSTOMER_ID": _customer_id_finding}
-    return {e: found[e](i, hints) if e in found else _indirect_finding(e, i, hints)
-            for i, e in enumerate(_NONPATTERN_ORDER)}
-
-
-def _finish(exploded: DataFrame, columns: list[str]) -> DataFrame:
-    confidence, entity = F.col("f.confidence"), F.col("f.entity")
-    position = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")).cast("int") - 1
-    return exploded.select(
-        position.alias("position"), "place", "column", entity.alias("entity"),
-        category_of(entity).alias("category"), confidence.alias("confidence"),
-        lower_risk(base_risk_of(entity), confidence).alias("risk"), F.col("f.reasons").alias("reasons"),
-        F.lit(V.ENGINE).alias("engine"), F.col("f.embedded").alias("embedded"),
-        (confidence >= V.FLAG_AT).alias("flagged"), label_of(entity).alias("label"),
-        F.col("f.sample_group").alias("sample_group"))
+    return [found[e](i, hints) if e in found else _indirect_finding(e, i, hints)
+            for i, e in enumerate(_OTHER_ORDER, start=len(PATTERNS))]
 
 
 def findings_from_profile(profile: DataFrame, columns: list[str], every: bool = False) -> DataFrame:
@@ -307,12 +269,27 @@ def findings_from_profile(profile: DataFrame, columns: list[str], every: bool =
     all the others too.
     """
     hints = hints_for(columns)
-    patterns = F.array(*[_pattern_finding(e, i, hints) for i, e in enumerate(PATTERNS)])
-    others = F.array(*_nonpattern_findings(hints).values())
+    patterns = [_pattern_finding(e, i, hints) for i, e in enumerate(PATTERNS)]
+    found = profile.selectExpr(
+        "column", f"inline(array_compact(array({', '.join(patterns + _other_findings(hints))})))")
+    entity, confidence = F.col("entity"), F.col("confidence")
+    rated = found.withColumn("confidence", round_exact(F.least(F.col("raw"), F.lit(V.CONFIDENCE_CAP)), 2)).withColumn(
+        "category", category_of(entity))
     if not every:
-        others = F.array(F.array_max(F.array_compact(others)))
-    return _finish(profile.select("column", F.posexplode(F.concat(patterns, others)).alias("place", "f"))
-                   .where("f is not null"), columns)
+        rated = _keep_best(rated)
+    position = F.expr(f"cast(array_position(array({', '.join(map(sql_text, columns))}), column) as int) - 1")
+    return rated.select(
+        position.alias("position"), "place", "column", "entity", "category", "confidence",
+        lower_risk(base_risk_of(entity), confidence).alias("risk"), "reasons",
+        F.lit(V.ENGINE).alias("engine"), "embedded", (confidence >= V.FLAG_AT).alias("flagged"),
+        label_of(entity).alias("label"))
+
+
+def _keep_best(rated: DataFrame) -> DataFrame:
+    ranked = rated.selectExpr(
+        "*", f"row_number() over (partition by column, place >= {len(PATTERNS)} "
+             "order by confidence desc, category = 'Direct' desc, place) as nth")
+    return ranked.where((F.col("place") < len(PATTERNS)) | (F.col("nth") == 1)).drop("nth")
 
 
 def detect(df: DataFrame, row_key: str | None = None, columns: list[str] | None = None,
@@ -330,8 +307,8 @@ def explain(df: DataFrame, row_key: str, columns: list[str] | None = None) -> Da
     group can lie; the second pass reads only rows up to there.
     """
     columns = columns or profiled_columns(df, row_key)
-    profile = profile_columns(df, row_key, columns)
-    found = findings_from_profile(profile, columns).drop("sample_group")
+    profile = stage(profile_columns(df, row_key, columns), "profile")
+    found = findings_from_profile(profile, columns)
     # as many rows as the header has columns
     rows = profile.select("column", "n", *[f"{g}_n" for g in _GROUPS if g != "any"],
                           *[f"{g}_bound" for g in _GROUPS]).collect()
@@ -356,19 +333,17 @@ def _sample_group(entity: Column) -> Column:
 def first_values(df: DataFrame, row_key: str, columns: list[str], rows: list) -> DataFrame:
     """First three values, by row key, of each (column, group) that has any."""
     wanted = {(r["column"], g): r[f"{g}_bound"] for r in rows for g in _GROUPS if g == "any" or r[f"{g}_n"] > 0}
-    key = F.col("row_key")
     if wanted and None not in wanted.values():
         df = df.where(F.col(f"`{row_key}`") <= F.lit(max(wanted.values())))
     flags = _cell_flags(cells(df, row_key, columns), hints_for(columns))
-    tests = []
-    for g in _GROUPS:
-        within = F.lit(False)
-        for (column, group), bound in wanted.items():
-            if group == g:
-                near = F.lit(True) if bound is None else key <= F.lit(bound)
-                within = within | ((F.col("column") == column) & near)
-        tests.append(F.when(within & F.col(f"{g}_hit"), g))
-    marked = flags.select("row_key", "column", "value", F.explode(F.array_compact(F.array(*tests))).alias("sample_group"))
+    # (column, group, bound) is as long as the header; broadcasting it keeps the cells where they are
+    bounds = df.sparkSession.createDataFrame(
+        [(c, g, b) for (c, g), b in wanted.items()],
+        T.StructType([T.StructField("column", T.StringType()), T.StructField("sample_group", T.StringType()),
+                      T.StructField("bound", df.schema[row_key].dataType)]))
+    tests = ", ".join(f"if({g}_hit, '{g}', null)" for g in _GROUPS)
+    hit = flags.selectExpr("row_key", "column", "value", f"explode(array_compact(array({tests}))) as sample_group")
+    marked = hit.join(F.broadcast(bounds), ["column", "sample_group"]).where("bound is null or row_key <= bound")
     # three rows per group: row_number below a constant is also cut before the shuffle
     ranked = marked.selectExpr(
         "*", "row_number() over (partition by column, sample_group order by row_key) as nth").where(f"nth <= {SAMPLES}")
