@@ -1,17 +1,40 @@
 """Delimited text as all-string tables."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-ARABIC_CODE_PAGE = "windows-1256"
+from veilframe import fixed_values as V
 
+UTF8, ARABIC_CODE_PAGE = "UTF-8", "windows-1256"
+# the upper half of the code page; read as Latin-1, byte b arrives as character b
+_LATIN = bytes(range(128, 256)).decode("latin-1")
+_ARABIC = bytes(range(128, 256)).decode("cp1256")
 
-def read_csv(spark: SparkSession, path, encoding: str = "UTF-8", schema: StructType | None = None) -> DataFrame:
-    """Header gives the names, every column is text, so leading zeros and long numbers stay."""
-    reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", False)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.option("inferSchema", False).csv(path)
+
+def from_code_page(c: Column) -> Column:
+    """Text read as Latin-1 that was written in the Arabic code page."""
+    return F.translate(c, _LATIN, _ARABIC)
+
+
+def to_code_page(c: Column) -> Column:
+    """Text that, written as Latin-1, is in the Arabic code page."""
+    return F.translate(c, _ARABIC, _LATIN)
+
+
+def read_csv(spark: SparkSession, path, encoding: str = UTF8, missing_words: bool = True) -> DataFrame:
+    """Header gives the names, every column is text, so leading zeros and long numbers stay.
+
+    Empty cells and the usual words for a missing value become null.
+    """
+    arabic = encoding == ARABIC_CODE_PAGE
+    df = (spark.read.option("header", True).option("encoding", "ISO-8859-1" if arabic else encoding)
+          .option("escape", '"').csv(path))
+    cells = {c: F.col(f"`{c}`") for c in df.columns}
+    if arabic:
+        table = str.maketrans(_LATIN, _ARABIC)
+        cells = {c.translate(table): from_code_page(cell) for c, cell in cells.items()}
+    if missing_words:
+        cells = {c: F.when(~cell.isin(V.MISSING_WORDS), cell) for c, cell in cells.items()}
+    return df.select(*[cell.alias(c) for c, cell in cells.items()])
 
 
 def audit_encodings(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,7 +44,7 @@ def audit_encodings(spark: SparkSession, folder: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(folder)
     is_utf8 = F.call_function("is_valid_utf8", F.col("content").cast("string"))
-    return files.select("path", "length", F.when(is_utf8, "UTF-8").otherwise(ARABIC_CODE_PAGE).alias("encoding"))
+    return files.select("path", "length", F.when(is_utf8, UTF8).otherwise(ARABIC_CODE_PAGE).alias("encoding"))
 
 
 def read_csv_folder(spark: SparkSession, folder: str, audit: DataFrame | None = None) -> DataFrame:

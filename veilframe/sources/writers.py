@@ -6,8 +6,9 @@ from veilframe.plans.anonymize import Anonymized
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """UTF-8 with a header in each part file; empty and null cells stay apart."""
-    df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", '""').csv(path)
+    """UTF-8 with a header in each part file; null cells are empty and white space stays."""
+    (df.write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def save_run(path: str, detections: DataFrame, config: DataFrame, result: Anonymized, risk, utility,
