@@ -163,9 +163,10 @@ def kept_direct(spark, sf_dir):
 
 @query
 def remaining_direct(spark, sf_dir):
-    result = _anonymized(spark, sf_dir, "internal")
-    scored = risk.assess_risk(result, _staged(spark, sf_dir, "counters", "internal"))
-    return scored.exposure_table(spark).where("exposure_after >= 0.5").select("column", "method", "exposure_after")
+    plan = config.override_config(_config(spark, sf_dir, "internal"), {"email": "Keep", "customer_name_en": "Keep"})
+    result = anonymize.anonymize(people(spark, sf_dir), plan, _detections(spark, sf_dir), "internal", KEY, SALT)
+    scored = risk.assess_risk(result).exposure_table(spark)
+    return scored.where("exposure_after >= 0.5").select("column", "method", "exposure_after")
 
 
 @query
