@@ -28,7 +28,7 @@ def query(f):
 def _staged(spark: SparkSession, sf_dir: str, what: str, profile: str = ""):
     """Steps that several queries start from, written once per session."""
     if what == "subjects":
-        return stage(subjects(spark, sf_dir), what)
+        return stage(subjects(table(spark, sf_dir, "customer")), what)
     people = _staged(spark, sf_dir, "subjects")
     if what == "detections":
         return stage(detect.detect(people, KEY), what)
@@ -48,7 +48,7 @@ def people(spark, sf_dir):
 
 
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def card(spark, sf_dir):
@@ -365,7 +365,7 @@ def detect_hint_only(spark, sf_dir):
 
 @query
 def detect_table(spark, sf_dir):
-    return _found_columns(detect.detect(subjects(spark, sf_dir), KEY))
+    return _found_columns(detect.detect(subjects(table(spark, sf_dir, "customer")), KEY))
 
 
 @query

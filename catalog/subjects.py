@@ -6,7 +6,7 @@ has a wrong check digit.  Some cells are null, blank, in Arabic digits, or
 written with separators.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 ARABIC = "translate({}, '0123456789', '٠١٢٣٤٥٦٧٨٩')"
 _AR_FIRST = "محمد,أحمد,خالد,فهد,سعود,نورة,سارة,فاطمة,ريم,هند,لينا"
@@ -86,6 +86,5 @@ from (select *, concat(b, cast(check_digit as string)) as id,
 """
 
 
-def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return spark.sql(subjects_sql("{customer}"), customer=customer)
+def subjects(customer: DataFrame) -> DataFrame:
+    return customer.sparkSession.sql(subjects_sql("{customer}"), customer=customer)

@@ -1,10 +1,10 @@
 """Identifier spans in free text as column expressions.
 
 A span is ``struct<start,end,entity,frag>`` with half-open code-point offsets.
-Matches are bracketed by two marker characters in one regex pass; splitting at
-the markers gives the pieces between and inside matches, and their running
-lengths give the offsets.  A necessary literal or short pattern is tested first
-so that text without candidates costs one cheap scan.
+Matches are bracketed by a marker character in one regex pass; splitting at the
+marker gives the pieces between and inside matches, and their running lengths
+give the offsets.  Text without a match costs one scan in generated code; only
+text with matches enters the interpreted lambdas.
 """
 
 from dataclasses import dataclass
@@ -17,7 +17,7 @@ from veilframe.functions.checks import iban_valid, national_id_valid
 from veilframe.functions.text import WORD, context_place, let, normalize_digits
 
 SPAN_TYPE = "array<struct<start:int,end:int,entity:string,frag:string>>"
-_OPEN, _CLOSE = "\x01", "\x02"
+_MARK = "\x01"        # one plain character, so splitting needs no regex
 
 _LOCAL = r"A-Za-z0-9._%+\-"
 
@@ -26,9 +26,27 @@ _LOCAL = r"A-Za-z0-9._%+\-"
 class Pattern:
     """One entity found by pattern: how to find it, and how to check a match."""
     entity: str
-    regex: str
-    candidate: Callable[[Column], Column]      # true for every text that can match
+    flags: str
+    body: str
+    shortest: int                   # bytes a match has at least; the size of a text is known without reading it
     validator: Callable[[Column], Column] | None = None
+    literal: str | None = None      # a character every match holds
+
+    def candidate(self, text: Column) -> Column:
+        """Cheap test that is true for every text with a match."""
+        long_enough = F.octet_length(text) >= self.shortest
+        if self.literal:
+            return long_enough & F.contains(text, F.lit(self.literal))
+        return long_enough & text.rlike(self.regex)
+
+    @property
+    def whole(self) -> str:
+        """The pattern for text that is one match from start to end."""
+        return rf"{self.flags}^{self.body}\z"
+
+    @property
+    def regex(self) -> str:
+        return self.flags + self.body
 
     @property
     def weights(self):
@@ -38,15 +56,13 @@ class Pattern:
 # An e-mail can only start where a run of local-part characters starts or where
 # the previous match ended; saying so keeps long runs linear.
 PATTERNS: dict[str, Pattern] = {p.entity: p for p in (
-    Pattern("SAUDI_NATIONAL_ID", r"(?U)(?<!\d)[12]\d{9}(?!\d)",
-            lambda c: c.rlike(r"(?U)[12]\d{9}"), national_id_valid),
-    Pattern("SAUDI_MOBILE", r"(?U)(?<![\d+])(?:\+?966|00966|0)?[\s-]?5\d[\s-]?\d{3}[\s-]?\d{4}(?!\d)",
-            lambda c: c.rlike(r"(?U)5\d[\s-]?\d{3}[\s-]?\d{4}(?!\d)")),
-    Pattern("SAUDI_IBAN", rf"(?iuU)(?<![{WORD}])SA\d{{2}}\s?(?:[0-9A-Z]{{4}}\s?){{4}}[0-9A-Z]{{4}}(?![{WORD}])",
-            lambda c: c.rlike(r"(?iuU)SA\d{2}"), iban_valid),
-    Pattern("EMAIL_ADDRESS",
-            rf"(?iu)(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}",
-            lambda c: F.contains(c, F.lit("@"))),
+    Pattern("SAUDI_NATIONAL_ID", "(?U)", r"(?<!\d)[12]\d{9}(?!\d)", 10, national_id_valid),
+    Pattern("SAUDI_MOBILE", "(?U)",
+            r"(?<![\d+])(?:\+?966|00966|0)?[\s-]?5\d[\s-]?\d{3}[\s-]?\d{4}(?!\d)", 9),
+    Pattern("SAUDI_IBAN", "(?iuU)",
+            rf"(?<![{WORD}])SA\d{{2}}\s?(?:[0-9A-Z]{{4}}\s?){{4}}[0-9A-Z]{{4}}(?![{WORD}])", 24, iban_valid),
+    Pattern("EMAIL_ADDRESS", "(?iu)",
+            rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}", 6, literal="@"),
 )}
 
 
@@ -69,10 +85,9 @@ def _spans_from_pieces(pieces: Column, entity: str) -> Column:
 def find_spans(text: Column, entity: str) -> Column:
     """All spans of one entity in digit-normalised text, left to right."""
     pattern = PATTERNS[entity]
-    clean = F.when(text.rlike(f"[{_OPEN}{_CLOSE}]"),
-                   F.translate(text, _OPEN + _CLOSE, "\ufffd\ufffd")).otherwise(text)
-    marked = F.regexp_replace(clean, pattern.regex, f"{_OPEN}$0{_CLOSE}")
-    spans = let(F.split(marked, f"[{_OPEN}{_CLOSE}]"), lambda pieces: _spans_from_pieces(pieces, entity))
+    clean = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, "\ufffd")).otherwise(text)
+    marked = F.regexp_replace(clean, pattern.regex, f"{_MARK}$0{_MARK}")
+    spans = let(F.split(marked, _MARK), lambda pieces: _spans_from_pieces(pieces, entity))
     return F.when(pattern.candidate(text), spans).otherwise(F.array().cast(SPAN_TYPE))
 
 

@@ -89,23 +89,27 @@ def has_name_shape(c: Column) -> Column:
     return c.rlike(_NAME_SHAPE)
 
 
+def folded_in_name_lexicon(folded: Column) -> Column:
+    """``in_name_lexicon`` for text that is folded already."""
+    return F.exists(F.split(folded, rf"(?U)[{_GAP}]+"), lambda w: w.isin(_LEXICON)
+                    | F.regexp_replace(w, f"^{_ARTICLE}", "").isin(_FAMILIES_BARE))
+
+
 def in_name_lexicon(c: Column) -> Column:
     """A word is a known first name, family name (with or without article) or particle."""
-    words = F.split(fold_arabic(c), rf"(?U)[{_GAP}]+")
-    return F.exists(words, lambda w: w.isin(_LEXICON)
-                    | F.regexp_replace(w, f"^{_ARTICLE}", "").isin(_FAMILIES_BARE))
+    return folded_in_name_lexicon(fold_arabic(c))
 
 
 def has_arabic(c: Column) -> Column:
     return c.rlike(f"[{V.ARABIC_BLOCK}]")
 
 
-def name_shape(c: Column) -> Column:
+def name_shape(c: Column, folded: Column | None = None) -> Column:
     """Struct of (shape_ok, lexicon_hit, is_arabic); the last two only for shaped values."""
     ok = F.coalesce(has_name_shape(c), F.lit(False))
     no = F.lit(False)
-    return F.struct(ok.alias("shape_ok"),
-                    F.when(ok, in_name_lexicon(c)).otherwise(no).alias("lexicon_hit"),
+    known = folded_in_name_lexicon(fold_arabic(c) if folded is None else folded)
+    return F.struct(ok.alias("shape_ok"), F.when(ok, known).otherwise(no).alias("lexicon_hit"),
                     F.when(ok, has_arabic(c)).otherwise(no).alias("is_arabic"))
 
 
@@ -120,8 +124,12 @@ def look_up_literal(table: dict[str, object], key: Column) -> Column:
     return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
+def folded_is_city(folded: Column) -> Column:
+    return folded.isin(KNOWN_CITIES)
+
+
 def is_known_city(c: Column) -> Column:
-    return fold_arabic(c).isin(KNOWN_CITIES)
+    return folded_is_city(fold_arabic(c))
 
 
 def region_of_city(c: Column) -> Column:
@@ -140,26 +148,26 @@ def sql_text(value: str) -> str:
 
 
 _ADDRESS_FOLDED = [fold_arabic_literal(k) for k in V.ADDRESS_KEYWORDS]
-_ADDRESS_ANY = NOT_IN_WORD_BEFORE + "(?:" + "|".join(rf"\Q{k}\E" for k in _ADDRESS_FOLDED) + ")"
+# the first letters are tested first: it is the cheapest test to fail
+_ADDRESS_ANY = "(?=[" + "".join(sorted({k[0] for k in _ADDRESS_FOLDED})) + "])" + NOT_IN_WORD_BEFORE + "(?:" + "|".join(rf"\Q{k}\E" for k in _ADDRESS_FOLDED) + ")"
 
 
-def address_places(c: Column) -> Column:
-    """Places (from 1) in the keyword list of the address keywords at a word start; empty when none.
+def folded_address_places(folded: Column) -> Column:
+    """Places (from 1) in the keyword list of the address keywords at a word start, or null.
 
     No keyword starts another, so one pass over the text finds each of them.
     """
     keywords = strings(_ADDRESS_FOLDED)
-
-    def places(folded):
-        found = F.regexp_extract_all(folded, F.lit(_ADDRESS_ANY), F.lit(0))
-        return F.array_sort(F.transform(F.array_distinct(found), lambda k: F.array_position(keywords, k)))
-    return let(fold_arabic(c), places)
+    found = F.array_distinct(F.regexp_extract_all(folded, F.lit(_ADDRESS_ANY), F.lit(0)))
+    return F.when(folded.rlike(_ADDRESS_ANY),
+                  F.array_sort(F.transform(found, lambda k: F.array_position(keywords, k))))
 
 
 def address_keywords(c: Column) -> Column:
     """The address keywords found at a word start, in list order."""
     words = strings(V.ADDRESS_KEYWORDS)
-    return F.transform(address_places(c), lambda i: F.element_at(words, i.cast("int")))
+    places = let(fold_arabic(c), lambda folded: F.coalesce(folded_address_places(folded), F.array().cast("array<bigint>")))
+    return F.transform(places, lambda i: F.element_at(words, i.cast("int")))
 
 
 def context_place(text: Column, start: Column, end: Column, entity: str) -> Column:
@@ -168,9 +176,11 @@ def context_place(text: Column, start: Column, end: Column, entity: str) -> Colu
     segment = F.concat(F.substring(text, first + 1, start - first), F.lit(" "),
                        F.substring(text, end + 1, F.lit(V.CONTEXT_AFTER)))
     keywords = strings([fold_arabic_literal(k) for k in V.CONTEXT_KEYWORDS[entity]])
-    place = let(fold_arabic(segment), lambda s: F.array_position(
-        F.transform(keywords, lambda k: F.contains(s, k)), True))
-    return F.nullif(place, F.lit(0))
+    def first_contained(folded):
+        place = F.array_position(F.transform(keywords, lambda k: F.contains(folded, k)), True)
+        return F.nullif(place, F.lit(0))
+    # a value that fills its cell has nothing around it
+    return F.when(F.trim(segment) != "", let(fold_arabic(segment), first_contained))
 
 
 def context_keyword(text: Column, start: Column, end: Column, entity: str) -> Column:

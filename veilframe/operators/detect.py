@@ -13,7 +13,7 @@ from veilframe import fixed_values as V
 from veilframe.functions.numbers import looks_like_date, parse_number, round_exact
 from veilframe.functions.spans import PATTERNS, find_spans, span_context, span_valid
 from veilframe.functions.text import (
-    address_places, column_hint, is_known_city, name_shape, normalize_digits, sql_text, strip)
+    column_hint, fold_arabic, folded_address_places, folded_is_city, let, name_shape, normalize_digits, sql_text, strip)
 from veilframe.operators.corpus import base_risk_of, category_of, label_of, lower_risk
 from veilframe.session import stage
 
@@ -52,30 +52,41 @@ def _in(columns) -> str:
     return f"column in ({names})" if names else "false"
 
 
+def _pattern_flags(plain: Column, entity: str) -> Column:
+    """Struct of what one pattern says about a cell; null when it does not occur."""
+    pattern = PATTERNS[entity]
+
+    def flags(valid, full, place):
+        return F.struct(valid.alias("valid"), full.alias("full"), place.cast("int").alias("place"))
+
+    def judge(spans):
+        first = F.get(spans, F.lit(0))
+        valid = F.exists(spans, lambda x: span_valid(x["frag"], entity)) if pattern.validator else F.lit(True)
+        full = first["end"] - first["start"] >= F.length(plain) * V.FULL_MATCH_SHARE
+        return F.when(F.size(spans) > 0, flags(valid, full, span_context(plain, first, entity)))
+
+    # most cells of an identifier column are the identifier and nothing else
+    return (F.when(plain.rlike(pattern.whole), flags(span_valid(plain, entity), F.lit(True), F.lit(None)))
+            .when(pattern.candidate(plain), let(find_spans(plain, entity), judge)))
+
+
 def _cell_flags(long: DataFrame, hints: dict) -> DataFrame:
-    value, plain = F.col("value"), F.col("plain")
-    found = long.withColumn("plain", normalize_digits(value)).select(
-        "row_key", "column", "value", "plain",
-        *[find_spans(plain, e).alias(f"{s}_spans") for e, s in _SHORT.items()],
-        name_shape(value).alias("name"), address_places(value).alias("address_places"))
-    checks = [F.exists(f"{s}_spans", lambda x: span_valid(x["frag"], e)).alias(f"{s}_checked")
-              for e, s in _SHORT.items() if PATTERNS[e].validator]
-    places = [F.when(F.size(f"{s}_spans") > 0, span_context(plain, F.expr(f"get({s}_spans, 0)"), e)).cast("int")
-              .alias(f"{s}_place") for e, s in _SHORT.items()]
-    flags = []
-    for entity, short in _SHORT.items():
-        valid = f"{short}_checked" if PATTERNS[entity].validator else f"size({short}_spans) > 0"
-        first = f"get({short}_spans, 0)"
-        flags += [f"size({short}_spans) > 0 as {short}_hit", f"{valid} as {short}_valid", f"{short}_place",
-                  f"size({short}_spans) > 0 and {first}.end - {first}.start >= {V.FULL_MATCH_SHARE}D * length(plain)"
-                  f" as {short}_full"]
-    numeric = F.when(F.expr(_in({**hints["AGE"], **hints["SALARY"]})), parse_number(value)).alias("number")
-    dated = F.when(F.expr(_in(hints["DATE_OF_BIRTH"])), looks_like_date(plain)).otherwise(False).alias("is_date")
-    return found.select(
-        "*", *checks, *places, numeric, dated, is_known_city(value).alias("is_city")).selectExpr(
+    value, plain, folded = F.col("value"), F.col("plain"), F.col("folded")
+    numeric = F.when(F.expr(_in({**hints["AGE"], **hints["SALARY"]})), parse_number(value))
+    dated = F.when(F.expr(_in(hints["DATE_OF_BIRTH"])), looks_like_date(plain)).otherwise(False)
+    address = F.when(F.length(value) >= V.ADDRESS_MIN_LENGTH, folded_address_places(folded))
+    # the arrays of spans stay inside one expression; only small flags leave the projection
+    found = long.withColumns({"plain": normalize_digits(value), "folded": fold_arabic(value)}).select(
+        "row_key", "column", "value", *[_pattern_flags(plain, e).alias(s) for e, s in _SHORT.items()],
+        name_shape(value, folded).alias("name"), address.alias("address_places"), numeric.alias("number"),
+        dated.alias("is_date"), folded_is_city(folded).alias("is_city"))
+    flags = [x for s in _SHORT.values() for x in (
+        f"{s} is not null as {s}_hit", f"coalesce({s}.valid, false) as {s}_valid",
+        f"coalesce({s}.full, false) as {s}_full", f"{s}.place as {s}_place")]
+    return found.selectExpr(
         "row_key", "column", "value", *flags, "number", "is_date", "is_city", "true as any_hit",
         "name.shape_ok as name_hit", "name.lexicon_hit as name_lexicon", "name.is_arabic as name_arabic",
-        f"size(address_places) > 0 and length(value) >= {V.ADDRESS_MIN_LENGTH} as address_hit",
+        "address_places is not null as address_hit",
         # the first two keywords of the cell, one bit each
         "aggregate(slice(address_places, 1, 2), 0, (bits, p) -> bits | shiftleft(1, cast(p as int) - 1)) as address_bits")
 

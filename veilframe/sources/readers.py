@@ -37,6 +37,17 @@ def read_csv(spark: SparkSession, path, encoding: str = UTF8, missing_words: boo
     return df.select(*[cell.alias(c) for c, cell in cells.items()])
 
 
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, dealt out to all cores when it comes in fewer pieces than there are cores.
+
+    One row group is read by one task, so a small table would be scanned for
+    patterns by a single core.  A table with enough pieces is read as it lies.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def audit_encodings(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, encoding) of every file in a folder: UTF-8 where the bytes are, else the Arabic code page.
 
