@@ -121,7 +121,7 @@ def distinct_counts(long: DataFrame, columns: list[str], approximate: bool = Fal
     """Distinct values per column.  Exact counting collapses repeats before the shuffle."""
     chosen = long.where(_in(columns))
     if approximate:
-        return chosen.groupBy("column").agg(F.approx_count_distinct("value", 0.01).alias("distinct_n"))
+        return chosen.groupBy("column").agg(F.hll_sketch_estimate(F.hll_sketch_agg("value", F.lit(14))).alias("distinct_n"))
     return (chosen.groupBy("column", "value").agg(F.lit(1).alias("one"))
             .groupBy("column").agg(F.count("*").alias("distinct_n")))
 

@@ -12,6 +12,7 @@ from veilframe.plans.anonymize import BEFORE, Anonymized, Treatment
 from veilframe.session import stage
 
 SUBSETS_PER_JOB = 20
+SKETCH_SIZE = 14        # binary logarithm of the slots: about one per cent off
 
 
 def level(score: float) -> str:
@@ -50,8 +51,9 @@ def subset_classes(class_table: DataFrame, columns: list[str], approximate: bool
     """
     subsets = known_subsets(columns)
     if approximate:
+        # sketches of a few kilobytes each, all filled in one pass and merged after it
         counts = class_table.agg(*[
-            F.approx_count_distinct(F.xxhash64(*[f"`{c}`" for c in s]), 0.01).alias(str(i))
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[f"`{c}`" for c in s]), SKETCH_SIZE)).alias(str(i))
             for i, s in enumerate(subsets)])
         pairs = [x for i, s in enumerate(subsets) for x in (F.lit(", ".join(s)), F.col(str(i)))]
         return counts.select(F.stack(F.lit(len(subsets)), *pairs).alias("subset", "classes"))
