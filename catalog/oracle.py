@@ -320,12 +320,13 @@ cell_texts as materialized (select concat(col, ':', k) as id, col, k, v, {nd('v'
 {spans('cell_texts', 'c')},
 firsts as (select id, entity, min({{'s': s, 'e': e}}) as f, bool_or({VALID}) as valid from c_spans group by id, entity),
 judged as (
-  select c.col, f.entity, f.valid, (f.f.e - f.f.s) >= 0.8 * length(c.t) as whole_cell,
+  select c.col, c.k, c.v, f.entity, f.valid, (f.f.e - f.f.s) >= 0.8 * length(c.t) as whole_cell,
          {any_context('c.t', 'f.f.s', 'f.f.e')} as keyword
   from firsts f join cell_texts c using (id)),
 by_entity as (
   select col, entity, count(*) as hits, count(*) filter (where valid) as valid,
-         count(*) filter (where whole_cell) as full_n, count(keyword) as ctx
+         count(*) filter (where whole_cell) as full_n, count(keyword) as ctx,
+         arg_min(keyword, k) filter (where keyword is not null) as first_keyword, list(v order by k)[1:3] as firsts
   from judged group by col, entity),
 counts as materialized (
   select col, count(*) as n, count(distinct v) as uniq,
@@ -348,6 +349,74 @@ detections as materialized (
     select *, row_number() over (partition by column_name, place >= 4
                                  order by confidence desc, category = 'Direct' desc, place) as nth from every_finding)
   where place < 4 or nth = 1)"""
+def share(a: str, b: str) -> str:
+    return f"({a} || '/' || {b} || ' values (' || {whole(f'100.0::double * {a} / greatest({b}, 1)')} || '%)')"
+
+
+def _listed(*reasons: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(reasons)}], lambda r: r is not null), '|')"
+
+
+def _explained() -> str:
+    """CTE ``explained(col, entity, reasons, samples)`` of every possible finding."""
+    named = "case when keyword is not null then 'Column name contains ''' || keyword || '''' end"
+    shown = "array_to_string({}, '|')"
+    rows = []
+    for entity in PATTERNS:
+        label = V.PATTERN_WEIGHTS[entity][2]
+        checked = entity in ("SAUDI_NATIONAL_ID", "SAUDI_IBAN")
+        reasons = _listed(
+            f"case when hits is null then 'Column name contains ''' || keyword || ''' but no value matches the {label} pattern' end",
+            f"case when hits > 0 then 'Matches {label} pattern ' || case when full_n / hits::double < 0.5 then 'inside free text' "
+            f"else 'in the whole cell' end || ' in ' || {share('hits', 'n')} end",
+            f"case when hits > 0 then case when valid > 0 then 'Passes the {label} checksum in ' || {share('valid', 'hits')} else "
+            f"'Pattern matches but the checksum FAILS ({label}) → probably not a real identifier' end end" if checked else "null",
+            f"case when hits > 0 then {named} end",
+            f"case when ctx > 0 then 'Context phrase ''' || first_keyword || ''' found next to the value in ' || {share('ctx', 'hits')} end",
+            "case when hits > 0 and keyword is null and ctx = 0 "
+            "then 'No supporting context (column name / nearby words) → confidence stays limited' end")
+        samples = shown.format("list_transform(firsts, lambda v: substr(v, 1, 60))")
+        rows.append(f"""select c.col, '{entity}' as entity, {reasons} as reasons, coalesce({samples}, '') as samples
+          from counts c left join (select * from by_entity where entity = '{entity}') b on b.col = c.col
+                        left join hints h on h.col = c.col and h.entity = '{entity}'""")
+    raw = "(0.35::double * shape / n + 0.15::double * lexicon / n)"
+    for entity in ("PERSON_NAME", "ARABIC_PERSON_NAME"):
+        reasons = _listed(
+            f"case when shape > 0 then {share('shape', 'n')} || ' look like personal names (2–5 alphabetic words)' end",
+            f"case when lexicon > 0 then 'Saudi/Arabic name lexicon or particle (بن / آل / bin / Al) found in ' || {share('lexicon', 'n')} end",
+            named,
+            f"case when keyword is null and {raw} < 0.5 then 'No ''name'' column context → treated as a weak candidate' end")
+        rows.append(f"select c.col, '{entity}', {reasons}, coalesce({shown.format('name_firsts')}, '') from counts c "
+                    "left join hints h on h.col = c.col and h.entity = 'PERSON_NAME' left join seen on seen.col = c.col")
+    address = _listed(
+        "case when address_n > 0 then 'Address keywords (' || array_to_string(list_sort(list_distinct(words))[1:4], ', ') "
+        f"|| ') found in ' || {share('address_n', 'n')} end", named)
+    rows.append(f"select c.col, 'SAUDI_ADDRESS', {address}, coalesce({shown.format('address_firsts')}, '') from counts c "
+                "left join hints h on h.col = c.col and h.entity = 'SAUDI_ADDRESS' left join seen on seen.col = c.col")
+
+    def rate(count: str, text: str) -> str:
+        return f"case when {count} > 0 then {whole(f'100 * ({count} / n::double)')} || '% of values {text}' end"
+    said = {
+        "CUSTOMER_ID": rate("uniq", "are unique (behaves like an identifier)"), "AGE": rate("age_n", "are plausible ages (0–120)"),
+        "SALARY": rate("number_n", "are numeric amounts"), "DATE_OF_BIRTH": rate("date_n", "look like dates"),
+        "CITY": rate("city_n", "are known Saudi cities"),
+        "GENDER": "case when uniq <= 4 then 'Only ' || uniq || ' distinct values (typical for gender)' end",
+        "DISTRICT": "null", "JOB_TITLE": "null", "NATIONALITY": "null"}
+    combined = q("Indirect identifier: risky when COMBINED with other fields (suggested – please confirm)")
+    for entity, reason in said.items():
+        reasons = _listed(named, reason, "null" if entity == "CUSTOMER_ID" else combined)
+        rows.append(f"select c.col, '{entity}', {reasons}, {shown.format('any_firsts')} from counts c "
+                    f"left join hints h on h.col = c.col and h.entity = '{entity}' left join seen on seen.col = c.col")
+    return f"""
+seen as materialized (
+  select col, list(v order by k)[1:3] as any_firsts,
+         (list(v order by k) filter (where {_NAME['shape_ok']}))[1:3] as name_firsts,
+         (list(v order by k) filter (where hit))[1:3] as address_firsts, flatten(list(words[1:2]) filter (where hit)) as words
+  from (select *, length(v) >= 10 and len(words) > 0 as hit from (select *, {keyword_hits(fold('v'))} as words from cells))
+  group by col),
+explained as ({' union all '.join(rows)})"""
+
+
 FOUND = 'column_name as "column", entity, category, confidence, risk, embedded, flagged'
 
 
@@ -633,6 +702,23 @@ def _overridden() -> str:
    else category end as category from ({_config_rows('external')})"""
 
 
+def _advice(p: str, s: str) -> str:
+    other = "." if p == "external" else ", or the ''AI / External Company'' profile."
+    exposed = " union all ".join(
+        f"select {i} as place, case when (select {round2('e')} from {s}_exposure where col = '{c}') >= 0.5 then 'Column **{c}** is still "
+        f"strongly exposed (method: {METHODS[p][c]}). Use Suppression or Replacement.' end as text" for i, c in enumerate(WEIGHTS))
+    kept = ", ".join(c for c in WEIGHTS if METHODS[p][c] == "Keep")
+    after = whole("direct_after + quasi_after")
+    return f"""select '{p}' as profile, * from ({exposed}
+  union all select 20, {q(f'Direct identifiers left unchanged: {kept}.') if kept else 'null'}
+  union all select 21, case when k_after < 3 then 'Some records are still unique on the quasi-identifiers (k < 3). Consider wider generalization or suppressing one of the quasi-identifiers{other}' end from {s}_risk
+  union all select 22, case when {after} >= 60 then 'Prototype risk is still HIGH – do not share this dataset externally before further anonymization.'
+    when {after} >= 30 then 'Prototype risk is MEDIUM – acceptable at most for trusted internal use; review before external sharing.' end from {s}_risk
+  union all select 23, case when {whole('score')} < 70 then 'Data utility dropped noticeably. If the purpose allows it, keep low-risk columns or use narrower bins.' end from {s}_useful
+  union all select 24, 'Free-text columns may contain names or other details that this prototype cannot detect – review them manually.'
+  union all select 25, 'Have the sharing decision reviewed by your organisation''s data-protection officer / legal team.')"""
+
+
 def _treated_columns(p: str) -> str:
     return f"select c_custkey, {', '.join(COLUMNS)} from {p}_treated"
 
@@ -714,6 +800,8 @@ rated as (select *, {round2('''least(0.99::double, (case entity when 'SAUDI_NATI
     "detect_gender": finding_query("GENDER"),
     "detect_hint_only": finding_query("DISTRICT", "JOB_TITLE", "NATIONALITY"),
     "detect_table": detection_query(f"select {FOUND} from detections"),
+    "explain_findings": with_(DETECTION, _explained()) + """select column_name as "column", d.entity, confidence, reasons, samples
+      from detections d join explained x on x.col = d.column_name and x.entity = d.entity""",
     "dataset_summary": detection_query(f"""select (select count(*) from subjects) as records, {len(COLUMNS)}::bigint as columns,
       count(distinct column_name) filter (where flagged) as sensitive_fields,
       count(distinct column_name) filter (where flagged and category = 'Direct') as direct,
@@ -796,6 +884,9 @@ rated as (select *, {round2('''least(0.99::double, (case entity when 'SAUDI_NATI
     "compare_profiles": all_profiles(lambda p, s: f"""select '{p}' as profile, {r9('direct_before + quasi_before')} as risk_before,
       {r9('direct_after + quasi_after')} as risk_after, {r9('score')} as utility, k_after, {level('direct_before + quasi_before')} as level_before,
       {level('direct_after + quasi_after')} as level_after from {s}_risk, {s}_useful"""),
+    "recommendations": (with_(*[x for p in BINS for x in (treated(p), scores(p))])
+                        + "select profile, cast(row_number() over (partition by profile order by place) - 1 as int) as line_no, text from ("
+                        + " union all ".join(_advice(p, p[:3]) for p in BINS) + ") where text is not null"),
     "outcome_verdict": all_profiles(lambda p, s: f"""select '{p}' as profile, case
       when b - a >= 40 and u >= 70 then 'Privacy improved significantly (risk ' || b || ' → ' || a || ') while Data Utility remained high (' || u || '%).'
       when b > a then 'Privacy improved (risk ' || b || ' → ' || a || ', now ' || lev || ') and Data Utility is ' || u

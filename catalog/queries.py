@@ -470,10 +470,8 @@ def replace_sequential(spark, sf_dir):
     df = people(spark, sf_dir).select(KEY, "customer_name_ar", "national_id", "job")
     columns = {"customer_name_ar": "ARABIC_PERSON_NAME", "national_id": "SAUDI_NATIONAL_ID", "job": "JOB_TITLE"}
     numbers_of = stage(lookup.first_seen_numbers(df, KEY, list(columns)), "numbers")
-    for c in columns:
-        mapping = numbers_of.where(F.col("column") == c).select("value", "n_rows", F.col("number").alias("payload"))
-        df = lookup.look_up(df, F.col(c), mapping, KEY, f"number_{c}")
-    return df.select(KEY, *[treat.replace_numbered(F.col(c), F.col(f"number_{c}"), e, False).alias(c)
+    df = lookup.attach_numbers(df, KEY, list(columns), numbers_of)
+    return df.select(KEY, *[treat.replace_numbered(F.col(c), F.col(f"__number_{c}"), e, False).alias(c)
                             for c, e in columns.items()])
 
 
@@ -483,7 +481,7 @@ def replace_format_preserving(spark, sf_dir):
     df = people(spark, sf_dir)
     made = {"national_id": fakes.fake_national_id, "mobile": fakes.fake_mobile, "iban": fakes.fake_iban,
             "customer_name_ar": fakes.fake_name, "customer_name_en": fakes.fake_name}
-    faked = df.select(KEY, *made, *[treat._unless_blank(F.col(c), f(F.col(c), SALT)).alias(f"{c}_fake") for c, f in made.items()])
+    faked = df.select(KEY, *made, *[F.when(F.trim(c) != "", f(F.col(c), SALT)).otherwise(F.col(c)).alias(f"{c}_fake") for c, f in made.items()])
     digits = text.normalize_digits(F.col("mobile"))
     words = lambda c: F.size(F.split(c, " "))
     return faked.agg(

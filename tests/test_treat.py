@@ -69,10 +69,12 @@ def test_numbering_in_order_of_appearance_with_a_hot_value(spark, broadcast_byte
     rng = random.Random(1)
     values = [rng.choice(["hot"] * 20 + [f"v{k}" for k in range(30)] + [None, "", " "]) for _ in range(3000)]
     df = spark.createDataFrame(list(enumerate(values)), "row_id bigint, v string").repartition(5)
-    numbers = stage(lookup.first_seen_numbers(df, KEY, ["v"]), "numbers")
-    mapping = numbers.select("value", "n_rows", F.col("number").alias("payload"))
-    joined = lookup.look_up(df, F.col("v"), mapping, KEY, "n", broadcast_bytes)
-    out = [r.p for r in joined.orderBy(KEY).select(treat.replace_numbered(F.col("v"), F.col("n"), "CUSTOMER_ID", False).alias("p")).collect()]
+    df = df.withColumn("w", F.upper("v"))
+    numbers = stage(lookup.first_seen_numbers(df, KEY, ["v", "w"]), "numbers")
+    joined = lookup.attach_numbers(df, KEY, ["v", "w"], numbers, broadcast_bytes).orderBy(KEY)
+    rows = joined.select(*[treat.replace_numbered(F.col(c), F.col(f"__number_{c}"), "CUSTOMER_ID", False).alias(c) for c in "vw"]).collect()
+    out = [r.v for r in rows]
+    assert out == [r.w for r in rows]
     seen, wanted = {}, []
     for v in values:
         if v is None or not v.strip():
@@ -140,6 +142,21 @@ def test_developer_profile_is_format_preserving(people, found):
     assert len({r.national_id for r in rows}) == 48 and rows[0].city == ROWS[0][10]
 
 
+def test_large_and_small_maps_give_the_same_table(people, found):
+    from veilframe.plans.anonymize import apply_treatments, resolve_treatments
+    treatments = resolve_treatments(build_config(found, COLUMNS, "external"), found)
+    treatments = [t for t in treatments if t.method != "Generalization"]
+    tables = [apply_treatments(people, treatments, vf.PROFILES["external"], "s", KEY, broadcast_bytes=b).orderBy(KEY).collect()
+              for b in (0, 1 << 25)]
+    assert tables[0] == tables[1]
+
+
+def test_hash_length(people, found):
+    config = build_config(found, COLUMNS, "external")
+    data = anonymize(people, config, found, "external", KEY, hash_length=32, staged=False).data
+    assert data.where("customer_id rlike '^H_[0-9a-f]{32}$'").count() == 48
+
+
 def test_random_salt_and_lazy_result(people, found):
     config = build_config(found, COLUMNS, "external")
     a, b = (anonymize(people, config, found, "external", KEY, staged=False).data.orderBy(KEY).first().customer_id for _ in range(2))

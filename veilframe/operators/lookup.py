@@ -66,6 +66,36 @@ def look_up(df: DataFrame, key: Column, mapping: DataFrame, row_key: str, result
         "__hot", "__hot_payload", "__value", "__zero", "__payload", "__key", "__lane")
 
 
+def attach_numbers(df: DataFrame, row_key: str, columns: list[str], numbers: DataFrame,
+                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Add ``__number_<column>`` for each column from ``numbers`` (column, value, n_rows, number).
+
+    Columns with few distinct values are looked up by broadcast.  The others are
+    looked up together on narrow (row key, column, value) rows, and the wide
+    table is shuffled once, by its unique row key, however many columns there are.
+    """
+    sizes = numbers.groupBy("column").agg(F.sum(F.octet_length("value") + 64).alias("bytes")).collect()
+    bytes_of = {r["column"]: r["bytes"] for r in sizes}         # one row per column
+    large = [c for c in columns if bytes_of.get(c, 0) > broadcast_bytes]
+    for column in columns:
+        if column not in large:
+            small = numbers.where(F.col("column") == column).select(
+                F.col("value").alias("__value"), F.col("number").alias(f"__number_{column}"))
+            df = df.join(F.broadcast(small), F.col(f"`{column}`") == F.col("__value"), "left").drop("__value")
+    if not large:
+        return df
+    cells = df.select(row_key, *[f"`{c}`" for c in large]).unpivot(
+        [row_key], [F.col(f"`{c}`") for c in large], "__column", "__cell").where(
+        F.col("__cell").isNotNull() & ~is_blank(F.col("__cell")))
+    key = F.concat(F.col("__column"), F.lit("\x00"), F.col("__cell"))
+    mapping = numbers.where(F.col("column").isin(large)).select(
+        F.concat(F.col("column"), F.lit("\x00"), F.col("value")).alias("value"), "n_rows", F.col("number").alias("payload"))
+    found = look_up(cells, key, mapping, row_key, "__number", broadcast_bytes)
+    wide = found.groupBy(row_key).agg(*[
+        F.max(F.when(F.col("__column") == c, F.col("__number"))).alias(f"__number_{c}") for c in large])
+    return df.join(wide, row_key, "left")
+
+
 def class_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(columns..., class_size) of every combination that occurs; null is a value of its own."""
     return df.groupBy(*columns).agg(F.count("*").alias("class_size"))

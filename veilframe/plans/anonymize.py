@@ -97,14 +97,14 @@ def decide_generalisations(df: DataFrame, treatments: list[Treatment], profile:
             t.kept = sorted(r["value"] for r in kept if r["column"] == t.column)
 
 
-def _treated(t: Treatment, profile: Profile, salt: str, strict: bool) -> Column:
+def _treated(t: Treatment, profile: Profile, salt: str, strict: bool, hash_length: int) -> Column:
     c = F.col(f"`{t.column}`")
     if t.method == "Masking":
         return treat.mask(c, t.entity, t.embedded, profile.strength)
     if t.method == "Suppression":
         return treat.suppress(c)
     if t.method == "Hashing":
-        return treat.hash_value(c, salt)
+        return treat.hash_value(c, salt, hash_length)
     if t.method == "Replacement":
         if treat.needs_numbers(t.entity, profile.format_preserving):
             return treat.replace_numbered(c, F.col(f"__number_{t.column}"), t.entity, profile.format_preserving)
@@ -121,7 +121,7 @@ def _treated(t: Treatment, profile: Profile, salt: str, strict: bool) -> Column:
 
 
 def apply_treatments(df: DataFrame, treatments: list[Treatment], profile: Profile, salt: str, row_key: str,
-                     strict: bool = False, numbers: DataFrame | None = None,
+                     strict: bool = False, hash_length: int = 10, numbers: DataFrame | None = None,
                      broadcast_bytes: int = lookup.BROADCAST_BYTES) -> DataFrame:
     """One projection that yields every column treated, and as it was under ``<column>__before``."""
     numbered = [t.column for t in treatments if t.method == "Replacement"
@@ -129,21 +129,20 @@ def apply_treatments(df: DataFrame, treatments: list[Treatment], profile: Profil
     if numbered:
         if numbers is None:
             numbers = stage(lookup.first_seen_numbers(df, row_key, numbered), "numbers")
-        for column in numbered:
-            mapping = numbers.where(F.col("column") == column).select(
-                "value", "n_rows", F.col("number").alias("payload"))
-            df = lookup.look_up(df, F.col(f"`{column}`"), mapping, row_key, f"__number_{column}", broadcast_bytes)
+        df = lookup.attach_numbers(df, row_key, numbered, numbers, broadcast_bytes)
     return df.select(
-        row_key, *[_treated(t, profile, salt, strict).alias(t.column) for t in treatments],
+        row_key, *[_treated(t, profile, salt, strict, hash_length).alias(t.column) for t in treatments],
         *[F.col(f"`{t.column}`").alias(t.column + BEFORE) for t in treatments])
 
 
 def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile: str, row_key: str,
-              salt: str | None = None, strict: bool = False, staged: bool = True) -> Anonymized:
+              salt: str | None = None, strict: bool = False, hash_length: int = 10, staged: bool = True) -> Anonymized:
     """Treat a table the way ``config`` says.
 
-    ``salt`` keys hashes and fakes; by default a new one is drawn, so outputs of
-    two runs cannot be linked.  ``strict`` also removes values that a
+    ``row_key`` is unique and gives the order in which values count as first
+    seen.  ``salt`` keys hashes and fakes; by default a new one is drawn, so outputs of
+    two runs cannot be linked.  ``hash_length`` hexadecimal characters are kept of
+    a hash: ten suffice for a million distinct values.  ``strict`` also removes values that a
     generalisation would leave as they are.  The result is written to the work
     folder so that scoring does not recompute it; ``staged=False`` leaves it lazy.
     """
@@ -152,5 +151,5 @@ def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile:
     treatments = resolve_treatments(config, detections)
     text = df.select(row_key, *[F.col(f"`{t.column}`").cast("string").alias(t.column) for t in treatments])
     decide_generalisations(text, treatments, chosen)
-    paired = apply_treatments(text, treatments, chosen, salt, row_key, strict)
+    paired = apply_treatments(text, treatments, chosen, salt, row_key, strict, hash_length)
     return Anonymized(stage(paired, "paired") if staged else paired, treatments, chosen, row_key)

@@ -20,14 +20,16 @@ def to_code_page(c: Column) -> Column:
     return F.translate(c, _ARABIC, _LATIN)
 
 
-def read_csv(spark: SparkSession, path, encoding: str = UTF8, missing_words: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path, encoding: str = UTF8, missing_words: bool = True,
+             multi_line: bool = False) -> DataFrame:
     """Header gives the names, every column is text, so leading zeros and long numbers stay.
 
-    Empty cells and the usual words for a missing value become null.
+    Empty cells and the usual words for a missing value become null.  Cells with
+    line ends need ``multi_line``, at the price that a file is no longer split.
     """
     arabic = encoding == ARABIC_CODE_PAGE
     df = (spark.read.option("header", True).option("encoding", "ISO-8859-1" if arabic else encoding)
-          .option("escape", '"').csv(path))
+          .option("escape", '"').option("multiLine", multi_line).csv(path))
     cells = {c: F.col(f"`{c}`") for c in df.columns}
     if arabic:
         table = str.maketrans(_LATIN, _ARABIC)
@@ -49,13 +51,16 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit_encodings(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, encoding) of every file in a folder: UTF-8 where the bytes are, else the Arabic code page.
+    """(path, bytes, encoding) of every file in a folder: UTF-8 where the bytes are, else the Arabic code page.
 
-    Each file is read by one task and only its verdict leaves it.
+    Lines are checked where they are read, so a large file is split like any
+    other; line ends are the same byte in both encodings.
     """
-    files = spark.read.format("binaryFile").load(folder)
-    is_utf8 = F.call_function("is_valid_utf8", F.col("content").cast("string"))
-    return files.select("path", "length", F.when(is_utf8, UTF8).otherwise(ARABIC_CODE_PAGE).alias("encoding"))
+    lines = spark.read.text(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+        F.call_function("is_valid_utf8", F.col("value")).alias("is_utf8"))
+    files = lines.groupBy("path").agg(F.max("size").alias("bytes"), F.bool_and("is_utf8").alias("is_utf8"))
+    return files.select("path", "bytes", F.when(F.col("is_utf8"), UTF8).otherwise(ARABIC_CODE_PAGE).alias("encoding"))
 
 
 def read_csv_folder(spark: SparkSession, folder: str, audit: DataFrame | None = None) -> DataFrame:
