@@ -73,11 +73,14 @@ def corpus_findings(df: DataFrame, key: str, text: str) -> DataFrame:
     raw = (weight + F.when(has_check & F.col("valid"), check_weight).otherwise(0.0)
            + F.when(F.col("place").isNotNull(), V.CONTEXT_WEIGHT).otherwise(0.0)
            + V.WHOLE_CELL_BONUS)
+    said = V.TEXT_REASONS
+    before, after = said["pattern"].split("{label}")
+    before_word, after_word = said["context"].split("{keyword}")
     reasons = F.array_compact(F.array(
-        F.concat(F.lit("Matches "), label, F.lit(" pattern")),
-        F.when(has_check, F.when(F.col("valid"), "Passes checksum").otherwise("Checksum FAILS")),
-        F.when(F.col("place").isNotNull(), F.concat(F.lit("Context phrase '"), keyword, F.lit("' next to the value")))
-        .otherwise("No context phrase nearby")))
+        F.concat(F.lit(before), label, F.lit(after)),
+        F.when(has_check, F.when(F.col("valid"), said["checksum"]).otherwise(said["no_checksum"])),
+        F.when(F.col("place").isNotNull(), F.concat(F.lit(before_word), keyword, F.lit(after_word)))
+        .otherwise(said["no_context"])))
     scored = checked.withColumn("confidence", round_exact(F.least(raw, F.lit(V.CONFIDENCE_CAP)), 2))
     return scored.select(
         key, "start", "end", "found", "entity", "confidence",

@@ -7,6 +7,8 @@ input size.  All aggregation buffers are fixed-width, so the aggregation hashes
 and never sorts the cells.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veilframe import fixed_values as V
@@ -154,10 +156,16 @@ def _hint(hints: dict, group: str) -> str:
     return f"(case column {cases} end)" if cases else "cast(null as string)"
 
 
+def _say(template: str, **parts: str) -> str:
+    """A worded template as SQL; ``parts`` are SQL expressions for its fields."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    said = [parts[piece] if i % 2 else sql_text(piece) for i, piece in enumerate(pieces) if piece]
+    return f"concat({', '.join(said)})"
+
+
 def _share(part: str, whole: str) -> str:
-    """``a/b values (p%)``"""
     shown = f"cast(rint({part} * 100.0D / greatest({whole}, 1)) as bigint)"
-    return f"concat({part}, '/', {whole}, ' values (', {shown}, '%)')"
+    return _say(V.SHARE, part=part, whole=whole, percent=shown)
 
 
 def _percent(rate: str) -> str:
@@ -165,7 +173,7 @@ def _percent(rate: str) -> str:
 
 
 def _named(hint: str) -> str:
-    return f"if({hint} is not null, concat('Column name contains \\'', {hint}, '\\''), null)"
+    return f"if({hint} is not null, {_say(V.REASONS['hint'], keyword=hint)}, null)"
 
 
 def _finding(entity: str, order: int, group: str, raw: str, reasons: list[str], wanted: str,
@@ -189,23 +197,21 @@ def _pattern_finding(entity: str, order: int, hints: dict) -> str:
     words = ", ".join(sql_text(k) for k in V.CONTEXT_KEYWORDS[entity])
     keyword = f"try_element_at(array({words}), {s}_place)"
 
+    said, label = V.REASONS, sql_text(label)
+
     def when_hit(text: str, condition: str = "true") -> str:
         return f"if({hits} > 0 and {condition}, {text}, null)"
+    where = f"if({embedded}, {sql_text(V.WHERE_EMBEDDED)}, {sql_text(V.WHERE_WHOLE)})"
     reasons = [
-        f"if({hits} > 0, null, concat('Column name contains \\'', {hint}, "
-        f"'\\' but no value matches the {label} pattern'))",
-        when_hit(f"concat('Matches {label} pattern ', if({embedded}, 'inside free text', 'in the whole cell'), "
-                 f"' in ', {_share(hits, n)})")]
+        f"if({hits} > 0, null, {_say(said['hint_without_match'], keyword=hint, label=label)})",
+        when_hit(_say(said["pattern"], label=label, where=where, share=_share(hits, n)))]
     if PATTERNS[entity].validator:
-        reasons.append(when_hit(
-            f"if({valid} > 0, concat('Passes the {label} checksum in ', {_share(valid, hits)}), "
-            f"'Pattern matches but the checksum FAILS ({label}) → probably not a real identifier')"))
+        passed = _say(said["checksum"], label=label, share=_share(valid, hits))
+        reasons.append(when_hit(f"if({valid} > 0, {passed}, {_say(said['no_checksum'], label=label)})"))
     reasons += [
         when_hit(_named(hint)),
-        when_hit(f"concat('Context phrase \\'', {keyword}, '\\' found next to the value in ', "
-                 f"{_share(context, hits)})", f"{context} > 0"),
-        when_hit("'No supporting context (column name / nearby words) → confidence stays limited'",
-                 f"{hint} is null and {context} = 0")]
+        when_hit(_say(said["context"], keyword=keyword, share=_share(context, hits)), f"{context} > 0"),
+        when_hit(_say(said["no_context"]), f"{hint} is null and {context} = 0")]
     return _finding(f"'{entity}'", order, s, raw, reasons, f"{hits} > 0 or {hint} is not null", embedded)
 
 
@@ -216,13 +222,12 @@ def _name_finding(order: int, hints: dict) -> str:
     arabic_name = f"column rlike '[{V.ARABIC_BLOCK}]'"
     entity = (f"if(if(name_n > 0, try_divide(arabic_n, name_n) >= 0.5D, {arabic_name}), "
               "'ARABIC_PERSON_NAME', 'PERSON_NAME')")
+    said = V.REASONS
     reasons = [
-        f"if(name_n > 0, concat({_share('name_n', 'n')}, ' look like personal names (2–5 alphabetic words)'), null)",
-        f"if(lexicon_n > 0, concat('Saudi/Arabic name lexicon or particle (بن / آل / bin / Al) found in ', "
-        f"{_share('lexicon_n', 'n')}), null)",
+        f"if(name_n > 0, {_say(said['names'], share=_share('name_n', 'n'))}, null)",
+        f"if(lexicon_n > 0, {_say(said['lexicon'], share=_share('lexicon_n', 'n'))}, null)",
         _named(hint),
-        f"if({hint} is null and {before_hint} < {V.FLAG_AT}D, "
-        "'No \\'name\\' column context → treated as a weak candidate', null)"]
+        f"if({hint} is null and {before_hint} < {V.FLAG_AT}D, {_say(said['no_name_context'])}, null)"]
     return _finding(entity, order, "name", raw, reasons, f"name_n > 0 or {hint} is not null")
 
 
@@ -231,38 +236,35 @@ def _address_finding(order: int, hints: dict) -> str:
     raw = f"{V.ADDRESS_WEIGHT}D * address_n / n + if({hint} is not null, {V.ADDRESS_HINT_WEIGHT}D, 0D)"
     words = ", ".join(sql_text(k) for k in V.ADDRESS_KEYWORDS)
     found = f"slice(array_sort(filter(array({words}), (k, i) -> address_bits & shiftleft(1, i) > 0)), 1, 4)"
-    reasons = [
-        f"if(address_n > 0, concat('Address keywords (', array_join({found}, ', '), ') found in ', "
-        f"{_share('address_n', 'n')}), null)", _named(hint)]
+    named = _say(V.REASONS["address"], keywords=f"array_join({found}, ', ')", share=_share("address_n", "n"))
+    reasons = [f"if(address_n > 0, {named}, null)", _named(hint)]
     return _finding("'SAUDI_ADDRESS'", order, "address", raw, reasons,
                     f"({hint} is not null or {district} is null) and (address_n > 0 or {hint} is not null)")
 
 
 def _customer_id_finding(order: int, hints: dict) -> str:
     hint = _hint(hints, "CUSTOMER_ID")
-    reasons = [_named(hint), f"concat({_percent('distinct_n / n')}, ' of values are unique (behaves like an identifier)')"]
+    reasons = [_named(hint), _say(V.REASONS["unique"], percent=_percent("distinct_n / n"))]
     raw = f"{V.CUSTOMER_ID_BASE}D + {V.CUSTOMER_ID_UNIQUE_WEIGHT}D * (distinct_n / n)"
     return _finding("'CUSTOMER_ID'", order, "any", raw, reasons, f"{hint} is not null")
 
 
 def _indirect_finding(entity: str, order: int, hints: dict) -> str:
     gender_rate = f"if(distinct_n <= {V.GENDER_MAX_VALUES}, 1D, 0D)"
-    rates = {       # what a value should look like, and how the share is reported
-        "AGE": ("age_n / n", f"concat({_percent('age_n / n')}, ' of values are plausible ages (0–120)')"),
-        "SALARY": ("number_n / n", f"concat({_percent('number_n / n')}, ' of values are numeric amounts')"),
-        "DATE_OF_BIRTH": ("date_n / n", f"concat({_percent('date_n / n')}, ' of values look like dates')"),
-        "CITY": ("city_n / n", f"concat({_percent('city_n / n')}, ' of values are known Saudi cities')"),
-        "GENDER": (gender_rate, "concat('Only ', distinct_n, ' distinct values (typical for gender)')")}
+    checks = {      # share of values that look right, and how it is reported
+        "AGE": ("age_n / n", "age"), "SALARY": ("number_n / n", "salary"), "DATE_OF_BIRTH": ("date_n / n", "dates"),
+        "CITY": ("city_n / n", "cities"), "GENDER": (gender_rate, "gender")}
     hint = _hint(hints, entity)
     raw, wanted = f"if({hint} is not null, {V.INDIRECT_HINT}D, 0D)", f"{hint} is not null"
     reasons = [_named(hint)]
-    if entity in rates:
-        rate, said = rates[entity]
+    if entity in checks:
+        rate, reason = checks[entity]
+        said = _say(V.REASONS[reason], percent=_percent(rate), distinct="distinct_n")
         raw += f" + if({hint} is not null, {V.INDIRECT_CHECK}D, {V.INDIRECT_CHECK_ALONE}D) * ({rate})"
         reasons.append(f"if({rate} > 0, {said}, null)")
         if entity == "CITY":
             wanted += f" or {rate} >= {V.CITY_SHARE_WITHOUT_HINT}D"
-    reasons.append("'Indirect identifier: risky when COMBINED with other fields (suggested – please confirm)'")
+    reasons.append(_say(V.REASONS["indirect"]))
     return _finding(f"'{entity}'", order, "any", raw, reasons, wanted)
 
 

@@ -8,48 +8,36 @@ from veilframe import fixed_values as V
 from veilframe.operators.detect import flagged
 from veilframe.operators.risk import Risk, assess_risk, level
 from veilframe.operators.scoring import measure
-from veilframe.operators.utility import FACTORS, Utility, assess_utility
+from veilframe.operators.utility import Utility, assess_utility
 from veilframe.plans.anonymize import Anonymized, anonymize
 from veilframe.plans.config import build_config
 from veilframe.plans.profiles import PROFILES
 
-DISCLAIMER = ("This assists privacy assessment and data anonymization. It does not constitute legal advice "
-              "or guarantee compliance with the Saudi Personal Data Protection Law (PDPL).")
-
 
 def recommendations(result: Anonymized, risk: Risk, utility: Utility) -> list[str]:
     """What to do next, most urgent first."""
-    lines = [f"Column **{c}** is still strongly exposed (method: {m}). Use Suppression or Replacement."
-             for c, m in risk.remaining]
-    kept = [t.column for t in result.treatments if t.category == "Direct" and t.method == "Keep"]
-    if kept:
-        lines.append("Direct identifiers left unchanged: " + ", ".join(kept) + ".")
-    if risk.quasi_after.k is not None and risk.quasi_after.k < 3:
-        other = "." if result.profile.key == "external" else f", or the '{PROFILES['external'].name}' profile."
-        lines.append("Some records are still unique on the quasi-identifiers (k < 3). Consider wider generalization "
-                     "or suppressing one of the quasi-identifiers" + other)
-    if level(round(risk.after)) == "HIGH":
-        lines.append("Prototype risk is still HIGH – do not share this dataset externally before further anonymization.")
-    elif level(round(risk.after)) == "MEDIUM":
-        lines.append("Prototype risk is MEDIUM – acceptable at most for trusted internal use; "
-                     "review before external sharing.")
-    if round(utility.score) < 70:
-        lines.append("Data utility dropped noticeably. If the purpose allows it, "
-                     "keep low-risk columns or use narrower bins.")
-    return lines + [
-        "Free-text columns may contain names or other details that this prototype cannot detect – "
-        "review them manually.",
-        "Have the sharing decision reviewed by your organisation's data-protection officer / legal team."]
+    say = V.ADVICE
+    kept = ", ".join(t.column for t in result.treatments if t.category == "Direct" and t.method == "Keep")
+    k = risk.quasi_after.k
+    otherwise = "." if result.profile.key == "external" else say["unique_elsewhere"]
+    by_level = {"HIGH": say["high"], "MEDIUM": say["medium"]}
+    advice = [
+        *(say["exposed"].format(column=c, method=m) for c, m in risk.remaining),
+        say["kept"].format(columns=kept) if kept else None,
+        say["unique"].format(otherwise=otherwise) if k is not None and k < V.SMALLEST_SAFE_CLASS else None,
+        by_level.get(level(round(risk.after))),
+        say["useless"] if round(utility.score) < V.USEFUL_FROM else None,
+        say["free_text"], say["review"]]
+    return [line for line in advice if line]
 
 
 def verdict(risk: Risk, utility: Utility) -> str:
     before, after, useful = round(risk.before), round(risk.after), round(utility.score)
-    if before - after >= 40 and useful >= 70:
-        return f"Privacy improved significantly (risk {before} → {after}) while Data Utility remained high ({useful}%)."
-    if before - after > 0:
-        return (f"Privacy improved (risk {before} → {after}, now {level(risk.after)}) and Data Utility is {useful}%. "
-                f"Try the {PROFILES['external'].name} profile or stronger methods for a bigger drop.")
-    return "Privacy risk did not decrease – choose stronger techniques."
+    if before - after >= V.BIG_DROP and useful >= V.USEFUL_FROM:
+        kind = "much"
+    else:
+        kind = "some" if before > after else "none"
+    return V.VERDICTS[kind].format(before=before, after=after, useful=useful, level=level(risk.after))
 
 
 def _table(header: list[str], rows: list[tuple]) -> list[str]:
@@ -63,46 +51,31 @@ def privacy_report(result: Anonymized, detections: DataFrame, risk: Risk, utilit
     spark = result.paired.sparkSession
     # a handful of rows per column of the header
     found = [r.asDict() for r in flagged(detections).orderBy("category", "column", "position", "place").collect()]
-    direct = sorted({f["column"] for f in found if f["category"] == "Direct"})
-    indirect = sorted({f["column"] for f in found if f["category"] == "Indirect"})
-    labels = sorted({f["label"] for f in found})
+    line = {k: v.format for k, v in V.REPORT_LINES.items()}
+
+    def columns_of(category: str) -> str:
+        return ", ".join(sorted({f["column"] for f in found if f["category"] == category})) or "none"
+    findings = [(f["column"], f["label"], f["category"], f"{f['confidence']:.0%}", f["risk"], "; ".join(f["reasons"]))
+                for f in found]
     changed = [(t.column, t.category, t.method) for t in result.treatments if t.method != "Keep"]
-    sections = {
-        "Privacy Assessment Report": [
-            f"- **Dataset:** {name}", f"- **Date:** {when or datetime.now():%Y-%m-%d %H:%M}",
-            f"- **Number of records:** {records:,}  |  **Columns:** {len(result.columns)}",
-            f"- **Sharing purpose (profile):** {result.profile.name}"],
-        "1. Sensitive information detected": [
-            f"- **Sensitive fields:** {len({f['column'] for f in found})}",
-            f"- **Types of sensitive information:** {', '.join(labels) or 'none'}",
-            *_table(["Column", "Entity", "Category", "Confidence", "Risk", "Why it was detected"],
-                    [(f["column"], f["label"], f["category"], f"{f['confidence']:.0%}", f["risk"],
-                      "; ".join(f["reasons"])) for f in found])],
-        "2. Anonymization methods applied": _table(
-            ["Column", "Category", "Method"], changed or [("–", "–", "No changes applied")]),
-        "3. Identifier status after anonymization": [
-            f"- **Direct identifiers detected:** {', '.join(direct) or 'none'}",
-            "- **Direct identifiers still strongly exposed:** "
-            + (", ".join(c for c, _ in risk.remaining) or "none"),
-            f"- **Potential indirect identifiers (quasi-identifiers):** {', '.join(indirect) or 'none'}"],
-        "4. Prototype Re-identification Risk": [
-            f"- **Before:** {round(risk.before)} / 100 ({level(risk.before)})",
-            f"- **After:** {round(risk.after)} / 100 ({level(risk.after)})",
-            *[f"- {r}" for r in risk.reasons()]],
-        "5. Data Utility": [
-            f"- **Before:** 100 / 100  |  **After:** {round(utility.score)} / 100",
-            *_table(["Factor", "Weight", "Value"],
-                    [(f"{f}  {FACTORS[f]}", f"{V.UTILITY_WEIGHTS[f]:.0%}", f"{v:.0%}")
-                     for f, v in utility.factors.items()])],
-        "6. Recommendations": [f"- {r}" for r in recommendations(result, risk, utility)],
-        "Method notes": [
-            "- Detection: pattern recognizers + Saudi validators (ID checksum, IBAN mod-97) + Arabic context rules.",
-            "- The risk and utility scores are simple, transparent prototype indicators, not formal certifications, "
-            "and do not represent every possible analytical use case.",
-            f"> **Disclaimer:** {DISCLAIMER}"],
-    }
+    bodies = [
+        [line["dataset"](name=name), line["date"](when=when or datetime.now()),
+         line["size"](records=records, columns=len(result.columns)), line["purpose"](profile=result.profile.name)],
+        [line["fields"](fields=len({f["column"] for f in found})),
+         line["types"](labels=", ".join(sorted({f["label"] for f in found})) or "none"),
+         *_table(V.REPORT_TABLES["findings"], findings)],
+        _table(V.REPORT_TABLES["methods"], changed or [V.NO_CHANGES]),
+        [line["direct"](columns=columns_of("Direct")),
+         line["exposed"](columns=", ".join(c for c, _ in risk.remaining) or "none"),
+         line["indirect"](columns=columns_of("Indirect"))],
+        [line["before"](score=round(risk.before), level=level(risk.before)),
+         line["after"](score=round(risk.after), level=level(risk.after)), *[f"- {r}" for r in risk.reasons()]],
+        [line["utility"](score=round(utility.score)),
+         *_table(V.REPORT_TABLES["factors"], utility.factor_rows())],
+        [f"- {r}" for r in recommendations(result, risk, utility)],
+        [line["detection"](), line["scores"](), line["disclaimer"]()]]
     lines = []
-    for number, (title, body) in enumerate(sections.items()):
+    for number, (title, body) in enumerate(zip(V.REPORT_TITLES, bodies)):
         for text in [f"{'#' if number == 0 else '##'} {title}", "", *body, ""]:
             lines.append((number, len(lines), text))
     return spark.createDataFrame(lines, "section int, line_no int, text string")

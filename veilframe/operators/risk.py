@@ -153,22 +153,20 @@ class Risk:
         return [(c, m) for c, m, _, e in self.exposures if round(e, 2) >= V.STILL_EXPOSED_AT]
 
     def reasons(self) -> list[str]:
-        lines = []
-        before, after = self.quasi_before, self.quasi_after
+        said, lines = V.RISK_REASONS, []
+        b, a = self.quasi_before, self.quasi_after
         if self.exposures:
-            lines.append(f"Direct-identifier exposure fell from {self.direct_before:.0f} to {self.direct_after:.0f} "
-                         f"(of {V.DIRECT_MAX}) after treating {len(self.exposures)} direct-identifier column(s).")
+            lines.append(said["direct"].format(before=self.direct_before, after=self.direct_after, most=V.DIRECT_MAX,
+                                               columns=len(self.exposures)))
         if not self.quasi_columns:
-            lines.append("No indirect identifiers were selected, so the quasi-identifier part is 0.")
-        elif before.k is not None:
-            lines.append("Average re-identification probability from combinations of 3 quasi-identifiers "
-                         f"({', '.join(self.quasi_columns)}) fell from {before.average:.2f} to {after.average:.2f}; "
-                         f"quasi part {V.QUASI_MAX * before.average:.0f} → {V.QUASI_MAX * after.average:.0f} "
-                         f"(of {V.QUASI_MAX}).")
-            lines.append(f"Records that are unique on all quasi-identifiers together: {before.unique:.0%} → "
-                         f"{after.unique:.0%}; smallest group size (k-anonymity): {before.k} → {after.k}.")
+            lines.append(said["no_quasi"])
+        elif b.k is not None:
+            lines.append(said["quasi"].format(
+                columns=", ".join(self.quasi_columns), before=b.average, after=a.average, most=V.QUASI_MAX,
+                part_before=V.QUASI_MAX * b.average, part_after=V.QUASI_MAX * a.average))
+            lines.append(said["unique"].format(before=b.unique, after=a.unique, k_before=b.k, k_after=a.k))
         if self.remaining:
-            lines.append("Still highly exposed: " + ", ".join(c for c, _ in self.remaining) + ".")
+            lines.append(said["exposed"].format(columns=", ".join(c for c, _ in self.remaining)))
         return lines
 
     def table(self, spark) -> DataFrame:

@@ -8,10 +8,6 @@ from veilframe import fixed_values as V
 from veilframe.operators.scoring import measure
 from veilframe.plans.anonymize import Anonymized, Treatment
 
-FACTORS = {"A": "Columns preserved", "B": "Values not suppressed", "C": "Numeric precision kept",
-           "D": "Data types preserved", "E": "Distributions preserved"}
-
-
 def numeric_precision(t: Treatment) -> float | None:
     """Of numeric columns: how fine the values still are."""
     if t.kind != "numeric":
@@ -73,10 +69,13 @@ class Utility:
             [(self.score, round(self.score), *self.factors.values())],
             "score_exact double, score int, A double, B double, C double, D double, E double")
 
+    def factor_rows(self) -> list[tuple[str, str, str]]:
+        """(factor, weight, value) as shown."""
+        return [(f"{f}  {V.UTILITY_FACTORS[f]}", f"{V.UTILITY_WEIGHTS[f]:.0%}", f"{v:.0%}")
+                for f, v in self.factors.items()]
+
     def factor_table(self, spark) -> DataFrame:
-        return spark.createDataFrame(
-            [(f"{f}  {FACTORS[f]}", f"{V.UTILITY_WEIGHTS[f]:.0%}", f"{v:.0%}") for f, v in self.factors.items()],
-            "factor string, weight string, value string")
+        return spark.createDataFrame(self.factor_rows(), "factor string, weight string, value string")
 
     def column_table(self, spark) -> DataFrame:
         return spark.createDataFrame(
@@ -92,13 +91,13 @@ def assess_utility(result: Anonymized, counters: dict | None = None) -> Utility:
     rows, precision, types, distributions = [], [], [], []
     for t in treatments:
         if t.category == "Direct":
-            rows.append((t.column, t.method, "Direct identifier (excluded from C/D/E)", None, None, None))
+            rows.append((t.column, t.method, V.EXCLUDED_ROLE, None, None, None))
             continue
         figures = numeric_precision(t), type_kept(t), distribution_kept(t, counters.get(t.column, _NO_ROWS))
         for kept, figure in zip((precision, types, distributions), figures):
             if figure is not None:
                 kept.append(figure)
-        rows.append((t.column, t.method, "Analytical", *(None if f is None else round(f, 2) for f in figures)))
+        rows.append((t.column, t.method, V.ANALYTICAL_ROLE, *(None if f is None else round(f, 2) for f in figures)))
     factors = {
         "A": _mean([float(t.method != "Suppression") for t in treatments]),
         "B": 1 - removed / cells if cells else 1.0,
