@@ -28,8 +28,9 @@ def reformat_like(original: Column, compact: Column) -> Column:
         return F.struct((acc["used"] + F.when(used, 1).otherwise(0)).alias("used"),
                         F.concat(acc["text"], F.when(used, nth).otherwise(ch)).alias("text"))
     start = F.struct(F.lit(0).alias("used"), F.lit("").alias("text"))
-    return F.aggregate(F.split(original, ""), start, add, lambda acc: F.concat(
+    spread = F.aggregate(F.split(original, ""), start, add, lambda acc: F.concat(
         acc["text"], F.substring(compact, acc["used"] + 1, F.length(compact))))
+    return F.when(original.rlike(f"^[{ALNUM}]*+\\z"), compact).otherwise(spread)
 
 
 def fake_national_id(c: Column, salt: str) -> Column:

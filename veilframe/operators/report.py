@@ -9,7 +9,7 @@ from veilframe.operators.detect import flagged
 from veilframe.operators.risk import Risk, assess_risk, level
 from veilframe.operators.scoring import measure
 from veilframe.operators.utility import Utility, assess_utility
-from veilframe.plans.anonymize import Anonymized, anonymize
+from veilframe.plans.anonymize import Anonymized, anonymize, as_text, input_statistics, resolve_treatments
 from veilframe.plans.config import build_config
 from veilframe.plans.profiles import PROFILES
 
@@ -85,12 +85,16 @@ def compare_profiles(df: DataFrame, detections: DataFrame, columns: list[str], r
                      salt: str | None = None) -> DataFrame:
     """Risk and utility of the same table under every purpose.
 
-    The input is scored once: the risk before treatment is the same for all
-    purposes that treat the same columns as indirect identifiers.
+    Statistics of the input are taken once, and its risk before treatment is
+    scored once for all purposes with the same indirect identifiers.
     """
+    configs = {key: build_config(detections, columns, key) for key in PROFILES}
+    plans = {key: resolve_treatments(config, detections) for key, config in configs.items()}
+    text = as_text(df, plans[next(iter(plans))], row_key)
+    shared = input_statistics(text, [(plan, PROFILES[key]) for key, plan in plans.items()], row_key)
     rows, scored = [], {}
-    for key in PROFILES:
-        result = anonymize(df, build_config(detections, columns, key), detections, key, row_key, salt)
+    for key, config in configs.items():
+        result = anonymize(df, config, detections, key, row_key, salt, statistics=shared)
         counters = measure(result)
         quasi = tuple(t.column for t in result.treatments if t.category == "Indirect")
         risk = assess_risk(result, counters, quasi_before=scored.get(quasi))

@@ -106,8 +106,10 @@ def column_kinds(figures: DataFrame) -> DataFrame:
     return figures.withColumn("kind", kind)
 
 
-def band_widths(figures: DataFrame, target_bins: int) -> DataFrame:
-    return figures.withColumn("width", nearest_width(F.col("low"), F.col("high"), F.lit(target_bins)))
+def band_widths(figures: DataFrame, target_bins: dict[str, int]) -> DataFrame:
+    """``width_<name>`` for each number of bands a range may be cut into."""
+    return figures.select("*", *[nearest_width(F.col("low"), F.col("high"), F.lit(bins)).alias(f"width_{name}")
+                                 for name, bins in target_bins.items()])
 
 
 def common_categories(df: DataFrame, present: dict[str, int], min_group_frac: float) -> DataFrame:

@@ -70,25 +70,30 @@ def _generalisation_rule(t: Treatment, figures) -> str:
     return "merge"
 
 
-def decide_generalisations(df: DataFrame, treatments: list[Treatment], profile: Profile) -> None:
+def figures_by_column(df: DataFrame, columns: list[str]) -> dict:
+    """Kind, range and band widths under every purpose: one pass, one row per column."""
+    if not columns:
+        return {}
+    bins = {p.key: p.target_bins for p in PROFILES.values()}
+    figures = treat.band_widths(treat.column_kinds(treat.column_figures(df, columns)), bins)
+    return {r["column"]: r for r in figures.collect()}
+
+
+def decide_generalisations(df: DataFrame, treatments: list[Treatment], profile: Profile, figures: dict | None = None) -> None:
     """Fill in kinds, ranges, widths and kept categories from two passes over the columns concerned."""
     # figures are needed for what is generalised, and kinds for whatever is scored
     wanted = [t for t in treatments if t.method == "Generalization" or t.category != "Direct"]
-    if not wanted:
-        return
-    figures = treat.band_widths(treat.column_kinds(treat.column_figures(df, [t.column for t in wanted])),
-                                profile.target_bins)
-    by_column = {r["column"]: r for r in figures.collect()}     # one row per column
+    figures = figures_by_column(df, [t.column for t in wanted]) if figures is None else figures
     merged = {}
     for t in wanted:
-        row = by_column.get(t.column)
+        row = figures.get(t.column)
         if row is None:             # no rows at all
             t.rule = "merge" if t.method == "Generalization" else ""
             continue
         t.kind, t.low, t.high = row["kind"], row["low"], row["high"]
         if t.method == "Generalization":
             t.rule = _generalisation_rule(t, row)
-            t.width = row["width"] if t.rule == "numeric" else None
+            t.width = row[f"width_{profile.key}"] if t.rule == "numeric" else None
             if t.rule == "merge":
                 merged[t.column] = row["present"]
     if merged:
@@ -97,6 +102,28 @@ def decide_generalisations(df: DataFrame, treatments: list[Treatment], profile:
             t.kept = sorted(r["value"] for r in kept if r["column"] == t.column)
 
 
+def numbered_columns(treatments: list[Treatment], profile: Profile) -> list[str]:
+    """Columns whose replacements are numbered."""
+    return [t.column for t in treatments if t.method == "Replacement"
+            and treat.needs_numbers(t.entity, profile.format_preserving)]
+
+
+@dataclass
+class InputStatistics:
+    """What several treatments of one table can share: figures by column, and numbers of distinct values."""
+    figures: dict
+    numbers: DataFrame | None
+
+
+def input_statistics(df: DataFrame, plans: list[tuple[list[Treatment], Profile]], row_key: str) -> InputStatistics:
+    """Read the table once for all plans."""
+    columns = sorted({t.column for treatments, _ in plans for t in treatments
+                      if t.method == "Generalization" or t.category != "Direct"})
+    numbered = sorted({c for treatments, profile in plans for c in numbered_columns(treatments, profile)})
+    numbers = stage(lookup.first_seen_numbers(df, row_key, numbered), "numbers") if numbered else None
+    return InputStatistics(figures_by_column(df, columns), numbers)
+
+
 def _treated(t: Treatment, profile: Profile, salt: str, strict: bool, hash_length: int) -> Column:
     c = F.col(f"`{t.column}`")
     if t.method == "Masking":
@@ -124,8 +151,7 @@ def apply_treatments(df: DataFrame, treatments: list[Treatment], profile: Profil
                      strict: bool = False, hash_length: int = 10, numbers: DataFrame | None = None,
                      broadcast_bytes: int = lookup.BROADCAST_BYTES) -> DataFrame:
     """One projection that yields every column treated, and as it was under ``<column>__before``."""
-    numbered = [t.column for t in treatments if t.method == "Replacement"
-                and treat.needs_numbers(t.entity, profile.format_preserving)]
+    numbered = numbered_columns(treatments, profile)
     if numbered:
         if numbers is None:
             numbers = stage(lookup.first_seen_numbers(df, row_key, numbered), "numbers")
@@ -135,8 +161,13 @@ def apply_treatments(df: DataFrame, treatments: list[Treatment], profile: Profil
         *[F.col(f"`{t.column}`").alias(t.column + BEFORE) for t in treatments])
 
 
+def as_text(df: DataFrame, treatments: list[Treatment], row_key: str) -> DataFrame:
+    return df.select(row_key, *[F.col(f"`{t.column}`").cast("string").alias(t.column) for t in treatments])
+
+
 def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile: str, row_key: str,
-              salt: str | None = None, strict: bool = False, hash_length: int = 10, staged: bool = True) -> Anonymized:
+              salt: str | None = None, strict: bool = False, hash_length: int = 10, staged: bool = True,
+              statistics: InputStatistics | None = None) -> Anonymized:
     """Treat a table the way ``config`` says.
 
     ``row_key`` is unique and gives the order in which values count as first
@@ -145,11 +176,13 @@ def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile:
     a hash: ten suffice for a million distinct values.  ``strict`` also removes values that a
     generalisation would leave as they are.  The result is written to the work
     folder so that scoring does not recompute it; ``staged=False`` leaves it lazy.
+    ``statistics`` saves reading an input again that was read for other purposes.
     """
     chosen = PROFILES[profile]
     salt = salt if salt is not None else secrets.token_hex(8)
     treatments = resolve_treatments(config, detections)
-    text = df.select(row_key, *[F.col(f"`{t.column}`").cast("string").alias(t.column) for t in treatments])
-    decide_generalisations(text, treatments, chosen)
-    paired = apply_treatments(text, treatments, chosen, salt, row_key, strict, hash_length)
+    text = as_text(df, treatments, row_key)
+    decide_generalisations(text, treatments, chosen, statistics and statistics.figures)
+    paired = apply_treatments(text, treatments, chosen, salt, row_key, strict, hash_length,
+                              statistics and statistics.numbers)
     return Anonymized(stage(paired, "paired") if staged else paired, treatments, chosen, row_key)
