@@ -33,18 +33,11 @@ def label_of(entity: Column) -> Column:
 
 
 def text_spans(df: DataFrame, key: str, text: str, entities: list[str] | None = None) -> DataFrame:
-    """One row per span: the key, offsets, entity, matched fragment, and the normalised text.
-
-    Texts that cannot hold a span are dropped by a cheap test before the scan.
-    """
+    """One row per span: the key, offsets, entity, matched fragment, and the normalised text."""
     plain = df.select(F.col(key), F.col(text).alias("text"), normalize_digits(F.col(text)).alias("plain"))
-    tests = [PATTERNS[e].candidate(F.col("plain")) for e in entities or PATTERNS]
     found = F.concat(*[find_spans(F.col("plain"), e) for e in entities or PATTERNS])
-    any_test = tests[0]
-    for test in tests[1:]:
-        any_test = any_test | test
     # explode_outer: the plain explode would add a size filter that evaluates the spans twice
-    spans = plain.where(any_test).select(key, "text", "plain", F.explode_outer(found).alias("span"))
+    spans = plain.select(key, "text", "plain", F.explode_outer(found).alias("span"))
     return spans.where("span.start is not null").select(
         key, "text", "plain", "span.start", "span.end", "span.entity", "span.frag")
 
