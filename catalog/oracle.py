@@ -719,6 +719,65 @@ def _advice(p: str, s: str) -> str:
   union all select 25, 'Have the sharing decision reviewed by your organisation''s data-protection officer / legal team.')"""
 
 
+def _report() -> str:
+    """Lines of the external report as (line_no, section, text), numbered in reading order."""
+    p, methods = "ext", METHODS["external"]
+    quasi = ", ".join(QUASI)
+    score = {x: whole(f"direct_{x} + quasi_{x}") for x in ("before", "after")}
+
+    def fixed(x: str, digits: int) -> str:
+        return f"printf('%.{digits}f', {x})"
+
+    def names(condition: str) -> str:
+        return f"(select coalesce(string_agg(column_name, ', ' order by column_name), 'none') from (select distinct column_name from detections where flagged and {condition}))"
+    lines = []
+
+    def put(section: int, *rows: str):
+        """A row is SQL: a text, or a query of (text, ordering...)."""
+        for row in rows:
+            lines.append((section, row))
+    titles = ["# Privacy Assessment Report"] + [f"## {t}" for t in V.REPORT_TITLES[1:]]
+    exposed = f"(select coalesce(string_agg(col, ', '), 'none') from {p}_exposure where {round2('e')} >= 0.5)"
+    bodies = [
+        [q("- **Dataset:** subjects"), q("- **Date:** 2026-01-01 00:00"),
+         f"'- **Number of records:** ' || format('{{:,}}', (select count(*) from subjects)) || '  |  **Columns:** {len(COLUMNS)}'",
+         q("- **Sharing purpose (profile):** AI / External Company")],
+        ["'- **Sensitive fields:** ' || (select count(distinct column_name) from detections where flagged)",
+         "'- **Types of sensitive information:** ' || (select string_agg(label, ', ' order by label) from (select distinct label from detections where flagged))",
+         q("| Column | Entity | Category | Confidence | Risk | Why it was detected |"), q("|---|---|---|---|---|---|"), None],
+        [q("| Column | Category | Method |"), q("|---|---|---|"),
+         *[q(f"| {c} | {'Direct' if c in WEIGHTS else 'Indirect'} | {methods[c]} |") for c in COLUMNS if methods[c] != "Keep"]],
+        [f"'- **Direct identifiers detected:** ' || {names(chr(39).join(('category = ', 'Direct', '')))}",
+         f"'- **Direct identifiers still strongly exposed:** ' || {exposed}",
+         f"'- **Potential indirect identifiers (quasi-identifiers):** ' || {names(chr(39).join(('category = ', 'Indirect', '')))}"],
+        [*[f"(select '- **{x.title()}:** ' || {score[x]} || ' / 100 (' || {level(f'direct_{x} + quasi_{x}')} || ')' from {p}_risk)" for x in ("before", "after")],
+         f"(select '- Direct-identifier exposure fell from ' || {fixed('direct_before', 0)} || ' to ' || {fixed('direct_after', 0)} || "
+         f"' (of 55) after treating {len(WEIGHTS)} direct-identifier column(s).' from {p}_risk)",
+         f"(select '- Average re-identification probability from combinations of 3 quasi-identifiers ({quasi}) fell from ' || {fixed('average_before', 2)} "
+         f"|| ' to ' || {fixed('average_after', 2)} || '; quasi part ' || {fixed('quasi_before', 0)} || ' → ' || {fixed('quasi_after', 0)} || ' (of 45).' from {p}_risk)",
+         f"(select '- Records that are unique on all quasi-identifiers together: ' || {fixed('100 * unique_before', 0)} || '% → ' || {fixed('100 * unique_after', 0)} "
+         f"|| '%; smallest group size (k-anonymity): ' || k_before || ' → ' || k_after || '.' from {p}_risk)"],
+        [f"(select '- **Before:** 100 / 100  |  **After:** ' || {whole('score')} || ' / 100' from {p}_useful)",
+         q("| Factor | Weight | Value |"), q("|---|---|---|"),
+         *[f"(select '| {f}  {V.UTILITY_FACTORS[f]} | {round(100 * w)}% | ' || {fixed(f'100 * {chr(34)}{f}{chr(34)}', 0)} || '% |' from {p}_useful)"
+           for f, w in V.UTILITY_WEIGHTS.items()]],
+        [None], [q(V.REPORT_LINES[x]) for x in ("detection", "scores", "disclaimer")]]
+    for section, (title, body) in enumerate(zip(titles, bodies)):
+        put(section, q(title), q(""), *body, q(""))
+    parts = []
+    for place, (section, row) in enumerate(lines):
+        if row is not None:
+            parts.append(f"select {section} as section, {place} as place, 0 as nth, {row} as text")
+        elif section == 1:
+            parts.append(f"""select 1, {place}, row_number() over (order by category, column_name, d.place),
+              '| ' || column_name || ' | ' || label || ' | ' || category || ' | ' || {fixed('100 * confidence', 0)} || '% | ' || risk || ' | '
+              || replace(reasons, '|', '; ') || ' |' from detections d join explained x on x.col = d.column_name and x.entity = d.entity where flagged""")
+        else:
+            parts.append(f"select {section}, {place}, row_number() over (order by advice.place), '- ' || text from ({_advice('external', p)}) advice where text is not null")
+    return ("select section, cast(row_number() over (order by place, nth) - 1 as int) as line_no, text from ("
+            + " union all ".join(parts) + ")")
+
+
 def _treated_columns(p: str) -> str:
     return f"select c_custkey, {', '.join(COLUMNS)} from {p}_treated"
 
@@ -887,6 +946,7 @@ rated as (select *, {round2('''least(0.99::double, (case entity when 'SAUDI_NATI
     "recommendations": (with_(*[x for p in BINS for x in (treated(p), scores(p))])
                         + "select profile, cast(row_number() over (partition by profile order by place) - 1 as int) as line_no, text from ("
                         + " union all ".join(_advice(p, p[:3]) for p in BINS) + ") where text is not null"),
+    "privacy_report": with_(DETECTION, _explained(), treated("external"), scores("external")) + _report(),
     "outcome_verdict": all_profiles(lambda p, s: f"""select '{p}' as profile, case
       when b - a >= 40 and u >= 70 then 'Privacy improved significantly (risk ' || b || ' → ' || a || ') while Data Utility remained high (' || u || '%).'
       when b > a then 'Privacy improved (risk ' || b || ' → ' || a || ', now ' || lev || ') and Data Utility is ' || u

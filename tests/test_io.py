@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 import veilframe as vf
 from tests.people import COLUMNS, ROWS
 from veilframe.operators.utility import assess_utility

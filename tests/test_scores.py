@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import veilframe as vf
 from tests.people import COLUMNS, ROWS
-from veilframe.operators import report, risk, scoring
+from veilframe.operators import risk, scoring
 from veilframe.operators.utility import numeric_distribution
 from veilframe.plans.anonymize import Treatment, anonymize
 from veilframe.plans.config import build_config, override_config

@@ -1,8 +1,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from veilframe.functions import masks, spans, text
 from veilframe.operators import corpus
 

@@ -75,13 +75,3 @@ def round_exact(c: Column, digits: int) -> Column:
                .when(tie & (error < 0), below)
                .otherwise(F.rint(product)))
     return rounded / scale
-
-
-def percent(c: Column) -> Column:
-    """A share as ``45%``."""
-    return F.concat(F.rint(c * 100).cast("long").cast("string"), F.lit("%"))
-
-
-def fixed_point(c: Column, digits: int) -> Column:
-    """A double as text with ``digits`` decimals."""
-    return F.format_string(f"%.{digits}f", round_exact(c, digits))
