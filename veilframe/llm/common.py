@@ -44,7 +44,7 @@ def map_pieces(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
     ``make`` runs once in each task, so that a model is set up once, and returns
     the function from a piece to the columns of its result.
     """
-    names = [c.strip().split(" ")[0] for c in _fields(schema)]
+    names = [c.strip().split(" ")[0].strip("`") for c in _fields(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -1,6 +1,9 @@
 """The queries of this subpackage and their SQL counterparts for DuckDB."""
 
+from veilframe.llm.byte_bpe import op4_byte_bpe
 from veilframe.llm.decontaminate import OP2_SQL, op2_decontamination
+from veilframe.llm.language import op6_language_id
+from veilframe.llm.token_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_decontamination,)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_byte_bpe, op6_language_id, op8_token_counts)}
 ORACLE_SQL = {"op2_decontamination": OP2_SQL}
