@@ -4,8 +4,9 @@ from veilframe.llm.byte_bpe import op4_byte_bpe
 from veilframe.llm.decontaminate import OP2_SQL, op2_decontamination
 from veilframe.llm.html_text import op1_html_text
 from veilframe.llm.language import op6_language_id
+from veilframe.llm.quality import OP7_SQL, op7_quality_rules
 from veilframe.llm.secrets import op3_secret_scans
 from veilframe.llm.token_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontamination, op3_secret_scans, op4_byte_bpe, op6_language_id, op8_token_counts)}
-ORACLE_SQL = {"op2_decontamination": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontamination, op3_secret_scans, op4_byte_bpe, op6_language_id, op7_quality_rules, op8_token_counts)}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op7_quality_rules": OP7_SQL}
