@@ -7,6 +7,8 @@ from veilframe.llm.language import op6_language_id
 from veilframe.llm.quality import OP7_SQL, op7_quality_rules
 from veilframe.llm.secrets import op3_secret_scans
 from veilframe.llm.token_counts import op8_token_counts
+from veilframe.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontamination, op3_secret_scans, op4_byte_bpe, op6_language_id, op7_quality_rules, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontamination, op3_secret_scans, op4_byte_bpe, op6_language_id, op7_quality_rules, op8_token_counts,
+                                 op10_toxicity)}
 ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op7_quality_rules": OP7_SQL}
