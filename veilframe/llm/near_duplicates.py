@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from veilframe.llm import common, words as W
 from veilframe.llm.components import components
@@ -218,7 +218,7 @@ def _link(percent: int, size: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, and the key of its row (doc, th).
+    """doc_id, n_shingles and component_id of every document; the number of its component and the key of its row (doc, th).
 
     Documents are linked if 100 * intersection >= percent * union of their sets of
     ``size``-word shingles; component_id is the smallest doc_id that links reach.
@@ -251,11 +251,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     named = classes.select("cid", "c1", "c2", "n", "doc").join(reached.withColumnRenamed("node", "cid"), "cid", "left") \
         .withColumn("component", F.coalesce("component", "cid"))
     first = named.groupBy("component").agg(F.min("doc").alias("component_doc"))
-    named = named.join(first, "component").select("c1", "c2", "n", "component_doc")
+    named = named.join(first, "component").select("c1", "c2", "n", "component", "component_doc")
     out = measured.drop("signature").join(named, ["c1", "c2", "n"], "left")
     kind = dict(docs.dtypes)["doc_id"]
     component = F.coalesce("component_doc", "doc")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != LAST, component).cast(kind).alias("component_id"), "doc", "th")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != LAST, component).cast(kind).alias("component_id"), "component", "doc", "th")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, one with the smallest id, and all rows without words."""
+    found = near_duplicates(docs.select("doc_id", "text"), percent, size)
+    chosen = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc", "th")).alias("r")).select("r.doc", "r.th")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = text.rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(words).withColumns({"doc__": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "th__": F.xxhash64(text)})
+    kept = keyed.join(chosen.hint("shuffle_hash").withColumnsRenamed({"doc": "doc__", "th": "th__"}), ["doc__", "th__"], "left_semi")
+    order = Window.partitionBy("doc__", "th__").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = kept.withColumn("place__", F.row_number().over(order)).where("place__ = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~words))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
