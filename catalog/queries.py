@@ -15,6 +15,7 @@ from veilframe.streaming import mask_stream
 
 KEY = "c_custkey"
 SALT = "pepper"
+SHORT = 10         # hexadecimal characters of a pseudonym, the short form
 QUERIES = {}
 
 
@@ -37,7 +38,7 @@ def _staged(spark: SparkSession, sf_dir: str, what: str, profile: str = ""):
     found = _staged(spark, sf_dir, "detections")
     planned = config.build_config(found, COLUMNS, profile)
     if what == "anonymized":
-        return anonymize.anonymize(people, planned, found, profile, KEY, SALT)
+        return anonymize.anonymize(people, planned, found, profile, KEY, SALT, hash_length=SHORT)
     if what == "counters":
         return scoring.measure(_staged(spark, sf_dir, "anonymized", profile))
     raise KeyError(what)
@@ -462,7 +463,7 @@ def suppress(spark, sf_dir):
 @query
 def hash_pseudonym(spark, sf_dir):
     return people(spark, sf_dir).select(KEY, *[
-        treat.hash_value(F.col(c), SALT).alias(c) for c in ("customer_id", "national_id", "city")])
+        treat.hash_value(F.col(c), SALT, SHORT).alias(c) for c in ("customer_id", "national_id", "city")])
 
 
 @query

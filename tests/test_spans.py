@@ -121,3 +121,31 @@ def test_context_window(spark):
 
 def test_separator_before_a_bare_mobile_is_swallowed(apply):
     assert apply(lambda c: masks.mask_free_text(c, "medium"), ["call 551234567 now"]) == ["call055****567 now"]
+
+
+def test_cost_is_linear_in_the_number_of_identifiers(spark):
+    import time
+    from pyspark.sql import functions as F
+    from veilframe.functions.masks import mask_free_text
+
+    def seconds(k):
+        text = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.concat(
+            F.lit("mail user"), i.cast("string"), F.lit("@example.com and more "))), "").alias("t"))
+        began = time.perf_counter()
+        assert text.select(F.length(F.regexp_replace(mask_free_text(F.col("t"), "strong"), "[^@]", "")).alias("n")).first().n == k
+        return time.perf_counter() - began
+    seconds(500)
+    small, large = (min(seconds(k) for _ in range(2)) for k in (8_000, 16_000))
+    assert large <= 2.5 * small + 0.5
+
+
+def test_running_sums(apply):
+    from pyspark.sql import functions as F
+    for n in (0, 1, 127, 128, 129, 1000):
+        values = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: (i * 7 % 13).cast("int"))
+        got = apply(lambda c: spans.running_sums(F.slice(values, 1, n)), ["x"])[0]
+        total, wanted = 0, []
+        for i in range(n):
+            total += i * 7 % 13
+            wanted.append(total)
+        assert got == wanted

@@ -16,8 +16,10 @@ def digest(c: Column, salt: str) -> Column:
 
 
 def _digits_of(seed: Column) -> Column:
-    # 64 hexadecimal characters as 64 decimal digits
-    return F.translate(seed, "abcdef", "012345")
+    # nine even digits from each 15 of 64 hexadecimal characters: 36 digits
+    parts = [F.lpad((F.conv(F.substring(seed, 1 + 15 * i, 15), 16, 10).cast("bigint") % 10 ** 9).cast("string"), 9, "0")
+             for i in range(4)]
+    return F.concat(*parts)
 
 
 def reformat_like(original: Column, compact: Column) -> Column:
@@ -46,7 +48,7 @@ def fake_mobile(c: Column, salt: str) -> Column:
     def build(plain):
         digits = F.regexp_replace(plain, r"(?U)\D", "")
         prefix = F.regexp_extract(digits, "^([^5]*5)", 1)
-        drawn = F.substring(F.repeat(_digits_of(digest(c, salt)), 4), F.lit(1), F.length(digits) - F.length(prefix))
+        drawn = F.substring(F.repeat(_digits_of(digest(c, salt)), 8), F.lit(1), F.length(digits) - F.length(prefix))
         return let(F.concat(prefix, drawn), lambda new: reformat_like(plain, new))
     return let(normalize_digits(c), build)
 

@@ -92,17 +92,19 @@ def _mask_span(value: Column, entity: Column, strength: str) -> Column:
 
 def mask_free_text(c: Column, strength: str) -> Column:
     """Mask only the identifiers inside a text and leave the rest as it is."""
-    def add(acc, span):
-        between = F.substring(c, acc["end"] + 1, span["start"] - acc["end"])
-        value = F.substring(c, span["start"] + 1, span["end"] - span["start"])
-        masked = let(value, lambda v: _mask_span(v, span["entity"], strength))
-        return F.struct(span["end"].alias("end"), F.concat(acc["text"], between, masked).alias("text"))
-
-    def rewrite(plain):
-        spans = resolve_overlaps(all_spans(plain))
-        start = F.struct(F.lit(0).alias("end"), F.lit("").alias("text"))
-        text = F.aggregate(spans, start, add, lambda acc: F.concat(
-            acc["text"], F.substring(c, acc["end"] + 1, F.length(c))))
-        return F.when(may_hold_spans(plain), text).otherwise(c)
-
-    return let(normalize_digits(c), rewrite)
+    # pieces are cut from an array of characters: a place in a text would be counted from its start each time
+    def rewrite(parts):
+        spans, chars = parts["spans"], parts["chars"]
+
+        def piece(start, end):
+            return F.array_join(F.slice(chars, start + 1, F.greatest(end - start, F.lit(0))), "")
+
+        masked = F.transform(spans, lambda s, i: F.concat(
+            piece(F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0), s["start"]),
+            let(piece(s["start"], s["end"]), lambda v: _mask_span(v, s["entity"], strength))))
+        last = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
+        return F.concat(F.array_join(masked, ""), piece(last, F.size(chars)))
+
+    plain = normalize_digits(c)
+    parts = F.struct(resolve_overlaps(let(plain, all_spans)).alias("spans"), F.split(c, "").alias("chars"))
+    return F.when(may_hold_spans(plain), let(parts, rewrite)).otherwise(c)

@@ -18,6 +18,7 @@ from veilframe.functions.text import WORD, context_place, let, normalize_digits
 
 SPAN_TYPE = "array<struct<start:int,end:int,entity:string,frag:string>>"
 _MARK = "\x01"        # one plain character, so splitting needs no regex
+_BLOCK = 128
 
 _LOCAL = r"A-Za-z0-9._%+\-"
 
@@ -68,20 +69,35 @@ PATTERNS: dict[str, Pattern] = {p.entity: p for p in (
 )}
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers of an array.
+
+    Blocks are summed first, so that each number is added up with those of its own
+    block and the sums of the blocks before it, not with all numbers before it.
+    """
+    def in_blocks(v):
+        return F.transform(F.sequence(F.lit(1), F.size(v), F.lit(_BLOCK)), lambda i: F.slice(v, i, _BLOCK))
+
+    def total(v):
+        return F.aggregate(v, F.lit(0), lambda acc, x: acc + x)
+
+    def from_blocks(blocks):
+        def shifted(sums):
+            return F.flatten(F.transform(blocks, lambda b, k: let(total(F.slice(sums, F.lit(1), k)), lambda before: F.transform(
+                b, lambda _, i: before + total(F.slice(b, F.lit(1), i + 1))))))
+        return let(F.transform(blocks, total), shifted)
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(in_blocks(v), from_blocks)).otherwise(v))
+
+
 def _spans_from_pieces(pieces: Column, entity: str) -> Column:
     # pieces alternate: text outside, match, text outside, match, ...
-    def add(acc, i):
-        start = acc["end"] + F.length(F.get(pieces, i - 1))
-        frag = F.get(pieces, i)
-        end = start + F.length(frag)
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(entity).alias("entity"), frag.alias("frag"))
-        return F.struct(end.alias("end"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def spans(ends):
+        return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: F.struct(
+            F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("end"), F.lit(entity).alias("entity"), F.get(pieces, i).alias("frag")))
 
-    empty = F.array().cast(SPAN_TYPE)
-    places = F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))
-    folded = F.aggregate(places, F.struct(F.lit(0).alias("end"), empty.alias("spans")), add,
-                         lambda acc: acc["spans"])
-    return F.when(F.size(pieces) > 1, folded).otherwise(empty)
+    found = let(running_sums(F.transform(pieces, F.length)), spans)
+    return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(SPAN_TYPE))
 
 
 def find_spans(text: Column, entity: str) -> Column:
@@ -108,13 +124,26 @@ def may_hold_spans(text: Column) -> Column:
 
 
 def resolve_overlaps(spans: Column) -> Column:
-    """Sort by (start, end, entity) and keep each span that starts after the kept ones."""
+    """Sort by (start, end, entity) and keep each span that starts after the kept ones.
+
+    A span that no earlier one reaches starts a cluster, and only clusters of
+    several spans are folded one by one.
+    """
     def keep(acc, span):
         fits = span["start"] >= acc["end"]
         return F.when(fits, F.struct(span["end"].alias("end"), F.concat(acc["spans"], F.array(span)).alias("spans"))
                       ).otherwise(acc)
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast(SPAN_TYPE).alias("spans"))
-    return F.aggregate(F.array_sort(spans), start, keep, lambda acc: acc["spans"])
+
+    def folded(cluster):
+        start = F.struct(F.lit(-1).alias("end"), F.array().cast(SPAN_TYPE).alias("spans"))
+        return F.aggregate(cluster, start, keep, lambda acc: acc["spans"])
+
+    def by_cluster(ordered):
+        opens = F.filter(F.transform(ordered, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(ordered, i - 1)["end"]), i)), lambda i: i.isNotNull())
+        return let(opens, lambda first: F.flatten(F.transform(first, lambda i, k: folded(
+            F.slice(ordered, i + 1, F.coalesce(F.get(first, k + 1), F.size(ordered)) - i)))))
+
+    return let(F.sort_array(spans), by_cluster)
 
 
 def span_valid(frag: Column, entity: str) -> Column:
@@ -131,6 +160,5 @@ def span_context(text: Column, span: Column, entity: str) -> Column:
 def count_spans(text: Column) -> Column:
     """Number of spans of all entities in a text that is not yet digit-normalised."""
     def count(plain):
-        total = sum((F.size(find_spans(plain, e)) for e in PATTERNS), F.lit(0))
-        return F.when(may_hold_spans(plain), total).otherwise(0)
-    return let(normalize_digits(text), count)
+        return sum((F.size(find_spans(plain, e)) for e in PATTERNS), F.lit(0))
+    return F.when(may_hold_spans(normalize_digits(text)), let(normalize_digits(text), count)).otherwise(0)

@@ -23,6 +23,11 @@ _OTHER_DIGITS = "".join(
 _OTHER_DIGITS_ASCII = "".join(str(unicodedata.decimal(c)) for c in _OTHER_DIGITS)
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters a header has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def _unless_ascii(c: Column, rewritten: Column, ascii_form: Column) -> Column:
     # ASCII text has as many bytes as characters; per-character rewriting is skipped for it
     return F.when(F.octet_length(c) == F.length(c), ascii_form).otherwise(rewritten)

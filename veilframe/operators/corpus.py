@@ -6,7 +6,7 @@ from veilframe import fixed_values as V
 from veilframe.functions.masks import mask_free_text
 from veilframe.functions.numbers import round_exact
 from veilframe.functions.spans import PATTERNS, find_spans, span_context, span_valid
-from veilframe.functions.text import look_up_literal, normalize_digits, strings
+from veilframe.functions.text import look_up_literal, named, normalize_digits, strings
 
 
 def lower_risk(base: Column, confidence: Column) -> Column:
@@ -34,12 +34,12 @@ def label_of(entity: Column) -> Column:
 
 def text_spans(df: DataFrame, key: str, text: str, entities: list[str] | None = None) -> DataFrame:
     """One row per span: the key, offsets, entity, matched fragment, and the normalised text."""
-    plain = df.select(F.col(key), F.col(text).alias("text"), normalize_digits(F.col(text)).alias("plain"))
+    plain = df.select(named(key), named(text).alias("text"), normalize_digits(named(text)).alias("plain"))
     found = F.concat(*[find_spans(F.col("plain"), e) for e in entities or PATTERNS])
     # explode_outer: the plain explode would add a size filter that evaluates the spans twice
-    spans = plain.select(key, "text", "plain", F.explode_outer(found).alias("span"))
+    spans = plain.select(named(key), "text", "plain", F.explode_outer(found).alias("span"))
     return spans.where("span.start is not null").select(
-        key, "text", "plain", "span.start", "span.end", "span.entity", "span.frag")
+        named(key), "text", "plain", "span.start", "span.end", "span.entity", "span.frag")
 
 
 def _by_pattern(entity: Column, value) -> Column:
@@ -55,7 +55,7 @@ def corpus_findings(df: DataFrame, key: str, text: str) -> DataFrame:
     spans = text_spans(df, key, text)
     place = _by_pattern(entity, lambda e: span_context(F.col("plain"), F.struct(start, end), e))
     checked = spans.select(
-        key, "start", "end", "entity", F.substring(F.col("text"), start + 1, end - start).alias("found"),
+        named(key), "start", "end", "entity", F.substring(F.col("text"), start + 1, end - start).alias("found"),
         _by_pattern(entity, lambda e: span_valid(F.col("frag"), e)).alias("valid"), place.alias("place"))
 
     weight = by_entity(entity, {e: p.weights[0] for e, p in PATTERNS.items()})
@@ -76,7 +76,7 @@ def corpus_findings(df: DataFrame, key: str, text: str) -> DataFrame:
         .otherwise(said["no_context"])))
     scored = checked.withColumn("confidence", round_exact(F.least(raw, F.lit(V.CONFIDENCE_CAP)), 2))
     return scored.select(
-        key, "start", "end", "found", "entity", "confidence",
+        named(key), "start", "end", "found", "entity", "confidence",
         F.when(F.col("confidence") >= V.FLAG_AT, lower_risk(base_risk_of(entity), F.col("confidence")))
         .otherwise(V.NOT_FLAGGED).alias("risk"),
         F.array_join(reasons, " + ").alias("reason"))
@@ -84,4 +84,4 @@ def corpus_findings(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def mask_text(df: DataFrame, text: str, strength: str = "medium") -> DataFrame:
     """``df`` with the identifiers inside one text column masked; works on streams too."""
-    return df.withColumn(text, mask_free_text(F.col(text), strength))
+    return df.withColumn(text, mask_free_text(named(text), strength))

@@ -15,7 +15,7 @@ from veilframe import fixed_values as V
 from veilframe.functions.numbers import looks_like_date, parse_number, round_exact
 from veilframe.functions.spans import PATTERNS, find_spans, span_context, span_valid
 from veilframe.functions.text import (
-    column_hint, fold_arabic, folded_address_places, folded_is_city, let, name_shape, normalize_digits, sql_text, strip)
+    column_hint, fold_arabic, folded_address_places, folded_is_city, let, name_shape, named, normalize_digits, sql_text, strip)
 from veilframe.operators.corpus import base_risk_of, category_of, label_of, lower_risk
 from veilframe.session import stage
 
@@ -43,10 +43,10 @@ def profiled_columns(df: DataFrame, row_key: str | None) -> list[str]:
 def cells(df: DataFrame, row_key: str | None, columns: list[str]) -> DataFrame:
     """(row_key, column, value) for every cell that is neither null nor blank, stripped."""
     # without a row key the scan order stands in for it; it is taken before any shuffle
-    key = F.col(f"`{row_key}`") if row_key else F.monotonically_increasing_id()
-    wide = df.select(key.alias("row_key"), *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    long = wide.unpivot(["row_key"], [F.col(f"`{c}`") for c in columns], "column", "raw")
-    return long.select("row_key", "column", strip(F.col("raw")).alias("value")).where("value <> ''")
+    key = named(row_key) if row_key else F.monotonically_increasing_id()
+    wide = df.select(key.alias("__row_key"), *[named(c).cast("string").alias(c) for c in columns])
+    long = wide.unpivot(["__row_key"], [named(c) for c in columns], "column", "raw")
+    return long.select(F.col("__row_key").alias("row_key"), "column", strip(F.col("raw")).alias("value")).where("value <> ''")
 
 
 def _in(columns) -> str:
@@ -129,14 +129,9 @@ def distinct_counts(long: DataFrame, columns: list[str], approximate: bool = Fal
 
 
 def profile_columns(df: DataFrame, row_key: str | None = None, columns: list[str] | None = None,
-                    sample_fraction: float | None = None, approximate: bool = False) -> DataFrame:
-    """One row of counters per column; the evidence ``detect`` turns into confidences.
-
-    ``sample_fraction`` profiles a random part of the rows instead of all.
-    """
+                    approximate: bool = False) -> DataFrame:
+    """One row of counters per column; the evidence ``detect`` turns into confidences."""
     columns = columns or profiled_columns(df, row_key)
-    if sample_fraction:
-        df = df.sample(fraction=sample_fraction, seed=0)
     hints = hints_for(columns)
     long = cells(df, row_key, columns)
     totals = _column_totals(_lane_totals(_cell_flags(long, hints)))
@@ -306,10 +301,10 @@ def _keep_best(rated: DataFrame) -> DataFrame:
 
 
 def detect(df: DataFrame, row_key: str | None = None, columns: list[str] | None = None,
-           sample_fraction: float | None = None, approximate: bool = False) -> DataFrame:
+           approximate: bool = False) -> DataFrame:
     """All detections of a table, one row per column and entity."""
     columns = columns or profiled_columns(df, row_key)
-    profile = profile_columns(df, row_key, columns, sample_fraction, approximate)
+    profile = profile_columns(df, row_key, columns, approximate)
     return findings_from_profile(profile, columns)
 
 
@@ -347,7 +342,7 @@ def first_values(df: DataFrame, row_key: str, columns: list[str], rows: list) ->
     """First three values, by row key, of each (column, group) that has any."""
     wanted = {(r["column"], g): r[f"{g}_bound"] for r in rows for g in _GROUPS if g == "any" or r[f"{g}_n"] > 0}
     if wanted and None not in wanted.values():
-        df = df.where(F.col(f"`{row_key}`") <= F.lit(max(wanted.values())))
+        df = df.where(named(row_key) <= F.lit(max(wanted.values())))
     flags = _cell_flags(cells(df, row_key, columns), hints_for(columns))
     # (column, group, bound) is as long as the header; broadcasting it keeps the cells where they are
     bounds = df.sparkSession.createDataFrame(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veilframe.functions.text import is_blank
+from veilframe.functions.text import is_blank, named
 from veilframe.session import stage
 
 BROADCAST_BYTES = 32 << 20
@@ -12,9 +12,9 @@ SPREAD = 4096
 
 def distinct_first_seen(df: DataFrame, row_key: str, columns: list[str]) -> DataFrame:
     """(column, value, first_key, n_rows) of every distinct value that is not null or blank."""
-    cells = df.select(F.col(row_key).alias("first_key"), *columns).unpivot(
-        ["first_key"], columns, "column", "value").where(F.col("value").isNotNull() & ~is_blank(F.col("value")))
-    return cells.groupBy("column", "value").agg(F.min("first_key").alias("first_key"), F.count("*").alias("n_rows"))
+    cells = df.select(named(row_key).alias("__first_key"), *map(named, columns)).unpivot(
+        ["__first_key"], [named(c) for c in columns], "column", "value").where(F.col("value").isNotNull() & ~is_blank(F.col("value")))
+    return cells.groupBy("column", "value").agg(F.min("__first_key").alias("first_key"), F.count("*").alias("n_rows"))
 
 
 def first_seen_numbers(df: DataFrame, row_key: str, columns: list[str]) -> DataFrame:
@@ -58,7 +58,7 @@ def look_up(df: DataFrame, key: Column, mapping: DataFrame, row_key: str, result
     cold = mapping.select(F.col("value").alias("__value"), F.lit(0).alias("__zero"), F.col("payload").alias("__payload"))
     known = df.join(F.broadcast(hot), key == F.col("__hot"), "left")
     lane = F.when(F.col("__hot").isNotNull() | key.isNull() | is_blank(key),
-                  F.pmod(F.xxhash64(row_key), F.lit(SPREAD)) + 1).otherwise(0)
+                  F.pmod(F.xxhash64(named(row_key)), F.lit(SPREAD)) + 1).otherwise(0)
     # hot rows carry a lane above zero and so match nothing here
     joined = known.withColumn("__key", F.coalesce(key, F.lit(""))).withColumn("__lane", lane).join(
         cold, (F.col("__key") == F.col("__value")) & (F.col("__lane") == F.col("__zero")), "left")
@@ -70,32 +70,49 @@ def attach_numbers(df: DataFrame, row_key: str, columns: list[str], numbers: Dat
                    broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``__number_<column>`` for each column from ``numbers`` (column, value, n_rows, number).
 
-    Columns with few distinct values are looked up by broadcast.  The others are
-    looked up together on narrow (row key, column, value) rows, and the wide
-    table is shuffled once, by its unique row key, however many columns there are.
+    Columns with few distinct values are looked up by broadcast, smallest first,
+    as long as all maps together stay within ``broadcast_bytes``.  The others are
+    looked up together on narrow (row key, column, value) rows, and the wide table
+    is shuffled once, by its row key.  That needs keys that name one row each, so
+    they are counted first; where a key repeats or is null, each column is looked
+    up by its own value instead.
     """
     sizes = numbers.groupBy("column").agg(F.sum(F.octet_length("value") + 64).alias("bytes")).collect()
     bytes_of = {r["column"]: r["bytes"] for r in sizes}         # one row per column
-    large = [c for c in columns if bytes_of.get(c, 0) > broadcast_bytes]
-    for column in columns:
-        if column not in large:
-            small = numbers.where(F.col("column") == column).select(
-                F.col("value").alias("__value"), F.col("number").alias(f"__number_{column}"))
-            df = df.join(F.broadcast(small), F.col(f"`{column}`") == F.col("__value"), "left").drop("__value")
+    large, total = [], 0
+    for column in sorted(columns, key=lambda c: bytes_of.get(c, 0)):
+        total += bytes_of.get(column, 0)
+        if total > broadcast_bytes:
+            large.append(column)
+            continue
+        small = numbers.where(F.col("column") == column).select(
+            F.col("value").alias("__value"), F.col("number").alias(f"__number_{column}"))
+        df = df.join(F.broadcast(small), named(column) == F.col("__value"), "left").drop("__value")
     if not large:
         return df
-    cells = df.select(row_key, *[f"`{c}`" for c in large]).unpivot(
-        [row_key], [F.col(f"`{c}`") for c in large], "__column", "__cell").where(
+    if len(large) == 1 or _repeats(df, row_key):
+        for column in large:
+            mapping = numbers.where(F.col("column") == column).select("value", "n_rows", F.col("number").alias("payload"))
+            df = look_up(df, named(column), mapping, row_key, f"__number_{column}", 0)
+        return df
+    cells = df.select(named(row_key).alias("__row"), *map(named, large)).unpivot(
+        ["__row"], [named(c) for c in large], "__column", "__cell").where(
         F.col("__cell").isNotNull() & ~is_blank(F.col("__cell")))
     key = F.concat(F.col("__column"), F.lit("\x00"), F.col("__cell"))
     mapping = numbers.where(F.col("column").isin(large)).select(
         F.concat(F.col("column"), F.lit("\x00"), F.col("value")).alias("value"), "n_rows", F.col("number").alias("payload"))
-    found = look_up(cells, key, mapping, row_key, "__number", broadcast_bytes)
-    wide = found.groupBy(row_key).agg(*[
+    found = look_up(cells, key, mapping, "__row", "__number", 0)
+    wide = found.groupBy("__row").agg(*[
         F.max(F.when(F.col("__column") == c, F.col("__number"))).alias(f"__number_{c}") for c in large])
-    return df.join(wide, row_key, "left")
+    return df.join(wide, named(row_key) == F.col("__row"), "left").drop("__row")
+
+
+def _repeats(df: DataFrame, row_key: str) -> bool:
+    """Whether some key names more than one row, or none."""
+    keys = df.groupBy(named(row_key).alias("key")).agg(F.count("*").alias("n"))
+    return bool(keys.where((F.col("n") > 1) | F.col("key").isNull()).limit(1).count())
 
 
 def class_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(columns..., class_size) of every combination that occurs; null is a value of its own."""
-    return df.groupBy(*columns).agg(F.count("*").alias("class_size"))
+    return df.groupBy(*map(named, columns)).agg(F.count("*").alias("class_size"))

@@ -6,6 +6,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from veilframe import fixed_values as V
+from veilframe.functions.text import named
 from veilframe.operators.lookup import class_sizes, look_up
 from veilframe.operators.scoring import measure
 from veilframe.plans.anonymize import BEFORE, Anonymized, Treatment
@@ -24,7 +25,7 @@ def level(score: float) -> str:
 # --------------------------------------------------------------------------- equivalence classes
 def classes(df: DataFrame, columns: list[str]) -> DataFrame:
     """Size of every combination of values, null counting as a value; one shuffle of distinct combinations."""
-    filled = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(V.NULL_CLASS)).alias(c) for c in columns])
+    filled = df.select(*[F.coalesce(named(c).cast("string"), F.lit(V.NULL_CLASS)).alias(c) for c in columns])
     return class_sizes(filled, columns)
 
 
@@ -53,7 +54,7 @@ def subset_classes(class_table: DataFrame, columns: list[str], approximate: bool
     if approximate:
         # sketches of a few kilobytes each, all filled in one pass and merged after it
         counts = class_table.agg(*[
-            F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[f"`{c}`" for c in s]), SKETCH_SIZE)).alias(str(i))
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[named(c) for c in s]), SKETCH_SIZE)).alias(str(i))
             for i, s in enumerate(subsets)])
         pairs = [x for i, s in enumerate(subsets) for x in (F.lit(", ".join(s)), F.col(str(i)))]
         return counts.select(F.stack(F.lit(len(subsets)), *pairs).alias("subset", "classes"))
@@ -62,8 +63,8 @@ def subset_classes(class_table: DataFrame, columns: list[str], approximate: bool
         batch = subsets[i:i + SUBSETS_PER_JOB]
         ids = [sum(1 << (len(columns) - 1 - p) for p, c in enumerate(columns) if c not in s) for s in batch]
         names = F.create_map(*[x for g, s in zip(ids, batch) for x in (F.lit(g).cast("bigint"), F.lit(", ".join(s)))])
-        present = class_table.groupingSets([[F.col(f"`{c}`") for c in s] for s in batch],
-                                           *[F.col(f"`{c}`") for c in columns]).agg(F.grouping_id().alias("gid"))
+        present = class_table.groupingSets([[named(c) for c in s] for s in batch],
+                                           *[named(c) for c in columns]).agg(F.grouping_id().alias("gid"))
         part = present.groupBy("gid").agg(F.count("*").alias("classes")).select(
             F.element_at(names, F.col("gid")).alias("subset"), "classes")
         result = part if result is None else result.unionByName(part)
@@ -98,10 +99,10 @@ def class_size_per_row(df: DataFrame, row_key: str, columns: list[str], **option
     The sizes are counted first and looked up, because a window over the classes
     would bring all rows of a large class together in one task.
     """
-    filled = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(V.NULL_CLASS)) for c in columns]
+    filled = [F.coalesce(named(c).cast("string"), F.lit(V.NULL_CLASS)) for c in columns]
     # length-prefixed, so different combinations never make the same text
     combined = F.concat(*[x for c in filled for x in (F.length(c).cast("string"), F.lit(":"), c)])
-    keyed = df.select(row_key, *[f"`{c}`" for c in columns], combined.alias("__class"))
+    keyed = df.select(named(row_key), *[named(c) for c in columns], combined.alias("__class"))
     sizes = stage(keyed.groupBy(F.col("__class").alias("value")).agg(F.count("*").alias("payload")), "class-sizes")
     mapping = sizes.withColumn("n_rows", F.col("payload"))
     return look_up(keyed, F.col("__class"), mapping, row_key, "class_size", **options).drop("__class")
@@ -195,6 +196,6 @@ def assess_risk(result: Anonymized, counters: dict | None = None, approximate: b
                exposure(t, counters.get(t.column, {}))) for t in result.treatments if t.category == "Direct"]
     quasi = [t.column for t in result.treatments if t.category == "Indirect"]
     if quasi_before is None:
-        original = result.paired.select(*[F.col(f"`{c}{BEFORE}`").alias(c) for c in quasi])
+        original = result.paired.select(*[named(c + BEFORE).alias(c) for c in quasi])
         quasi_before = quasi_risk(original, quasi, approximate)
     return Risk(direct, quasi, quasi_before, quasi_risk(result.paired, quasi, approximate))

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilframe import fixed_values as V
 from veilframe.functions.numbers import band_midpoint, parse_number
 from veilframe.functions.spans import count_spans
-from veilframe.functions.text import let, normalize_digits
+from veilframe.functions.text import let, named, normalize_digits
 from veilframe.plans.anonymize import BEFORE, Anonymized
 
 
 def stack_pairs(paired: DataFrame, columns: list[str]) -> DataFrame:
     """(column, before, after) for each cell of the named columns."""
-    pairs = [F.struct(F.col(f"`{c}{BEFORE}`").alias("before"), F.col(f"`{c}`").alias("after")).alias(c)
+    pairs = [F.struct(named(c + BEFORE).alias("before"), named(c).alias("after")).alias(c)
              for c in columns]
-    return paired.select(*pairs).unpivot([], [F.col(f"`{c}`") for c in columns], "column", "pair").select(
+    return paired.select(*pairs).unpivot([], [named(c) for c in columns], "column", "pair").select(
         "column", "pair.before", "pair.after")
 
 
@@ -89,5 +89,5 @@ def changed_columns(paired: DataFrame, columns: list[str]) -> DataFrame:
 
 def preview(result: Anonymized, columns: list[str], rows: int) -> DataFrame:
     """The first rows by row key, as they were and as they are."""
-    shown = [x for c in columns for x in (f"`{c}{BEFORE}`", f"`{c}`")]
-    return result.paired.select(result.row_key, *shown).orderBy(result.row_key).limit(rows)
+    shown = [x for c in columns for x in (named(c + BEFORE), named(c))]
+    return result.paired.select(named(result.row_key), *shown).orderBy(named(result.row_key)).limit(rows)

@@ -8,7 +8,7 @@ from veilframe import fixed_values as V
 from veilframe.functions.fakes import STATELESS_FAKES
 from veilframe.functions.masks import mask_free_text, mask_value
 from veilframe.functions.numbers import band_label, looks_like_date, nearest_width, parse_number
-from veilframe.functions.text import is_blank, normalize_digits, region_of_city, strip
+from veilframe.functions.text import is_blank, named, normalize_digits, region_of_city, strip
 
 
 # --------------------------------------------------------------------------- treatments of one value
@@ -25,8 +25,11 @@ def suppress(c: Column) -> Column:
     return F.when(c.isNotNull(), F.lit(V.REMOVED))
 
 
-def hash_value(c: Column, salt: str, length: int = 10) -> Column:
-    """Salted one-way pseudonym.  Ten characters are 40 bits: take more beyond a million distinct values."""
+HASH_LENGTH = 32        # hexadecimal characters, 128 bits
+
+
+def hash_value(c: Column, salt: str, length: int = HASH_LENGTH) -> Column:
+    """Salted one-way pseudonym.  Ten characters are 40 bits and collide beyond a million distinct values."""
     return F.concat(F.lit("H_"), F.substring(F.sha2(F.concat(F.lit(salt), c), 256), 1, length))
 
 
@@ -86,8 +89,8 @@ def column_figures(df: DataFrame, columns: list[str]) -> DataFrame:
 
     One pass over all columns; one row per column comes out.
     """
-    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot(
-        [], [F.col(f"`{c}`") for c in columns], "column", "raw")
+    long = df.select(*[named(c).cast("string").alias(c) for c in columns]).unpivot(
+        [], [named(c) for c in columns], "column", "raw")
     read = long.select("column", "raw", strip(F.col("raw")).alias("value"), parse_number(F.col("raw")).alias("number"))
     filled = F.col("value") != ""
     return read.groupBy("column").agg(
@@ -119,7 +122,7 @@ def common_categories(df: DataFrame, present: dict[str, int], min_group_frac: fl
     least that share of them, so at most ``1 / min_group_frac`` per column remain.
     """
     columns = list(present)
-    long = df.select(*columns).unpivot([], columns, "column", "value").where("value is not null")
+    long = df.select(*map(named, columns)).unpivot([], [named(c) for c in columns], "column", "value").where("value is not null")
     enough = F.lit(None).cast("bigint")
     for column, n in present.items():
         enough = F.when(F.col("column") == column, max(2, math.ceil(min_group_frac * n))).otherwise(enough)

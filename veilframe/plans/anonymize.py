@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilframe import fixed_values as V
+from veilframe.functions.text import named
 from veilframe.operators import lookup, treat
 from veilframe.plans.config import column_entities
 from veilframe.plans.profiles import PROFILES, Profile
@@ -48,7 +49,7 @@ class Anonymized:
 
     @property
     def data(self) -> DataFrame:
-        return self.paired.select(self.row_key, *[f"`{c}`" for c in self.columns])
+        return self.paired.select(named(self.row_key), *[named(c) for c in self.columns])
 
 
 def resolve_treatments(config: DataFrame, detections: DataFrame) -> list[Treatment]:
@@ -125,7 +126,7 @@ def input_statistics(df: DataFrame, plans: list[tuple[list[Treatment], Profile]]
 
 
 def _treated(t: Treatment, profile: Profile, salt: str, strict: bool, hash_length: int) -> Column:
-    c = F.col(f"`{t.column}`")
+    c = named(t.column)
     if t.method == "Masking":
         return treat.mask(c, t.entity, t.embedded, profile.strength)
     if t.method == "Suppression":
@@ -134,7 +135,7 @@ def _treated(t: Treatment, profile: Profile, salt: str, strict: bool, hash_lengt
         return treat.hash_value(c, salt, hash_length)
     if t.method == "Replacement":
         if treat.needs_numbers(t.entity, profile.format_preserving):
-            return treat.replace_numbered(c, F.col(f"__number_{t.column}"), t.entity, profile.format_preserving)
+            return treat.replace_numbered(c, named(f"__number_{t.column}"), t.entity, profile.format_preserving)
         return treat.replace_stateless(c, t.entity, salt)
     if t.method == "Generalization":
         return {
@@ -148,7 +149,7 @@ def _treated(t: Treatment, profile: Profile, salt: str, strict: bool, hash_lengt
 
 
 def apply_treatments(df: DataFrame, treatments: list[Treatment], profile: Profile, salt: str, row_key: str,
-                     strict: bool = False, hash_length: int = 10, numbers: DataFrame | None = None,
+                     strict: bool = False, hash_length: int = treat.HASH_LENGTH, numbers: DataFrame | None = None,
                      broadcast_bytes: int = lookup.BROADCAST_BYTES) -> DataFrame:
     """One projection that yields every column treated, and as it was under ``<column>__before``."""
     numbered = numbered_columns(treatments, profile)
@@ -157,23 +158,23 @@ def apply_treatments(df: DataFrame, treatments: list[Treatment], profile: Profil
             numbers = stage(lookup.first_seen_numbers(df, row_key, numbered), "numbers")
         df = lookup.attach_numbers(df, row_key, numbered, numbers, broadcast_bytes)
     return df.select(
-        row_key, *[_treated(t, profile, salt, strict, hash_length).alias(t.column) for t in treatments],
-        *[F.col(f"`{t.column}`").alias(t.column + BEFORE) for t in treatments])
+        named(row_key), *[_treated(t, profile, salt, strict, hash_length).alias(t.column) for t in treatments],
+        *[named(t.column).alias(t.column + BEFORE) for t in treatments])
 
 
 def as_text(df: DataFrame, treatments: list[Treatment], row_key: str) -> DataFrame:
-    return df.select(row_key, *[F.col(f"`{t.column}`").cast("string").alias(t.column) for t in treatments])
+    return df.select(named(row_key), *[named(t.column).cast("string").alias(t.column) for t in treatments])
 
 
 def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile: str, row_key: str,
-              salt: str | None = None, strict: bool = False, hash_length: int = 10, staged: bool = True,
+              salt: str | None = None, strict: bool = False, hash_length: int = treat.HASH_LENGTH, staged: bool = True,
               statistics: InputStatistics | None = None) -> Anonymized:
     """Treat a table the way ``config`` says.
 
     ``row_key`` is unique and gives the order in which values count as first
     seen.  ``salt`` keys hashes and fakes; by default a new one is drawn, so outputs of
     two runs cannot be linked.  ``hash_length`` hexadecimal characters are kept of
-    a hash: ten suffice for a million distinct values.  ``strict`` also removes values that a
+    a hash; with the default no two values share a pseudonym at any size, ten make a short one.  ``strict`` also removes values that a
     generalisation would leave as they are.  The result is written to the work
     folder so that scoring does not recompute it; ``staged=False`` leaves it lazy.
     ``statistics`` saves reading an input again that was read for other purposes.

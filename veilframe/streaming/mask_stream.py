@@ -9,6 +9,7 @@ batch first and pass the treatments in.
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
+from veilframe.functions.text import named
 from veilframe.operators.corpus import corpus_findings, mask_text
 from veilframe.operators.treat import needs_numbers
 from veilframe.plans.anonymize import Treatment, apply_treatments
@@ -30,7 +31,7 @@ def treated_stream(stream: DataFrame, treatments: list[Treatment], profile: str,
         if t.method == "Replacement" and needs_numbers(t.entity, chosen.format_preserving):
             raise ValueError(f"{t.column}: numbered replacement needs the whole table")
     treated = apply_treatments(stream, treatments, chosen, salt, row_key)
-    return treated.select(row_key, *[f"`{t.column}`" for t in treatments])
+    return treated.select(named(row_key), *[named(t.column) for t in treatments])
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
