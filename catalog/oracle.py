@@ -812,12 +812,9 @@ ORACLE_SQL = {
     "name_tokens": with_() + "select c_custkey, " + ", ".join(
         f"array_to_string(list_filter(string_split_regex({fold(c)}, '[^\\pL\\pN]+'), lambda w: w <> ''), '|') as {c}"
         for c in ("customer_name_ar", "customer_name_en", "address_ar")) + " from subjects",
-    "column_hints": with_(HINTS_CTE) + """select col as "column", entity, keyword, (select count(*) from subjects) as rows from (
-        select * from hints union all values ('c_name', 'PERSON_NAME', 'name'), ('p_name', 'PERSON_NAME', 'name'),
-        ('s_name', 'PERSON_NAME', 'name'), ('user_id', 'CUSTOMER_ID', 'user id'))""",
-    "context_keyword": with_(CARD, f"card_texts as (select c_custkey as id, {nd('card')} as t from cards)",
-                             spans("card_texts", "c"))
-    + f"select id as c_custkey, entity, s as start, {any_context()} as keyword from c_spans join card_texts using (id)",
+    "column_hints": with_(HINTS_CTE, cells()) + """select col as "column", entity, keyword, filled from hints
+        join (select col, count(*) as filled from cells group by col) using (col)""",
+    "context_keyword": with_(TEXTS, spans("texts", "x")) + f"select id, entity, s as start, {any_context()} as keyword from x_spans join texts using (id)",
     "parse_number": with_() + "select c_custkey, " + ", ".join(
         f"{number(c)} as {c}" for c in ("age", "salary", "mobile", "birth_date", "national_id")) + " from subjects",
     "band_midpoint": with_(treated("external")) + "select c_custkey, " + ", ".join(
@@ -827,7 +824,7 @@ ORACLE_SQL = {
     "name_shape": with_(cells()) + "select k as c_custkey, col as \"column\", " + ", ".join(
         f"{x} as {n}" for n, x in name_parts("v").items()) + " from cells",
     "is_known_city": with_() + f"select c_custkey, city, {known_city('city')} as known from subjects",
-    "address_keywords": with_(cells(["address_ar", "district", "notes"]))
+    "address_keywords": with_(cells())
     + f"select k as c_custkey, col as \"column\", array_to_string(words, '|') as keywords, len(words) > 0 and length(v) >= 10 as is_address "
       f"from (select *, {keyword_hits(fold('v'))} as words from cells)",
     # spans
@@ -875,9 +872,11 @@ rated as (select *, {round2('''least(0.99::double, (case entity when 'SAUDI_NATI
            bool_or(embedded) as embedded from detections where flagged group by column_name"""),
     "override_config": detection_query(_overridden()),
     "purpose_profiles": detection_query(
-        f"""select *, (select count(*) from ({_config_rows('external')}) where recommended <> 'Keep') as treated from (values
+        f"""select p.*, treated, suppressed from (values
         ('external', 'AI / External Company', 'strong', 3, 0.1::double, false), ('developer', 'Developer Testing', 'medium', 8, 0.05::double, true),
-        ('internal', 'Internal Analytics', 'medium', 12, 0.05::double, false)) p(profile, name, strength, target_bins, min_group_frac, format_preserving)"""),
+        ('internal', 'Internal Analytics', 'medium', 12, 0.05::double, false)) p(profile, name, strength, target_bins, min_group_frac, format_preserving)
+        join (select profile, count(*) filter (where recommended <> 'Keep') as treated, count(*) filter (where recommended = 'Suppression') as suppressed
+              from ({" union all ".join(f"({_config_rows(p)})" for p in BINS)}) group by profile) using (profile)"""),
     # treatments
     "mask_generic": with_(cells()) + "select k as c_custkey, col as \"column\", " + ", ".join(
         f"{mask('v', '', s)} as {s}" for s in ("strong", "medium")) + " from cells",
@@ -955,3 +954,4 @@ rated as (select *, {round2('''least(0.99::double, (case entity when 'SAUDI_NATI
       from (select {whole('direct_before + quasi_before')} as b, {whole('direct_after + quasi_after')} as a, {whole('score')} as u,
             {level('direct_after + quasi_after')} as lev from {s}_risk, {s}_useful)"""),
 }
+ORACLE_SQL["stream_findings"] = ORACLE_SQL["corpus_findings"]

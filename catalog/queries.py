@@ -208,21 +208,20 @@ def name_tokens(spark, sf_dir):
 
 @query
 def column_hints(spark, sf_dir):
-    tables = ["customer", "orders", "lineitem", "part", "supplier", "events", "documents", "conversations"]
-    columns = COLUMNS + [c for t in tables for c in table(spark, sf_dir, t).columns]
-    rows = [(c, g, k) for g, found in detect.hints_for(columns).items() for c, k in found.items()]
-    profiled = people(spark, sf_dir).agg(F.count("*").alias("rows"))
-    return spark.createDataFrame(rows, "column string, entity string, keyword string").crossJoin(F.broadcast(profiled))
+    """What the headers say, beside how many cells of the column are filled."""
+    rows = [(c, g, k) for g, found in detect.hints_for(COLUMNS).items() for c, k in found.items()]
+    filled = detect.cells(people(spark, sf_dir), KEY, COLUMNS).groupBy("column").agg(F.count("*").alias("filled"))
+    return spark.createDataFrame(rows, "column string, entity string, keyword string").join(filled, "column")
 
 
 @query
 def context_keyword(spark, sf_dir):
-    found = corpus.text_spans(card(spark, sf_dir), KEY, "card")
+    found = corpus.text_spans(texts(spark, sf_dir), "id", "text")
     word = F.lit(None).cast("string")
     for entity in spans.PATTERNS:
         word = F.when(F.col("entity") == entity,
                       text.context_keyword(F.col("plain"), F.col("start"), F.col("end"), entity)).otherwise(word)
-    return found.select(KEY, "entity", "start", word.alias("keyword"))
+    return found.select("id", "entity", "start", word.alias("keyword"))
 
 
 @query
@@ -268,7 +267,7 @@ def is_known_city(spark, sf_dir):
 
 @query
 def address_keywords(spark, sf_dir):
-    long = detect.cells(people(spark, sf_dir), KEY, ["address_ar", "district", "notes"])
+    long = detect.cells(people(spark, sf_dir), KEY, COLUMNS)
     found = text.address_keywords(F.col("value"))
     return long.select(F.col("row_key").alias(KEY), "column", _words(found).alias("keywords"),
                        ((F.size(found) > 0) & (F.length("value") >= 10)).alias("is_address"))
@@ -409,8 +408,11 @@ def override_config(spark, sf_dir):
 
 @query
 def purpose_profiles(spark, sf_dir):
-    used = _config(spark, sf_dir).agg(F.count_if(F.col("method") != "Keep").alias("treated"))
-    return profiles.profiles_table(spark).crossJoin(F.broadcast(used))
+    """Each purpose's settings, beside what it does to the columns of the table."""
+    plans = [_config(spark, sf_dir, p).select(F.lit(p).alias("profile"), "method") for p in profiles.PROFILES]
+    used = reduce(DataFrame.unionByName, plans).groupBy("profile").agg(
+        F.count_if(F.col("method") != "Keep").alias("treated"), F.count_if(F.col("method") == "Suppression").alias("suppressed"))
+    return profiles.profiles_table(spark).join(used, "profile")
 
 
 # --------------------------------------------------------------------------- treatments
@@ -739,8 +741,25 @@ def compare_profiles(spark, sf_dir):
 def stream_mask(spark, sf_dir):
     """The masked stream of all texts, after it has been written."""
     source, out = _folder(spark, "stream-in"), _folder(spark, "stream-out")
-    texts(spark, sf_dir).repartition(4).write.parquet(source)
-    arriving = spark.readStream.schema("id string, text string").option("maxFilesPerTrigger", 2).parquet(source)
+    texts(spark, sf_dir).write.parquet(source)
+    arriving = spark.readStream.schema("id string, text string").option("maxFilesPerTrigger", 8).parquet(source)
     masked = mask_stream.masked_stream(arriving, "text", "medium")
     mask_stream.write_available(masked, out, _folder(spark, "stream-state")).start().awaitTermination()
     return spark.read.parquet(out)
+
+
+@query
+def stream_findings(spark, sf_dir):
+    """The findings of the stream of all texts, after they have been written."""
+    source, out = _folder(spark, "stream-in"), _folder(spark, "stream-out")
+    texts(spark, sf_dir).write.parquet(source)
+    arriving = spark.readStream.schema("id string, text string").option("maxFilesPerTrigger", 8).parquet(source)
+    found = mask_stream.findings_stream(arriving, "id", "text")
+    mask_stream.write_available(found, out, _folder(spark, "stream-state")).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def anonymize_table_developer(spark, sf_dir):
+    """Rows treated for testing: fakes keep the form, and equal values get equal fakes."""
+    return _anonymized(spark, sf_dir, "developer").data

@@ -45,12 +45,42 @@ def test_saved_run(spark, tmp_path):
     assert loaded["detections"].count() == found.count() and loaded["utility"].first().score > 50
 
 
-def test_small_tables_are_dealt_out_and_large_ones_are_not(spark, tmp_path):
+def test_tables_are_read_as_they_lie(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    spark.range(0, 100, 1, 12).write.option("parquet.block.size", 1).parquet(str(tmp_path / "many"))
-    assert readers.read_parquet(spark, str(tmp_path / "one")).rdd.getNumPartitions() == 4
-    plan = readers.read_parquet(spark, str(tmp_path / "many"))._jdf.queryExecution().toString()
-    assert "RoundRobin" not in plan
+    assert "Exchange" not in readers.read_parquet(spark, str(tmp_path / "one"))._jdf.queryExecution().toString()
+
+
+def test_csv_keeps_line_ends_and_refuses_what_it_would_break(spark, tmp_path):
+    rows = [("1", "two\nlines", "x"), ("2", "a\r\nb\n", "y")]
+    writers.write_csv(spark.createDataFrame(rows, "k string, a string, b string"), str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in readers.read_csv(spark, str(tmp_path / "out")).collect()) == rows
+    for name, text in (("long", "k,a\n1,2,3\n"), ("short", "k,a\n1\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+        with pytest.raises(Exception):
+            readers.read_csv(spark, str(tmp_path / f"{name}.csv")).collect()
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "a.csv").write_text("id,name\n1,Sara\n")
+    (tmp_path / "mixed" / "b.csv").write_text("name,id\nHind,2\n")
+    with pytest.raises(Exception):
+        readers.read_csv_folder(spark, str(tmp_path / "mixed")).collect()
+
+
+def test_scratch_leaves_nothing(spark, tmp_path):
+    import os
+    held = lambda: {n for n in os.listdir(work_folder(spark)) if n.startswith(("mine", "paired", "numbers", "distinct"))}
+    before = held()
+    with pytest.raises(ValueError):
+        with vf.scratch(spark):
+            stage(spark.range(3), "mine")
+            raise ValueError
+    assert held() == before
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(ROWS)], ", ".join(["row_id bigint", *[f"{c} string" for c in COLUMNS]]))
+    with vf.scratch(spark):
+        found = stage(vf.detect(df, "row_id"), "mine")
+        result = anonymize(df, build_config(found, COLUMNS, "external"), found, "external", "row_id")
+        assert not [n for n in held() - before if n.startswith(("numbers", "distinct"))]
+        result.data.write.parquet(str(tmp_path / "kept"))
+    assert held() == before and spark.read.parquet(str(tmp_path / "kept")).count() == 48
 
 
 def test_staged_tables_go_to_the_configured_folder(spark):
@@ -80,6 +110,6 @@ def test_treatments_decided_on_a_batch_run_on_a_stream(spark, tmp_path):
     mask_stream.write_available(treated, str(tmp_path / "out"), str(tmp_path / "state")).start().awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 48
-    assert out.where("national_id rlike '^H_[0-9a-f]{10}$' and age rlike '^[0-9]0–[0-9]0$'").count() == 48
+    assert out.where("national_id rlike '^H_[0-9a-f]{32}$' and age rlike '^[0-9]0–[0-9]0$'").count() == 48
     with pytest.raises(ValueError):
         mask_stream.treated_stream(arriving, treatments, "external", "s", "row_id")

@@ -170,3 +170,40 @@ def test_empty_and_single_row(people, found):
         assert result.data.count() == n and 0 <= risk.after <= 100 and 0 <= utility.score <= 100
         if n == 0:
             assert risk.quasi_after.average == 0.0 and utility.factors["B"] == 1.0
+
+
+def test_numbers_do_not_depend_on_keys_or_map_size(spark):
+    rows = [(1, "a", "p"), (1, "b", "q"), (2, "a", "p"), (3, "c", None), (None, "b", "q"), (4, None, "r")]
+    for key in ("bigint", "string"):
+        df = spark.createDataFrame(rows, "k bigint, `x.y` string, z string").withColumn("k", F.col("k").cast(key))
+        numbers = lookup.first_seen_numbers(df, "k", ["x.y", "z"])
+        by_value = {(r["column"], r["value"]): r["number"] for r in numbers.collect()}
+        assert sorted(v for (c, _), v in by_value.items() if c == "x.y") == [1, 2, 3]
+        for size in (0, 70, 1 << 25):
+            out = lookup.attach_numbers(df, "k", ["x.y", "z"], numbers, size).collect()
+            assert len(out) == len(rows)
+            assert all(r["__number_x.y"] == by_value.get(("x.y", r["x.y"])) and r["__number_z"] == by_value.get(("z", r["z"])) for r in out)
+
+
+def test_any_header(spark):
+    names = ["job.title", "seg`ment", "الاسم", "row_key", "value", "column"]
+    df = spark.createDataFrame([(i, *[f"{n[:3]}{i % 4}" for n in names]) for i in range(40)], "id bigint, a string, b string, c string, d string, e string, f string") \
+        .toDF("id", *names)
+    found = vf.detect(df, "id")
+    config = build_config(found, names, "external")
+    methods = dict(zip(names, ["Replacement", "Generalization", "Hashing", "Masking", "Suppression", "Replacement"]))
+    config = vf.override_config(config, methods, {n: "Indirect" for n in names[:4]})
+    with vf.scratch(spark):
+        result = anonymize(df, config, found, "external", "id")
+        risk = vf.assess_risk(result)
+        assert result.data.columns == ["id", *names] and result.data.count() == 40 and risk.quasi_after.k >= 1
+        assert vf.assess_utility(result).score >= 0
+
+
+def test_equal_values_get_equal_fakes_with_even_digits(spark):
+    from veilframe.functions import fakes
+    df = spark.range(4000).select(F.concat(F.lit("1"), F.lpad((F.col("id") % 2000).cast("string"), 9, "0")).alias("v"))
+    rows = df.select("v", fakes.fake_national_id(F.col("v"), "s").alias("f")).distinct().collect()
+    assert len(rows) == 2000
+    counts = [sum(r.f[p] == str(d) for r in rows for p in range(1, 9)) for d in range(10)]
+    assert max(counts) < 1.15 * min(counts)

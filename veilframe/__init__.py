@@ -8,9 +8,10 @@ from veilframe.operators.utility import assess_utility
 from veilframe.plans.anonymize import anonymize
 from veilframe.plans.config import build_config, override_config
 from veilframe.plans.profiles import PROFILES
+from veilframe.session import scratch
 
 __all__ = [
     "PROFILES", "anonymize", "assess_risk", "assess_utility", "build_config", "by_category", "by_entity_risk",
     "candidates", "compare_profiles", "corpus_findings", "dataset_summary", "detect", "explain", "flagged",
-    "mask_text", "override_config", "privacy_report", "recommendations", "verdict",
+    "mask_text", "override_config", "privacy_report", "recommendations", "scratch", "verdict",
 ]

@@ -10,7 +10,7 @@ from veilframe.functions.text import named
 from veilframe.operators import lookup, treat
 from veilframe.plans.config import column_entities
 from veilframe.plans.profiles import PROFILES, Profile
-from veilframe.session import stage
+from veilframe.session import drop_staged, stage, staged_count, staged_since
 
 BEFORE = "__before"
 
@@ -177,8 +177,11 @@ def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile:
     a hash; with the default no two values share a pseudonym at any size, ten make a short one.  ``strict`` also removes values that a
     generalisation would leave as they are.  The result is written to the work
     folder so that scoring does not recompute it; ``staged=False`` leaves it lazy.
-    ``statistics`` saves reading an input again that was read for other purposes.
+    The map from values to pseudonyms is deleted once the result is written; the
+    result itself holds the originals too, for scoring: work inside
+    ``veilframe.scratch`` to have it deleted in the end.  ``statistics`` saves reading an input again that was read for other purposes.
     """
+    spark, before = df.sparkSession, staged_count()
     chosen = PROFILES[profile]
     salt = salt if salt is not None else secrets.token_hex(8)
     treatments = resolve_treatments(config, detections)
@@ -186,4 +189,10 @@ def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile:
     decide_generalisations(text, treatments, chosen, statistics and statistics.figures)
     paired = apply_treatments(text, treatments, chosen, salt, row_key, strict, hash_length,
                               statistics and statistics.numbers)
-    return Anonymized(stage(paired, "paired") if staged else paired, treatments, chosen, row_key)
+    if not staged:
+        return Anonymized(paired, treatments, chosen, row_key)
+    maps = staged_since(before)
+    try:
+        return Anonymized(stage(paired, "paired"), treatments, chosen, row_key)
+    finally:
+        drop_staged(spark, maps)        # from values to pseudonyms: nothing that undoes the treatment stays

@@ -2,10 +2,13 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: dict[str, str] = {}
+_written: list[str] = []
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -32,5 +35,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executors; the columnar form also lets them read only the columns they use.
     """
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside the block when it ends, also when it fails.
+
+    Write or collect results inside: one that still reads a staged table is gone
+    with it.
+    """
+    before = staged_count()
+    try:
+        yield
+    finally:
+        drop_staged(spark, staged_since(before))
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def staged_since(count: int) -> list[str]:
+    """Tables written after ``count`` others."""
+    return _written[count:]
+
+
+def staged_count() -> int:
+    return len(_written)

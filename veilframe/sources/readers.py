@@ -21,15 +21,18 @@ def to_code_page(c: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path, encoding: str = UTF8, missing_words: bool = True,
-             multi_line: bool = False) -> DataFrame:
+             multi_line: bool = True) -> DataFrame:
     """Header gives the names, every column is text, so leading zeros and long numbers stay.
 
-    Empty cells and the usual words for a missing value become null.  Cells with
-    line ends need ``multi_line``, at the price that a file is no longer split.
+    Empty cells and the usual words for a missing value become null.  Quoted cells
+    may hold line ends; where none do, ``multi_line=False`` lets Spark split files.
+    A row with more or fewer cells than the header, or a file whose header has
+    other names or another order than the first file's, fails the read.
     """
     arabic = encoding == ARABIC_CODE_PAGE
     df = (spark.read.option("header", True).option("encoding", "ISO-8859-1" if arabic else encoding)
-          .option("escape", '"').option("multiLine", multi_line).csv(path))
+          .option("escape", '"').option("multiLine", multi_line)
+          .option("enforceSchema", False).option("mode", "FAILFAST").csv(path))
     cells = {c: F.col(f"`{c}`") for c in df.columns}
     if arabic:
         table = str.maketrans(_LATIN, _ARABIC)
@@ -40,14 +43,8 @@ def read_csv(spark: SparkSession, path, encoding: str = UTF8, missing_words: boo
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, dealt out to all cores when it comes in fewer pieces than there are cores.
-
-    One row group is read by one task, so a small table would be scanned for
-    patterns by a single core.  A table with enough pieces is read as it lies.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A Parquet table as it lies."""
+    return spark.read.parquet(path)
 
 
 def audit_encodings(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,12 +61,16 @@ def audit_encodings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_csv_folder(spark: SparkSession, folder: str, audit: DataFrame | None = None) -> DataFrame:
-    """All files of a folder, each in the encoding its bytes call for."""
+    """All files of a folder, each in the encoding its bytes call for.
+
+    Files of one encoding are one read and must share a header.  Paths are named
+    only where encodings are mixed.
+    """
     audit = audit_encodings(spark, folder) if audit is None else audit
-    groups: dict[str, list[str]] = {}
-    for row in audit.select("path", "encoding").collect():      # file names only
-        groups.setdefault(row["encoding"], []).append(row["path"])
-    parts = [read_csv(spark, sorted(paths), encoding) for encoding, paths in sorted(groups.items())]
+    encodings = sorted(r["encoding"] for r in audit.select("encoding").distinct().collect())
+    if len(encodings) < 2:
+        return read_csv(spark, folder, *encodings)
+    parts = [read_csv(spark, sorted(r["path"] for r in audit.where(F.col("encoding") == e).select("path").collect()), e) for e in encodings]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part, allowMissingColumns=True)
