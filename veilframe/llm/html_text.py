@@ -3,9 +3,10 @@
 Each page is read once into blocks of text and a tree of elements with a hash of
 every subtree.  Spark counts on how many pages of a host each subtree occurs;
 pages with the same article count once, so that copies of an article do not make
-it a template.  Subtrees on many pages are deleted.  What then lies outside the
+it a template.  Subtrees on many pages are deleted.  What lies outside the
 article, or in an element marked as a menu, notice, advert and the like, goes
-too, since such parts often differ from page to page.
+too, since such parts often differ from page to page.  Only pages whose article
+lies in an element that may be a template wait for the counts.
 """
 
 import html
@@ -180,39 +181,47 @@ def _read_pages(pages: DataFrame) -> DataFrame:
 
     def make():
         def f(piece):
-            out = {k: [] for k in ("digest", "hashes", "parents", "texts", "places")}
+            out = {k: [] for k in ("digest", "seen", "text", "hashes", "parents", "texts", "places")}
             for text in piece.column("html_").to_pylist():
                 page = _Page(text or "")
                 kept = page.kept()
                 out["digest"].append(xxhash.xxh64_intdigest("\n".join(t for t, _ in kept)) - (1 << 63))
-                out["hashes"].append(page.candidates())
-                out["parents"].append(page.parent)
-                out["texts"].append([t for t, _ in kept])
-                out["places"].append([e for _, e in kept])
-            kinds_of = {"digest": pa.int64(), "hashes": pa.list_(pa.int64()), "parents": pa.list_(pa.int32()),
+                hashes = page.candidates()
+                out["seen"].append(sorted({h for h in hashes if h}))
+                under = [h != 0 for h in hashes]
+                for e in range(1, len(under)):
+                    under[e] = under[e] or under[page.parent[e]]
+                bound = any(under[e] for _, e in kept)          # else no template can touch the article
+                out["text"].append(None if bound else "\n\n".join(t for t, _ in kept))
+                out["hashes"].append(hashes if bound else None)
+                out["parents"].append(page.parent if bound else None)
+                out["texts"].append([t for t, _ in kept] if bound else None)
+                out["places"].append([e for _, e in kept] if bound else None)
+            kinds_of = {"digest": pa.int64(), "seen": pa.list_(pa.int64()), "text": pa.string(), "hashes": pa.list_(pa.int64()), "parents": pa.list_(pa.int32()),
                         "texts": pa.list_(pa.string()), "places": pa.list_(pa.int32())}
             return {c: piece.column(c) for c in ("uid", "page_id", "url", "host")} | {k: pa.array(v, kinds_of[k]) for k, v in out.items()}
         return f
     host = F.coalesce(F.regexp_extract(F.lower(F.col("url")), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
     texts = common.with_row_id(pages.select("page_id", "url", host.alias("host"), F.col("html").cast("string").alias("html_")))
-    return common.map_pieces(texts, "html_", make, f"uid bigint, page_id {kinds['page_id']}, url {kinds['url']}, host string, digest bigint, "
-                             "hashes array<bigint>, parents array<int>, texts array<string>, places array<int>")
+    return common.map_pieces(texts, "html_", make, f"uid bigint, page_id {kinds['page_id']}, url {kinds['url']}, host string, digest bigint, seen array<bigint>, "
+                             "text string, hashes array<bigint>, parents array<int>, texts array<string>, places array<int>")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text, n_chars and n_template (deleted template subtrees) of every page.
+    """page_id, url, text, n_chars and n_template (template subtrees deleted from the article) of every page.
 
     ``pages`` has page_id, url and html; other columns are left alone.  Null and
     empty pages have an empty text.  Pages without a host count as one host.
     Rows that share a page_id stay rows of their own.
     """
     read = common.stage(_read_pages(pages), "pages")
-    seen = read.select("uid", "host", "digest", F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
+    seen = read.select("uid", "host", "digest", F.explode("seen").alias("h"))
     counts = seen.select("host", "h", "digest").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     sizes = read.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     templates = counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")) \
         .select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    found = seen.withColumn("salt", F.pmod("uid", F.lit(SALT)).cast("int")).join(templates, ["host", "h", "salt"], "left_semi") \
+    bound = read.where("text is null")
+    found = bound.select("uid", "host", F.explode("seen").alias("h")).withColumn("salt", F.pmod("uid", F.lit(SALT)).cast("int")).join(templates, ["host", "h", "salt"], "left_semi") \
         .groupBy("uid").agg(F.collect_set("h").alias("templates"))
     kinds = dict(read.dtypes)
 
@@ -230,8 +239,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                 cut.append(n)
             return {"page_id": piece.column("page_id"), "url": piece.column("url"), "text": pa.array(texts, pa.string()), "n_template": pa.array(cut, pa.int32())}
         return f
-    merged = read.select("uid", "page_id", "url", "hashes", "parents", "texts", "places").join(found, "uid", "left").withColumn("all", F.array_join("texts", ""))
+    merged = bound.select("uid", "page_id", "url", "hashes", "parents", "texts", "places").join(found, "uid", "left").withColumn("all", F.array_join("texts", ""))
     out = common.map_pieces(merged, "all", make, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_template int")
+    out = read.where("text is not null").select("page_id", "url", "text", F.lit(0).alias("n_template")).unionByName(out)
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_template")
 
 
