@@ -80,7 +80,8 @@ def _detections(spark, sf_dir):
 
 def _finding(spark, sf_dir, *entities):
     every = detect.findings_from_profile(
-        detect.profile_columns(people(spark, sf_dir), KEY), COLUMNS, every=True)
+        detect.profile_columns(people(spark, sf_dir), KEY, entities={"NAME" if e.endswith("PERSON_NAME") else e for e in entities}),
+        COLUMNS, every=True)
     return _found_columns(every.where(F.col("entity").isin(*entities)))
 
 

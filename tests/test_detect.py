@@ -125,3 +125,24 @@ def test_entity_order(spark):
     assert column_entities(found).first().entities == ["CUSTOMER_ID", "EMAIL_ADDRESS", "AGE"]
     # the plan puts the higher base risk first, the treatment the surer entity
     assert build_config(found, ["c"], "external").first().detected == "EMAIL_ADDRESS, CUSTOMER_ID, AGE"
+
+
+def test_plans_read_what_they_need(spark, tmp_path):
+    from pyspark.sql import functions as F
+    path = str(tmp_path / "t")
+    spark.range(4000).select(F.col("id").alias(KEY), F.lit("x").alias("gender"), F.lit("plain words").alias("note"),
+                             F.when(F.col("id") == 10, "a@b.com").otherwise("n").alias("contact")).write.parquet(path)
+    df = spark.read.parquet(path)
+
+    def plan(d):
+        return d._jdf.queryExecution().executedPlan().toString()
+    gender = plan(detect.profile_columns(df, KEY, entities={"GENDER"}))
+    assert "note" not in gender and "contact" not in gender and "SortAggregate" not in gender
+    counted = detect.profile_columns(df, KEY)
+    assert "SortAggregate" not in plan(counted)
+    schemas = [line for line in plan(counted).split("\n") if "ReadSchema" in line]
+    assert len(schemas) == 2 and sum("note" in s for s in schemas) == 1
+    rows = counted.collect()
+    values = detect.first_values(df, KEY, ["gender", "note", "contact"], rows)
+    assert "PushedFilters: [IsNotNull" in plan(values) and "LessThanOrEqual" in plan(values)      # one stray match bounds itself
+    assert {r["column"]: r["values"] for r in values.where("sample_group = 'email'").collect()} == {"contact": ["a@b.com"]}

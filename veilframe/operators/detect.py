@@ -3,8 +3,9 @@
 All columns are read in one pass: the table is unpivoted to (column, value)
 cells, each cell is turned into a few flags, and one partial aggregation counts
 them.  Only a handful of rows per column reaches the shuffle, whatever the
-input size.  All aggregation buffers are fixed-width, so the aggregation hashes
-and never sorts the cells.
+input size.  With a number or date as row key all aggregation buffers are
+fixed-width, so the aggregation hashes and never sorts the cells; a text as row
+key makes it sort.  Columns whose distinct values count are read a second time.
 """
 
 import re
@@ -31,6 +32,10 @@ _OTHER_ORDER = ["NAME", "SAUDI_ADDRESS", "CUSTOMER_ID", "AGE", "SALARY", "DATE_O
                 "GENDER", "JOB_TITLE", "NATIONALITY"]
 
 
+#: Found by the column's name alone, so that other columns need not be read for them.
+_BY_HINT = {"CUSTOMER_ID", "AGE", "SALARY", "DATE_OF_BIRTH", "DISTRICT", "GENDER", "JOB_TITLE", "NATIONALITY"}
+
+
 def hints_for(columns: list[str]) -> dict[str, dict[str, str]]:
     """``{group: {column: keyword}}`` for the columns whose names say what they hold."""
     return {g: {c: k for c in columns if (k := column_hint(c, g))} for g in _HINT_GROUPS}
@@ -72,16 +77,22 @@ def _pattern_flags(plain: Column, entity: str) -> Column:
             .when(pattern.candidate(plain), let(find_spans(plain, entity), judge)))
 
 
-def _cell_flags(long: DataFrame, hints: dict) -> DataFrame:
+def _cell_flags(long: DataFrame, hints: dict, entities: set[str] | None = None) -> DataFrame:
+    """Flags of each cell; those that none of ``entities`` asks for are not computed."""
+    def only(wanted: str, flag: Column, kind: str) -> Column:
+        return flag if entities is None or wanted in entities else F.lit(None).cast(kind)
+
     value, plain, folded = F.col("value"), F.col("plain"), F.col("folded")
     numeric = F.when(F.expr(_in({**hints["AGE"], **hints["SALARY"]})), parse_number(value))
     dated = F.when(F.expr(_in(hints["DATE_OF_BIRTH"])), looks_like_date(plain)).otherwise(False)
-    address = F.when(F.length(value) >= V.ADDRESS_MIN_LENGTH, folded_address_places(folded))
+    address = only("SAUDI_ADDRESS", F.when(F.length(value) >= V.ADDRESS_MIN_LENGTH, folded_address_places(folded)), "array<int>")
+    shape = only("NAME", name_shape(value, folded), "struct<shape_ok: boolean, lexicon_hit: boolean, is_arabic: boolean>")
+    city = only("CITY", folded_is_city(folded), "boolean")
     # the arrays of spans stay inside one expression; only small flags leave the projection
     found = long.withColumns({"plain": normalize_digits(value), "folded": fold_arabic(value)}).select(
-        "row_key", "column", "value", *[_pattern_flags(plain, e).alias(s) for e, s in _SHORT.items()],
-        name_shape(value, folded).alias("name"), address.alias("address_places"), numeric.alias("number"),
-        dated.alias("is_date"), folded_is_city(folded).alias("is_city"))
+        "row_key", "column", "value", *[only(e, _pattern_flags(plain, e), "struct<valid: boolean, full: boolean, place: int>").alias(s) for e, s in _SHORT.items()],
+        shape.alias("name"), address.alias("address_places"), numeric.alias("number"),
+        dated.alias("is_date"), city.alias("is_city"))
     flags = [x for s in _SHORT.values() for x in (
         f"{s} is not null as {s}_hit", f"coalesce({s}.valid, false) as {s}_valid",
         f"coalesce({s}.full, false) as {s}_full", f"{s}.place as {s}_place")]
@@ -106,6 +117,7 @@ def _lane_totals(flags: DataFrame) -> DataFrame:
             f"{s}_place_key": f"min(if({s}_place is not null, row_key, null))",
             f"{s}_place": f"min_by({s}_place, if({s}_place is not null, row_key, null))"}
     measures |= {f"{g}_key": f"min(if({g}_hit, row_key, null))" for g in _GROUPS}
+    measures |= {f"{g}_last": f"max(if({g}_hit, row_key, null))" for g in _GROUPS}
     return flags.groupBy("column", F.expr(f"pmod(xxhash64(row_key), {LANES}) as lane")).agg(
         *[F.expr(f"{m} as {name}") for name, m in measures.items()])
 
@@ -114,8 +126,8 @@ def _column_totals(lanes: DataFrame) -> DataFrame:
     measures = {c: f"sum({c})" for c in lanes.columns if c == "n" or c.endswith("_n")}
     measures["address_bits"] = "bit_or(address_bits)"
     measures |= {f"{s}_place": f"min_by({s}_place, {s}_place_key)" for s in _SHORT.values()}
-    # at most LANES keys are collected; the third smallest bounds where the first three rows are
-    measures |= {f"{g}_bound": f"get(array_sort(collect_list({g}_key)), {SAMPLES - 1})" for g in _GROUPS}
+    # at most LANES keys are collected; the third smallest bounds where the first three rows are, else the last hit does
+    measures |= {f"{g}_bound": f"coalesce(get(array_sort(collect_list({g}_key)), {SAMPLES - 1}), max({g}_last))" for g in _GROUPS}
     return lanes.groupBy("column").agg(*[F.expr(f"{m} as {name}") for name, m in measures.items()])
 
 
@@ -129,17 +141,24 @@ def distinct_counts(long: DataFrame, columns: list[str], approximate: bool = Fal
 
 
 def profile_columns(df: DataFrame, row_key: str | None = None, columns: list[str] | None = None,
-                    approximate: bool = False) -> DataFrame:
-    """One row of counters per column; the evidence ``detect`` turns into confidences."""
+                    approximate: bool = False, entities: set[str] | None = None) -> DataFrame:
+    """One row of counters per column; the evidence ``detect`` turns into confidences.
+
+    ``entities`` (of patterns, and NAME, SAUDI_ADDRESS, CITY and so on) leaves out
+    the flags, and where names of columns decide also the columns, of all others.
+    """
     columns = columns or profiled_columns(df, row_key)
     hints = hints_for(columns)
-    long = cells(df, row_key, columns)
-    totals = _column_totals(_lane_totals(_cell_flags(long, hints)))
-    counted = sorted({**hints["CUSTOMER_ID"], **hints["GENDER"]})
+    if entities and entities <= _BY_HINT:
+        columns = [c for c in columns if any(c in hints[e] for e in entities)]
+    if not columns:
+        columns, df = df.columns[:1], df.limit(0)
+    totals = _column_totals(_lane_totals(_cell_flags(cells(df, row_key, columns), hints, entities)))
+    counted = sorted({c for e in ("CUSTOMER_ID", "GENDER") if entities is None or e in entities for c in hints[e]})
     if not counted:
         return totals.withColumn("distinct_n", F.lit(None).cast("bigint"))
     # one row per profiled column on both sides: the size is bounded by the header
-    return totals.join(F.broadcast(distinct_counts(long, counted, approximate)), "column", "left")
+    return totals.join(F.broadcast(distinct_counts(cells(df, row_key, counted), counted, approximate)), "column", "left")
 
 
 # --------------------------------------------------------------------------- evidence to detections
@@ -343,7 +362,15 @@ def first_values(df: DataFrame, row_key: str, columns: list[str], rows: list) ->
     wanted = {(r["column"], g): r[f"{g}_bound"] for r in rows for g in _GROUPS if g == "any" or r[f"{g}_n"] > 0}
     if wanted and None not in wanted.values():
         df = df.where(named(row_key) <= F.lit(max(wanted.values())))
-    flags = _cell_flags(cells(df, row_key, columns), hints_for(columns))
+    long = cells(df, row_key, columns)
+    reach: dict = {}
+    for (c, _), b in wanted.items():
+        reach[c] = None if b is None or c in reach and reach[c] is None else max(b, reach.get(c, b))
+    if reach and None not in reach.values():        # a column's cells beyond its own bound are not looked at
+        known = df.sparkSession.createDataFrame(list(reach.items()), T.StructType([
+            T.StructField("column", T.StringType()), T.StructField("reach", df.schema[row_key].dataType)]))
+        long = long.join(F.broadcast(known), "column").where("row_key <= reach").drop("reach")
+    flags = _cell_flags(long, hints_for(columns))
     # (column, group, bound) is as long as the header; broadcasting it keeps the cells where they are
     bounds = df.sparkSession.createDataFrame(
         [(c, g, b) for (c, g), b in wanted.items()],
