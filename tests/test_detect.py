@@ -146,3 +146,26 @@ def test_plans_read_what_they_need(spark, tmp_path):
     values = detect.first_values(df, KEY, ["gender", "note", "contact"], rows)
     assert "PushedFilters: [IsNotNull" in plan(values) and "LessThanOrEqual" in plan(values)      # one stray match bounds itself
     assert {r["column"]: r["values"] for r in values.where("sample_group = 'email'").collect()} == {"contact": ["a@b.com"]}
+
+
+def test_an_entity_of_ones_own(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(60).select(F.col("id").alias(KEY), F.format_string("PX-%05d-Q", "id").alias("badge"), F.lit("nothing").alias("other"))
+    assert vf.detect(df, KEY).where("flagged").count() == 0
+    vf.register_entity("STAFF_BADGE", r"PX-[0-9]{5}-[A-Z]", "Staff badge", weight=0.8, column_keywords=("badge",), context_keywords=("badge",),
+                       mask=lambda c, strength: F.regexp_replace(c, "[0-9]", "#"))
+    try:
+        found = vf.detect(df, KEY)
+        assert [(r.column, r.entity, r.label) for r in found.where("flagged").collect()] == [("badge", "STAFF_BADGE", "Staff badge")]
+        config = build_config(found, ["badge", "other"], "internal")
+        from veilframe.plans.anonymize import anonymize
+        data = anonymize(df, config, found, "internal", KEY, staged=False).data
+        assert data.orderBy(KEY).first().badge == "PX-#####-Q"
+        texts = spark.createDataFrame([(1, "my badge PX-12345-Z is here")], "id int, text string")
+        assert [(r.start, r.end, r.entity) for r in vf.corpus_findings(texts, "id", "text").collect()] == [(9, 19, "STAFF_BADGE")]
+        assert vf.mask_text(texts, "text").first().text == "my badge PX-#####-Z is here"
+        with pytest.raises(ValueError):
+            vf.register_entity("STAFF_BADGE", "x", "twice")
+    finally:
+        vf.forget_entity("STAFF_BADGE")
+    assert vf.detect(df, KEY).where("flagged").count() == 0

@@ -42,6 +42,8 @@ def test_saved_run(spark, tmp_path):
     writers.save_run(str(tmp_path / "run"), found, config, result, vf.assess_risk(result), assess_utility(result))
     loaded = writers.load_run(spark, str(tmp_path / "run"))
     assert loaded["config"].count() == 18 and loaded["data"].count() == 48 and loaded["risk"].first().level_before == "HIGH"
+    key, treatments = writers.load_treatments(spark, str(tmp_path / "run"))
+    assert key == "external" and treatments == result.treatments
     assert loaded["detections"].count() == found.count() and loaded["utility"].first().score > 50
 
 

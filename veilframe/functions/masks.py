@@ -7,6 +7,7 @@ from veilframe.functions.checks import compact_iban
 from veilframe.functions.spans import PATTERNS, all_spans, may_hold_spans, resolve_overlaps
 from veilframe.functions.text import ALNUM, SPACE, let, normalize_digits, strip
 
+OWN_MASKS = {}          # entity to (column, strength) -> column, for registered entities
 _A, _NOT_A = f"[{ALNUM}]", f"[^{ALNUM}]"
 
 
@@ -70,6 +71,8 @@ def mask_person_name(c: Column) -> Column:
 
 def mask_value(c: Column, entity: str | None, strength: str) -> Column:
     """Mask a whole value the way its entity asks for."""
+    if entity in OWN_MASKS:
+        return OWN_MASKS[entity](c, strength)
     if entity == "SAUDI_NATIONAL_ID":
         return mask_national_id(c, strength)
     if entity == "SAUDI_MOBILE":

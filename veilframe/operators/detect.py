@@ -36,6 +36,18 @@ _OTHER_ORDER = ["NAME", "SAUDI_ADDRESS", "CUSTOMER_ID", "AGE", "SALARY", "DATE_O
 _BY_HINT = {"CUSTOMER_ID", "AGE", "SALARY", "DATE_OF_BIRTH", "DISTRICT", "GENDER", "JOB_TITLE", "NATIONALITY"}
 
 
+def add_pattern(entity: str, short: str) -> None:
+    """Count the matches of one more pattern entity; ``short`` names its counters."""
+    _SHORT[entity] = short
+    _GROUPS.insert(len(_SHORT) - 1, short)
+    _HINT_GROUPS.append(entity)
+
+
+def drop_pattern(entity: str) -> None:
+    _GROUPS.remove(_SHORT.pop(entity))
+    _HINT_GROUPS.remove(entity)
+
+
 def hints_for(columns: list[str]) -> dict[str, dict[str, str]]:
     """``{group: {column: keyword}}`` for the columns whose names say what they hold."""
     return {g: {c: k for c in columns if (k := column_hint(c, g))} for g in _HINT_GROUPS}
