@@ -207,3 +207,9 @@ def test_equal_values_get_equal_fakes_with_even_digits(spark):
     assert len(rows) == 2000
     counts = [sum(r.f[p] == str(d) for r in rows for p in range(1, 9)) for d in range(10)]
     assert max(counts) < 1.15 * min(counts)
+
+
+def test_strict_leaves_no_domain_and_no_free_text(people, found):
+    config = build_config(found, COLUMNS, "internal")
+    row = anonymize(people, config, found, "internal", KEY, strict=True, staged=False).data.orderBy(KEY).first()
+    assert "example.com" not in row.email and row.email.endswith(".com") and row.notes == "[REMOVED]"

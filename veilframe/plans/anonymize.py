@@ -128,7 +128,9 @@ def input_statistics(df: DataFrame, plans: list[tuple[list[Treatment], Profile]]
 def _treated(t: Treatment, profile: Profile, salt: str, strict: bool, hash_length: int) -> Column:
     c = named(t.column)
     if t.method == "Masking":
-        return treat.mask(c, t.entity, t.embedded, profile.strength)
+        if strict and t.embedded:
+            return treat.suppress(c)
+        return treat.mask(c, t.entity, t.embedded, "strong" if strict else profile.strength)
     if t.method == "Suppression":
         return treat.suppress(c)
     if t.method == "Hashing":
@@ -175,7 +177,8 @@ def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile:
     seen.  ``salt`` keys hashes and fakes; by default a new one is drawn, so outputs of
     two runs cannot be linked.  ``hash_length`` hexadecimal characters are kept of
     a hash; with the default no two values share a pseudonym at any size, ten make a short one.  ``strict`` also removes values that a
-    generalisation would leave as they are.  The result is written to the work
+    generalisation would leave as they are, hides the domains of e-mails, and suppresses free text
+    instead of masking the identifiers inside it.  The result is written to the work
     folder so that scoring does not recompute it; ``staged=False`` leaves it lazy.
     The map from values to pseudonyms is deleted once the result is written; the
     result itself holds the originals too, for scoring: work inside

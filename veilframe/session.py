@@ -28,15 +28,15 @@ def work_folder(spark: SparkSession) -> str:
     return _local_folder[context.applicationId]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the work folder and read it back.
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as a table in the work folder, with the writer's ``options``, and read it back.
 
     Later steps start from files instead of recomputing, and survive the loss of
     executors; the columnar form also lets them read only the columns they use.
     """
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
