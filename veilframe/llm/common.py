@@ -1,6 +1,5 @@
 """Reading inputs, staging, and running numpy code over Arrow batches of bounded size."""
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -8,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilframe.session import work_folder
+from veilframe import session
 
 __all__ = ["map_pieces", "read", "stage", "with_row_id"]
 
@@ -18,9 +17,7 @@ PIECE_BYTES = 2 << 20
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared work folder and read back: later steps start from files and outlive executors."""
-    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.stage(df, name, compression="zstd")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
