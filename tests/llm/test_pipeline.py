@@ -49,12 +49,18 @@ def test_stages_agree_with_brute_force(spark, tmp_path):
 
 
 def test_stages_keep_the_columns_and_empty_tables(spark, tmp_path):
-    kinds = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred int, text_ string, ids string, hash string, th long"
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([], kinds)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes and stage(spark, docs, str(tmp_path)).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+    rows = [(i, f"the words of text {chr(97 + i)} are here and there", "en", "s", 1, "s", 2, "t", "i", "h", 3) for i in range(3)]
+    docs = spark.createDataFrame(rows, kinds)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    out = docs.collect()
+    assert [r[:8] + r[8:10] for r in sorted(tuple(r)[:10] for r in out)] == [r[:8] + r[9:] for r in rows] and all(r.intact for r in out)
 
 
 def test_one_of_rows_that_repeat(spark):
