@@ -166,7 +166,7 @@ class ByteBpe:
         return ids
 
 
-def _vocabulary(spark: SparkSession, path: str | None) -> list[bytes]:
+def _vocabulary(path: str | None) -> list[bytes]:
     """The vocabulary file's lines, read once and sent with the code; such files hold a megabyte."""
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         return f.read().splitlines()
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
 
     Null and empty texts have no ids.  ``vocabulary`` is the path of a rank file.
     """
-    lines = docs.sparkSession.sparkContext.broadcast(_vocabulary(docs.sparkSession, vocabulary))
+    lines = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
     kinds = dict(docs.dtypes)
 
     def make():

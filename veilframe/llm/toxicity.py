@@ -69,8 +69,10 @@ class Model:
         w = W.words(texts, W.ALNUM, W.LOWER)
         h = w.hashes()
         at = np.flatnonzero(self.filter[(h & np.uint64(FILTER_BITS - 1)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.hashes, h[at]), max(0, len(self.hashes) - 1))
-        at, place = (at[hit], place[hit]) if len(self.hashes) and len(at) and (hit := self.hashes[place] == h[at]) is not None else (at[:0], place[:0])
+        place = np.searchsorted(self.hashes, h[at])
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == h[at[known]]
+        at, place = at[known], place[known]
         text = np.searchsorted(w.first, at, "right") - 1
         bounds = np.searchsorted(text, np.arange(len(texts) + 1))
         scores, local = self.scores[place].tolist(), (at - w.first[text]).tolist()
