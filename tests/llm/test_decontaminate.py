@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm.decontaminate import decontaminate
+from veilframe.llm.decontaminate import decontaminate, without_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -33,6 +33,8 @@ def run(spark, docs, items):
     d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, uid string")
     b = spark.createDataFrame([(*x, "y") for x in items], "item_id long, text string, text2 string")
     rows = decontaminate(d, b).select("doc_id", "n_words", "n_hit", "items").collect()
+    clean = without_contaminated(d, b)
+    assert clean.columns == d.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r[0]) for r in rows if not r[2])
     return sorted(((r[0] is None, r[0], r[1], r[2], tuple(r[3])) for r in rows), key=str)
 
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from veilframe.llm.secrets import find_secrets
+from veilframe.llm.secrets import find_secrets, without_secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -24,7 +24,10 @@ def test_patterns_agree_with_brute_force(spark):
              "short", "longer.value==", "\n", "x", "ſecret", "toKen"]
     rows = [(i, "".join(rng.choices(parts, k=rng.randrange(30)))) for i in range(300)]
     rows += [(1, None), (None, ""), (5, "token=secret :abcdefghijk"), (6, "a" * 50000), (7, "password=abcdefgh1 " * 3000), (7, "password=abcdefgh1 " * 3000)]
-    got = sorted((str(r.doc_id), [tuple(x) for x in r.found if x.kind != "random"]) for r in find_secrets(table(spark, rows)).collect())
+    found = find_secrets(table(spark, rows)).collect()
+    clean = sorted(str(r.doc_id) for r in without_secrets(table(spark, rows)).collect())
+    assert clean == sorted(str(r.doc_id) for r in found if not r.found)
+    got = sorted((str(r.doc_id), [tuple(x) for x in r.found if x.kind != "random"]) for r in found)
     assert got == sorted((str(i), brute(t)) for i, t in rows)
 
 

@@ -109,6 +109,36 @@ def _bitmap(prints: DataFrame) -> np.ndarray:
     return bits
 
 
+def _marked(docs: DataFrame, prints: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns in ``keep``, n_words, and the fingerprints of ``text`` that pass the benchmark's bitmap."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(prints))
+    lengths = [r["n"] for r in prints.where(F.col("n") < WINDOW).select("n").distinct().collect()]     # at most nine
+    kinds = dict(docs.dtypes)
+
+    def make():
+        def f(piece):
+            w = W.words(piece.column("text"), W.ALNUM, W.LOWER)
+            return {c: piece.column(c) for c in keep} | {"n_words": pa.array(w.counts, pa.int64()),
+                                                         "hits": pa.array(_hits(w, lengths, bitmap.value), pa.list_(_ARROW_HIT))}
+        return f
+    return common.map_pieces(docs, "text", make, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", n_words bigint, hits array<{_HIT}>")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents in which ``decontaminate`` finds no item.
+
+    Most documents have no fingerprint in the bitmap and pass where they are; only
+    the others are written out, confirmed by the join, and taken back if clean.
+    """
+    _, prints = _benchmark(items)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}__") for i, c in enumerate(docs.columns)], F.col("text").cast("string").alias("text"))
+    marked = _marked(plain, prints, tuple(plain.columns[:-1]))
+    back = [F.col(f"c{i}__").alias(c) for i, c in enumerate(docs.columns)]
+    suspects = common.stage(common.with_row_id(marked.where(F.size("hits") > 0)), "suspects")
+    found = _extend(suspects.select("uid", F.inline("hits")), prints).select("uid").distinct()
+    return marked.where(F.size("hits") == 0).select(*back).unionByName(suspects.join(found, "uid", "left_anti").select(*back))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document: uid, doc_id, n_words, n_hit, items (sorted ids of the items found).
 
@@ -118,21 +148,9 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     class until the end, so that copies of an item cost nothing.  Items without
     an id count for hits, but cannot be listed.
     """
-    spark = docs.sparkSession
     classes, prints = _benchmark(items)
-    bitmap = spark.sparkContext.broadcast(_bitmap(prints))
-    lengths = [r["n"] for r in prints.where(F.col("n") < WINDOW).select("n").distinct().collect()]     # at most nine
-
-    def make():
-        def f(piece):
-            w = W.words(piece.column("text"), W.ALNUM, W.LOWER)
-            return {"uid": piece.column("uid"), "doc_id": piece.column("doc_id"), "n_words": pa.array(w.counts, pa.int64()),
-                    "hits": pa.array(_hits(w, lengths, bitmap.value), pa.list_(_ARROW_HIT))}
-        return f
-    kind = dict(docs.dtypes)["doc_id"]
-    found = common.map_pieces(common.with_row_id(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("uid", "doc_id", "text"),
-                              "text", make, f"uid bigint, doc_id {kind}, n_words bigint, hits array<{_HIT}>")
-    found = common.stage(found, "document-fingerprints")
+    named = common.with_row_id(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    found = common.stage(_marked(named, prints, ("uid", "doc_id")), "document-fingerprints")
     spans = _extend(found.select("uid", F.inline("hits")), prints)
     spans = common.stage(spans, "spans")
     hit = spans.select("uid", "start", "end").distinct() \

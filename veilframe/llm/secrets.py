@@ -40,11 +40,15 @@ def _found(text: Column, pattern: str, group: int, body: bool) -> Column:
     return F.filter(zipped, lambda x: x["len"].isNotNull())
 
 
+def _may_assign(text: Column) -> Column:
+    lower = F.lower(text)
+    return lower.contains("passw") | lower.contains("secret") | lower.contains("token") | lower.contains("apikey") | lower.contains("api_key")
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     """uid, doc_id and the matches of each kind; a quick test keeps texts without one away from the patterns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lower, token = F.lower(text), text.rlike(TOKEN.replace(",}", "}"))
-    named = lower.contains("passw") | lower.contains("secret") | lower.contains("token") | lower.contains("apikey") | lower.contains("api_key")
+    named, token = _may_assign(text), text.rlike(TOKEN.replace(",}", "}"))
     return common.with_row_id(docs.select("doc_id", "text")).select(
         "uid", "doc_id", F.when(named, _found(text, ASSIGN, 2, False)).alias("assign"), F.when(text.contains("AKIA"), _found(text, ACCESS, 0, False)).alias("access"),
         F.when(token, _found(text, HEX, 0, False)).alias("hex"), F.when(token, _found(text, TOKEN, 0, True)).alias("random"))
@@ -128,6 +132,21 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return scanned.select("uid", "doc_id").join(spans, "uid", "left").withColumn("found", F.coalesce("found", none))
 
 
+def has_secret(text: Column, ratios: list[float]) -> Column:
+    """Whether ``find_secrets`` finds anything in a text, told within its row; ``ratios`` come from ``learn``."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    named, token = _may_assign(text), text.rlike(TOKEN.replace(",}", "}"))
+    assigned = F.exists(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.char_length(v) >= LEAST["assign"])
+    scored = F.exists(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: _evidence(t, ratios) >= PER_CHARACTER)
+    return text.rlike(rf"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}") | F.when(named, assigned).otherwise(False) \
+        | F.when(token, text.rlike(HEX) | scored).otherwise(False)
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """The documents in which ``find_secrets`` finds nothing; no row leaves its partition."""
+    return docs.where(~has_secret(F.col("text"), learn(docs.select("text"))))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     out = find_secrets(common.read(spark, sf_dir, "documents", "doc_id", "text"))
