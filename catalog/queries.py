@@ -166,7 +166,7 @@ def kept_direct(spark, sf_dir):
 @query
 def remaining_direct(spark, sf_dir):
     plan = config.override_config(_config(spark, sf_dir, "internal"), {"email": "Keep", "customer_name_en": "Keep"})
-    result = anonymize.anonymize(people(spark, sf_dir), plan, _detections(spark, sf_dir), "internal", KEY, SALT)
+    result = anonymize.anonymize(people(spark, sf_dir), plan, _detections(spark, sf_dir), "internal", KEY, SALT, hash_length=SHORT)
     scored = risk.assess_risk(result).exposure_table(spark)
     return scored.where("exposure_after >= 0.5").select("column", "method", "exposure_after")
 
@@ -564,7 +564,7 @@ def column_kind(spark, sf_dir):
 @query
 def anonymize_table(spark, sf_dir):
     found = _detections(spark, sf_dir)
-    return anonymize.anonymize(people(spark, sf_dir), _config(spark, sf_dir), found, "external", KEY, SALT).data
+    return anonymize.anonymize(people(spark, sf_dir), _config(spark, sf_dir), found, "external", KEY, SALT, hash_length=SHORT).data
 
 
 @query
