@@ -13,6 +13,8 @@ __all__ = ["map_pieces", "read", "stage", "with_row_id"]
 
 #: Bytes of text that numpy code holds at a time; one longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
+#: Rows of an Arrow batch, where the session has Spark's own default: texts are long, and a batch is held whole.
+BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +51,8 @@ def map_pieces(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
     ``make`` runs once in each task, so that a model is set up once, and returns
     the function from a piece to the columns of its result.
     """
+    if df.sparkSession.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     names = [c.strip().split(" ")[0].strip("`") for c in _fields(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
