@@ -55,3 +55,23 @@ def test_boilerplate_depletes(spark):
 
 def test_no_rows(spark):
     assert judge(table(spark, [])).count() == 0
+
+
+def test_lines_count_by_document(spark):
+    rng = random.Random(3)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    footer = [f"footer line {c} of the site" for c in "abcde"]
+    rows = [(i, "\n".join([own(30), *footer]), "s") for i in range(20)]
+    rows += [(50 + i, "\n".join([own(2), *footer]), "s") for i in range(3)]                               # mostly footer
+    rows += [(100, "\n".join(f"{own(1)}\nthe refrain of one song only" for _ in range(15)), "t"), (101, own(30), "t")]
+    rows += [(200 + i, f"{own(30)}\nin copies and elsewhere", "u") for i in range(2)] + [(210 + i, f"{'w ' * 20}\nin copies and elsewhere", "u") for i in range(30)]
+    out = {r.doc_id: r for r in judge(table(spark, rows), min_share=0.5).collect()}
+    assert all(len(out[i].boilerplate) == 5 and out[i].n_left == 30 and out[i].kept for i in range(20))
+    assert all(len(out[50 + i].boilerplate) == 5 and out[50 + i].n_left == 2 and not out[50 + i].kept for i in range(3))
+    assert not any(out[i].boilerplate for i in (100, 101, 200, 201, 210))
+
+
+def test_copies_count_once_in_the_size_of_a_host(spark):
+    rows = [(i, f"own {chr(97 + i)}\nthe line that they share", "s") for i in range(12)] + [(100 + i, "a copy", "s") for i in range(60)]
+    out = {r.doc_id: r for r in judge(table(spark, rows), min_share=0.5).collect()}
+    assert all(len(out[i].boilerplate) == 1 for i in range(12)) and not out[100].boilerplate

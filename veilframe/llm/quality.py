@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, in DataFrame expressions only.
 
 Lines are normalised and hashed, and counted over the documents of a host (here
-the column ``source``).  A document counts by the lines around the one counted,
-so copies of a document count once.  Lines on more documents than a limit are
+the column ``source``).  Documents are told by a hash of their text, so copies
+of a document count once, as they do in the size of the host.  Lines on more documents than a limit are
 removed; a document that loses most of its words is rejected, as is one that
 fails the rules on its own text.  All that concerns one text alone is computed
 within its row.
@@ -49,20 +49,18 @@ def _normal(line: Column) -> Column:
 
 
 def _measure(docs: DataFrame) -> DataFrame:
-    """Counts of each text, and its lines as (hash, words, whether the line is new in the text, hash of the lines around it)."""
+    """Counts of each text, and its lines as (hash, words), and a hash of the whole."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, BLANK), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     hashes = F.transform(lines, lambda x: F.xxhash64(_normal(x)))
     counts = F.transform(lines, lambda x: F.size(F.filter(F.split(x, BLANK), lambda w: w != "")))
     without = lambda drop: F.char_length(F.translate(text, drop, ""))
-    around = _let(hashes, lambda h: F.transform(h, lambda x, i: F.struct(
-        x.alias("h"), F.xxhash64(F.when(i > 0, F.get(h, i - 1)), F.get(h, i + 1)).alias("around"))))
     return common.with_row_id(docs.select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"))).select(
-        "uid", "doc_id", "host", _let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), _repeated(w).alias("n_repeat_words"))).alias("w"),
+        "uid", "doc_id", "host", F.xxhash64(text).alias("digest"), _let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), _repeated(w).alias("n_repeat_words"))).alias("w"),
         without(BLANKS).cast("bigint").alias("word_chars"), (F.char_length(text) - without(SYMBOLS)).cast("bigint").alias("n_symbols"),
         _let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("bigint")).alias("n_dup_lines"),
-        F.arrays_zip(around.alias("line"), counts.alias("words")).alias("lines"))
+        F.arrays_zip(hashes.alias("h"), counts.alias("words")).alias("lines"))
 
 
 def judge(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
@@ -72,14 +70,14 @@ def judge(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float
     doc_id stay rows of their own.  ``without_lines`` applies the removal to a text.
     """
     measured = common.stage(_measure(docs), "line-counts")
-    lines = measured.select("uid", "host", F.inline("lines")).select("uid", "host", F.col("line.h").alias("h"), F.col("line.around").alias("around"), "words")
-    seen = lines.select("host", "h", "around").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
-    sizes = measured.groupBy("host").agg(F.count("*").alias("documents"))
+    lines = measured.select("uid", "host", "digest", F.inline("lines"))
+    seen = lines.select("host", "h", "digest").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
+    sizes = measured.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     common_lines = seen.join(sizes, "host").where(F.col("n") > min_share * F.col("documents")).select("host", "h")
     lost = lines.join(common_lines, ["host", "h"]).groupBy("uid").agg(F.sum("words").alias("lost"), F.array_sort(F.collect_set("h")).alias("boilerplate"))
     failed = (F.col("w.n_words") < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > MAX_REPEATED * F.col("w.n_words"))
     left = F.col("w.n_words") - F.coalesce("lost", F.lit(0))
-    return measured.drop("lines").join(lost, "uid", "left").select(
+    return measured.drop("lines", "digest").join(lost, "uid", "left").select(
         "uid", "doc_id", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"),
         F.coalesce("boilerplate", F.array().cast("array<bigint>")).alias("boilerplate"), left.alias("n_left"),
         (~failed & (left >= least_left * F.col("w.n_words"))).alias("kept"))
