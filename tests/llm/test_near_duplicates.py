@@ -78,3 +78,38 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
+
+
+def test_pairs_that_meet_in_a_node_that_branches(spark):
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.Generator(np.random.Philox(4))
+    own = np.repeat(rng.integers(0, 1 << 32, (1, N.TOKENS), np.uint32), 2, axis=0)
+    own[1, rng.permutation(N.TOKENS)[:10]] ^= np.uint32(1)          # of similarity 0.84, by estimate
+    nodes = N._start_nodes(own)
+    shared = np.flatnonzero(nodes[0] == nodes[1])
+    assert len(shared) > 1
+
+    def kept(place, large):
+        columns = {"node": pa.array([nodes[0, place].view(np.int64)] * 2, pa.int64()), "cid": pa.array([1, 2]), "doc": pa.array([1, 2]), "th": pa.array([3, 4]),
+                   "start": pa.array([True, True]), "signature": pa.array([s.tobytes() for s in own], pa.binary()), "large": pa.array([large, large], pa.list_(pa.int64()))}
+        return sum(b.num_rows for b in N._with_partner(0.6)(iter([pa.RecordBatch.from_pydict(columns)])))
+    before = nodes[0, shared[:-1]].view(np.int64).tolist()
+    assert kept(shared[0], None) == 2 and kept(shared[-1], None) == 0
+    assert kept(shared[-1], before) == 2 and (len(before) < 2 or kept(shared[-1], before[1:]) == 0)
+
+
+def test_classes_know_their_large_start_nodes(spark):
+    members = spark.createDataFrame([(1, c) for c in range(9)] + [(2, 0), (2, 1)], "node long, cid long")
+    classes = spark.createDataFrame([(c, bytes([c]) * 4 * N.TOKENS) for c in range(9)], "cid long, signature binary")
+    nodes, parted = N._in_nodes(members, classes, 4)
+    assert {(r.node, r.cid) for r in nodes.where("start").collect()} == {(2, 0), (2, 1)}
+    assert {r.cid: r.large for r in parted.collect()} == {c: [1] for c in range(9)}
+    assert N._in_nodes(members, classes, 9)[1] is None
+
+
+def test_the_estimate_seldom_drops_a_link():
+    from math import ceil, comb
+    for share in (0.8, 0.85):
+        least = ceil((share - N.MARGIN * (share * (1 - share) / N.TOKENS) ** 0.5) * N.TOKENS - 1e-9)
+        assert sum(comb(N.TOKENS, i) * share ** i * (1 - share) ** (N.TOKENS - i) for i in range(least)) < 1e-6

@@ -5,12 +5,14 @@ a node selects two min-wise tokens of a document's signature, and for each of th
 the document goes to the child that the token names.  Two sets of similarity s
 share a child with probability 1 - (1 - s)^2, and a node of any depth with at
 least (2 s - 1) / s^2, which is 0.97 at s = 0.85; four independent trees miss a
-link there about once in a million.  Nodes with at most LIMIT classes are compared
+link there about once in a million, and at 0.8 about once in 65,000.  Nodes with at most LIMIT classes are compared
 exhaustively, larger ones branch again.  What is still too large at DEPTH is dealt
 into blocks that are compared pairwise, so no pair is lost.
 
 A node first drops classes without a partner of fitting signature, or whose pairs
-an earlier node compares.  The texts of the rest are brought together, links are
+an earlier node of at most LIMIT classes compares: one that branches may part them.
+A signature does not fit a link at the threshold about once in 6 million at 0.85,
+and once in 50 million at 0.8.  The texts of the rest are brought together, links are
 confirmed on their full sets, and each node gives at most one link for each class,
 to the smallest that it reaches.
 """
@@ -27,7 +29,7 @@ from veilframe.llm.components import components
 SHINGLE, PERCENT = 3, 85
 TOKENS, TREES, START, DEPTH = 64, 4, 2, 12
 LIMIT = 2048
-MARGIN = 4.0              # standard deviations that an estimate may lie below the threshold
+MARGIN = 6.0              # standard deviations that an estimate may lie below the threshold
 LAST = (1 << 63) - 1
 COLUMNS = 4096            # shingles whose occurrences are held as a matrix at a time
 
@@ -97,9 +99,12 @@ def _measure(base: DataFrame, size: int) -> DataFrame:
     return common.map_pieces(base, "text", make, f"doc_id {kind}, doc bigint, th bigint, n bigint, c1 bigint, c2 bigint, signature binary")
 
 
-def _in_nodes(members: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
-    """(node, cid, start) of nodes with 2 to ``limit`` classes, from (node, cid); larger nodes branch or are dealt into blocks."""
-    out, depth = None, START
+def _in_nodes(members: DataFrame, classes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, cid, start) of nodes with 2 to ``limit`` classes, from (node, cid); larger nodes branch or are dealt into blocks.
+
+    Also (cid, large): the start nodes of a class that are larger, if there are any.
+    """
+    out, depth, parted = None, START, None
     while True:
         members = common.stage(members, "nodes")
         counts = members.groupBy("node").agg(F.count("*").alias("k")).where("k > 1")
@@ -108,12 +113,14 @@ def _in_nodes(members: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
         out = own if out is None else out.unionByName(own)
         large = sized.where(F.col("k") > limit)
         if not counts.where(F.col("k") > limit).limit(1).count():
-            return out
+            return out, parted
+        if depth == START:
+            parted = large.groupBy("cid").agg(F.collect_set("node").alias("large"))
         if depth >= DEPTH:
             blocks = F.ceil(2 * F.col("k") / limit).cast("int")
             dealt = large.select("node", "cid", blocks.alias("m"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("i"))
             pairs = dealt.select("node", "cid", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-            return out.unionByName(pairs.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "cid", F.lit(False).alias("start")))
+            return out.unionByName(pairs.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "cid", F.lit(False).alias("start"))), parted
         depth += 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +151,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _with_partner(least: float):
-    """A ``mapInArrow`` function: classes of a node that have a partner there, by estimate, not met in an earlier node."""
+    """A ``mapInArrow`` function: classes of a node that have a partner there, by estimate, not met in an earlier node that compares them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             signature = _signatures(group.column("signature").combine_chunks())
@@ -152,12 +159,15 @@ def _with_partner(least: float):
             nodes = _start_nodes(signature)
             here = np.flatnonzero((nodes == np.uint64(group.column("node")[0].as_py() & 0xFFFFFFFFFFFFFFFF)).any(axis=0)) if group.column("start")[0].as_py() else []
             earlier = nodes[:, :here[0]] if len(here) else nodes[:, :0]
+            large = group.column("large").combine_chunks()
+            parted = np.unique(large.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
+            compared = ~np.isin(earlier, parted)
             step = max(1, (1 << 21) // (len(signature) * TOKENS))
             for a in range(0, len(signature), step):
                 part = slice(a, a + step)
                 near = (signature[part, None, :] == signature[None, :, :]).sum(axis=2) >= least * TOKENS
                 for i in range(earlier.shape[1]):
-                    near &= earlier[part, None, i] != earlier[None, :, i]
+                    near &= (earlier[part, None, i] != earlier[None, :, i]) | ~compared[part, None, i]
                 near[np.arange(len(near)), np.arange(a, a + len(near))] = False
                 keep[part] |= near.any(axis=1)
             if keep.any():
@@ -239,10 +249,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
                 nodes = _start_nodes(_signatures(b.column("signature")))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(np.repeat(b.column("cid").to_numpy(), nodes.shape[1]))], ["node", "cid"])
     members = classes.select("cid", "signature").mapInArrow(start, "node bigint, cid bigint")
-    nodes = _in_nodes(members, classes, limit)
+    nodes, parted = _in_nodes(members, classes, limit)
+    described = classes.select("cid", "doc", "th", "signature")
+    described = described.join(parted, "cid", "left") if parted else described.withColumn("large", F.lit(None).cast("array<bigint>"))
     share = percent / 100
     least = share - MARGIN * (share * (1 - share) / TOKENS) ** 0.5
-    found = nodes.join(classes.select("cid", "doc", "th", "signature"), "cid").select("node", "cid", "doc", "th", "start", "signature") \
+    found = nodes.join(described, "cid").select("node", "cid", "doc", "th", "start", "signature", "large") \
         .repartition("node").sortWithinPartitions("node").mapInArrow(_with_partner(least), "node bigint, cid bigint, doc bigint, th bigint")
     found = common.stage(found, "partners")
     texts = base.select("doc", "th", "text").join(found.hint("shuffle_hash"), ["doc", "th"]).select("node", "cid", "text")
