@@ -149,3 +149,20 @@ def test_running_sums(apply):
             total += i * 7 % 13
             wanted.append(total)
         assert got == wanted
+
+
+def test_a_long_span_over_two_short_ones(apply):
+    values = ["a.0551234567.0559876543.alice@x.com", "a.0551234567.0559876543.0551112223.alice@x.com 0551234567", "0551234567 a@b.co"]
+    kept = apply(lambda c: spans.resolve_overlaps(spans.all_spans(c)), values)
+    mail, mobile = "EMAIL_ADDRESS", "SAUDI_MOBILE"
+    assert [[(s.start, s.end, s.entity) for s in one] for one in kept] == [
+        [(0, 35, mail)], [(0, 46, mail), (47, 57, mobile)], [(0, 10, mobile), (11, 17, mail)]]
+    assert apply(lambda c: masks.mask_free_text(c, "strong"), values[:1]) == apply(lambda c: masks.mask_email(c, "strong"), values[:1])
+
+
+def test_running_maxima(apply):
+    from pyspark.sql import functions as F
+    for n in (0, 1, 129, 1000):
+        numbers = [(i * 37 % 101) * (i < 300) for i in range(n)]
+        got = apply(lambda c: spans.running_maxima(F.array(*[F.lit(x) for x in numbers]).cast("array<int>")), ["x"])[0]
+        assert got == [max(numbers[:i + 1]) for i in range(n)]

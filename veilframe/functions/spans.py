@@ -69,27 +69,37 @@ PATTERNS: dict[str, Pattern] = {p.entity: p for p in (
 )}
 
 
-def running_sums(values: Column) -> Column:
-    """Sums of the first 1, 2, ... numbers of an array.
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """``add`` over 0 and the first 1, 2, ... numbers of an array.
 
-    Blocks are summed first, so that each number is added up with those of its own
-    block and the sums of the blocks before it, not with all numbers before it.
+    Blocks are added up first, so that each number meets those of its own block
+    and the results of the blocks before it, not all numbers before it.
     """
     def in_blocks(v):
         return F.transform(F.sequence(F.lit(1), F.size(v), F.lit(_BLOCK)), lambda i: F.slice(v, i, _BLOCK))
 
     def total(v):
-        return F.aggregate(v, F.lit(0), lambda acc, x: acc + x)
+        return F.aggregate(v, F.lit(0), add)
 
     def from_blocks(blocks):
         def shifted(sums):
             return F.flatten(F.transform(blocks, lambda b, k: let(total(F.slice(sums, F.lit(1), k)), lambda before: F.transform(
-                b, lambda _, i: before + total(F.slice(b, F.lit(1), i + 1))))))
+                b, lambda _, i: add(before, total(F.slice(b, F.lit(1), i + 1)))))))
         return let(F.transform(blocks, total), shifted)
 
     return let(values, lambda v: F.when(F.size(v) > 0, let(in_blocks(v), from_blocks)).otherwise(v))
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers of an array."""
+    return _running(values, lambda acc, x: acc + x)
+
+
+def running_maxima(values: Column) -> Column:
+    """The largest of 0 and the first 1, 2, ... numbers of an array."""
+    return _running(values, lambda acc, x: F.greatest(acc, x))
+
+
 def _spans_from_pieces(pieces: Column, entity: str) -> Column:
     # pieces alternate: text outside, match, text outside, match, ...
     def spans(ends):
@@ -126,8 +136,8 @@ def may_hold_spans(text: Column) -> Column:
 def resolve_overlaps(spans: Column) -> Column:
     """Sort by (start, end, entity) and keep each span that starts after the kept ones.
 
-    A span that no earlier one reaches starts a cluster, and only clusters of
-    several spans are folded one by one.
+    A span that starts at or after the ends of all earlier ones starts a cluster,
+    and only clusters of several spans are folded one by one.
     """
     def keep(acc, span):
         fits = span["start"] >= acc["end"]
@@ -139,8 +149,11 @@ def resolve_overlaps(spans: Column) -> Column:
         return F.aggregate(cluster, start, keep, lambda acc: acc["spans"])
 
     def by_cluster(ordered):
-        opens = F.filter(F.transform(ordered, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(ordered, i - 1)["end"]), i)), lambda i: i.isNotNull())
-        return let(opens, lambda first: F.flatten(F.transform(first, lambda i, k: folded(
+        def opens(reached):
+            return F.filter(F.transform(ordered, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(reached, i - 1)), i)), lambda i: i.isNotNull())
+
+        reached = running_maxima(F.transform(ordered, lambda s: s["end"]))
+        return let(let(reached, opens), lambda first: F.flatten(F.transform(first, lambda i, k: folded(
             F.slice(ordered, i + 1, F.coalesce(F.get(first, k + 1), F.size(ordered)) - i)))))
 
     return let(F.sort_array(spans), by_cluster)
