@@ -43,3 +43,10 @@ def test_odd_pages(spark):
 def test_paragraph_in_many_articles_stays(spark):
     rows = [(i, "http://h/", f"<article><h1>Title {'abcdefghij'[i]}</h1><p>A passage they share.</p><p>own {'klmnopqrst'[i]}</p></article>") for i in range(10)]
     assert all("A passage they share." in r.text for r in run(spark, rows).values())
+
+
+def test_head_without_end_tag(spark):
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><style>p{}</style>\n<script>x</script>"
+    bodies = ["<body><p>own words</p>", "<p>own words</p>", "<article><p>own words</p></article>", "<br>own words", "own words", "</head><body>own words", "<head><body><p>own words"]
+    out = run(spark, [(i, f"http://h{i}/", head + b) for i, b in enumerate(bodies)] + [(99, "http://h/", head)])
+    assert {i: r.text for i, r in out.items()} == {i: "own words" for i in range(len(bodies))} | {99: ""}

@@ -37,6 +37,8 @@ sup time tt u var wbr br""".split())
 #: Elements that hold prose: in an article they are never taken for a template.
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody thead caption figcaption figure".split()) | INLINE
 WHOLE = {"html", "body", "article", "main"}
+#: What may stand in a head; all else ends it.
+IN_HEAD = set("head base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = set("""address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu
 nav ol p pre section table ul""".split())
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -86,6 +88,8 @@ class _Page:
 
     def _text(self, text: str) -> None:
         if text:
+            if self.count.get("head") and not text.isspace():
+                self._end_head()
             self.parts.append(html.unescape(text))
 
     def _break(self) -> None:
@@ -101,7 +105,13 @@ class _Page:
         h = (self.hash[element] * 0x9E3779B97F4A7C15 + value + 1) & _MASK
         self.hash[element] = h ^ (h >> 29)
 
+    def _end_head(self) -> None:
+        while self.count.get("head"):
+            self._close("head")
+
     def _start(self, name: str, attributes: str) -> None:
+        if name not in IN_HEAD:
+            self._end_head()
         if name == "br":
             self.parts.append(" ")
         if name in VOID:
