@@ -22,6 +22,7 @@ SHARPNESS = 25.0          # from differences of cosines to scores
 LEARN = 1500              # texts learned from for each language, chosen by a hash of their id
 LANGUAGES = 500           # at most so many languages, the most frequent, are learned
 UNKNOWN = "und"
+ENOUGH = 30               # learning texts from whose spread it is told what is too far from a language; with fewer nothing is
 UNIT = 1 << 30            # sums of rounded multiples of this do not depend on their order
 
 
@@ -68,12 +69,12 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and prototypes from doc_id, text and lang; at most LEARN texts a language, about."""
+def learn(labelled: DataFrame, spread: bool = False) -> tuple[list[str], np.ndarray, np.ndarray | None]:
+    """Languages and prototypes from doc_id, text and lang; at most LEARN texts a language, about.  With ``spread`` also the least cosines."""
     labelled = labelled.where("lang is not null and text is not null")
     languages = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not languages:
-        return [], np.zeros((0, SIZE), np.float32)
+        return [], np.zeros((0, SIZE), np.float32), None
     share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, LEARN / r["count"])) for r in languages], "lang string, share double")
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("lang", "text")     # at most LANGUAGES rows
@@ -89,16 +90,45 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").collect()
     v = np.array([[x["x"] for x in r["v"]] for r in rows], np.float64).reshape(len(rows), SIZE)
-    return [r["lang"] for r in rows], (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    names, norms = [r["lang"] for r in rows], np.maximum(np.linalg.norm(v, axis=1), 1e-9)
+    prototypes = (v / norms[:, None]).astype(np.float32)
+    return names, prototypes, _least(sample, names, prototypes, norms / UNIT) if spread else None
 
 
-def identify(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep``, ``lang_pred`` and ``score``.
+def _least(sample: DataFrame, names: list[str], prototypes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """The least cosine of a text that fits a language: a standard deviation below the least of its learning texts.
 
+    Each learning text is held against what the others bundle to; ``norms`` are
+    those of the sums of unit vectors.
+    """
+    place = {g: i for i, g in enumerate(names)}
+
+    def make():
+        def f(piece):
+            v = profiles(piece.column("text").to_pylist())
+            lang = np.array([place[g] for g in piece.column("lang").to_pylist()], np.int64)
+            dot = (v * prototypes[lang]).sum(axis=1).astype(np.float64) * norms[lang]
+            others = np.sqrt(np.maximum(norms[lang] ** 2 - 2 * dot + 1, 0))
+            own = (v != 0).any(axis=1) & (others > 0.5)
+            return {"lang": pa.array(lang[own]), "x": pa.array(np.round((dot - 1)[own] / others[own], 6))}
+        return f
+    cosines = common.map_pieces(sample, "text", make, "lang bigint, x double")
+    least = np.full(len(names), -np.inf)
+    for r in cosines.groupBy("lang").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.stddev_pop("x").alias("by")).where(F.col("n") >= ENOUGH).collect():
+        least[r["lang"]] = r["x"] - r["by"]
+    return least
+
+
+def identify(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc_id",), spread: bool = False) -> DataFrame:
+    """The columns in ``keep``, ``lang_pred`` and ``score``; with ``spread`` also ``fits``.
+
+    ``score`` is the share of the best language among all that are learned; ``fits``
+    tells whether the text is about as close to the best one as its learning texts
+    are, whatever other languages are close, too.
     Only the text decides.  Null and letterless texts are ``und`` with score 0, as
     are all texts if there is nothing to learn from.
     """
-    names, prototypes = learn(labelled)
+    names, prototypes, least = learn(labelled, spread)
     kinds = dict(docs.dtypes)
 
     def make():
@@ -109,12 +139,13 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc
             best = cosine.argmax(axis=1)
             weight = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True)).astype(np.float64))
             score = np.where(known, 1 / weight.sum(axis=1), 0.0)
-            return {c: piece.column(c) for c in keep} | {
+            fits = known if least is None else known & (cosine.max(axis=1) >= least[best])
+            return {"fits": pa.array(fits)} | {c: piece.column(c) for c in keep} | {
                 "lang_pred": pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()),
                 "score": pc.round(pa.array(score, pa.float64()), 6)}
         return f
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text_"))
-    return common.map_pieces(texts, "text_", make, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
+    return common.map_pieces(texts, "text_", make, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double" + ", fits boolean" * spread)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
