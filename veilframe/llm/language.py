@@ -20,7 +20,6 @@ SIZE = 1024               # of the vectors
 SYMBOLS = 1024            # letters below U+0250 have a vector of their own, others share the rest
 SHARPNESS = 25.0          # from differences of cosines to scores
 LEARN = 1500              # texts learned from for each language, chosen by a hash of their id
-LANGUAGES = 500           # at most so many languages, the most frequent, are learned
 UNKNOWN = "und"
 ENOUGH = 30               # learning texts from whose spread it is told what is too far from a language; with fewer nothing is
 UNIT = 1 << 30            # sums of rounded multiples of this do not depend on their order
@@ -72,12 +71,12 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
 def learn(labelled: DataFrame, spread: bool = False) -> tuple[list[str], np.ndarray, np.ndarray | None]:
     """Languages and prototypes from doc_id, text and lang; at most LEARN texts a language, about.  With ``spread`` also the least cosines."""
     labelled = labelled.where("lang is not null and text is not null")
-    languages = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    languages = labelled.groupBy("lang").count().collect()
     if not languages:
         return [], np.zeros((0, SIZE), np.float32), None
     share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, LEARN / r["count"])) for r in languages], "lang string, share double")
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("lang", "text")     # at most LANGUAGES rows
+    sample = labelled.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("lang", "text")     # a row for each language
 
     def make():
         def f(piece):
