@@ -1,5 +1,6 @@
-"""Reading inputs, staging, and running numpy code over Arrow batches of bounded size."""
+"""Reading inputs, staging, joins that bear hot keys, and running numpy code over Arrow batches of bounded size."""
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,19 +10,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe import session
 
-__all__ = ["map_pieces", "read", "stage", "with_row_id"]
+__all__ = ["join_spread", "map_pieces", "new_path", "read", "stage", "with_row_id"]
 
 #: Bytes of text that numpy code holds at a time; one longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
 #: Rows of an Arrow batch, where the session has Spark's own default: texts are long, and a batch is held whole.
 BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
+#: A key is hot with more than this part of the rows.
+SPREAD = 1024
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared work folder and read back: later steps start from files and outlive executors."""
     return session.stage(df, name, compression="zstd")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared work folder."""
+    return f"{session.work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """The named columns of a table; Parquet reads no others."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
@@ -32,6 +41,21 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df.withColumn("uid", F.monotonically_increasing_id())
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with a staged ``table`` of one row for each key (null is a key), where ``weight`` tells how many rows have it.
+
+    Keys with more than 1/SPREAD of the rows, fewer than SPREAD of them, are answered
+    by broadcast while their rows stay where they are; all others are shuffled.
+    """
+    hot = F.col(weight) > table.agg(F.sum(weight)).first()[0] / SPREAD if table.limit(1).count() else F.lit(False)
+    there = table.withColumnRenamed(key, "key__")
+    same = F.col(key).eqNullSafe(F.col("key__"))
+    large = F.broadcast(there.where(hot))
+    many = rows.join(large, same)
+    few = rows.join(large.select("key__"), same, "left_anti").join(there.where(~hot), same)
+    return many.unionByName(few).drop("key__")
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``limit`` bytes in ``column``."""
     if not batch.num_rows:
