@@ -525,6 +525,62 @@ def treated(profile: str) -> str:
 {p}_left as (select c_custkey as id, {nd('notes')} as t from {p}_treated), {spans(f'{p}_left', p + '_l')}"""
 
 
+def _drawn(text: str, size: int) -> str:
+    """The number that the first hexadecimal digits of a hash write."""
+    return f"('0x' || substr(sha256({text}), 1, {size}))::bigint"
+
+
+def _laid_out(like: str, compact: str) -> str:
+    """The characters of ``compact`` at the places where ``like`` has letters or digits."""
+    at = "substr({x}, 1, i)".format(x=like)
+    return (f"array_to_string(list_transform(range(1, length({like}) + 1), lambda i: case when regexp_matches(substr({like}, i, 1), '[0-9A-Za-z]') "
+            f"then substr({compact}, length(regexp_replace({at}, '[^0-9A-Za-z]', '', 'g')), 1) else substr({like}, i, 1) end), '')")
+
+
+def _fake_name(column: str, first: list[str], family: list[str], joint: str) -> str:
+    seed = f"sha256('{SALT}' || {column})"
+    pick = lambda pool, place: f"{q_list(pool)}[{_drawn(f'{seed} || {q(chr(58))} || {place}', 12)} % {len(pool)} + 1]"
+    extra = f"len(list_filter(regexp_split_to_array({strip(column)}, '[{SPACES}]+'), lambda w: w <> '')) - 2"
+    middle = f"array_to_string(list_transform(range(1, greatest({extra}, 0) + 1), lambda i: ' {joint} ' || {pick(first, 'i')}), '')"
+    return f"{pick(first, '0')} || {middle} || ' ' || {pick(family, '-1')}"
+
+
+def fakes() -> str:
+    """CTE ``fakes``: subjects with fakes that keep the form; halves of digits shift one another ten times, one row for each turn."""
+    mobile, compact = nd("mobile"), f"upper(regexp_replace({nd('iban')}, '[{SPACES}]+', '', 'g'))"
+    digits = f"regexp_replace({mobile}, '[^0-9]', '', 'g')"
+    inputs = " union all ".join(
+        f"select '{kind}' as kind, c_custkey as k, {cut} as d from subjects where {strip(column)} <> ''" for kind, column, cut in (
+            ("id", "national_id", f"substr({nd('national_id')}, 2, 8)"), ("iban", "iban", f"substr({compact}, 7)"),
+            ("mobile", "mobile", f"substr({digits}, length(regexp_extract({digits}, '^[^5]*5')) + 1)")))
+    shift = _drawn(f"'{SALT}:' || kind || ':10:' || n || ':' || i || ':' || b", 15)
+    luhn = " + ".join(f"cast(substr('0246813579', cast(substr(body, {i}, 1) as int) + 1, 1) as int)" if i % 2 else f"cast(substr(body, {i}, 1) as int)" for i in range(1, 10))
+    rest = "list_reduce(list_transform(string_split(bban || '281000', ''), lambda c: cast(c as int)), lambda a, c: (a * 10 + c) % 97, 0)"
+    return f"""
+turns(kind, k, n, i, a, b) as (
+  select kind, k, length(d), 0, left(d, length(d) // 2), substr(d, length(d) // 2 + 1) from ({inputs})
+  union all select kind, k, n, i + 1, b, lpad(cast((coalesce(try_cast(a as bigint), 0) + {shift} % m) % m as varchar), cast(w as int), '0')
+  from (select *, case when i % 2 = 0 then n // 2 else n - n // 2 end as w, cast(10 ** (case when i % 2 = 0 then n // 2 else n - n // 2 end) as bigint) as m from turns where i < 10)),
+permuted as materialized (select k, max(a || b) filter (where kind = 'id') as id, max(a || b) filter (where kind = 'iban') as account,
+  max(a || b) filter (where kind = 'mobile') as rest from turns where i = 10 group by k),
+bodies as (select s.*, left({nd('national_id')}, 1) || p.id as body, substr({compact}, 5, 2) || p.account as bban, regexp_extract({digits}, '^[^5]*5') || p.rest as numbers
+  from subjects s left join permuted p on p.k = s.c_custkey),
+fakes as materialized (select c_custkey, {_unless_blank('national_id', f"body || (10 - ({luhn}) % 10) % 10")} as national_id,
+  {_unless_blank('mobile', _laid_out(mobile, 'numbers'))} as mobile,
+  {_unless_blank('iban', _laid_out(nd('iban'), f"('SA' || lpad(cast(98 - {rest} as varchar), 2, '0') || bban)"))} as iban,
+  {_unless_blank('customer_name_ar', _fake_name('customer_name_ar', V.FAKE_AR_FIRST, V.FAKE_AR_FAMILY, 'بن'))} as customer_name_ar,
+  {_unless_blank('customer_name_en', _fake_name('customer_name_en', V.FAKE_EN_FIRST, V.FAKE_EN_FAMILY, 'bin'))} as customer_name_en from bodies)"""
+
+
+def _developer_columns() -> str:
+    """The subjects treated for testing: fakes from one table, what else is treated from another, numbered e-mails."""
+    faked = ("national_id", "mobile", "iban", "customer_name_ar", "customer_name_en")
+    n = "case when email_n < 1000 then lpad(cast(email_n as varchar), 3, '0') else cast(email_n as varchar) end"
+    shown = {c: f"f.{c}" if c in faked else f"t.{c}" for c in COLUMNS} | {"email": _unless_blank("s.email", f"'user' || {n} || '@example.com'")}
+    return (f"select c_custkey, {', '.join(f'{x} as {c}' for c, x in shown.items())} from dev_treated t join fakes f using (c_custkey) "
+            f"join subjects s using (c_custkey) left join {replaced('email', '').replace('= email', '= s.email')}")
+
+
 QUASI = ["age", "gender", "city", "district", "job", "salary", "birth_date"]
 
 
@@ -899,6 +955,7 @@ rated as (select *, {round2('''least(0.99::double, (case entity when 'SAUDI_NATI
       count(mobile) as mobiles_of_same_form, count(mobile) as mobiles_of_same_prefix, count(iban) as valid_ibans,
       count(iban) as ibans_of_same_form, count(customer_name_ar) as arabic_names, count(customer_name_en) as latin_names,
       count(customer_name_en) as names_of_same_size from subjects""",
+    "replace_format_preserving_rows": with_(fakes()) + "select * from fakes",
     "choose_band_width": with_() + "select column_name as \"column\", min(x) as low, max(x) as high, " + ", ".join(
         f"{width_of('min(x)', 'max(x)', str(b))} as {p}" for p, b in BINS.items()) + f""" from (
         {figures('subjects', {c: number(c) for c in ('age', 'salary', 'monthly_spending')})}
@@ -914,6 +971,7 @@ rated as (select *, {round2('''least(0.99::double, (case entity when 'SAUDI_NATI
       when dates / filled::double >= 0.9 then 'date' else 'text' end as kind from (select col, count(*) as filled, count({number('v')}) as numbers,
       count(*) filter (where regexp_matches(v, '^\\p{{Nd}}{{1,4}}[-/.]\\p{{Nd}}{{1,2}}[-/.]\\p{{Nd}}{{1,4}}')) as dates from cells group by col)""",
     "anonymize_table": with_(treated("external")) + _treated_columns("ext"),
+    "anonymize_table_developer": with_(treated("developer"), fakes()) + _developer_columns(),
     "anonymize_table_internal": with_(treated("internal")) + _treated_columns("int"),
     # risk
     "visible_fraction": with_(treated("internal")) + " union all ".join(

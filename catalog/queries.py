@@ -501,6 +501,14 @@ def replace_format_preserving(spark, sf_dir):
         F.count_if(words(F.col("customer_name_en")) == words(F.col("customer_name_en_fake"))).alias("names_of_same_size"))
 
 
+@query
+def replace_format_preserving_rows(spark, sf_dir):
+    """The fakes themselves: different identifiers get different ones."""
+    kinds = {"national_id": "SAUDI_NATIONAL_ID", "mobile": "SAUDI_MOBILE", "iban": "SAUDI_IBAN",
+             "customer_name_ar": "ARABIC_PERSON_NAME", "customer_name_en": "PERSON_NAME"}
+    return people(spark, sf_dir).select(KEY, *[treat.replace_stateless(F.col(c), e, SALT).alias(c) for c, e in kinds.items()])
+
+
 def _widths(spark, sf_dir):
     wide = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int"), F.col("l_extendedprice").cast("bigint"))
     parts = [people(spark, sf_dir).select("age", "salary", "monthly_spending"), wide,

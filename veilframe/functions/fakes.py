@@ -1,13 +1,16 @@
 """Format-preserving fake values as column expressions.
 
-Everything is drawn from the salted SHA-256 of the original, so equal values
-get equal fakes on any executor without a shared table.
+Valid IDs, IBANs and mobile numbers are permuted under the salt, so equal values
+get equal fakes and different values different ones, on any executor and without a
+shared table.  Names, and what is no valid identifier, are drawn from the salted
+SHA-256 of the original: there are fewer fakes than originals of that kind.
 """
 
 from pyspark.sql import Column, functions as F
 
 from veilframe import fixed_values as V
-from veilframe.functions.checks import compact_iban, iban_check_digits, luhn_check_digit
+from veilframe.functions.checks import compact_iban, iban_check_digits, iban_valid, luhn_check_digit, national_id_valid
+from veilframe.functions.permute import permute_alphanumerics, permute_digits
 from veilframe.functions.text import ALNUM, SPACE, has_arabic, let, normalize_digits, strip
 
 
@@ -36,37 +39,42 @@ def reformat_like(original: Column, compact: Column) -> Column:
 
 
 def fake_national_id(c: Column, salt: str) -> Column:
-    """A checksum-valid ID that keeps a leading 1 or 2."""
-    first = F.substring(normalize_digits(c), 1, 1)
-    body = F.concat(F.when(first.isin("1", "2"), first).otherwise("1"),
-                    F.substring(_digits_of(digest(c, salt)), 1, 8))
-    return let(body, lambda b: F.concat(b, luhn_check_digit(b)))
+    """A checksum-valid ID that keeps a leading 1 or 2; different valid IDs get different ones."""
+    def build(plain):
+        first = F.substring(plain, 1, 1)
+        digits = F.regexp_replace(plain, "[^0-9]", "")
+        drawn = F.when(national_id_valid(plain), permute_digits(F.substring(digits, 2, 8), f"{salt}:id")) \
+            .otherwise(F.substring(_digits_of(digest(c, salt)), 1, 8))
+        return let(F.concat(F.when(first.isin("1", "2"), first).otherwise("1"), drawn), lambda b: F.concat(b, luhn_check_digit(b)))
+    return let(normalize_digits(c), build)
 
 
 def fake_mobile(c: Column, salt: str) -> Column:
-    """Keeps the prefix up to the first 5 and the separators; other digits change."""
+    """Keeps the prefix up to the first 5 and the separators; the other digits become others, different ones different."""
     def build(plain):
         digits = F.regexp_replace(plain, r"(?U)\D", "")
         prefix = F.regexp_extract(digits, "^([^5]*5)", 1)
-        drawn = F.substring(F.repeat(_digits_of(digest(c, salt)), 8), F.lit(1), F.length(digits) - F.length(prefix))
-        return let(F.concat(prefix, drawn), lambda new: reformat_like(plain, new))
+        rest = F.substring(digits, F.length(prefix) + 1, F.length(digits))
+        return let(F.concat(prefix, permute_digits(rest, f"{salt}:mobile")), lambda new: reformat_like(plain, new))
     return let(normalize_digits(c), build)
 
 
 def fake_iban(c: Column, salt: str) -> Column:
-    """A mod-97-valid IBAN of the same bank, with the separators of the original."""
+    """A mod-97-valid IBAN of the same bank, with the separators of the original; different valid ones get different ones."""
     def build(plain):
-        bank = F.substring(compact_iban(plain), 5, 2)
-        bban = F.concat(F.when(F.length(bank) == 2, bank).otherwise(V.DEFAULT_BANK_CODE),
-                        F.substring(_digits_of(digest(c, salt)), 1, 18))
+        compact = compact_iban(plain)
+        bank, account = F.substring(compact, 5, 2), F.substring(compact, 7, 18)
+        drawn = F.when(~iban_valid(plain), F.substring(_digits_of(digest(c, salt)), 1, 18)) \
+            .when(account.rlike("[A-Z]"), permute_alphanumerics(account, f"{salt}:iban")).otherwise(permute_digits(account, f"{salt}:iban"))
+        bban = F.concat(F.when(F.length(bank) == 2, bank).otherwise(V.DEFAULT_BANK_CODE), drawn)
         new = let(bban, lambda b: F.concat(F.lit("SA"), iban_check_digits(b), b))
         return let(new, lambda n: reformat_like(plain, n))
     return let(normalize_digits(c), build)
 
 
 def _pick(pool: list[str], seed: Column, place) -> Column:
-    return F.get(F.array(*[F.lit(w) for w in pool]),
-                 F.pmod(F.xxhash64(seed, place), F.lit(len(pool))).cast("int"))
+    drawn = F.conv(F.substring(F.sha2(F.concat(seed, F.lit(":"), place.cast("string")), 256), 1, 12), 16, 10).cast("bigint")
+    return F.get(F.array(*[F.lit(w) for w in pool]), (drawn % len(pool)).cast("int"))
 
 
 def _name_from(first: list[str], family: list[str], joint: str, extra: Column, seed: Column) -> Column:
