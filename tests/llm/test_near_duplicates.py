@@ -92,7 +92,7 @@ def test_pairs_that_meet_in_a_node_that_branches(spark):
 
     def kept(place, large):
         columns = {"node": pa.array([nodes[0, place].view(np.int64)] * 2, pa.int64()), "cid": pa.array([1, 2]), "doc": pa.array([1, 2]), "th": pa.array([3, 4]),
-                   "start": pa.array([True, True]), "signature": pa.array([s.tobytes() for s in own], pa.binary()), "large": pa.array([large, large], pa.list_(pa.int64()))}
+                   "start": pa.array([True, True]), "signature": pa.array([s.tobytes() for s in own], pa.binary()), "large": pa.array([large, large], pa.list_(pa.int64())), "label": pa.array([1, 2])}
         return sum(b.num_rows for b in N._with_partner(0.6)(iter([pa.RecordBatch.from_pydict(columns)])))
     before = nodes[0, shared[:-1]].view(np.int64).tolist()
     assert kept(shared[0], None) == 2 and kept(shared[-1], None) == 0
@@ -100,8 +100,8 @@ def test_pairs_that_meet_in_a_node_that_branches(spark):
 
 
 def test_classes_know_their_large_start_nodes(spark):
-    members = spark.createDataFrame([(1, c) for c in range(9)] + [(2, 0), (2, 1)], "node long, cid long")
-    classes = spark.createDataFrame([(c, bytes([c]) * 4 * N.TOKENS) for c in range(9)], "cid long, signature binary")
+    members = spark.createDataFrame([(1, c, 5) for c in range(9)] + [(2, 0, 5), (2, 1, 5)], "node long, cid long, n long")
+    classes = spark.createDataFrame([(c, 5, bytes([c]) * 4 * N.TOKENS) for c in range(9)], "cid long, n long, signature binary")
     nodes, parted = N._in_nodes(members, classes, 4)
     assert {(r.node, r.cid) for r in nodes.where("start").collect()} == {(2, 0), (2, 1)}
     assert {r.cid: r.large for r in parted.collect()} == {c: [1] for c in range(9)}
@@ -113,3 +113,48 @@ def test_the_estimate_seldom_drops_a_link():
     for share in (0.8, 0.85):
         least = ceil((share - N.MARGIN * (share * (1 - share) / N.TOKENS) ** 0.5) * N.TOKENS - 1e-9)
         assert sum(comb(N.TOKENS, i) * share ** i * (1 - share) ** (N.TOKENS - i) for i in range(least)) < 1e-6
+
+
+def near_copies(rng, words, copies, changes):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(copies):
+        w = list(base)
+        for _ in range(rng.randrange(changes)):
+            w[rng.randrange(words)] = f"n{rng.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("copies", (64, 128, 256))
+def test_large_groups_of_near_copies_take_linear_work(spark, monkeypatch, copies):
+    rng = random.Random(copies)
+    texts = near_copies(rng, 300, copies, 7) + near_copies(rng, 300, 6, 4)
+    texts += [" ".join(t.split()[:200] + [f"o{rng.randrange(10**9)}" for _ in range(30 + 10 * i)]) for i, t in enumerate(texts[:12])]       # alike, but less
+    docs = [(i * 7 % 10007, t) for i, t in enumerate(texts)]
+    staged = []
+    keep = N.common.stage
+
+    def stage(df, name):
+        out = keep(df, name)
+        staged.append((name, out))
+        return out
+    monkeypatch.setattr(N.common, "stage", stage)
+    assert run(spark, docs, limit=32) == brute(docs)
+    rows = lambda what: sum(df.count() for name, df in staged if name == what)
+    assert rows("partners") <= 20 * len(docs) and rows("nodes") + rows("start-nodes") <= 60 * len(docs)
+
+
+def test_nodes_are_bounded_by_their_shingles_too(spark, monkeypatch):
+    docs = corpus(7, 6, 30)
+    monkeypatch.setattr(N, "SHINGLES", 400)
+    assert run(spark, docs) == brute(docs)
+
+
+def test_one_of_each_keeps_columns_of_any_name_and_type(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", {"k": 1}, 5), (2, "a b c d e f", "y", {"k": 2}, 6), (2, "a b c d e f", "z", {"k": 2}, 6), (3, None, None, None, None), (4, "other", "q", {}, 0)],
+                                 "doc_id long, text string, doc string, th map<string, int>, c1 int").selectExpr("*", "'p' as doc__", "'t' as th__", "'u' as place__", "'v' as place", "1 as component")
+    out = N.one_of_each(docs, 80, 5)
+    assert out.schema == docs.schema
+    assert sorted((r.doc_id, r.doc, r.c1, r.doc__, r.th__, r.place__) for r in out.where("doc_id <> 3").collect()) == [(1, "x", 5, "p", "t", "u"), (4, "q", 0, "p", "t", "u")]
+    assert out.where("doc_id = 3").count() == 1

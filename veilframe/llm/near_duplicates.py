@@ -5,12 +5,20 @@ a node selects two min-wise tokens of a document's signature, and for each of th
 the document goes to the child that the token names.  Two sets of similarity s
 share a child with probability 1 - (1 - s)^2, and a node of any depth with at
 least (2 s - 1) / s^2, which is 0.97 at s = 0.85; four independent trees miss a
-link there about once in a million, and at 0.8 about once in 65,000.  Nodes with at most LIMIT classes are compared
+link there about once in a million, and at 0.8 about once in 65,000.  Nodes with at most LIMIT classes, and at most SHINGLES shingles in them, are compared
 exhaustively, larger ones branch again.  What is still too large at DEPTH is dealt
 into blocks that are compared pairwise, so no pair is lost.
 
-A node first drops classes without a partner of fitting signature, or whose pairs
-an earlier node of at most LIMIT classes compares: one that branches may part them.
+Near copies stay together in every branch, so a large group of them is linked first:
+each class is compared once or twice in a block of its large nodes that also holds
+some classes that all blocks of the node share.  Two classes that are known to be in
+one component need not meet again.  Nodes of one component end there, and where one
+component has most of a node, its members are dealt into blocks that only the other
+classes of the node visit.
+
+A node first drops classes without a partner of fitting signature in another
+component, or whose pairs an earlier node of at most LIMIT classes compares: one that
+branches may part them.
 A signature does not fit a link at the threshold about once in 6 million at 0.85,
 and once in 50 million at 0.8.  The texts of the rest are brought together, links are
 confirmed on their full sets, and each node gives at most one link for each class,
@@ -21,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veilframe.llm import common, words as W
 from veilframe.llm.components import components
@@ -29,6 +37,9 @@ from veilframe.llm.components import components
 SHINGLE, PERCENT = 3, 85
 TOKENS, TREES, START, DEPTH = 64, 4, 2, 12
 LIMIT = 2048
+SHINGLES = 1 << 24        # of all classes of a node together
+SHARED = 4                # classes that all blocks of a large node hold
+MEETINGS = 2              # large nodes in which a class is linked first
 MARGIN = 6.0              # standard deviations that an estimate may lie below the threshold
 LAST = (1 << 63) - 1
 COLUMNS = 4096            # shingles whose occurrences are held as a matrix at a time
@@ -99,25 +110,63 @@ def _measure(base: DataFrame, size: int) -> DataFrame:
     return common.map_pieces(base, "text", make, f"doc_id {kind}, doc bigint, th bigint, n bigint, c1 bigint, c2 bigint, signature binary")
 
 
-def _in_nodes(members: DataFrame, classes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """(node, cid, start) of nodes with 2 to ``limit`` classes, from (node, cid); larger nodes branch or are dealt into blocks.
+def _large(limit: int) -> Column:
+    return (F.col("k") > limit) | (F.col("w") > SHINGLES)
+
+
+def _blocks(classes: Column, shingles: Column, limit: int) -> Column:
+    """How many blocks of half the size of a node are needed."""
+    return F.greatest(F.ceil(2 * classes / limit), F.ceil(2 * shingles / SHINGLES)).cast("int")
+
+
+def _first_meetings(members: DataFrame, limit: int) -> DataFrame | None:
+    """(node, cid) of blocks of large start nodes, for linking groups of near copies; null if no node is large.
 
-    Also (cid, large): the start nodes of a class that are larger, if there are any.
+    Each class is in one block of MEETINGS of its large nodes, the ones with the smallest numbers, which near copies mostly share.
+    """
+    sizes = members.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where(_large(limit))
+    if not sizes.limit(1).count():
+        return None
+    there = members.join(sizes, "node")
+    few = there.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("node")), 1, MEETINGS).alias("nodes")).select("cid", F.explode("nodes").alias("node"))
+    count = F.greatest(2 * _blocks(F.col("k"), F.col("w"), limit), F.lit(1))
+    dealt = few.join(sizes, "node").select("node", "cid", F.pmod(F.xxhash64("cid", "node"), count).cast("int").alias("i"))
+    shared = there.groupBy("node").agg(F.first("k").alias("k"), F.first("w").alias("w"), F.array_distinct(F.array(*[F.min_by("cid", F.xxhash64("cid", F.lit(i))) for i in range(SHARED)])).alias("cids"))
+    shared = shared.select("node", F.explode("cids").alias("cid"), F.sequence(F.lit(0), count - 1).alias("all")).select("node", "cid", F.explode("all").alias("i"))
+    return dealt.unionByName(shared).select(F.xxhash64("node", "i").alias("node"), "cid").distinct()
+
+
+def _in_nodes(members: DataFrame, classes: DataFrame, limit: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(node, cid, start) of nodes with 2 to ``limit`` classes, from (node, cid, n); larger nodes branch or are dealt into blocks.
+
+    ``known`` has components (cid, label) that need no more links inside.  Also
+    (cid, large): the start nodes of a class that are larger, if there are any.
     """
     out, depth, parted = None, START, None
     while True:
         members = common.stage(members, "nodes")
-        counts = members.groupBy("node").agg(F.count("*").alias("k")).where("k > 1")
+        counts = members.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where("k > 1")
         sized = members.join(counts, "node")
-        own = sized.where(F.col("k") <= limit).select("node", "cid", F.lit(depth == START).alias("start"))
+        own = sized.where(~_large(limit)).select("node", "cid", F.lit(depth == START).alias("start"))
         out = own if out is None else out.unionByName(own)
-        large = sized.where(F.col("k") > limit)
-        if not counts.where(F.col("k") > limit).limit(1).count():
+        if not counts.where(_large(limit)).limit(1).count():
             return out, parted
+        large = sized.where(_large(limit)).withColumn("label", F.col("cid"))
         if depth == START:
             parted = large.groupBy("cid").agg(F.collect_set("node").alias("large"))
+        if known is not None:
+            large = large.drop("label").join(known, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        labels = large.groupBy("node", "label").agg(F.count("*").alias("same"), F.sum("n").alias("same_w"))
+        most = labels.groupBy("node").agg(F.max(F.struct("same", "same_w", "label")).alias("most"))
+        large = large.join(most, "node").where("most.same < k")                    # of one component: nothing is left to link
+        ruled = F.col("k") - F.col("most.same") <= limit // 2
+        blocks = _blocks(F.col("most.same"), F.col("most.same_w"), limit)
+        places = F.when(F.col("label") == F.col("most.label"), F.array(F.pmod(F.xxhash64("cid"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+        visited = large.where(ruled).select("node", "cid", F.explode(places).alias("i"))
+        out = out.unionByName(visited.select(F.xxhash64("node", "i").alias("node"), "cid", F.lit(False).alias("start")))
+        large = large.where(~ruled)
         if depth >= DEPTH:
-            blocks = F.ceil(2 * F.col("k") / limit).cast("int")
+            blocks = _blocks(F.col("k"), F.col("w"), limit)
             dealt = large.select("node", "cid", blocks.alias("m"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("i"))
             pairs = dealt.select("node", "cid", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
             return out.unionByName(pairs.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "cid", F.lit(False).alias("start"))), parted
@@ -127,9 +176,9 @@ def _in_nodes(members: DataFrame, classes: DataFrame, limit: int) -> tuple[DataF
             for b in batches:
                 if b.num_rows:
                     nodes = _children(b.column("node").to_numpy().view(np.uint64), _signatures(b.column("signature")))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(np.repeat(b.column("cid").to_numpy(), 2))], ["node", "cid"])
-        members = large.select("node", "cid").join(classes.select("cid", "signature"), "cid").select("node", "cid", "signature") \
-            .mapInArrow(run, "node bigint, cid bigint").distinct()
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), *[pa.array(np.repeat(b.column(c).to_numpy(), 2)) for c in ("cid", "n")]], ["node", "cid", "n"])
+        members = large.select("node", "cid").join(classes.select("cid", "n", "signature"), "cid").select("node", "cid", "n", "signature") \
+            .mapInArrow(run, "node bigint, cid bigint, n bigint").distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -151,7 +200,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _with_partner(least: float):
-    """A ``mapInArrow`` function: classes of a node that have a partner there, by estimate, not met in an earlier node that compares them."""
+    """A ``mapInArrow`` function: classes of a node that have a partner there, by estimate, of another component, not met in an earlier node that compares them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             signature = _signatures(group.column("signature").combine_chunks())
@@ -162,13 +211,14 @@ def _with_partner(least: float):
             large = group.column("large").combine_chunks()
             parted = np.unique(large.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
             compared = ~np.isin(earlier, parted)
+            label = group.column("label").to_numpy()
             step = max(1, (1 << 21) // (len(signature) * TOKENS))
             for a in range(0, len(signature), step):
                 part = slice(a, a + step)
                 near = (signature[part, None, :] == signature[None, :, :]).sum(axis=2) >= least * TOKENS
                 for i in range(earlier.shape[1]):
                     near &= (earlier[part, None, i] != earlier[None, :, i]) | ~compared[part, None, i]
-                near[np.arange(len(near)), np.arange(a, a + len(near))] = False
+                near &= label[part, None] != label[None, :]
                 keep[part] |= near.any(axis=1)
             if keep.any():
                 kept = group.select(["node", "cid", "doc", "th"]).filter(pa.array(keep))
@@ -247,19 +297,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         for b in batches:
             if b.num_rows:
                 nodes = _start_nodes(_signatures(b.column("signature")))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(np.repeat(b.column("cid").to_numpy(), nodes.shape[1]))], ["node", "cid"])
-    members = classes.select("cid", "signature").mapInArrow(start, "node bigint, cid bigint")
-    nodes, parted = _in_nodes(members, classes, limit)
-    described = classes.select("cid", "doc", "th", "signature")
-    described = described.join(parted, "cid", "left") if parted else described.withColumn("large", F.lit(None).cast("array<bigint>"))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), *[pa.array(np.repeat(b.column(c).to_numpy(), nodes.shape[1])) for c in ("cid", "n")]], ["node", "cid", "n"])
+    members = common.stage(classes.select("cid", "n", "signature").mapInArrow(start, "node bigint, cid bigint, n bigint"), "start-nodes")
     share = percent / 100
     least = share - MARGIN * (share * (1 - share) / TOKENS) ** 0.5
-    found = nodes.join(described, "cid").select("node", "cid", "doc", "th", "start", "signature", "large") \
-        .repartition("node").sortWithinPartitions("node").mapInArrow(_with_partner(least), "node bigint, cid bigint, doc bigint, th bigint")
-    found = common.stage(found, "partners")
-    texts = base.select("doc", "th", "text").join(found.hint("shuffle_hash"), ["doc", "th"]).select("node", "cid", "text")
-    links = texts.repartition("node").sortWithinPartitions("node").mapInArrow(_link(percent, size), "a bigint, b bigint")
-    reached = components(links)
+
+    def links_in(nodes: DataFrame, parted: DataFrame | None, known: DataFrame | None) -> DataFrame:
+        described = classes.select("cid", "doc", "th", "signature")
+        described = described.join(parted, "cid", "left") if parted else described.withColumn("large", F.lit(None).cast("array<bigint>"))
+        described = described.join(known, "cid", "left") if known else described.withColumn("label", F.col("cid"))
+        found = nodes.join(described, "cid").select("node", "cid", "doc", "th", "start", "signature", "large", F.coalesce("label", "cid").alias("label")) \
+            .repartition("node").sortWithinPartitions("node").mapInArrow(_with_partner(least), "node bigint, cid bigint, doc bigint, th bigint")
+        found = common.stage(found, "partners")
+        texts = base.select("doc", "th", "text").join(found.hint("shuffle_hash"), ["doc", "th"]).select("node", "cid", "text")
+        return texts.repartition("node").sortWithinPartitions("node").mapInArrow(_link(percent, size), "a bigint, b bigint")
+
+    blocks, known, first_links = _first_meetings(members, limit), None, None
+    if blocks is not None:
+        first_links = common.stage(links_in(blocks.withColumn("start", F.lit(False)), None, None), "first-links")
+        known = common.stage(components(first_links).select(F.col("node").alias("cid"), F.col("component").alias("label")), "known")
+    nodes, parted = _in_nodes(members, classes, limit, known)
+    links = links_in(nodes, parted, known)
+    reached = components(links if first_links is None else links.unionByName(first_links))
     named = classes.select("cid", "c1", "c2", "n", "doc").join(reached.withColumnRenamed("node", "cid"), "cid", "left") \
         .withColumn("component", F.coalesce("component", "cid"))
     first = named.groupBy("component").agg(F.min("doc").alias("component_doc"))
@@ -271,16 +330,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, one with the smallest id, and all rows without words."""
+    """``docs`` with one row of each group of near-duplicates, one with the smallest id, and all rows without words.
+
+    Columns keep their names, types and values, whatever they are; rows with the same
+    id and text are taken for one, and an arbitrary one of them stays.
+    """
     found = near_duplicates(docs.select("doc_id", "text"), percent, size)
     chosen = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc", "th")).alias("r")).select("r.doc", "r.th")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = text.rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.where(words).withColumns({"doc__": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "th__": F.xxhash64(text)})
-    kept = keyed.join(chosen.hint("shuffle_hash").withColumnsRenamed({"doc": "doc__", "th": "th__"}), ["doc__", "th__"], "left_semi")
-    order = Window.partitionBy("doc__", "th__").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = kept.withColumn("place__", F.row_number().over(order)).where("place__ = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~words))
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    again = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    keyed = docs.where(words).select(*columns, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"))
+    kept = keyed.join(chosen.hint("shuffle_hash"), ["doc", "th"], "left_semi")
+    first = Window.partitionBy("doc", "th").orderBy(F.lit(1))
+    kept = kept.withColumn("place", F.row_number().over(first)).where("place = 1")
+    return kept.select(*again).unionByName(docs.where(~words))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
