@@ -75,3 +75,41 @@ def test_copies_count_once_in_the_size_of_a_host(spark):
     rows = [(i, f"own {chr(97 + i)}\nthe line that they share", "s") for i in range(12)] + [(100 + i, "a copy", "s") for i in range(60)]
     out = {r.doc_id: r for r in judge(table(spark, rows), min_share=0.5).collect()}
     assert all(len(out[i].boilerplate) == 1 for i in range(12)) and not out[100].boilerplate
+
+
+def normal(line):
+    line = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
+    return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", line)).strip(" ")
+
+
+def brute_lines(rows, min_documents, min_share, least_left):
+    """(words left, kept) of each row, by counting the distinct texts of a host that hold a line."""
+    hosts, on = {}, {}
+    for _, text, host in rows:
+        hosts.setdefault(host, set()).add(text or "")
+        for line in (text or "").split("\n"):
+            if line.strip(" \t\n\x0b\x0c\r"):
+                on.setdefault((host, normal(line)), set()).add(text)
+    out = []
+    for _, text, host in rows:
+        n, *_, failed = brute(text)
+        lost = sum(len(re.findall(r"[^\x20\x09-\x0D]+", line)) for line in (text or "").split("\n")
+                   if len(on.get((host, normal(line)), ())) > max(min_documents, min_share * len(hosts[host])))
+        out.append((n - lost, not failed and n - lost >= least_left * n))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_frequency_agrees_with_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choices(["one", "two", "THREE", "4", "55", "six"], k=9)) for _ in range(30)]
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}x" for _ in range(rng.randrange(12)))
+    rows = []
+    for i in range(150):
+        lines = [rng.choice([own(), pool[int(rng.paretovariate(0.7)) % 30], pool[0].lower().replace("55", "7"), "  "]) for _ in range(rng.randrange(1, 12))]
+        rows.append((i, "\n".join(lines), rng.choice(["a", "a", "a", "b", ""])))
+    rows += [(200 + i, *rows[i][1:]) for i in range(40)] + [(300, None, "a"), (301, "", None), (302, pool[1] + "\n" + pool[1], None)]
+    out = judge(table(spark, rows), 3, 0.05, 0.3).select("doc_id", "n_left", "kept").collect()
+    wanted = brute_lines([(i, t, h or "") for i, t, h in rows], 3, 0.05, 0.3)
+    assert sorted(tuple(r) for r in out) == sorted((i, *x) for (i, _, _), x in zip(rows, wanted))
+    assert any(left < brute(t)[0] for (left, _), (_, t, _) in zip(wanted, rows))

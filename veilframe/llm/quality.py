@@ -71,10 +71,12 @@ def judge(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float
     """
     measured = common.stage(_measure(docs), "line-counts")
     lines = measured.select("uid", "host", "digest", F.inline("lines"))
-    seen = lines.select("host", "h", "digest").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
+    seen = lines.groupBy("host", "h", "digest").agg(F.count("*").alias("rows")) \
+        .groupBy("host", "h").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).where(F.col("n") > min_documents)
     sizes = measured.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("documents"))
-    common_lines = seen.join(sizes, "host").where(F.col("n") > min_share * F.col("documents")).select("host", "h")
-    lost = lines.join(common_lines, ["host", "h"]).groupBy("uid").agg(F.sum("words").alias("lost"), F.array_sort(F.collect_set("h")).alias("boilerplate"))
+    line = F.concat_ws(":", F.hex("h"), "host").alias("line")
+    common_lines = common.stage(seen.join(sizes, "host").where(F.col("n") > min_share * F.col("documents")).select(line, "rows"), "common-lines")
+    lost = common.join_spread(lines.select("uid", "h", "words", line), common_lines, "line", "rows").groupBy("uid").agg(F.sum("words").alias("lost"), F.array_sort(F.collect_set("h")).alias("boilerplate"))
     failed = (F.col("w.n_words") < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > MAX_REPEATED * F.col("w.n_words"))
     left = F.col("w.n_words") - F.coalesce("lost", F.lit(0))
     return measured.drop("lines", "digest").join(lost, "uid", "left").select(
@@ -100,10 +102,9 @@ g as (select uid, i, array_to_string(w[i:i + 7], ' ') as g from (select uid, w,
 r as (select uid, count(distinct p) as n from (select uid, unnest(range(i, i + 8)) as p from (select uid, i, count(*) over (partition by uid, g) as c from g) where c > 1) group by uid),
 l as (select uid, host, i, line from (select uid, host, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
 n as (select uid, host, i, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as words, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as h from l),
-a as (select *, lag(h) over (partition by uid order by i) as b, lead(h) over (partition by uid order by i) as c from n),
-f as (select host, h, count(*) as n from (select distinct host, h, b, c from a) group by host, h having count(*) > 10),
-s as (select host, count(*) as documents from d group by host),
-x as (select uid, sum(words) as lost from a join f using (host, h) join s using (host) where f.n > 0.001 * documents group by uid),
+f as (select host, h, count(distinct t) as n from n join d using (uid, host) group by host, h having count(distinct t) > 10),
+s as (select host, count(distinct t) as documents from d group by host),
+x as (select uid, sum(words) as lost from n join f using (host, h) join s using (host) where f.n > 0.001 * documents group by uid),
 u as (select uid, count(*) - count(distinct line) as n_dup_lines from l group by uid),
 o as (select doc_id, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
   cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines,
