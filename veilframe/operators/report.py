@@ -5,13 +5,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from veilframe import fixed_values as V
+from veilframe.operators.compare import score_profiles
 from veilframe.operators.detect import flagged
-from veilframe.operators.risk import Risk, assess_risk, level
-from veilframe.operators.scoring import measure
-from veilframe.operators.utility import Utility, assess_utility
-from veilframe.plans.anonymize import Anonymized, anonymize, as_text, input_statistics, resolve_treatments
-from veilframe.plans.config import build_config
-from veilframe.plans.profiles import PROFILES
+from veilframe.operators.risk import Risk, level
+from veilframe.operators.utility import Utility
+from veilframe.plans.anonymize import Anonymized
 
 
 def recommendations(result: Anonymized, risk: Risk, utility: Utility) -> list[str]:
@@ -48,7 +46,7 @@ def _table(header: list[str], rows: list[tuple]) -> list[str]:
 def privacy_report(result: Anonymized, detections: DataFrame, risk: Risk, utility: Utility, name: str,
                    records: int, when: datetime | None = None) -> DataFrame:
     """The report as lines (section, line_no, text); write it with ``write.text``."""
-    spark = result.paired.sparkSession
+    spark = result.data.sparkSession
     # a handful of rows per column of the header
     found = [r.asDict() for r in flagged(detections).orderBy("category", "column", "position", "place").collect()]
     line = {k: v.format for k, v in V.REPORT_LINES.items()}
@@ -83,25 +81,9 @@ def privacy_report(result: Anonymized, detections: DataFrame, risk: Risk, utilit
 
 def compare_profiles(df: DataFrame, detections: DataFrame, columns: list[str], row_key: str,
                      salt: str | None = None) -> DataFrame:
-    """Risk and utility of the same table under every purpose.
-
-    Statistics of the input are taken once, and its risk before treatment is
-    scored once for all purposes with the same indirect identifiers.
-    """
-    configs = {key: build_config(detections, columns, key) for key in PROFILES}
-    plans = {key: resolve_treatments(config, detections) for key, config in configs.items()}
-    text = as_text(df, plans[next(iter(plans))], row_key)
-    shared = input_statistics(text, [(plan, PROFILES[key]) for key, plan in plans.items()], row_key)
-    rows, scored = [], {}
-    for key, config in configs.items():
-        result = anonymize(df, config, detections, key, row_key, salt, statistics=shared)
-        counters = measure(result)
-        quasi = tuple(t.column for t in result.treatments if t.category == "Indirect")
-        risk = assess_risk(result, counters, quasi_before=scored.get(quasi))
-        scored[quasi] = risk.quasi_before
-        utility = assess_utility(result, counters)
-        rows.append((key, risk.before, risk.after, utility.score, risk.quasi_after.k,
-                     level(risk.before), level(risk.after), verdict(risk, utility)))
+    """Risk and utility of the same table under every purpose."""
+    rows = [(p, risk.before, risk.after, utility.score, risk.quasi_after.k, level(risk.before), level(risk.after), verdict(risk, utility))
+            for p, (risk, utility) in score_profiles(df, detections, columns, row_key, salt).items()]
     return df.sparkSession.createDataFrame(
         rows, "profile string, risk_before double, risk_after double, utility double, k_after bigint, "
               "level_before string, level_after string, verdict string")

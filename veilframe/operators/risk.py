@@ -1,15 +1,16 @@
 """Re-identification risk before and after treatment."""
 
+import secrets
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veilframe import fixed_values as V
 from veilframe.functions.text import named
 from veilframe.operators.lookup import class_sizes, look_up
 from veilframe.operators.scoring import measure
-from veilframe.plans.anonymize import BEFORE, Anonymized, Treatment
+from veilframe.plans.anonymize import Anonymized, Treatment
 from veilframe.session import stage
 
 SKETCH_SIZE = 14        # binary logarithm of the slots: about one per cent off
@@ -22,10 +23,20 @@ def level(score: float) -> str:
 
 
 # --------------------------------------------------------------------------- equivalence classes
+def code(c: Column, key: str) -> Column:
+    """A value as 64 bits that tell nothing without the key; equal values have equal codes, null has none."""
+    return F.when(c.isNotNull(), F.xxhash64(F.lit(key), c.cast("string")))
+
+
 def classes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Size of every combination of values, null counting as a value; one shuffle of distinct combinations."""
-    filled = df.select(*[F.coalesce(named(c).cast("string"), F.lit(V.NULL_CLASS)).alias(c) for c in columns])
-    return class_sizes(filled, columns)
+    """Size of every combination of values, null counting as a value; one shuffle of distinct combinations.
+
+    Values become codes under a key that is drawn for each call, so a stored table of
+    classes holds no originals, and its rows are of fixed width.
+    """
+    key = secrets.token_hex(16)
+    coded = df.select(*[code(F.coalesce(named(c).cast("string"), F.lit(V.NULL_CLASS)), key).alias(c) for c in columns])
+    return class_sizes(coded, columns)
 
 
 def k_anonymity(class_table: DataFrame) -> DataFrame:
@@ -191,10 +202,18 @@ def assess_risk(result: Anonymized, counters: dict | None = None, approximate: b
                 quasi_before: QuasiRisk | None = None) -> Risk:
     """Risk of a treated table.  ``quasi_before`` saves recounting an input scored already."""
     counters = measure(result) if counters is None else counters
-    direct = [(t.column, t.method, V.DIRECT_WEIGHTS.get(t.entity, V.DEFAULT_DIRECT_WEIGHT),
-               exposure(t, counters.get(t.column, {}))) for t in result.treatments if t.category == "Direct"]
-    quasi = [t.column for t in result.treatments if t.category == "Indirect"]
+    quasi = quasi_columns(result.treatments)
     if quasi_before is None:
-        original = result.paired.select(*[named(c + BEFORE).alias(c) for c in quasi])
-        quasi_before = quasi_risk(original, quasi, approximate)
-    return Risk(direct, quasi, quasi_before, quasi_risk(result.paired, quasi, approximate))
+        quasi_before = quasi_risk(result.source, quasi, approximate)
+    return risk_of(result.treatments, counters, quasi_before, quasi_risk(result.data, quasi, approximate))
+
+
+def quasi_columns(treatments: list[Treatment]) -> list[str]:
+    return [t.column for t in treatments if t.category == "Indirect"]
+
+
+def risk_of(treatments: list[Treatment], counters: dict, quasi_before: QuasiRisk, quasi_after: QuasiRisk) -> Risk:
+    """Risk from counters by column and the risk of the indirect identifiers."""
+    direct = [(t.column, t.method, V.DIRECT_WEIGHTS.get(t.entity, V.DEFAULT_DIRECT_WEIGHT),
+               exposure(t, counters.get(t.column, {}))) for t in treatments if t.category == "Direct"]
+    return Risk(direct, quasi_columns(treatments), quasi_before, quasi_after)

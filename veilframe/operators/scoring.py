@@ -1,7 +1,8 @@
 """Counters over a treated table that risk and utility share.
 
-Before and after stand in the same row, so nothing is joined: the columns are
-stacked to (column, before, after) and one aggregation leaves one row per column.
+They are gathered while the treated table is written.  For a result that was not
+written, and for looking into single columns, pairs of originals and treated cells
+are stacked to (column, before, after), and one aggregation leaves one row per column.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilframe import fixed_values as V
 from veilframe.functions.numbers import band_midpoint, parse_number
 from veilframe.functions.spans import count_spans
-from veilframe.functions.text import let, named, normalize_digits
+from veilframe.functions.text import named
+from veilframe.operators.counters import NUMBERS, SPANS, VISIBLE, visible_fraction
 from veilframe.plans.anonymize import BEFORE, Anonymized
 
 
@@ -21,14 +23,6 @@ def stack_pairs(paired: DataFrame, columns: list[str]) -> DataFrame:
         "column", "pair.before", "pair.after")
 
 
-def visible_fraction(before: Column, after: Column) -> Column:
-    """Share of the original characters that still stand at their place; null for empty originals."""
-    def share(original):
-        same = F.filter(F.zip_with(F.split(original, ""), F.split(after, ""), lambda x, y: x == y), lambda s: s)
-        return F.when(original != "", F.least(F.lit(1.0), F.size(same) / F.length(original)))
-    return F.when(after.isNotNull(), let(normalize_digits(before), share))
-
-
 def _in(columns: list[str]) -> Column:
     return F.col("column").isin(columns) if columns else F.lit(False)
 
@@ -55,29 +49,25 @@ def pair_counters(paired: DataFrame, columns: list[str], masked: list[str], mask
           for name, f in (("numbers", F.count), ("mean", F.avg), ("spread", F.stddev_samp))])
 
 
-def distinct_pairs(paired: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, distinct_before, distinct_after), nulls not counted; repeats collapse before the shuffle."""
-    sides = stack_pairs(paired, columns).unpivot(["column"], ["before", "after"], "side", "value")
-    values = sides.where("value is not null").groupBy("column", "side", "value").agg(F.lit(1).alias("one"))
-    return values.groupBy("column").agg(
-        F.count_if(F.col("side") == "before").alias("distinct_before"),
-        F.count_if(F.col("side") == "after").alias("distinct_after"))
+def distinct_values(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """How many different values each column has, nulls not counted; repeats collapse before the shuffle."""
+    cells = df.select(*map(named, columns)).unpivot([], [named(c) for c in columns], "column", "value").where("value is not null")
+    counts = cells.groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("n"))
+    return {r["column"]: r["n"] for r in counts.collect()}
 
 
 def measure(result: Anonymized) -> dict[str, dict]:
-    """Counters by column, as plan-sized data: one row per column of the header."""
-    masked = [t for t in result.treatments if t.method == "Masking"]
-    banded = [t.column for t in result.treatments
-              if t.method == "Generalization" and t.kind == "numeric" and t.category != "Direct"]
-    merged = [t.column for t in result.treatments
-              if t.method == "Generalization" and t.kind != "numeric" and t.category != "Direct"]
-    rows = pair_counters(result.paired, result.columns, [t.column for t in masked if not t.embedded],
-                         [t.column for t in masked if t.embedded], banded).collect()
-    counters = {r["column"]: r.asDict() for r in rows}
-    if merged:
-        for r in distinct_pairs(result.paired, merged).collect():
-            counters[r["column"]].update(r.asDict())
-    return counters
+    """Counters by column, as plan-sized data: one row per column of the header.  They are taken once for each result."""
+    if result.counters is None:
+        of = lambda what: [t.column for t in result.treatments if t.measure == what]
+        rows = pair_counters(result.paired, result.columns, of(VISIBLE), of(SPANS), of(NUMBERS)).collect()
+        result.counters = {r["column"]: r.asDict() for r in rows}
+    counted = [t.column for t in result.treatments if t.counts_values and "distinct_before" not in result.counters.get(t.column, {})]
+    if counted and result.counters:
+        before, after = distinct_values(result.source, counted), distinct_values(result.data, counted)
+        for c in counted:
+            result.counters[c] |= {"distinct_before": before.get(c, 0), "distinct_after": after.get(c, 0)}
+    return result.counters
 
 
 def changed_columns(paired: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,5 +79,8 @@ def changed_columns(paired: DataFrame, columns: list[str]) -> DataFrame:
 
 def preview(result: Anonymized, columns: list[str], rows: int) -> DataFrame:
     """The first rows by row key, as they were and as they are."""
+    key = named(result.row_key)
     shown = [x for c in columns for x in (named(c + BEFORE), named(c))]
-    return result.paired.select(named(result.row_key), *shown).orderBy(named(result.row_key)).limit(rows)
+    first = result.data.select(key, *map(named, columns)).orderBy(key).limit(rows)
+    before = result.source.select(key.alias("__key"), *[named(c).alias(c + BEFORE) for c in columns])
+    return before.join(F.broadcast(first), key.eqNullSafe(F.col("__key"))).select(key, *shown).orderBy(key).limit(rows)

@@ -115,6 +115,11 @@ def band_widths(figures: DataFrame, target_bins: dict[str, int]) -> DataFrame:
                                  for name, bins in target_bins.items()])
 
 
+def enough_rows(present: int, min_group_frac: float) -> int:
+    """Rows that a category needs to be kept, of a column with so many that are not null."""
+    return max(2, math.ceil(min_group_frac * present))
+
+
 def common_categories(df: DataFrame, present: dict[str, int], min_group_frac: float) -> DataFrame:
     """(column, value, n_rows) frequent enough to be kept as they are.
 
@@ -125,6 +130,6 @@ def common_categories(df: DataFrame, present: dict[str, int], min_group_frac: fl
     long = df.select(*map(named, columns)).unpivot([], [named(c) for c in columns], "column", "value").where("value is not null")
     enough = F.lit(None).cast("bigint")
     for column, n in present.items():
-        enough = F.when(F.col("column") == column, max(2, math.ceil(min_group_frac * n))).otherwise(enough)
+        enough = F.when(F.col("column") == column, enough_rows(n, min_group_frac)).otherwise(enough)
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n_rows"))
     return counts.where(F.col("n_rows") >= enough)

@@ -84,8 +84,11 @@ class Utility:
 
 
 def assess_utility(result: Anonymized, counters: dict | None = None) -> Utility:
-    counters = measure(result) if counters is None else counters
-    treatments = result.treatments
+    return utility_of(result.treatments, measure(result) if counters is None else counters)
+
+
+def utility_of(treatments: list[Treatment], counters: dict) -> Utility:
+    """Utility from counters by column."""
     cells = sum(c["cells"] for c in counters.values())
     removed = sum(c["removed"] for c in counters.values())
     rows, precision, types, distributions = [], [], [], []

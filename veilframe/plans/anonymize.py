@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilframe import fixed_values as V
 from veilframe.functions.text import named
 from veilframe.operators import lookup, treat
+from veilframe.operators.counters import NUMBERS, SPANS, VISIBLE, Counters
 from veilframe.plans.config import column_entities
 from veilframe.plans.profiles import PROFILES, Profile
-from veilframe.session import drop_staged, stage, staged_count, staged_since
+from veilframe.session import drop_staged, stage, staged_inside
 
 BEFORE = "__before"
 
@@ -34,22 +35,45 @@ class Treatment:
     def entity(self) -> str | None:
         return self.entities[0] if self.entities else None
 
+    @property
+    def measure(self) -> str | None:
+        """What scores need to know of the column beside what they need of all."""
+        if self.method == "Masking":
+            return SPANS if self.embedded else VISIBLE
+        return NUMBERS if self.method == "Generalization" and self.kind == "numeric" and self.category != "Direct" else None
+
+    @property
+    def counts_values(self) -> bool:
+        """Whether scores need the numbers of distinct values before and after."""
+        return self.method == "Generalization" and self.kind != "numeric" and self.category != "Direct"
+
 
 @dataclass
 class Anonymized:
-    """The treated table.  ``paired`` also holds each column as it was, as ``<column>__before``."""
-    paired: DataFrame
+    """The treated table, and counters of what became of each column.
+
+    ``source`` is the table as it came, as text; it is read again where originals are
+    asked for and never stored.
+    """
+    data: DataFrame
     treatments: list[Treatment]
     profile: Profile
     row_key: str
+    source: DataFrame
+    counters: dict[str, dict] | None = None
+    projected: DataFrame | None = None      # of a result that is not staged: treated and original columns
 
     @property
     def columns(self) -> list[str]:
         return [t.column for t in self.treatments]
 
     @property
-    def data(self) -> DataFrame:
-        return self.paired.select(named(self.row_key), *[named(c) for c in self.columns])
+    def paired(self) -> DataFrame:
+        """Treated columns, and as they were under ``<column>__before``, for looking into single rows; brought together by row key."""
+        if self.projected is not None:
+            return self.projected
+        before = self.source.select(named(self.row_key).alias("__key"), *[named(c).alias(c + BEFORE) for c in self.columns])
+        return self.data.join(before, named(self.row_key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
 def resolve_treatments(config: DataFrame, detections: DataFrame) -> list[Treatment]:
@@ -80,13 +104,13 @@ def figures_by_column(df: DataFrame, columns: list[str]) -> dict:
     return {r["column"]: r for r in figures.collect()}
 
 
-def decide_generalisations(df: DataFrame, treatments: list[Treatment], profile: Profile, figures: dict | None = None) -> None:
-    """Fill in kinds, ranges, widths and kept categories from two passes over the columns concerned."""
+def decide_generalisations(df: DataFrame, plans: list[tuple[list[Treatment], Profile]]) -> None:
+    """Fill in kinds, ranges, widths and kept categories of all plans, from two passes over the columns concerned."""
     # figures are needed for what is generalised, and kinds for whatever is scored
-    wanted = [t for t in treatments if t.method == "Generalization" or t.category != "Direct"]
-    figures = figures_by_column(df, [t.column for t in wanted]) if figures is None else figures
-    merged = {}
-    for t in wanted:
+    wanted = [(t, profile) for treatments, profile in plans for t in treatments if t.method == "Generalization" or t.category != "Direct"]
+    figures = figures_by_column(df, sorted({t.column for t, _ in wanted}))
+    merged = []
+    for t, profile in wanted:
         row = figures.get(t.column)
         if row is None:             # no rows at all
             t.rule = "merge" if t.method == "Generalization" else ""
@@ -96,11 +120,13 @@ def decide_generalisations(df: DataFrame, treatments: list[Treatment], profile:
             t.rule = _generalisation_rule(t, row)
             t.width = row[f"width_{profile.key}"] if t.rule == "numeric" else None
             if t.rule == "merge":
-                merged[t.column] = row["present"]
+                merged.append((t, profile, row["present"]))
     if merged:
-        kept = treat.common_categories(df, merged, profile.min_group_frac).collect()
-        for t in treatments:
-            t.kept = sorted(r["value"] for r in kept if r["column"] == t.column)
+        present = {t.column: n for t, _, n in merged}
+        common = treat.common_categories(df, present, min(p.min_group_frac for _, p, _ in merged)).collect()
+        for t, profile, n in merged:
+            enough = treat.enough_rows(n, profile.min_group_frac)
+            t.kept = sorted(r["value"] for r in common if r["column"] == t.column and r["n_rows"] >= enough)
 
 
 def numbered_columns(treatments: list[Treatment], profile: Profile) -> list[str]:
@@ -109,23 +135,7 @@ def numbered_columns(treatments: list[Treatment], profile: Profile) -> list[str]
             and treat.needs_numbers(t.entity, profile.format_preserving)]
 
 
-@dataclass
-class InputStatistics:
-    """What several treatments of one table can share: figures by column, and numbers of distinct values."""
-    figures: dict
-    numbers: DataFrame | None
-
-
-def input_statistics(df: DataFrame, plans: list[tuple[list[Treatment], Profile]], row_key: str) -> InputStatistics:
-    """Read the table once for all plans."""
-    columns = sorted({t.column for treatments, _ in plans for t in treatments
-                      if t.method == "Generalization" or t.category != "Direct"})
-    numbered = sorted({c for treatments, profile in plans for c in numbered_columns(treatments, profile)})
-    numbers = stage(lookup.first_seen_numbers(df, row_key, numbered), "numbers") if numbered else None
-    return InputStatistics(figures_by_column(df, columns), numbers)
-
-
-def _treated(t: Treatment, profile: Profile, salt: str, strict: bool, hash_length: int) -> Column:
+def treated_column(t: Treatment, profile: Profile, salt: str, strict: bool, hash_length: int) -> Column:
     c = named(t.column)
     if t.method == "Masking":
         if strict and t.embedded:
@@ -160,7 +170,7 @@ def apply_treatments(df: DataFrame, treatments: list[Treatment], profile: Profil
             numbers = stage(lookup.first_seen_numbers(df, row_key, numbered), "numbers")
         df = lookup.attach_numbers(df, row_key, numbered, numbers, broadcast_bytes)
     return df.select(
-        named(row_key), *[_treated(t, profile, salt, strict, hash_length).alias(t.column) for t in treatments],
+        named(row_key), *[treated_column(t, profile, salt, strict, hash_length).alias(t.column) for t in treatments],
         *[named(t.column).alias(t.column + BEFORE) for t in treatments])
 
 
@@ -169,8 +179,7 @@ def as_text(df: DataFrame, treatments: list[Treatment], row_key: str) -> DataFra
 
 
 def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile: str, row_key: str,
-              salt: str | None = None, strict: bool = False, hash_length: int = treat.HASH_LENGTH, staged: bool = True,
-              statistics: InputStatistics | None = None) -> Anonymized:
+              salt: str | None = None, strict: bool = False, hash_length: int = treat.HASH_LENGTH, staged: bool = True) -> Anonymized:
     """Treat a table the way ``config`` says.
 
     ``row_key`` is unique and gives the order in which values count as first
@@ -178,24 +187,24 @@ def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile:
     two runs cannot be linked.  ``hash_length`` hexadecimal characters are kept of
     a hash; with the default no two values share a pseudonym at any size, ten make a short one.  ``strict`` also removes values that a
     generalisation would leave as they are, hides the domains of e-mails, and suppresses free text
-    instead of masking the identifiers inside it.  The result is written to the work
-    folder so that scoring does not recompute it; ``staged=False`` leaves it lazy.
-    The map from values to pseudonyms is deleted once the result is written; the
-    result itself holds the originals too, for scoring: work inside
-    ``veilframe.scratch`` to have it deleted in the end.  ``statistics`` saves reading an input again that was read for other purposes.
+    instead of masking the identifiers inside it.  The treated table is written to the work
+    folder; what scores need to know of originals is counted during that write, and they
+    are not stored.  ``staged=False`` leaves the result lazy.  The map from values to
+    pseudonyms is deleted once the result is written.
     """
-    spark, before = df.sparkSession, staged_count()
-    chosen = PROFILES[profile]
+    spark, chosen = df.sparkSession, PROFILES[profile]
     salt = salt if salt is not None else secrets.token_hex(8)
     treatments = resolve_treatments(config, detections)
     text = as_text(df, treatments, row_key)
-    decide_generalisations(text, treatments, chosen, statistics and statistics.figures)
-    paired = apply_treatments(text, treatments, chosen, salt, row_key, strict, hash_length,
-                              statistics and statistics.numbers)
+    decide_generalisations(text, [(treatments, chosen)])
+    shown = [named(row_key), *[named(t.column) for t in treatments]]
+    with staged_inside() as maps:
+        paired = apply_treatments(text, treatments, chosen, salt, row_key, strict, hash_length)
     if not staged:
-        return Anonymized(paired, treatments, chosen, row_key)
-    maps = staged_since(before)
+        return Anonymized(paired.select(*shown), treatments, chosen, row_key, text, projected=paired)
+    counters = Counters({t.column: (t.column + BEFORE, t.column, t.measure) for t in treatments})
     try:
-        return Anonymized(stage(paired, "paired"), treatments, chosen, row_key)
+        data = stage(counters.watch(paired).select(*shown), "treated")
+        return Anonymized(data, treatments, chosen, row_key, text, counters.read())
     finally:
         drop_staged(spark, maps)        # from values to pseudonyms: nothing that undoes the treatment stays

@@ -2,13 +2,14 @@
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: dict[str, str] = {}
-_written: list[str] = []
+_lists: ContextVar[tuple[list[str], ...]] = ContextVar("lists of staged tables", default=())
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -35,11 +36,23 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     executors; the columnar form also lets them read only the columns they use.
     """
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    for paths in _lists.get():
+        paths.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged_inside() -> Iterator[list[str]]:
+    """The paths of the tables that are staged inside the block, by its own thread alone."""
+    paths: list[str] = []
+    token = _lists.set((*_lists.get(), paths))
+    try:
+        yield paths
+    finally:
+        _lists.reset(token)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables staged inside the block when it ends, also when it fails.
@@ -47,25 +60,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     Write or collect results inside: one that still reads a staged table is gone
     with it.
     """
-    before = staged_count()
-    try:
-        yield
-    finally:
-        drop_staged(spark, staged_since(before))
+    with staged_inside() as paths:
+        try:
+            yield
+        finally:
+            drop_staged(spark, paths)
 
 
 def drop_staged(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        if path in _written:
-            _written.remove(path)
-
-
-def staged_since(count: int) -> list[str]:
-    """Tables written after ``count`` others."""
-    return _written[count:]
-
-
-def staged_count() -> int:
-    return len(_written)

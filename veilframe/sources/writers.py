@@ -14,7 +14,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def save_run(path: str, detections: DataFrame, config: DataFrame, result: Anonymized, risk, utility,
              mode: str = "errorifexists") -> None:
     """Detections, configuration, treated data and scores as Parquet under one folder."""
-    spark = result.paired.sparkSession
+    spark = result.data.sparkSession
     tables = {"detections": detections, "config": config, "data": result.data,
               "treatments": treatments_table(spark, result), "risk": risk.table(spark), "utility": utility.table(spark)}
     for name, table in tables.items():
