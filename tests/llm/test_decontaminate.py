@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.llm import decontaminate as module
 from veilframe.llm.decontaminate import decontaminate, without_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -61,3 +62,28 @@ def test_string_ids(spark):
     b = spark.createDataFrame([("i", "TWO, three")], "item_id string, text string")
     row = decontaminate(d, b).select("doc_id", "n_hit", F.concat_ws(",", "items")).first()
     assert tuple(row) == ("k", 2, "i")
+
+
+def test_long_texts(spark):
+    rng = random.Random(9)
+    items = [(1, " ".join(f"q{rng.randrange(50)}" for _ in range(40)))]
+    text = " ".join(f"q{rng.randrange(50)}" for _ in range(60_000)) + " " + items[0][1] + " " + " ".join(f"q{rng.randrange(50)}" for _ in range(20_000))
+    (n, h, x), = brute([(5, text)], items)
+    assert run(spark, [(5, text)], items) == [(False, 5, n, h, tuple(x))] and h >= 40
+
+
+def test_a_template_in_all_items_and_texts_joins_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    template = "what is the right answer to this".split()                  # shorter than a window
+    said = lambda: " ".join([f"w{rng.randrange(10**6)}" for _ in range(9)] + template + [f"w{rng.randrange(10**6)}" for _ in range(9)])
+    for n in (60, 120):
+        rows, keep = {}, module.common.stage
+
+        def stage(df, name, rows=rows, keep=keep):
+            out = keep(df, name)
+            rows[name] = out.count()
+            return out
+        monkeypatch.setattr(module.common, "stage", stage)
+        got = run(spark, [(i, said()) for i in range(n)], [(i, said()) for i in range(n)])
+        monkeypatch.setattr(module.common, "stage", keep)
+        assert all(not r[3] for r in got) and rows["extended"] <= 12 * n and rows["shared-windows"] == rows["spans"] == 0

@@ -1,13 +1,13 @@
 """Benchmark decontamination by winnowing.
 
 Every ``WINDOW`` consecutive words of a text hold ``WINDOW - GRAM + 1`` grams, of
-which the one with the smallest hash (the last among equals) is a fingerprint.
-Equal windows have equal fingerprints, so a document that shares a window with a
-benchmark item shares a fingerprint inside it.  Fingerprints of documents pass a
-bitmap of the benchmark's (2 MB at any size of the benchmark), the rest are
-joined, and each hit is extended word by word as far as both texts agree.  Spans
-of at least ``WINDOW`` words are hits.  An item with fewer words than that is one
-gram, looked up at every place.
+which the one with the smallest hash (the last among equals) is the fingerprint.
+Equal windows have equal fingerprints.  Fingerprints of documents pass a bitmap of
+the benchmark's (2 MB at any size of the benchmark); those that do are extended to
+the windows that chose them, which are joined with the benchmark's as texts, so a
+gram that stands everywhere in other surroundings joins nothing.  Windows next to
+each other make longer spans.  An item with fewer words than a window is one gram,
+looked up at every place.
 """
 
 import numpy as np
@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veilframe.llm import common, words as W
 
 WINDOW, GRAM = 10, 5
-REACH = WINDOW - GRAM               # words on either side that can lie in one window with a gram
+REACH = WINDOW - GRAM               # places of a gram in a window, less one
 BITMAP_BITS = 1 << 24
 
-_HIT = "struct<fp: bigint, pos: int, left: array<string>, gram: array<string>, right: array<string>>"
+_HIT = "struct<fp: bigint, start: int, said: string>"
 
 
 def _chosen(h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, fingerprint) of every gram that is the least in some window of its text."""
+    """(window, fingerprint) of every window of a text: the least of its grams."""
     g = W.grams(h, GRAM)
     n = len(h) - WINDOW + 1
     if n <= 0:
@@ -36,33 +36,29 @@ def _chosen(h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best[better] = other[better]
         step[better] = j
     inside = np.arange(n) + WINDOW <= last[:n]
-    at = (np.arange(n) + step)[inside]
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return at, g[at]
+    at = np.flatnonzero(inside)
+    return at, g[(np.arange(n) + step)[inside]]
 
 
 def _hits(w: W.Words, lengths: list[int], bitmap: np.ndarray | None) -> list[list[dict]]:
-    """For each text its fingerprints, those in the bitmap if there is one, with the words around them."""
+    """For each text its fingerprints, those in the bitmap if there is one, with the windows that chose them."""
     h, last = w.hashes(), w.last()
     text = w.text_of()
     at, fp = _chosen(h, last)
-    found = [(GRAM, at, fp)]
+    found = [(WINDOW, at, fp)]
     for k in lengths:
         g = W.grams(h, k, 1)
         at = np.flatnonzero(np.arange(len(g)) + k <= last[:len(g)])
         found.append((k, at, g[at]))
     out: list[list[dict]] = [[] for _ in range(len(w.first) - 1)]
-    for i, (k, at, fp) in enumerate(found):
+    for k, at, fp in found:
         if bitmap is not None:
             bit = fp & np.uint64(BITMAP_BITS - 1)
             seen = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
             at, fp = at[seen], fp[seen]
-        reach = 0 if i else REACH
         for p, f in zip(at.tolist(), fp.view(np.int64).tolist()):
             t = text[p]
-            a, z = max(w.first[t], p - reach), min(w.first[t + 1], p + k + reach)
-            part = [w.word(j) for j in range(a, z)]
-            out[t].append({"fp": f, "pos": p - int(w.first[t]), "left": part[:p - a], "gram": part[p - a:p - a + k], "right": part[p - a + k:]})
+            out[t].append({"fp": f, "start": p - int(w.first[t]), "said": " ".join(w.word(j) for j in range(p, p + k))})
     return out
 
 
@@ -85,7 +81,7 @@ def _benchmark(items: DataFrame) -> tuple[DataFrame, DataFrame]:
             hits = _hits(w, [], None)
             for k in sorted({n for n in counts if n < WINDOW}):
                 for t, own in enumerate(_hits(w, [k], None)):
-                    hits[t] += [x for x in own if counts[t] == k and len(x["gram"]) == k and not x["left"] and not x["right"]]
+                    hits[t] += own if counts[t] == k else []
             return {"class": piece.column("class"), "n": pa.array(counts, pa.int32()), "hits": pa.array(hits, pa.list_(_ARROW_HIT))}
         return f
     prints = common.map_pieces(named.groupBy("class").agg(F.first("said").alias("said")), "said", fingerprints,
@@ -94,8 +90,7 @@ def _benchmark(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.select("class", "item_id"), common.stage(prints, "benchmark-fingerprints")
 
 
-_ARROW_HIT = pa.struct([("fp", pa.int64()), ("pos", pa.int32()), ("left", pa.list_(pa.string())), ("gram", pa.list_(pa.string())),
-                        ("right", pa.list_(pa.string()))])
+_ARROW_HIT = pa.struct([("fp", pa.int64()), ("start", pa.int32()), ("said", pa.string())])
 
 
 def _bitmap(prints: DataFrame) -> np.ndarray:
@@ -125,18 +120,21 @@ def _marked(docs: DataFrame, prints: DataFrame, keep: tuple[str, ...]) -> DataFr
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which ``decontaminate`` finds no item.
+    """The documents in which ``decontaminate`` finds no item, with their columns as they are.
 
-    Most documents have no fingerprint in the bitmap and pass where they are; only
-    the others are written out, confirmed by the join, and taken back if clean.
+    Texts are winnowed once and written with their fingerprints.  Most have none in
+    the bitmap and are not looked at again; the others are confirmed by the join, and
+    stay if clean.  Null and wordless texts stay, and repeated rows are judged one by one.
     """
     _, prints = _benchmark(items)
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}__") for i, c in enumerate(docs.columns)], F.col("text").cast("string").alias("text"))
+    columns = [F.col(f"`{c}`").alias(f"c{i}__") for i, c in enumerate(docs.columns)]
+    plain = docs.select(*columns, F.col("text").cast("string").alias("text"))
     marked = _marked(plain, prints, tuple(plain.columns[:-1]))
     back = [F.col(f"c{i}__").alias(c) for i, c in enumerate(docs.columns)]
-    suspects = common.stage(common.with_row_id(marked.where(F.size("hits") > 0)), "suspects")
-    found = _extend(suspects.select("uid", F.inline("hits")), prints).select("uid").distinct()
-    return marked.where(F.size("hits") == 0).select(*back).unionByName(suspects.join(found, "uid", "left_anti").select(*back))
+    staged = common.stage(common.with_row_id(marked.drop("n_words")), "marked")
+    found = _windows(staged.select("uid", F.inline("hits")), prints).select("uid").distinct()
+    clean = staged.where(F.size("hits") > 0).join(found, "uid", "left_anti")
+    return staged.where(F.size("hits") == 0).select(*back).unionByName(clean.select(*back))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -146,46 +144,32 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     left alone.  A null or wordless text has no words and no hits.  Rows that
     share a doc_id are judged one by one.  Items with the same words are one
     class until the end, so that copies of an item cost nothing.  Items without
-    an id count for hits, but cannot be listed.
+    an id count for hits, but cannot be listed.  Texts of any length are read whole.
     """
     classes, prints = _benchmark(items)
     named = common.with_row_id(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     found = common.stage(_marked(named, prints, ("uid", "doc_id")), "document-fingerprints")
-    spans = _extend(found.select("uid", F.inline("hits")), prints)
-    spans = common.stage(spans, "spans")
+    spans = common.stage(_windows(found.select("uid", F.inline("hits")), prints), "spans")
     hit = spans.select("uid", "start", "end").distinct() \
         .select("uid", F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct() \
         .groupBy("uid").agg(F.count("*").alias("n_hit"))
-    listed = spans.select("uid", "class").distinct().join(classes.where("item_id is not null").distinct(), "class") \
+    listed = spans.select("uid", "said").distinct().join(prints.select("said", "class").distinct(), "said").select("uid", "class").distinct() \
+        .join(classes.where("item_id is not null").distinct(), "class") \
         .groupBy("uid").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     return found.select("uid", "doc_id", "n_words").join(hit, "uid", "left").join(listed, "uid", "left").select(
         "uid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def _extend(found: DataFrame, prints: DataFrame) -> DataFrame:
-    """(uid, class, start, end) of shared spans around common fingerprints, each as far as a window reaches."""
-    theirs = prints.select("fp", "class", "n", *[F.col(c).alias(f"its_{c}") for c in ("left", "gram", "right")])
-    pairs = found.join(theirs, "fp").where("gram = its_gram").drop("gram")
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                a, b = r["left"][::-1], r["its_left"][::-1]
-                before = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-                a, b = r["right"], r["its_right"]
-                after = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-                size = before + r["k"] + after
-                if r["k"] == r["n"] < WINDOW or size >= WINDOW:
-                    start = r["pos"] - before
-                    rows.append((r["uid"], r["class"], start, start + size))
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()))],
-                                             ["uid", "class", "start", "end"])
-
-    return pairs.select("uid", "class", "n", "pos", F.size("its_gram").alias("k"), "left", "its_left", "right", "its_right") \
-        .mapInArrow(run, "uid bigint, class string, start bigint, end bigint")
+def _windows(found: DataFrame, prints: DataFrame) -> DataFrame:
+    """(uid, start, end, said) of windows that stand in the benchmark, from (uid, fp, start, said).
+
+    Windows are compared as whole texts, each once for all items that hold it.
+    """
+    found = common.stage(found, "extended")
+    counts = found.groupBy("said").agg(F.count("*").alias("n")).join(prints.select("said").distinct(), "said")
+    both = common.join_spread(found, common.stage(counts, "shared-windows"), "said", "n")
+    return both.select("uid", "start", (F.col("start") + F.size(F.split("said", " "))).alias("end"), "said")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
