@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -40,3 +42,12 @@ def test_entry(spark):
     import __spark_entry__
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_entry_stands_without_the_second_part():
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # a module that is None fails to import, as one does that lacks something it needs
+    code = (f"import sys; sys.path.insert(0, {here!r}); sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; "
+            "print(len(e.queries()), 'op1_html_text' in e.queries())")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert out == [str(len(QUERIES)), "False"]
