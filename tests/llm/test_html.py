@@ -50,3 +50,58 @@ def test_head_without_end_tag(spark):
     bodies = ["<body><p>own words</p>", "<p>own words</p>", "<article><p>own words</p></article>", "<br>own words", "own words", "</head><body>own words", "<head><body><p>own words"]
     out = run(spark, [(i, f"http://h{i}/", head + b) for i, b in enumerate(bodies)] + [(99, "http://h/", head)])
     assert {i: r.text for i, r in out.items()} == {i: "own words" for i in range(len(bodies))} | {99: ""}
+
+
+def test_a_mark_never_cuts_the_article(spark):
+    bodies = ['<div class="layout with-sidebar"><article><p>own words</p></article><div class="sidebar">more</div></div>',
+              '<article class="post type-post comments-open"><p>own words</p><div class="comments"><p>said a reader, at length</p></div></article>',
+              '<div id="no-js-banner-page"><p>own words</p></div><div class="menu">x</div>',
+              '<div class="comments"><p>a very long thread of many comments that readers wrote</p></div><main><p>own words</p></main>',
+              '<section id="comments"><article><p>a comment</p></article></section><article><p>own words</p></article>' * 1,
+              '<main><div class="widget-page"><article><p>own words</p></article></div></main>']
+    out = run(spark, [(i, f"http://h{i}/", f"<body>{b}</body>") for i, b in enumerate(bodies)])
+    texts = {i: r.text for i, r in out.items()}
+    assert {i: t for i, t in texts.items() if i != 5} == {i: "own words" for i in range(5)}
+
+
+def test_header_of_an_article(spark):
+    page = "<body><header>Site</header><article><header><h1>Title</h1><p>By X, 3 min</p></header><p>own words</p></article></body>"
+    assert run(spark, [(1, "http://h/", page), (1, "http://h/", page)])[1].text == "Title\n\nown words"
+
+
+def unmarked(i):
+    """A page without article elements or telling classes."""
+    own = "".join("abcdefghij"[int(d)] for d in str(i + 100))
+    return (f"<body><div class=top><div>Home</div><div>News</div></div><div class=c{i % 3}><h1>About {own}</h1><p>What {own} did.</p><p>Then {own} left.</p></div>"
+            f"<div class=low><p>All rights stay with us.</p><p>Read on</p></div></body>")
+
+
+def brute_templates(pages, min_pages, min_share):
+    """Texts of each page without the divisions that stand, whole, on enough different pages."""
+    import re
+    parts = [re.findall(r"<div class=\w+>(.*?)</div>(?=<div class|</body)", p) for p in pages]
+    on = {}
+    for i, own in enumerate(parts):
+        for part in own:
+            on.setdefault(part, set()).add(i)
+    enough = max(min_pages, min_share * len(pages))
+    left = [[part for part in own if len(on[part]) < enough] for own in parts]
+    return ["\n\n".join(t for part in own for t in re.sub("<[^>]*>", "\n", part).split("\n") if t) for own in left]
+
+
+def test_counts_alone_remove_menus_and_notices(spark):
+    pages = [unmarked(i) for i in range(40)] + ["<body><div class=top><div>Home</div><div>News</div></div><div class=rare><p>On two pages.</p></div>" + x + "</body>" for x in
+                                                  ("<div class=c1><p>one</p></div>", "<div class=c1><p>two</p></div>")]
+    out = run(spark, [(i, "http://h/", p) for i, p in enumerate(pages)])
+    assert [out[i].text for i in range(len(pages))] == brute_templates(pages, 5, 0.01)
+    assert out[0].text.startswith("About") and out[0].n_template == 2
+    alone = run(spark, [(i, f"http://h{i}/", p) for i, p in enumerate(pages)])
+    assert all(r.n_template == 0 and "Home" in r.text for r in alone.values())
+
+
+def test_prose_on_most_pages_of_a_host_goes(spark):
+    own = lambda i: "".join("abcdefghij"[int(d)] for d in str(i + 100))
+    page = lambda i: f"<article><p>What {own(i)} did at length and then some more.</p>" + "<p>A passage that some share.</p>" * (i % 4 == 0) + "<p>Follow us everywhere.</p></article>"
+    out = run(spark, [(i, "http://h/", page(i)) for i in range(40)])
+    assert not any("Follow us" in r.text for r in out.values())
+    assert sum("A passage" in r.text for r in out.values()) == 10

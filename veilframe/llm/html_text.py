@@ -3,10 +3,12 @@
 Each page is read once into blocks of text and a tree of elements with a hash of
 every subtree.  Spark counts on how many pages of a host each subtree occurs;
 pages with the same article count once, so that copies of an article do not make
-it a template.  Subtrees on many pages are deleted.  What lies outside the
-article, or in an element marked as a menu, notice, advert and the like, goes
-too, since such parts often differ from page to page.  Only pages whose article
-lies in an element that may be a template wait for the counts.
+it a template.  Subtrees on many pages are deleted; prose inside an article may be
+a passage that articles rightly share, so it goes only if it stands on most pages of
+its host.  What lies outside the article, or in an element marked as a menu, notice,
+advert and the like, goes too, since such parts often differ from page to page; a
+mark by class or id never cuts the article, nor what holds most of a page without one.
+Only pages whose article lies in an element that may be a template wait for the counts.
 """
 
 import html
@@ -20,6 +22,7 @@ from veilframe.llm import common
 
 MIN_PAGES = 5             # a template is on at least so many different pages of its host
 MIN_SHARE = 0.01          # and on this share of them
+PROSE_PAGES, PROSE_SHARE = 10, 0.5      # prose of an article is a template on at least so many pages, and on this share of them
 SALT = 16                 # parts into which the pages of one subtree are dealt
 
 #: Elements whose text nobody reads as text.
@@ -32,9 +35,10 @@ notices notification alert newsletter subscribe subscription signup sidebar widg
 breadcrumbs menu nav navbar navigation footer masthead comment comments commentlist reply replies respond disqus popup modal overlay login
 pagination pager toolbar skip""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 INLINE = set("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub
 sup time tt u var wbr br""".split())
-#: Elements that hold prose: in an article they are never taken for a template.
+#: Elements that hold prose.
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody thead caption figcaption figure".split()) | INLINE
 WHOLE = {"html", "body", "article", "main"}
 #: What may stand in a head; all else ends it.
@@ -50,7 +54,7 @@ _MARK = re.compile(r"""(?:^|[\s/"'])(class|id|role|itemprop|hidden|aria-hidden)\
 _WORD = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 _MASK = (1 << 64) - 1
-_IN_CUT, _IN_ARTICLE, _IN_MAIN = 1, 2, 4
+_IN_CUT, _IN_ARTICLE, _IN_MAIN, _IN_HEADER, _IN_HEADING = 1, 2, 4, 8, 16
 
 
 class _Page:
@@ -59,6 +63,7 @@ class _Page:
     def __init__(self, text: str):
         self.parent, self.hash, self.name, self.flags = [-1], [0], ["#"], [0]
         self.blocks: list[tuple[str, int]] = []
+        self.marked: list[int] = []
         self.at, self.open, self.count = 0, [0], {}
         self.parts: list[str] = []
         end = 0
@@ -85,6 +90,7 @@ class _Page:
         self._break()
         while len(self.open) > 1:
             self._pop()
+        self._cut_marked()
 
     def _text(self, text: str) -> None:
         if text:
@@ -126,16 +132,20 @@ class _Page:
         marks = {k.lower(): (a or b or c).lower() for k, a, b, c in _MARK.findall(attributes)} if attributes else {}
         words = set(_WORD.split(f"{marks.get('class', '')} {marks.get('id', '')}")) if marks else ()
         role = marks.get("role", "")
-        cut = name in CUT or role in CUT_ROLES or "hidden" in marks or marks.get("aria-hidden") == "true" \
-            or name == "header" and not flags & (_IN_ARTICLE | _IN_MAIN) or bool(name not in WHOLE and CUT_WORDS.intersection(words)) \
-            or name == "article" and bool(CUT_WORDS.intersection(words))
-        flags |= _IN_CUT * cut | _IN_ARTICLE * (name == "article" or marks.get("itemprop") == "articlebody") | _IN_MAIN * (name == "main" or role == "main")
+        inner = flags & (_IN_ARTICLE | _IN_MAIN)
+        cut = name in CUT or role in CUT_ROLES or "hidden" in marks or marks.get("aria-hidden") == "true" or name == "header" and not inner
+        named = CUT_WORDS.intersection(marks.get("class", "").split()) if name == "article" else name not in WHOLE and CUT_WORDS.intersection(words)
+        flags |= _IN_CUT * cut | _IN_ARTICLE * (not named and name == "article" or marks.get("itemprop") == "articlebody") | _IN_MAIN * (name == "main" or role == "main") \
+            | _IN_HEADER * (name == "header") | _IN_HEADING * (name in HEADINGS)
+        cut = cut or bool(named)
         if name in INLINE and not cut and not self.count.get(name):
             return                                      # part of its block
         self._break()
         self.parent.append(self.at), self.hash.append(xxhash.xxh64_intdigest(f"{name} {marks.get('class', '')}")), self.name.append(name)
         self.flags.append(flags)
         self.at = len(self.parent) - 1
+        if named and not flags & _IN_CUT:
+            self.marked.append(self.at)
         self.open.append(self.at)
         self.count[name] = self.count.get(name, 0) + 1
 
@@ -163,16 +173,34 @@ class _Page:
         self.count[self.name[element]] -= 1
         self._mix(self.at, self.hash[element])
 
+    def _cut_marked(self) -> None:
+        """Cut what a class or id marks, but not the only article, nor what holds most of the text of a page without another."""
+        if not self.marked:
+            return
+        size, article = [0] * len(self.parent), [0] * len(self.parent)
+        for text, e in self.blocks:
+            if not self.flags[e] & _IN_CUT:
+                size[e] += len(text)
+                article[e] += len(text) * bool(self.flags[e] & (_IN_ARTICLE | _IN_MAIN))
+        for e in range(len(self.parent) - 1, 0, -1):
+            size[self.parent[e]] += size[e]
+            article[self.parent[e]] += article[e]
+        # an article around a marked part is outside of it
+        gone = {e for e in self.marked if article[0] > article[e] or self.flags[self.parent[e]] & (_IN_ARTICLE | _IN_MAIN) or not article[e] and 2 * size[e] <= size[0]}
+        for e in range(1, len(self.parent)):
+            if e in gone or self.flags[self.parent[e]] & _IN_CUT:
+                self.flags[e] |= _IN_CUT
+
     def kept(self) -> list[tuple[str, int]]:
         """Blocks of the article: of article elements if they hold text, else of main, else of the page."""
-        free = [b for b in self.blocks if not self.flags[b[1]] & _IN_CUT]
+        free = [b for b in self.blocks if not self.flags[b[1]] & _IN_CUT and self.flags[b[1]] & (_IN_HEADER | _IN_HEADING) != _IN_HEADER]
         for where in (_IN_ARTICLE, _IN_MAIN):
             if own := [b for b in free if self.flags[b[1]] & where]:
                 return own
         return free
 
     def candidates(self) -> list[int]:
-        """Signed subtree hashes; 0 for what is never a template: whole pages, empty elements and, inside an article, prose."""
+        """Signed subtree hashes, odd for prose inside an article; 0 for what is never a template: whole pages, empty elements and most of an article."""
         out, texts = [], [0] * len(self.parent)
         for text, e in self.blocks:
             texts[e] += len(text)
@@ -180,8 +208,8 @@ class _Page:
             texts[self.parent[e]] += texts[e]
         for e, (name, flags) in enumerate(zip(self.name, self.flags)):
             article = flags & (_IN_ARTICLE | _IN_MAIN) and not flags & _IN_CUT
-            never = name in WHOLE or not e or not texts[e] or article and (name in PROSE or 2 * texts[e] > texts[0])
-            h = 0 if never else self.hash[e]
+            never = name in WHOLE or not e or not texts[e] or article and 2 * texts[e] > texts[0]
+            h = 0 if never else self.hash[e] & ~1 | bool(article and name in PROSE)
             out.append(h - (1 << 64) if h >> 63 else h)
         return out
 
@@ -221,14 +249,18 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """page_id, url, text, n_chars and n_template (template subtrees deleted from the article) of every page.
 
     ``pages`` has page_id, url and html; other columns are left alone.  Null and
-    empty pages have an empty text.  Pages without a host count as one host.
-    Rows that share a page_id stay rows of their own.
+    empty pages have an empty text, and pages of any length are read whole.  Pages
+    without a host count as one host.  Rows that share a page_id stay rows of their
+    own, and repeated rows count as one page.  Of a header inside an article the
+    headings stay.
     """
     read = common.stage(_read_pages(pages), "pages")
     seen = read.select("uid", "host", "digest", F.explode("seen").alias("h"))
     counts = seen.select("host", "h", "digest").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     sizes = read.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    templates = counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")) \
+    prose = F.col("h").bitwiseAND(1) == 1
+    enough = F.when(prose, (F.col("n") >= PROSE_PAGES) & (F.col("n") >= PROSE_SHARE * F.col("pages"))).otherwise(F.col("n") >= min_share * F.col("pages"))
+    templates = counts.join(sizes, "host").where(enough) \
         .select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     bound = read.where("text is null")
     found = bound.select("uid", "host", F.explode("seen").alias("h")).withColumn("salt", F.pmod("uid", F.lit(SALT)).cast("int")).join(templates, ["host", "h", "salt"], "left_semi") \
@@ -239,14 +271,12 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         def f(piece):
             texts, cut = [], []
             for hashes, parents, blocks, places, templates in zip(*(piece.column(c).to_pylist() for c in ("hashes", "parents", "texts", "places", "templates"))):
-                gone, marked, n = [False] * len(parents), set(templates or ()), 0
+                gone, marked = [0] * len(parents), set(templates or ())          # the template that an element is in
                 if marked:
                     for e, (h, parent) in enumerate(zip(hashes, parents)):      # parents come first
-                        inside = e > 0 and gone[parent]
-                        gone[e] = inside or h in marked
-                        n += gone[e] and not inside
+                        gone[e] = e and gone[parent] or (e if h in marked else 0)
                 texts.append("\n\n".join(t for t, e in zip(blocks, places) if not gone[e]))
-                cut.append(n)
+                cut.append(len({gone[e] for e in places} - {0}))
             return {"page_id": piece.column("page_id"), "url": piece.column("url"), "text": pa.array(texts, pa.string()), "n_template": pa.array(cut, pa.int32())}
         return f
     merged = bound.select("uid", "page_id", "url", "hashes", "parents", "texts", "places").join(found, "uid", "left").withColumn("all", F.array_join("texts", ""))
