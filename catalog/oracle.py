@@ -581,6 +581,15 @@ def _developer_columns() -> str:
             f"join subjects s using (c_custkey) left join {replaced('email', '').replace('= email', '= s.email')}")
 
 
+def _stream_columns() -> str:
+    """The internal treatment, with names numbered first among the even keys and then among the rest."""
+    names = ("customer_name_ar", "customer_name_en")
+    maps = " ".join(f"""left join (select {c} as {c}_v, row_number() over (order by min(c_custkey) filter (where c_custkey % 2 = 0) is null,
+      coalesce(min(c_custkey) filter (where c_custkey % 2 = 0), min(c_custkey))) as {c}_n from subjects where {strip(c)} <> '' group by {c}) {c}_map on {c}_v = s.{c}""" for c in names)
+    shown = ", ".join(f"{pseudonym(c, 'Person').replace(f'({c},', f'(s.{c},').replace(f'then {c} ', f'then s.{c} ')} as {c}" if c in names else f"t.{c}" for c in COLUMNS)
+    return f"select c_custkey, {shown} from int_treated t join subjects s using (c_custkey) {maps}"
+
+
 QUASI = ["age", "gender", "city", "district", "job", "salary", "birth_date"]
 
 
@@ -972,6 +981,7 @@ rated as (select *, {round2('''least(0.99::double, (case entity when 'SAUDI_NATI
       count(*) filter (where regexp_matches(v, '^\\p{{Nd}}{{1,4}}[-/.]\\p{{Nd}}{{1,2}}[-/.]\\p{{Nd}}{{1,4}}')) as dates from cells group by col)""",
     "anonymize_table": with_(treated("external")) + _treated_columns("ext"),
     "anonymize_table_developer": with_(treated("developer"), fakes()) + _developer_columns(),
+    "stream_treated": with_(treated("internal")) + _stream_columns(),
     "anonymize_table_internal": with_(treated("internal")) + _treated_columns("int"),
     # risk
     "visible_fraction": with_(treated("internal")) + " union all ".join(

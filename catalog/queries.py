@@ -8,6 +8,7 @@ import veilframe as vf
 from catalog.subjects import COLUMNS, subjects
 from veilframe.functions import checks, fakes, masks, numbers, spans, text
 from veilframe.operators import corpus, detect, lookup, report, risk, scoring, treat, utility
+from veilframe.operators.book import PseudonymBook
 from veilframe.plans import anonymize, config, profiles
 from veilframe.session import stage, work_folder
 from veilframe.sources import readers, writers
@@ -768,6 +769,19 @@ def stream_findings(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query
+def stream_treated(spark, sf_dir):
+    """All subjects as a stream, names numbered on from a table of every second subject."""
+    result = _anonymized(spark, sf_dir, "internal")
+    book = PseudonymBook(spark, _folder(spark, "book"), SALT)
+    book.extend(people(spark, sf_dir).where(F.col(KEY) % 2 == 0), KEY, anonymize.numbered_columns(result.treatments, result.profile))
+    source, out = _folder(spark, "stream-in"), _folder(spark, "stream-out")
+    people(spark, sf_dir).write.parquet(source)
+    arriving = spark.readStream.schema(people(spark, sf_dir).schema).parquet(source)
+    mask_stream.write_treated(arriving, result.treatments, "internal", SALT, KEY, book, out, _folder(spark, "stream-state"), hash_length=SHORT).start().awaitTermination()
+    return spark.read.parquet(out).select(KEY, *COLUMNS)
+
+
 @query
 def anonymize_table_developer(spark, sf_dir):
     """Rows treated for testing: fakes keep the form, and equal values get equal fakes."""

@@ -25,9 +25,13 @@ def first_seen_numbers(df: DataFrame, row_key: str, columns: list[str]) -> DataF
     partitions before it.  The partition of each value is written down, so the
     numbers do not depend on how a lost task is rerun.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = distinct_first_seen(df, row_key, columns).repartitionByRange(parts, "column", "first_key", "value")
+    return number_in_order(distinct_first_seen(df, row_key, columns))
+
+
+def number_in_order(seen: DataFrame) -> DataFrame:
+    """Numbers 1, 2, ... within each column for (column, value, first_key, n_rows), in the order of first_key and value."""
+    parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = seen.repartitionByRange(parts, "column", "first_key", "value")
     values = stage(ranged.withColumn("part", F.spark_partition_id()), "distinct")
     sizes = values.groupBy("column", "part").agg(F.count("*").alias("size"))
     # one row per (column, partition): bounded by the number of partitions

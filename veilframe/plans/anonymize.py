@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilframe import fixed_values as V
 from veilframe.functions.text import named
 from veilframe.operators import lookup, treat
+from veilframe.operators.book import PseudonymBook
 from veilframe.operators.counters import NUMBERS, SPANS, VISIBLE, Counters
 from veilframe.plans.config import column_entities
 from veilframe.plans.profiles import PROFILES, Profile
@@ -162,10 +163,15 @@ def treated_column(t: Treatment, profile: Profile, salt: str, strict: bool, hash
 
 def apply_treatments(df: DataFrame, treatments: list[Treatment], profile: Profile, salt: str, row_key: str,
                      strict: bool = False, hash_length: int = treat.HASH_LENGTH, numbers: DataFrame | None = None,
-                     broadcast_bytes: int = lookup.BROADCAST_BYTES) -> DataFrame:
-    """One projection that yields every column treated, and as it was under ``<column>__before``."""
+                     broadcast_bytes: int = lookup.BROADCAST_BYTES, book: PseudonymBook | None = None) -> DataFrame:
+    """One projection that yields every column treated, and as it was under ``<column>__before``.
+
+    Numbered replacements count the values of ``df``, or have their numbers in ``book``.
+    """
     numbered = numbered_columns(treatments, profile)
-    if numbered:
+    if numbered and book:
+        df = book.attach(df, row_key, numbered, broadcast_bytes)
+    elif numbered:
         if numbers is None:
             numbers = stage(lookup.first_seen_numbers(df, row_key, numbered), "numbers")
         df = lookup.attach_numbers(df, row_key, numbered, numbers, broadcast_bytes)
@@ -179,7 +185,8 @@ def as_text(df: DataFrame, treatments: list[Treatment], row_key: str) -> DataFra
 
 
 def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile: str, row_key: str,
-              salt: str | None = None, strict: bool = False, hash_length: int = treat.HASH_LENGTH, staged: bool = True) -> Anonymized:
+              salt: str | None = None, strict: bool = False, hash_length: int = treat.HASH_LENGTH, staged: bool = True,
+              book: PseudonymBook | None = None) -> Anonymized:
     """Treat a table the way ``config`` says.
 
     ``row_key`` is unique and gives the order in which values count as first
@@ -190,7 +197,8 @@ def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile:
     instead of masking the identifiers inside it.  The treated table is written to the work
     folder; what scores need to know of originals is counted during that write, and they
     are not stored.  ``staged=False`` leaves the result lazy.  The map from values to
-    pseudonyms is deleted once the result is written.
+    pseudonyms is deleted once the result is written.  With a ``book``, numbered
+    replacements go on from the tables and streams that it was used for before.
     """
     spark, chosen = df.sparkSession, PROFILES[profile]
     salt = salt if salt is not None else secrets.token_hex(8)
@@ -198,8 +206,11 @@ def anonymize(df: DataFrame, config: DataFrame, detections: DataFrame, profile:
     text = as_text(df, treatments, row_key)
     decide_generalisations(text, [(treatments, chosen)])
     shown = [named(row_key), *[named(t.column) for t in treatments]]
+    numbered = numbered_columns(treatments, chosen)
+    if book and numbered:
+        book.extend(text, row_key, numbered)
     with staged_inside() as maps:
-        paired = apply_treatments(text, treatments, chosen, salt, row_key, strict, hash_length)
+        paired = apply_treatments(text, treatments, chosen, salt, row_key, strict, hash_length, book=book)
     if not staged:
         return Anonymized(paired.select(*shown), treatments, chosen, row_key, text, projected=paired)
     counters = Counters({t.column: (t.column + BEFORE, t.column, t.measure) for t in treatments})
