@@ -60,16 +60,45 @@ def test_csv_keeps_line_ends_and_refuses_what_it_would_break(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text(text)
         with pytest.raises(Exception):
             readers.read_csv(spark, str(tmp_path / f"{name}.csv")).collect()
+
+
+def test_headers_of_any_order_are_brought_together(spark, tmp_path):
     (tmp_path / "mixed").mkdir()
     (tmp_path / "mixed" / "a.csv").write_text("id,name\n1,Sara\n")
-    (tmp_path / "mixed" / "b.csv").write_text("name,id\nHind,2\n")
-    with pytest.raises(Exception):
-        readers.read_csv_folder(spark, str(tmp_path / "mixed")).collect()
+    (tmp_path / "mixed" / "b.csv").write_text("\ufeffname,id\r\nHind,2\r\n", encoding="utf-8")
+    (tmp_path / "mixed" / "c.csv").write_text('name,id,note\n"Lina",3,"two\nlines"\n')
+    (tmp_path / "mixed" / "d.csv").write_bytes("name,id\nهند,4\n".encode("cp1256"))
+    (tmp_path / "mixed" / "e.csv").write_text("")
+    for rows in (readers.read_csv_folder(spark, str(tmp_path / "mixed")).collect(),):
+        assert sorted((r["id"], r["name"], r["note"]) for r in rows) == [("1", "Sara", None), ("2", "Hind", None), ("3", "Lina", "two\nlines"), ("4", "هند", None)]
+    audit = {r.path.rsplit("/", 1)[1]: (r.is_utf8, r.quoted, r.header) for r in readers.audit_files(spark, str(tmp_path / "mixed")).collect()}
+    assert audit["b.csv"][2] == audit["d.csv"][2] != audit["a.csv"][2] and [audit[f"{x}.csv"][:2] for x in "abcd"] == [(True, False), (True, False), (True, True), (False, False)]
+
+
+def test_a_thousand_files_of_two_orders(spark, tmp_path):
+    for i in range(1000):
+        (tmp_path / f"{i}.csv").write_text(f"id,name\n{i},n{i}\n" if i % 3 else f"name,id\nn{i},{i}\n")
+    rows = readers.read_csv_folder(spark, str(tmp_path)).collect()
+    assert sorted(int(r.id) for r in rows) == list(range(1000)) and all(r.name == f"n{r.id}" for r in rows)
+
+
+def test_a_large_plain_file_is_split(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("k,v\n" + "".join(f'{i},"said ""{i}"" to me"\n' for i in range(40_000)))
+    (tmp_path / "quoted.csv").write_text("k,v\n" + "".join(f'{i},"said\n{i}"\n' for i in range(40_000)))
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, str(64 << 10))
+        plain, quoted = (readers.read_csv(spark, str(tmp_path / f"{n}.csv")) for n in ("plain", "quoted"))
+        assert plain.rdd.getNumPartitions() >= 8 and quoted.rdd.getNumPartitions() == 1
+        assert plain.count() == quoted.count() == 40_000 and plain.where("v = concat('said \"', k, '\" to me')").count() == 40_000
+    finally:
+        spark.conf.set(setting, before)
 
 
 def test_scratch_leaves_nothing(spark, tmp_path):
     import os
-    held = lambda: {n for n in os.listdir(work_folder(spark)) if n.startswith(("mine", "paired", "numbers", "distinct"))}
+    held = lambda: {n for n in os.listdir(work_folder(spark)) if n.startswith(("mine", "treated", "numbers", "distinct"))}
     before = held()
     with pytest.raises(ValueError):
         with vf.scratch(spark):
