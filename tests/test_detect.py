@@ -169,3 +169,27 @@ def test_an_entity_of_ones_own(spark):
     finally:
         vf.forget_entity("STAFF_BADGE")
     assert vf.detect(df, KEY).where("flagged").count() == 0
+
+
+def test_short_text_keys_are_held_as_numbers(spark):
+    import random
+    from veilframe.operators import detect as D
+    rng = random.Random(4)
+    keys = ["", "a", "B", "é", "漢字", "zz", "a b", "user-000000001", "\U0001F600" * 3, "123456789012345", *["".join(rng.choices("ab01", k=rng.randrange(16))) for _ in range(300)]]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").withColumn("n", D._number_of(F.col("k")))
+    assert [r.k for r in df.orderBy("n", "k").collect()] == [r.k for r in df.orderBy("k").collect()]
+    assert all(r.k == r.t for r in df.select("k", D._text_of(F.col("n")).alias("t")).collect())
+    assert df.select(F.count_distinct("n")).first()[0] == len(set(keys))
+    assert D._fits_a_number(df, "k") and not D._fits_a_number(spark.createDataFrame([("x" * 16,)], "k string"), "k")
+    assert not D._fits_a_number(spark.createDataFrame([("a\x00",)], "k string"), "k") and D._fits_a_number(spark.createDataFrame([(None,)], "k string"), "k")
+
+
+def test_text_keys_give_the_same_findings_without_a_sort(people, found):
+    from veilframe.operators import detect as D
+    texts = people.withColumn(KEY, F.format_string("key-%06d", F.col(KEY)))
+    longer = people.withColumn(KEY, F.format_string("a-much-longer-key-%06d", F.col(KEY)))
+    plan = D.profile_columns(texts, KEY, COLUMNS)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(D.detect(texts, KEY, COLUMNS)) == order(D.detect(people, KEY, COLUMNS)) == order(D.detect(longer, KEY, COLUMNS))
+    assert order(D.explain(texts, KEY, COLUMNS)) == order(D.explain(people, KEY, COLUMNS))

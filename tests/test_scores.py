@@ -11,6 +11,7 @@ from veilframe.operators import risk, scoring
 from veilframe.operators.utility import numeric_distribution
 from veilframe.plans.anonymize import Treatment, anonymize
 from veilframe.plans.config import build_config, override_config
+from veilframe.session import stage
 
 KEY = "row_id"
 
@@ -163,3 +164,20 @@ def test_risk_row_of_a_table_without_direct_columns():
     assert empty.before == empty.after == 0.0
     assert empty.reasons() == ["No indirect identifiers were selected, so the quasi-identifier part is 0."]
     assert risk.exposure(Treatment("x", "Masking", "Direct", embedded=True), {"found_before": 0, "found_after": 0}) == 0.05
+
+
+def test_many_columns_are_counted_in_bounded_jobs(spark):
+    rng = random.Random(5)
+    rows = [tuple(str(rng.randrange(1 + i % 4)) for i in range(12)) for _ in range(300)]
+    columns = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    table = stage(risk.classes(df, columns), "classes")
+    wanted = {", ".join(columns[i] for i in s): len({tuple(r[i] for i in s) for r in rows}) for s in itertools.combinations(range(12), 3)}
+    assert {r.subset: r.classes for r in risk.subset_classes(table, columns).collect()} == wanted
+    chosen = risk.known_subsets(columns)[5:9]
+    assert {r.subset: r.classes for r in risk.subset_classes(table, columns, chosen=chosen).collect()} == {", ".join(s): wanted[", ".join(s)] for s in chosen}
+    n = table.count()
+    for at_once in (1 << 28, 40 * n):
+        assert risk.all_subset_classes(table, columns, n, rows_at_once=at_once) == sum(wanted.values())
+    exact, sketched = risk.quasi_risk(df, columns), risk.quasi_risk(df, columns, approximate=True)
+    assert exact.average == pytest.approx(sum(wanted.values()) / len(wanted) / 300) and sketched.average == pytest.approx(exact.average, rel=0.05)

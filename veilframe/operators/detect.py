@@ -57,6 +57,33 @@ def profiled_columns(df: DataFrame, row_key: str | None) -> list[str]:
     return [c for c in df.columns if c != row_key]
 
 
+#: Longest text key, in bytes, that is held as a number while cells are counted.
+NUMBERED_BYTES = 15
+_HALF = "18446744073709551616BD"            # 2 ** 64
+
+
+def _number_of(key: Column) -> Column:
+    """A text of up to NUMBERED_BYTES bytes as a whole number of the same order."""
+    digits = F.rpad(F.hex(key.cast("binary")), 2 * NUMBERED_BYTES, "0")
+    upper, lower = (F.conv(F.substring(digits, a, n), 16, 10).cast("decimal(20,0)") for a, n in ((1, 14), (15, 16)))
+    return (upper.cast("decimal(18,0)") * F.expr(_HALF) + lower).cast("decimal(38,0)")
+
+
+def _text_of(number: Column) -> Column:
+    """The text that a number stands for."""
+    lower = (number % F.expr(_HALF)).cast("decimal(20,0)")
+    upper = ((number - lower) / F.expr(_HALF)).cast("decimal(20,0)")
+    digits = F.concat(*[F.lpad(F.conv(half.cast("string"), 10, 16), n, "0") for half, n in ((upper, 14), (lower, 16))])
+    return F.rtrim(F.unhex(digits).cast("string"), F.lit("\x00"))
+
+
+def _fits_a_number(df: DataFrame, row_key: str) -> bool:
+    """Whether all text keys are short enough and none holds the byte that fills up short ones; one pass over the keys alone."""
+    key = named(row_key)
+    found = df.agg(F.max(F.octet_length(key)).alias("longest"), F.count_if(F.contains(key, F.lit("\x00"))).alias("filled")).first()
+    return (found["longest"] or 0) <= NUMBERED_BYTES and not found["filled"]
+
+
 def cells(df: DataFrame, row_key: str | None, columns: list[str]) -> DataFrame:
     """(row_key, column, value) for every cell that is neither null nor blank, stripped."""
     # without a row key the scan order stands in for it; it is taken before any shuffle
@@ -165,7 +192,14 @@ def profile_columns(df: DataFrame, row_key: str | None = None, columns: list[str
         columns = [c for c in columns if any(c in hints[e] for e in entities)]
     if not columns:
         columns, df = df.columns[:1], df.limit(0)
-    totals = _column_totals(_lane_totals(_cell_flags(cells(df, row_key, columns), hints, entities)))
+    long = cells(df, row_key, columns)
+    # buffers of a fixed width are hashed; with texts in them, Spark would sort the cells
+    numbered = row_key is not None and dict(df.dtypes)[row_key] == "string" and _fits_a_number(df, row_key)
+    if numbered:
+        long = long.withColumn("row_key", _number_of(F.col("row_key")))
+    totals = _column_totals(_lane_totals(_cell_flags(long, hints, entities)))
+    if numbered:
+        totals = totals.withColumns({c: _text_of(F.col(c)) for c in totals.columns if c.endswith("_bound")})
     counted = sorted({c for e in ("CUSTOMER_ID", "GENDER") if entities is None or e in entities for c in hints[e]})
     if not counted:
         return totals.withColumn("distinct_n", F.lit(None).cast("bigint"))

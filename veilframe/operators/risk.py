@@ -13,6 +13,8 @@ from veilframe.operators.scoring import measure
 from veilframe.plans.anonymize import Anonymized, Treatment
 from veilframe.session import stage
 
+ROWS_AT_ONCE = 1 << 28  # of 16 bytes, in one shuffle
+SKETCHES = 128          # filled in one pass
 SKETCH_SIZE = 14        # binary logarithm of the slots: about one per cent off
 
 
@@ -52,15 +54,15 @@ def known_subsets(columns: list[str]) -> list[tuple[str, ...]]:
     return list(combinations(columns, min(V.KNOWN_ATTRIBUTES, len(columns))))
 
 
-def subset_classes(class_table: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """(subset, classes): how many classes each choice of columns makes.
+def subset_classes(class_table: DataFrame, columns: list[str], approximate: bool = False, chosen: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """(subset, classes): how many classes each choice of columns makes, of all choices or the ``chosen`` ones.
 
     The mean of 1/k over rows is the number of classes over the number of rows,
     so counting distinct combinations is enough, and counting them among the
     classes of all columns reads no row twice.  Combinations are told by 64-bit
     hashes: of a thousand million, less than one is missed.
     """
-    subsets = known_subsets(columns)
+    subsets = known_subsets(columns) if chosen is None else chosen
     if approximate:
         # sketches of a few kilobytes each, all filled in one pass and merged after it
         counts = class_table.agg(*[
@@ -69,18 +71,37 @@ def subset_classes(class_table: DataFrame, columns: list[str], approximate: bool
         pairs = [x for i, s in enumerate(subsets) for x in (F.lit(", ".join(s)), F.col(str(i)))]
         return counts.select(F.stack(F.lit(len(subsets)), *pairs).alias("subset", "classes"))
     n, size = len(columns), len(subsets[0])
-    names = F.array(*[F.lit(c) for c in columns])
-    chosen = class_table.select(F.array(*[named(c) for c in columns]).alias("v"))
-    place = F.lit(-1)
-    for i in range(size):           # one explode for each place: the plan is the same for any number of columns
-        chosen = chosen.withColumn(f"p{i}", F.explode(F.sequence(place + 1, F.lit(n - size + i))))
-        place = F.col(f"p{i}")
+    rows = class_table.select(F.array(*[named(c) for c in columns]).alias("v"))
+    if chosen is None:
+        place = F.lit(-1)
+        for i in range(size):       # one explode for each place: the plan is the same for any number of columns
+            rows = rows.withColumn(f"p{i}", F.explode(F.sequence(place + 1, F.lit(n - size + i))))
+            place = F.col(f"p{i}")
+    else:
+        at = {c: i for i, c in enumerate(columns)}
+        listed = ";".join(",".join(str(at[c]) for c in s) for s in chosen)
+        rows = rows.withColumn("p", F.explode(F.transform(F.split(F.lit(listed), ";"), lambda x: F.split(x, ",").cast("array<int>"))))
+        rows = rows.select("v", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(size)])
     places = [F.col(f"p{i}") for i in range(size)]
+    names = F.array(*[F.lit(c) for c in columns])
     subset = F.concat_ws(", ", *[F.get(names, p) for p in places])
-    present = chosen.select(*[p.cast("smallint") for p in places], F.xxhash64(*[F.get("v", p) for p in places]).alias("h")).distinct()
+    present = rows.select(*[p.cast("smallint") for p in places], F.xxhash64(*[F.get("v", p) for p in places]).alias("h")).distinct()
     return present.groupBy(*[f"p{i}" for i in range(size)]).agg(F.count("*").alias("classes")).select(subset.alias("subset"), "classes")
 
 
+def all_subset_classes(class_table: DataFrame, columns: list[str], classes_n: int, approximate: bool = False, rows_at_once: int = ROWS_AT_ONCE) -> int:
+    """Classes of all choices of columns together.
+
+    With many columns and classes, choices are counted in several jobs, so that none
+    makes more than ``rows_at_once`` rows (or holds more than SKETCHES sketches);
+    each gives one number.
+    """
+    subsets = known_subsets(columns)
+    step = SKETCHES if approximate else max(1, rows_at_once // max(1, classes_n))
+    parts = [None] if len(subsets) <= step else [subsets[i:i + step] for i in range(0, len(subsets), step)]
+    return sum(subset_classes(class_table, columns, approximate, part).agg(F.sum("classes")).first()[0] or 0 for part in parts)
+
+
 @dataclass
 class QuasiRisk:
     """Average chance of re-identification, smallest class, and share of unique rows."""
@@ -97,10 +118,10 @@ def quasi_risk(df: DataFrame, columns: list[str], approximate: bool = False) ->
     if not total["rows"]:
         return QuasiRisk(0.0, None, None)
     if len(columns) <= V.KNOWN_ATTRIBUTES:
-        shares = [total["classes"] / total["rows"]]
+        average = total["classes"] / total["rows"]
     else:
-        shares = [r["classes"] / total["rows"] for r in subset_classes(table, columns, approximate).collect()]
-    return QuasiRisk(sum(shares) / len(shares), total["k"], total["unique_share"])
+        average = all_subset_classes(table, columns, total["classes"], approximate) / len(known_subsets(columns)) / total["rows"]
+    return QuasiRisk(average, total["k"], total["unique_share"])
 
 
 def class_size_per_row(df: DataFrame, row_key: str, columns: list[str], **options) -> DataFrame:
