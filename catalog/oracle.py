@@ -10,6 +10,7 @@ from itertools import combinations
 
 from catalog.subjects import COLUMNS, subjects_sql
 from veilframe import fixed_values as V
+from veilframe.plans.profiles import PROFILES, REASONS
 
 SALT = "pepper"
 SPACES = r"\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -935,6 +936,10 @@ rated as (select *, {round2('''least(0.99::double, (case entity when 'SAUDI_NATI
     "resolve_column_entities": detection_query(
         """select column_name as "column", string_agg(entity, '|' order by category <> 'Direct', confidence desc, place) as entities,
            bool_or(embedded) as embedded from detections where flagged group by column_name"""),
+    "explain_methods": detection_query(
+        "select profile, p.purpose, \"column\", recommended as method, m.reason from (" + " union all ".join(f"({_config_rows(p)})" for p in BINS) + ") "
+        + "join (values " + ", ".join(f"({q(k)}, {q(p.description)})" for k, p in PROFILES.items()) + ") p(profile, purpose) using (profile) "
+        + "left join (values " + ", ".join(f"({q(k)}, {q(r)})" for k, r in REASONS.items()) + ") m(method, reason) on m.method = recommended"),
     "override_config": detection_query(_overridden()),
     "purpose_profiles": detection_query(
         f"""select p.*, treated, suppressed from (values

@@ -408,6 +408,14 @@ def override_config(spark, sf_dir):
     return changed.select("column", "recommended", "method", "category")
 
 
+@query
+def explain_methods(spark, sf_dir):
+    """Why each column is treated as it is, under each purpose."""
+    rows = [config.explain_config(_config(spark, sf_dir, p)).select(F.lit(p).alias("profile"), F.lit(profile.description).alias("purpose"), "column", "method", "reason")
+            for p, profile in profiles.PROFILES.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def purpose_profiles(spark, sf_dir):
     """Each purpose's settings, beside what it does to the columns of the table."""

@@ -144,3 +144,30 @@ def test_treatments_decided_on_a_batch_run_on_a_stream(spark, tmp_path):
     assert out.where("national_id rlike '^H_[0-9a-f]{32}$' and age rlike '^[0-9]0–[0-9]0$'").count() == 48
     with pytest.raises(ValueError):
         mask_stream.treated_stream(arriving, treatments, "external", "s", "row_id")
+
+
+def test_entities_of_ones_own_travel_with_a_run(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from veilframe.plans.entities import entities_table
+    valid = lambda c: F.lit(True)
+    try:
+        vf.register_entity("STAFF_BADGE", r"PX-[0-9]{5}-[A-Z]", "Staff badge", column_keywords=("badge",), recommended=("Hashing", "Replacement", "Masking"))
+        vf.register_entity("LOCKER", r"LK[0-9]{3}", "Locker", validator=valid)
+        entities_table(spark).write.parquet(str(tmp_path / "entities"))
+        assert vf.load_entities(spark, str(tmp_path)) == []
+    finally:
+        vf.forget_entity("STAFF_BADGE")
+        vf.forget_entity("LOCKER")
+    assert entities_table(spark).count() == 0
+    df = spark.createDataFrame([(i, f"PX-{i:05d}-Q") for i in range(20)], "row_id long, badge string")
+    assert vf.detect(df, "row_id").where("entity = 'STAFF_BADGE'").count() == 0
+    try:
+        with pytest.raises(ValueError, match="validator"):
+            vf.load_entities(spark, str(tmp_path))
+        loaded = vf.load_entities(spark, str(tmp_path), {"LOCKER": valid})
+        found = vf.detect(df, "row_id").where("entity = 'STAFF_BADGE' and flagged")
+        assert set(loaded) <= {"STAFF_BADGE", "LOCKER"} and found.count() == 1
+        assert vf.build_config(found, ["badge"], "external").first().method == "Hashing"
+    finally:
+        vf.forget_entity("STAFF_BADGE")
+        vf.forget_entity("LOCKER")

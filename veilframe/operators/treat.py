@@ -70,8 +70,7 @@ def generalize_date(c: Column, strong: bool, strict: bool = False) -> Column:
 
 def generalize_address(c: Column) -> Column:
     """The neighbourhood, when the address names one."""
-    area = r"(?U)(?:حي\s+\S+(?:\s+\S+)?)(?=[،,])|(?:\S+(?:\s\S+)?\s+District)"
-    found = F.regexp_extract(c, area, 0)
+    found = F.regexp_extract(c, V.ADDRESS_AREA, 0)
     return F.when(c.isNotNull(), F.when(found != "", strip(found)).otherwise(V.ADDRESS_GENERALIZED))
 
 

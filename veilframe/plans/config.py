@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilframe import fixed_values as V
 from veilframe.operators.corpus import base_risk_of
-from veilframe.plans.profiles import policy
+from veilframe.plans.profiles import REASONS, policy
 
 
 def _ordered_entities(found: DataFrame, *sort_keys) -> DataFrame:
@@ -70,6 +70,14 @@ def override_config(config: DataFrame, methods: dict[str, str] | None = None,
     return config
 
 
+def explain_config(config: DataFrame) -> DataFrame:
+    """The configuration with ``reason``, what the method of each column is for."""
+    reason = F.lit(None).cast("string")
+    for method, text in REASONS.items():
+        reason = F.when(F.col("method") == method, text).otherwise(reason)
+    return config.withColumn("reason", reason)
+
+
 def kept_direct(config: DataFrame) -> DataFrame:
     """Direct identifiers left unchanged."""
     return config.where((F.col("category") == "Direct") & (F.col("method") == "Keep"))

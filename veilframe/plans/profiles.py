@@ -15,14 +15,28 @@ class Profile:
     target_bins: int            # bands a numeric range is cut into
     min_group_frac: float       # smallest share of rows a kept category has
     format_preserving: bool     # replacements look like the original
+    description: str = ""
 
 
 PROFILES = {p.key: p for p in (
-    Profile("external", "AI / External Company", "strong", 3, 0.10, False),
-    Profile("developer", "Developer Testing", "medium", 8, 0.05, True),
-    Profile("internal", "Internal Analytics", "medium", 12, 0.05, False),
+    Profile("external", "AI / External Company", "strong", 3, 0.10, False,
+            "For data that leaves the house: direct identifiers go or are hidden for the most part, indirect ones become wide bands."),
+    Profile("developer", "Developer Testing", "medium", 8, 0.05, True,
+            "For test systems: made-up identifiers of the same form, which programs and checks accept."),
+    Profile("internal", "Internal Analytics", "medium", 12, 0.05, False,
+            "For analysts of the house: narrow bands, pseudonyms that can be joined, and common categories as they are."),
 )}
 
+#: What each method does to a column, in the words of a plan.
+REASONS = {
+    "Keep": "low risk, and of use as it is",
+    "Masking": "most characters are hidden, the form stays",
+    "Suppression": "the value goes, which protects best",
+    "Replacement": "a pseudonym or made-up value stands in its place",
+    "Generalization": "exact values become bands or wider groups",
+    "Hashing": "a salted one-way hash: rows can be joined, values not read",
+}
+
 
 def recommended_method(entity: str, profile: str) -> str:
     methods = dict(zip(PROFILES, V.RECOMMENDED.get(entity, ("Masking",) * len(PROFILES))))

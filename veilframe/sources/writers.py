@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.plans.anonymize import Anonymized, Treatment
+from veilframe.plans.entities import entities_table
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -13,10 +14,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def save_run(path: str, detections: DataFrame, config: DataFrame, result: Anonymized, risk, utility,
              mode: str = "errorifexists") -> None:
-    """Detections, configuration, treated data and scores as Parquet under one folder."""
+    """Detections, configuration, treated data, scores and entities of one's own as Parquet under one folder."""
     spark = result.data.sparkSession
     tables = {"detections": detections, "config": config, "data": result.data,
-              "treatments": treatments_table(spark, result), "risk": risk.table(spark), "utility": utility.table(spark)}
+              "treatments": treatments_table(spark, result), "entities": entities_table(spark), "risk": risk.table(spark), "utility": utility.table(spark)}
     for name, table in tables.items():
         table.write.mode(mode).parquet(f"{path}/{name}")
 
