@@ -59,3 +59,13 @@ def test_every_language_is_learned(spark):
     from veilframe.llm.language import learn
     rows = [(i, "the of and", f"l{i:03}", "", "") for i in range(510)]
     assert learn(table(spark, rows))[0] == [r[2] for r in rows]
+
+
+def test_all_texts_are_learned_from(spark):
+    import numpy as np
+    from veilframe.llm.language import UNIT, learn, profiles
+    texts = [f"the of and {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    names, prototypes, least = learn(table(spark, [(i, t, "en", "", "") for i, t in enumerate(texts)]), True)
+    sums = np.rint(profiles(texts).astype(np.float64) * UNIT).sum(axis=0)
+    assert names == ["en"] and np.array_equal(prototypes[0], (sums / np.linalg.norm(sums)).astype(np.float32))
+    assert np.isfinite(least).all()

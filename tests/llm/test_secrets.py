@@ -44,3 +44,20 @@ def test_random_strings_are_told_from_identifiers(spark):
 
 def test_no_rows(spark):
     assert find_secrets(table(spark, [])).count() == 0
+
+
+def test_all_documents_are_learned_from(spark):
+    from collections import Counter
+    from math import log
+    from veilframe.llm.secrets import CODES, FIRST, SMOOTHING, learn
+    texts = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}word Zq{chr(65 + i % 26)}{chr(65 + i // 300)}" for i in range(6000)]
+    frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string")
+    found, nothing = learn(frame(texts)), learn(frame([]))
+    pairs = Counter(w[i:i + 2] for t in texts for w in t.split() for i in range(len(w) - 1))
+    rows = Counter()
+    for ab, n in pairs.items():
+        rows[ab[0]] += n
+    for ab, n in pairs.items():
+        place = (ord(ab[0]) - FIRST) * CODES + ord(ab[1]) - FIRST
+        ordinary = log((n + SMOOTHING) / (rows[ab[0]] + SMOOTHING * CODES))
+        assert abs(found[place] - (nothing[place] - log(CODES) - ordinary)) < 1e-3

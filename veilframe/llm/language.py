@@ -19,7 +19,6 @@ from veilframe.llm import common
 SIZE = 1024               # of the vectors
 SYMBOLS = 1024            # letters below U+0250 have a vector of their own, others share the rest
 SHARPNESS = 25.0          # from differences of cosines to scores
-LEARN = 1500              # texts learned from for each language, chosen by a hash of their id
 UNKNOWN = "und"
 ENOUGH = 30               # learning texts from whose spread it is told what is too far from a language; with fewer nothing is
 UNIT = 1 << 30            # sums of rounded multiples of this do not depend on their order
@@ -69,14 +68,8 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
 
 
 def learn(labelled: DataFrame, spread: bool = False) -> tuple[list[str], np.ndarray, np.ndarray | None]:
-    """Languages and prototypes from doc_id, text and lang; at most LEARN texts a language, about.  With ``spread`` also the least cosines."""
-    labelled = labelled.where("lang is not null and text is not null")
-    languages = labelled.groupBy("lang").count().collect()
-    if not languages:
-        return [], np.zeros((0, SIZE), np.float32), None
-    share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, LEARN / r["count"])) for r in languages], "lang string, share double")
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("lang", "text")     # a row for each language
+    """Languages and prototypes from all rows with text and lang.  With ``spread`` also the least cosines."""
+    labelled = labelled.where("lang is not null and text is not null").select("lang", "text")
 
     def make():
         def f(piece):
@@ -85,16 +78,18 @@ def learn(labelled: DataFrame, spread: bool = False) -> tuple[list[str], np.ndar
             sums = [np.rint(own[which == i] * UNIT).sum(axis=0).astype(np.int64) for i in range(len(langs))]
             return {"lang": pa.array(langs.tolist(), pa.string()), "v": pa.array([s.tolist() for s in sums], pa.list_(pa.int64()))}
         return f
-    parts = common.map_pieces(sample, "text", make, "lang string, v array<bigint>")
+    parts = common.map_pieces(labelled, "text", make, "lang string, v array<bigint>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").collect()
+    rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").collect()      # a row for each language
+    if not rows:
+        return [], np.zeros((0, SIZE), np.float32), None
     v = np.array([[x["x"] for x in r["v"]] for r in rows], np.float64).reshape(len(rows), SIZE)
     names, norms = [r["lang"] for r in rows], np.maximum(np.linalg.norm(v, axis=1), 1e-9)
     prototypes = (v / norms[:, None]).astype(np.float32)
-    return names, prototypes, _least(sample, names, prototypes, norms / UNIT) if spread else None
+    return names, prototypes, _least(labelled, names, prototypes, norms / UNIT) if spread else None
 
 
-def _least(sample: DataFrame, names: list[str], prototypes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+def _least(labelled: DataFrame, names: list[str], prototypes: np.ndarray, norms: np.ndarray) -> np.ndarray:
     """The least cosine of a text that fits a language: a standard deviation below the least of its learning texts.
 
     Each learning text is held against what the others bundle to; ``norms`` are
@@ -111,7 +106,7 @@ def _least(sample: DataFrame, names: list[str], prototypes: np.ndarray, norms: n
             own = (v != 0).any(axis=1) & (others > 0.5)
             return {"lang": pa.array(lang[own]), "x": pa.array(np.round((dot - 1)[own] / others[own], 6))}
         return f
-    cosines = common.map_pieces(sample, "text", make, "lang bigint, x double")
+    cosines = common.map_pieces(labelled, "text", make, "lang bigint, x double")
     least = np.full(len(names), -np.inf)
     for r in cosines.groupBy("lang").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.stddev_pop("x").alias("by")).where(F.col("n") >= ENOUGH).collect():
         least[r["lang"]] = r["x"] - r["by"]

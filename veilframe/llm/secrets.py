@@ -2,8 +2,8 @@
 
 Patterns find assigned passwords, access keys and hexadecimal runs.  Other long
 tokens are scored by the log-likelihood ratio of two first-order Markov models of
-characters: random strings and ordinary identifiers.  Both are trained on labelled
-samples: random strings are what the patterns find and encoded digests of numbers;
+characters: random strings and ordinary identifiers.  Both are trained on all
+documents: random strings are what the patterns find and encoded digests of numbers;
 ordinary ones are tokens of other text too short to be scored
 (a longer one bears no label).
 
@@ -26,7 +26,6 @@ BASE = KINDS[:3]
 LEAST = {"assign": 8, "access": 16, "hex": 32, "random": 20}
 
 FIRST, CODES = 43, 80                 # characters from + to z
-LEARN = 4000                          # documents that ordinary tokens are learned from, chosen by a hash of the text
 SAMPLES = 4000                        # encoded digests among the random strings
 SMOOTHING = 0.5
 PER_CHARACTER = 0.4                   # nats of evidence a token needs, for each character
@@ -76,13 +75,13 @@ def _bigrams(tokens: DataFrame) -> DataFrame:
 def learn(docs: DataFrame) -> list[float]:
     """Log-likelihood ratios of all pairs of characters, random against ordinary: CODES x CODES numbers."""
     spark = docs.sparkSession
-    share = min(1.0, LEARN / max(1, docs.count()))
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = docs.where("text is not null").where(chance < share).select(F.col("text").cast("string").alias("text"))
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = sample.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("token")) \
+    texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
+    named, access, hexed = _may_assign(F.col("text")), F.col("text").contains("AKIA"), F.col("text").rlike(HEX)
+    rest = F.when(named, F.regexp_replace("text", ASSIGN, " ")).otherwise(F.col("text"))
+    rest = F.when(access | hexed | named, F.regexp_replace(F.regexp_replace(rest, ACCESS, " "), HEX, " ")).otherwise(F.col("text"))
+    ordinary = texts.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("token")) \
         .where(F.char_length("token") < LEAST["random"]).groupBy("token").agg(F.count("*").alias("n"))
-    known = sample.select(F.explode(F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))).alias("token")) \
+    known = texts.where(named | hexed).select(F.explode(F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))).alias("token")) \
         .select(F.substring("token", 1, 64).alias("token"), F.lit(1).alias("n"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(SAMPLES).select(F.when(F.col("id") % 4 == 0, digest).otherwise(F.regexp_replace(F.base64(F.unhex(digest)), "=", "")).alias("token"), F.lit(1).alias("n"))
