@@ -158,3 +158,13 @@ def test_one_of_each_keeps_columns_of_any_name_and_type(spark):
     assert out.schema == docs.schema
     assert sorted((r.doc_id, r.doc, r.c1, r.doc__, r.th__, r.place__) for r in out.where("doc_id <> 3").collect()) == [(1, "x", 5, "p", "t", "u"), (4, "q", 0, "p", "t", "u")]
     assert out.where("doc_id = 3").count() == 1
+
+
+def test_signatures_hold_two_bytes_a_token_that_differ_between_texts(spark):
+    from veilframe.llm import near_duplicates as N
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(200)]
+    rows = spark.createDataFrame([(i, i, i, t) for i, t in enumerate(texts)], "doc_id bigint, doc bigint, th bigint, text string")
+    own = [r.signature for r in N._measure(rows, 3).collect()]
+    assert {len(s) for s in own} == {2 * N.TOKENS}
+    first = {bytes(s[:2]) for s in own}
+    assert len(first) > 190

@@ -20,7 +20,8 @@ A node first drops classes without a partner of fitting signature in another
 component, or whose pairs an earlier node of at most LIMIT classes compares: one that
 branches may part them.
 A signature does not fit a link at the threshold about once in 6 million at 0.85,
-and once in 50 million at 0.8.  The texts of the rest are brought together, links are
+and once in 50 million at 0.8.  Its tokens have 16 bits, so different ones are taken
+for equal once in 65,536, which adds candidates and drops none.  The texts of the rest are brought together, links are
 confirmed on their full sets, and each node gives at most one link for each class,
 to the smallest that it reaches.
 """
@@ -82,7 +83,9 @@ def _start_nodes(signature: np.ndarray) -> np.ndarray:
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), TOKENS)
+    """One row of tokens for each signature; their length tells how wide a token is."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), f"u{len(rows[0]) // TOKENS}").reshape(len(rows), TOKENS)
 
 
 def _measure(base: DataFrame, size: int) -> DataFrame:
@@ -97,12 +100,13 @@ def _measure(base: DataFrame, size: int) -> DataFrame:
             values = np.concatenate([sets[i] for i in own] or [np.zeros(0, np.uint64)])
             first = np.concatenate([[0], np.cumsum(n[own])[:-1]]).astype(np.int64)
             sums = np.zeros((2, len(n)), np.uint64)
-            signature = np.zeros((len(n), TOKENS), np.uint32)
+            signature = np.zeros((len(n), TOKENS), np.uint16)
             if len(own):
                 for i in range(2):
                     sums[i, own] = np.add.reduceat(W.mix(values + np.uint64(i)), first)
                 for i, m in enumerate(_MULTIPLY):
-                    signature[own, i] = np.minimum.reduceat(values * m, first) >> np.uint64(32)
+                    # 16 mixed bits of the least hash: its own upper bits are mostly zero
+                    signature[own, i] = W.mix(np.minimum.reduceat(values * m, first)) >> np.uint64(48)
             return {c: piece.column(c) for c in ("doc_id", "doc", "th")} | {
                 "n": pa.array(n), "c1": pa.array(sums[0].view(np.int64)), "c2": pa.array(sums[1].view(np.int64)),
                 "signature": pa.array([s.tobytes() for s in signature], pa.binary())}
@@ -221,7 +225,7 @@ def _with_partner(least: float):
                 near &= label[part, None] != label[None, :]
                 keep[part] |= near.any(axis=1)
             if keep.any():
-                kept = group.select(["node", "cid", "doc", "th"]).filter(pa.array(keep))
+                kept = group.select(["node", "cid"]).filter(pa.array(keep))
                 yield from kept.to_batches()
     return run
 
@@ -303,12 +307,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     least = share - MARGIN * (share * (1 - share) / TOKENS) ** 0.5
 
     def links_in(nodes: DataFrame, parted: DataFrame | None, known: DataFrame | None) -> DataFrame:
-        described = classes.select("cid", "doc", "th", "signature")
+        described = classes.select("cid", "signature")
         described = described.join(parted, "cid", "left") if parted else described.withColumn("large", F.lit(None).cast("array<bigint>"))
         described = described.join(known, "cid", "left") if known else described.withColumn("label", F.col("cid"))
-        found = nodes.join(described, "cid").select("node", "cid", "doc", "th", "start", "signature", "large", F.coalesce("label", "cid").alias("label")) \
-            .repartition("node").sortWithinPartitions("node").mapInArrow(_with_partner(least), "node bigint, cid bigint, doc bigint, th bigint")
-        found = common.stage(found, "partners")
+        found = nodes.join(described, "cid").select("node", "cid", "start", "signature", "large", F.coalesce("label", "cid").alias("label")) \
+            .repartition("node").sortWithinPartitions("node").mapInArrow(_with_partner(least), "node bigint, cid bigint")
+        found = common.stage(found, "partners").join(classes.select("cid", "doc", "th"), "cid")
         texts = base.select("doc", "th", "text").join(found.hint("shuffle_hash"), ["doc", "th"]).select("node", "cid", "text")
         return texts.repartition("node").sortWithinPartitions("node").mapInArrow(_link(percent, size), "a bigint, b bigint")
 
