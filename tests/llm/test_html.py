@@ -105,3 +105,23 @@ def test_prose_on_most_pages_of_a_host_goes(spark):
     out = run(spark, [(i, "http://h/", page(i)) for i in range(40)])
     assert not any("Follow us" in r.text for r in out.values())
     assert sum("A passage" in r.text for r in out.values()) == 10
+
+
+def test_texts_move_only_where_many_articles_are_touched(spark, monkeypatch):
+    from veilframe.llm import common
+    own = lambda i: "".join("abcdefghij"[int(d)] for d in str(i + 100))
+    rows = [(i, "http://h/", f"<article><p>What {own(i)} did at length and then some more.</p><p>Follow us everywhere.</p></article><div>Home</div>") for i in range(20)]
+    rows += [(50 + i, "http://g/", unmarked(i)) for i in range(20)] + [(None, None, None), (3, "http://h/", rows[3][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def moved():
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            out = extract(df)
+            return "hashpartitioning(uid" in out._jdf.queryExecution().executedPlan().toString(), sorted(map(repr, out.collect()))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    few, there = moved()        # the session's own choice is off
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    many, same = moved()
+    assert not few and many and there == same and "Follow us" not in "".join(there)

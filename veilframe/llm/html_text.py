@@ -230,8 +230,12 @@ def _read_pages(pages: DataFrame) -> DataFrame:
                 for e in range(1, len(under)):
                     under[e] = under[e] or under[page.parent[e]]
                 bound = any(under[e] for _, e in kept)          # else no template can touch the article
+                around = [False] * len(under)                   # elements around the article's blocks: no other is asked about
+                for _, e in kept:
+                    while e > 0 and not around[e]:
+                        around[e], e = True, page.parent[e]
                 out["text"].append(None if bound else "\n\n".join(t for t, _ in kept))
-                out["hashes"].append(hashes if bound else None)
+                out["hashes"].append([h if a else 0 for h, a in zip(hashes, around)] if bound else None)
                 out["parents"].append(page.parent if bound else None)
                 out["texts"].append([t for t, _ in kept] if bound else None)
                 out["places"].append([e for _, e in kept] if bound else None)
@@ -263,8 +267,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     templates = counts.join(sizes, "host").where(enough) \
         .select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     bound = read.where("text is null")
-    found = bound.select("uid", "host", F.explode("seen").alias("h")).withColumn("salt", F.pmod("uid", F.lit(SALT)).cast("int")).join(templates, ["host", "h", "salt"], "left_semi") \
+    asked = F.array_remove(F.array_distinct("hashes"), F.lit(0).cast("bigint"))
+    found = bound.select("uid", "host", F.explode(asked).alias("h")).withColumn("salt", F.pmod("uid", F.lit(SALT)).cast("int")).join(templates, ["host", "h", "salt"], "left_semi") \
         .groupBy("uid").agg(F.collect_set("h").alias("templates"))
+    found = common.stage(found, "touched")
+    few = common.small(found, "sum(8 * size(templates) + 64)")      # mostly few articles are touched: then no text moves
     kinds = dict(read.dtypes)
 
     def make():
@@ -279,7 +286,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                 cut.append(len({gone[e] for e in places} - {0}))
             return {"page_id": piece.column("page_id"), "url": piece.column("url"), "text": pa.array(texts, pa.string()), "n_template": pa.array(cut, pa.int32())}
         return f
-    merged = bound.select("uid", "page_id", "url", "hashes", "parents", "texts", "places").join(found, "uid", "left").withColumn("all", F.array_join("texts", ""))
+    merged = bound.select("uid", "page_id", "url", "hashes", "parents", "texts", "places").join(found if few is None else few, "uid", "left").withColumn("all", F.array_join("texts", ""))
     out = common.map_pieces(merged, "all", make, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_template int")
     out = read.where("text is not null").select("page_id", "url", "text", F.lit(0).alias("n_template")).unionByName(out)
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_template")
