@@ -168,3 +168,22 @@ def test_signatures_hold_two_bytes_a_token_that_differ_between_texts(spark):
     assert {len(s) for s in own} == {2 * N.TOKENS}
     first = {bytes(s[:2]) for s in own}
     assert len(first) > 190
+
+
+def test_nodes_of_one_class_are_written_once_and_texts_without_a_partner_stay(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(60)]
+    docs += [(100 + i, t + " end") for i, (_, t) in enumerate(docs[:3])]
+    staged, keep = [], N.common.stage
+
+    def stage(df, name):
+        out = keep(df, name)
+        staged.append((name, out.count()))
+        return out
+    monkeypatch.setattr(N.common, "stage", stage)
+    assert run(spark, docs) == brute(docs)
+    rows = lambda what: [n for name, n in staged if name == what]
+    assert rows("nodes") == [] and len(rows("start-nodes")) == 1
+    assert len(rows("shared-nodes")) == 1 and 0 < rows("shared-nodes")[0] < rows("start-nodes")[0] / 4
+    monkeypatch.setattr(N.common, "BROADCAST_BYTES", -1)            # all texts move
+    assert run(spark, docs) == brute(docs) and run(spark, docs, limit=1) == brute(docs)

@@ -123,37 +123,44 @@ def _blocks(classes: Column, shingles: Column, limit: int) -> Column:
     return F.greatest(F.ceil(2 * classes / limit), F.ceil(2 * shingles / SHINGLES)).cast("int")
 
 
-def _first_meetings(members: DataFrame, limit: int) -> DataFrame | None:
+def _sized(members: DataFrame) -> DataFrame:
+    """(node, cid, n, k, w) of nodes with several classes: how many, and their shingles.
+
+    Most nodes have one class alone.  What is left is written down, because all that follows
+    starts from it more than once.
+    """
+    counts = members.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where("k > 1")
+    return common.stage(members.join(counts, "node"), "shared-nodes")
+
+
+def _first_meetings(sized: DataFrame, limit: int) -> DataFrame | None:
     """(node, cid) of blocks of large start nodes, for linking groups of near copies; null if no node is large.
 
     Each class is in one block of MEETINGS of its large nodes, the ones with the smallest numbers, which near copies mostly share.
     """
-    sizes = members.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where(_large(limit))
-    if not sizes.limit(1).count():
+    there = sized.where(_large(limit))
+    if not there.limit(1).count():
         return None
-    there = members.join(sizes, "node")
-    few = there.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("node")), 1, MEETINGS).alias("nodes")).select("cid", F.explode("nodes").alias("node"))
+    few = there.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set(F.struct("node", "k", "w"))), 1, MEETINGS).alias("nodes")).select("cid", F.inline("nodes"))
     count = F.greatest(2 * _blocks(F.col("k"), F.col("w"), limit), F.lit(1))
-    dealt = few.join(sizes, "node").select("node", "cid", F.pmod(F.xxhash64("cid", "node"), count).cast("int").alias("i"))
+    dealt = few.select("node", "cid", F.pmod(F.xxhash64("cid", "node"), count).cast("int").alias("i"))
     shared = there.groupBy("node").agg(F.first("k").alias("k"), F.first("w").alias("w"), F.array_distinct(F.array(*[F.min_by("cid", F.xxhash64("cid", F.lit(i))) for i in range(SHARED)])).alias("cids"))
     shared = shared.select("node", F.explode("cids").alias("cid"), F.sequence(F.lit(0), count - 1).alias("all")).select("node", "cid", F.explode("all").alias("i"))
     return dealt.unionByName(shared).select(F.xxhash64("node", "i").alias("node"), "cid").distinct()
 
 
-def _in_nodes(members: DataFrame, classes: DataFrame, limit: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def _in_nodes(members: DataFrame, classes: DataFrame, limit: int, known: DataFrame | None = None, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(node, cid, start) of nodes with 2 to ``limit`` classes, from (node, cid, n); larger nodes branch or are dealt into blocks.
 
-    ``known`` has components (cid, label) that need no more links inside.  Also
+    ``sized`` is what ``_sized`` says of ``members``, if it is known.  ``known`` has components (cid, label) that need no more links inside.  Also
     (cid, large): the start nodes of a class that are larger, if there are any.
     """
     out, depth, parted = None, START, None
     while True:
-        members = common.stage(members, "nodes")
-        counts = members.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where("k > 1")
-        sized = members.join(counts, "node")
+        sized = _sized(members) if sized is None else sized
         own = sized.where(~_large(limit)).select("node", "cid", F.lit(depth == START).alias("start"))
         out = own if out is None else out.unionByName(own)
-        if not counts.where(_large(limit)).limit(1).count():
+        if not sized.where(_large(limit)).limit(1).count():
             return out, parted
         large = sized.where(_large(limit)).withColumn("label", F.col("cid"))
         if depth == START:
@@ -163,6 +170,7 @@ def _in_nodes(members: DataFrame, classes: DataFrame, limit: int, known: DataFra
         labels = large.groupBy("node", "label").agg(F.count("*").alias("same"), F.sum("n").alias("same_w"))
         most = labels.groupBy("node").agg(F.max(F.struct("same", "same_w", "label")).alias("most"))
         large = large.join(most, "node").where("most.same < k")                    # of one component: nothing is left to link
+        large = common.stage(large, "large-nodes")
         ruled = F.col("k") - F.col("most.same") <= limit // 2
         blocks = _blocks(F.col("most.same"), F.col("most.same_w"), limit)
         places = F.when(F.col("label") == F.col("most.label"), F.array(F.pmod(F.xxhash64("cid"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
@@ -181,8 +189,9 @@ def _in_nodes(members: DataFrame, classes: DataFrame, limit: int, known: DataFra
                 if b.num_rows:
                     nodes = _children(b.column("node").to_numpy().view(np.uint64), _signatures(b.column("signature")))
                     yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), *[pa.array(np.repeat(b.column(c).to_numpy(), 2)) for c in ("cid", "n")]], ["node", "cid", "n"])
-        members = large.select("node", "cid").join(classes.select("cid", "n", "signature"), "cid").select("node", "cid", "n", "signature") \
-            .mapInArrow(run, "node bigint, cid bigint, n bigint").distinct()
+        members = common.stage(large.select("node", "cid").join(classes.select("cid", "n", "signature"), "cid").select("node", "cid", "n", "signature")
+                               .mapInArrow(run, "node bigint, cid bigint, n bigint"), "nodes")       # no child comes twice: parents and branches differ
+        sized = None
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -312,15 +321,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         described = described.join(known, "cid", "left") if known else described.withColumn("label", F.col("cid"))
         found = nodes.join(described, "cid").select("node", "cid", "start", "signature", "large", F.coalesce("label", "cid").alias("label")) \
             .repartition("node").sortWithinPartitions("node").mapInArrow(_with_partner(least), "node bigint, cid bigint")
-        found = common.stage(found, "partners").join(classes.select("cid", "doc", "th"), "cid")
-        texts = base.select("doc", "th", "text").join(found.hint("shuffle_hash"), ["doc", "th"]).select("node", "cid", "text")
+        found = common.stage(common.stage(found, "partners").join(classes.select("cid", "doc", "th"), "cid"), "partner-texts")
+        texts = base.select("doc", "th", "text")
+        few = common.small(found.select("doc", "th").distinct(), "count(*) * 48")
+        if few is not None:                 # the other texts need not move
+            texts = texts.join(few, ["doc", "th"], "left_semi")
+        texts = texts.join(found.hint("shuffle_hash"), ["doc", "th"]).select("node", "cid", "text")
         return texts.repartition("node").sortWithinPartitions("node").mapInArrow(_link(percent, size), "a bigint, b bigint")
 
-    blocks, known, first_links = _first_meetings(members, limit), None, None
+    sized = _sized(members)
+    blocks, known, first_links = _first_meetings(sized, limit), None, None
     if blocks is not None:
         first_links = common.stage(links_in(blocks.withColumn("start", F.lit(False)), None, None), "first-links")
         known = common.stage(components(first_links).select(F.col("node").alias("cid"), F.col("component").alias("label")), "known")
-    nodes, parted = _in_nodes(members, classes, limit, known)
+    nodes, parted = _in_nodes(members, classes, limit, known, sized)
     links = links_in(nodes, parted, known)
     reached = components(links if first_links is None else links.unionByName(first_links))
     named = classes.select("cid", "c1", "c2", "n", "doc").join(reached.withColumnRenamed("node", "cid"), "cid", "left") \
