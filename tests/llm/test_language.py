@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 from pyspark.sql import functions as F
@@ -69,3 +70,15 @@ def test_all_texts_are_learned_from(spark):
     sums = np.rint(profiles(texts).astype(np.float64) * UNIT).sum(axis=0)
     assert names == ["en"] and np.array_equal(prototypes[0], (sums / np.linalg.norm(sums)).astype(np.float32))
     assert np.isfinite(least).all()
+
+
+def test_a_piece_of_many_grams_is_held_in_bytes():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=2000)) for _ in range(200)]
+    profiles(texts[:1])               # the letters' vectors are made once
+    tracemalloc.start()
+    try:
+        profiles(texts)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()

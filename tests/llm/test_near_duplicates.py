@@ -1,8 +1,12 @@
+import glob
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
+from veilframe import session
 from veilframe.llm import near_duplicates as N
 from veilframe.llm.components import components
 
@@ -187,3 +191,34 @@ def test_nodes_of_one_class_are_written_once_and_texts_without_a_partner_stay(sp
     assert len(rows("shared-nodes")) == 1 and 0 < rows("shared-nodes")[0] < rows("start-nodes")[0] / 4
     monkeypatch.setattr(N.common, "BROADCAST_BYTES", -1)            # all texts move
     assert run(spark, docs) == brute(docs) and run(spark, docs, limit=1) == brute(docs)
+
+
+def test_tables_of_few_rows_go_to_few_files_however_many_partitions_there_are(spark):
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    docs = corpus(5, 14, 8)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        with session.staged_inside() as paths:
+            assert run(spark, docs, limit=4) == brute(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {p: len(glob.glob(f"{p}/part-*")) for p in paths}
+    narrow = [n for p, n in files.items() if re.search("/(links|known|classes|shared-nodes|partner-texts)-", p)]
+    assert len(narrow) > 5 and max(narrow) <= session.tasks_for(len(docs) * N.TREES * 2 ** N.START, spark.sparkContext.defaultParallelism) < 4
+
+
+def test_a_full_node_is_linked_within_bounded_memory():
+    rng, k = random.Random(8), 1500
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:i % 60], f"n{rng.randrange(10 ** 6)}", *base[i % 60 + 1:]]) for i in range(k)]
+    batch = pa.RecordBatch.from_pydict({"node": pa.array([1] * k), "cid": pa.array(range(k)), "text": pa.array(texts)})
+    tracemalloc.start()
+    try:
+        found = [row for b in N._link(80, 3)(iter([batch])) for row in b.to_pylist()]
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+    assert sorted(r["a"] for r in found) == list(range(1, k)) and {r["b"] for r in found} == {0}

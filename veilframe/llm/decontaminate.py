@@ -87,7 +87,7 @@ def _benchmark(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = common.map_pieces(named.groupBy("class").agg(F.first("said").alias("said")), "said", fingerprints,
                                f"class string, n int, hits array<{_HIT}>")
     prints = prints.select("class", "n", F.inline("hits"))
-    return named.select("class", "item_id"), common.stage(prints, "benchmark-fingerprints")
+    return named.select("class", "item_id"), common.stage(common.few_files(prints, named.count()), "benchmark-fingerprints")
 
 
 _ARROW_HIT = pa.struct([("fp", pa.int64()), ("start", pa.int32()), ("said", pa.string())])
@@ -168,7 +168,7 @@ def _windows(found: DataFrame, prints: DataFrame) -> DataFrame:
     """
     found = common.stage(found, "extended")
     counts = found.groupBy("said").agg(F.count("*").alias("n")).join(prints.select("said").distinct(), "said")
-    both = common.join_spread(found, common.stage(counts, "shared-windows"), "said", "n")
+    both = common.join_spread(found, common.stage(common.few_files(counts, prints.count()), "shared-windows"), "said", "n")
     return both.select("uid", "start", (F.col("start") + F.size(F.split("said", " "))).alias("end"), "said")
 
 

@@ -37,6 +37,13 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 def profiles(texts: list[str | None]) -> np.ndarray:
     """One unit vector for each text; all zeros without a letter."""
+    out = np.zeros((len(texts), SIZE), np.float32)
+    for a, z in common.runs([len(t or "") for t in texts]):
+        out[a:z] = _profiles(texts[a:z])
+    return out
+
+
+def _profiles(texts: list[str | None]) -> np.ndarray:
     vectors, symbol = _letters()
     lowered = ["".join(("\n", (t or "").lower(), "\n")) for t in texts]
     codes = symbol[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -51,13 +58,14 @@ def profiles(texts: list[str | None]) -> np.ndarray:
     key = ((owner[:-2] << 30) | (codes[:-2] << 20) | (codes[1:-1] << 10) | codes[2:])[inside]
     key, counts = np.unique(key, return_counts=True)
     gram, where = np.unique(key & ((1 << 30) - 1), return_inverse=True)
-    bound = np.roll(vectors, 2, 1)[gram >> 20] * np.roll(vectors, 1, 1)[(gram >> 10) & 1023] * vectors[gram & 1023]
-    bound = bound.astype(np.float32)
+    bound = np.roll(vectors, 2, 1)[gram >> 20]              # a byte a number: the largest table here, of all grams of the texts
+    bound *= np.roll(vectors, 1, 1)[(gram >> 10) & 1023]
+    bound *= vectors[gram & 1023]
     first = np.searchsorted(key >> 30, np.arange(len(texts) + 1))
     counts = counts.astype(np.float32)
     for t, (a, z) in enumerate(zip(first, first[1:])):
         if z > a:
-            v = counts[a:z] @ bound[where[a:z]]
+            v = counts[a:z] @ bound[where[a:z]].astype(np.float32)
             out[t] = v / max(float(np.linalg.norm(v)), 1e-9)
     return out
 

@@ -43,7 +43,8 @@ SHARED = 4                # classes that all blocks of a large node hold
 MEETINGS = 2              # large nodes in which a class is linked first
 MARGIN = 6.0              # standard deviations that an estimate may lie below the threshold
 LAST = (1 << 63) - 1
-COLUMNS = 4096            # shingles whose occurrences are held as a matrix at a time
+COLUMNS = 1024            # shingles whose occurrences are held as a matrix at a time
+ROWS = 256                # classes of a node that are compared with all others at a time
 
 _MULTIPLY = W.mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -130,7 +131,7 @@ def _sized(members: DataFrame) -> DataFrame:
     starts from it more than once.
     """
     counts = members.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where("k > 1")
-    return common.stage(members.join(counts, "node"), "shared-nodes")
+    return common.stage(common.few_files(members.join(counts, "node"), members.count()), "shared-nodes")
 
 
 def _first_meetings(sized: DataFrame, limit: int) -> DataFrame | None:
@@ -247,6 +248,7 @@ def _link(percent: int, size: int):
                 yield from zip(piece.column("node").to_pylist(), piece.column("cid").to_pylist(), shingle_sets(piece.column("text"), size))
 
     def linked(sets: list[np.ndarray]) -> np.ndarray:
+        """Which classes are linked.  The counts of common shingles are the one matrix of numbers that is held whole: below 2^24, they are exact."""
         n, k = np.array([len(s) for s in sets]), len(sets)
         value, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner, shared = np.repeat(np.arange(k), n), count > 1
@@ -260,8 +262,10 @@ def _link(percent: int, size: int):
             m = np.zeros((k, COLUMNS), np.float32)
             m[owner[i:z], which[i:z] - a] = 1
             both += m @ m.T
-        both = np.rint(both).astype(np.int64)
-        near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        near = np.empty((k, k), bool)
+        for a in range(0, k, ROWS):
+            shared_by = np.rint(both[a:a + ROWS]).astype(np.int64)
+            near[a:a + ROWS] = 100 * shared_by >= percent * (n[a:a + ROWS, None] + n[None, :] - shared_by)
         np.fill_diagonal(near, True)
         return near
 
@@ -270,7 +274,7 @@ def _link(percent: int, size: int):
             cid = np.array(sorted(own), np.int64)
             near, label = linked([own[c] for c in cid.tolist()]), np.arange(len(cid))
             while True:
-                new = np.where(near, label[None, :], len(cid)).min(axis=1)
+                new = np.concatenate([np.where(near[a:a + ROWS], label[None, :], len(cid)).min(axis=1) for a in range(0, len(cid), ROWS)])
                 new = new[new]
                 if (new == label).all():
                     break
@@ -304,6 +308,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     measured = common.stage(_measure(base, size), "shingles")
     classes = measured.where("n > 0").groupBy("c1", "c2", "n").agg(F.min(F.struct("doc", "th")).alias("r"), F.first("signature").alias("signature"))
+    classes = common.few_files(classes, measured.count())
     classes = common.stage(classes.select(F.monotonically_increasing_id().alias("cid"), "c1", "c2", "n", "r.doc", "r.th", "signature"), "classes")
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,28 +320,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     share = percent / 100
     least = share - MARGIN * (share * (1 - share) / TOKENS) ** 0.5
 
-    def links_in(nodes: DataFrame, parted: DataFrame | None, known: DataFrame | None) -> DataFrame:
+    def links_in(nodes: DataFrame, parted: DataFrame | None, known: DataFrame | None) -> tuple[DataFrame, int]:
+        """The links, and how many there are at most."""
         described = classes.select("cid", "signature")
         described = described.join(parted, "cid", "left") if parted else described.withColumn("large", F.lit(None).cast("array<bigint>"))
         described = described.join(known, "cid", "left") if known else described.withColumn("label", F.col("cid"))
         found = nodes.join(described, "cid").select("node", "cid", "start", "signature", "large", F.coalesce("label", "cid").alias("label")) \
             .repartition("node").sortWithinPartitions("node").mapInArrow(_with_partner(least), "node bigint, cid bigint")
-        found = common.stage(common.stage(found, "partners").join(classes.select("cid", "doc", "th"), "cid"), "partner-texts")
+        found = common.stage(found, "partners")
+        most = found.count()
+        found = common.stage(common.few_files(found.join(classes.select("cid", "doc", "th"), "cid"), most), "partner-texts")
         texts = base.select("doc", "th", "text")
         few = common.small(found.select("doc", "th").distinct(), "count(*) * 48")
         if few is not None:                 # the other texts need not move
             texts = texts.join(few, ["doc", "th"], "left_semi")
         texts = texts.join(found.hint("shuffle_hash"), ["doc", "th"]).select("node", "cid", "text")
-        return texts.repartition("node").sortWithinPartitions("node").mapInArrow(_link(percent, size), "a bigint, b bigint")
+        return texts.repartition("node").sortWithinPartitions("node").mapInArrow(_link(percent, size), "a bigint, b bigint"), most
 
     sized = _sized(members)
     blocks, known, first_links = _first_meetings(sized, limit), None, None
     if blocks is not None:
-        first_links = common.stage(links_in(blocks.withColumn("start", F.lit(False)), None, None), "first-links")
-        known = common.stage(components(first_links).select(F.col("node").alias("cid"), F.col("component").alias("label")), "known")
+        first_links = common.stage(links_in(blocks.withColumn("start", F.lit(False)), None, None)[0], "first-links")
+        several = first_links.count()
+        known = components(first_links, several).select(F.col("node").alias("cid"), F.col("component").alias("label"))
+        known = common.stage(common.few_files(known, 2 * several), "known")
     nodes, parted = _in_nodes(members, classes, limit, known, sized)
-    links = links_in(nodes, parted, known)
-    reached = components(links if first_links is None else links.unionByName(first_links))
+    links, most = links_in(nodes, parted, known)
+    reached = components(links, most) if first_links is None else components(links.unionByName(first_links), most + several)
     named = classes.select("cid", "c1", "c2", "n", "doc").join(reached.withColumnRenamed("node", "cid"), "cid", "left") \
         .withColumn("component", F.coalesce("component", "cid"))
     first = named.groupBy("component").agg(F.min("doc").alias("component_doc"))
